@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from quillgrid.llm.jaccard import op9_ngram_jaccard
 from quillgrid.llm.secrets import op1_secret_scan
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 
 SQL: dict[str, str] = {}
