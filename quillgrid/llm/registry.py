@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from quillgrid.llm.decontaminate import op4_decontaminate
 from quillgrid.llm.jaccard import op9_ngram_jaccard
 from quillgrid.llm.quality import op6_quality_pu
 from quillgrid.llm.secrets import op1_secret_scan
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op4_decontaminate": op4_decontaminate,
     "op6_quality_pu": op6_quality_pu,
     "op9_ngram_jaccard": op9_ngram_jaccard,
 }
