@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillgrid.llm.decontaminate import op4_decontaminate
 from quillgrid.llm.jaccard import op9_ngram_jaccard
+from quillgrid.llm.mixing import OP8_SQL, op8_mix_sources
 from quillgrid.llm.quality import op6_quality_pu
 from quillgrid.llm.secrets import op1_secret_scan
 
@@ -11,7 +12,10 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op4_decontaminate": op4_decontaminate,
     "op6_quality_pu": op6_quality_pu,
+    "op8_mix_sources": op8_mix_sources,
     "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_mix_sources": OP8_SQL,
+}
