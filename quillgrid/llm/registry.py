@@ -5,11 +5,13 @@ from __future__ import annotations
 from quillgrid.llm.decontaminate import op4_decontaminate
 from quillgrid.llm.jaccard import op9_ngram_jaccard
 from quillgrid.llm.mixing import OP8_SQL, op8_mix_sources
+from quillgrid.llm.pii import op3_pii
 from quillgrid.llm.quality import op6_quality_pu
 from quillgrid.llm.secrets import op1_secret_scan
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_pii": op3_pii,
     "op4_decontaminate": op4_decontaminate,
     "op6_quality_pu": op6_quality_pu,
     "op8_mix_sources": op8_mix_sources,
