@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillgrid.llm.ann import op2_ann_partitions
 from quillgrid.llm.decontaminate import op4_decontaminate
 from quillgrid.llm.jaccard import op9_ngram_jaccard
 from quillgrid.llm.mixing import OP8_SQL, op8_mix_sources
@@ -11,6 +12,7 @@ from quillgrid.llm.secrets import op1_secret_scan
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_ann_partitions": op2_ann_partitions,
     "op3_pii": op3_pii,
     "op4_decontaminate": op4_decontaminate,
     "op6_quality_pu": op6_quality_pu,
