@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from quillgrid.plans import sheet_queries
 
-SQL: dict[str, str] = {}
+QUERIES = {**sheet_queries.QUERIES}
+
+SQL = {**sheet_queries.SQL}
