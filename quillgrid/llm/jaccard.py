@@ -88,9 +88,11 @@ def _packed(size: int, bits: int, hot: np.ndarray):
                 out.append(((toks >> U(48)).astype(np.int64), rows, toks))
                 got = {"part": [], "sigs": [], "counts": [], "toks": []}
                 for where, row, tok in out:
+                    if not len(where):
+                        continue
                     order = np.lexsort((row, where))
                     where, row, tok = where[order], row[order], tok[order]
-                    cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(where) else []
+                    cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
                     for a, b in zip(cuts, [*cuts[1:], len(where)], strict=True):
                         new = np.flatnonzero(np.r_[True, row[a + 1 : b] != row[a : b - 1]])
                         got["part"].append(int(where[a]))
