@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.functions.text import some, strip
+from quillgrid.functions.text import let, some, strip
 
 SOLID_ERAS = 5
 # Fixed: what is cut from a page's title.
@@ -34,24 +36,31 @@ def dedup_urls(df: DataFrame, url_col: str = "url", ord_col: str = "ord") -> Dat
     return keyed.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def _cut_suffixes(name: Column) -> Column:
-    for s in SUFFIXES:
-        name = F.when(name.endswith(s), strip(F.substring(name, F.lit(1), F.length(name) - len(s)))).otherwise(name)
-    return name
+def _cut_end(name: Column, end: str) -> Column:
+    return let(name, lambda n: F.when(n.endswith(end), strip(F.substring(n, F.lit(1), F.length(n) - len(end)))).otherwise(n))
+
+
+def _cut_start(name: Column, start: str) -> Column:
+    return let(name, lambda n: F.when(n.startswith(start), strip(F.substring(n, F.lit(len(start) + 1), F.length(n)))).otherwise(n))
 
 
 def artist_name(title: Column) -> Column:
     """The artist that a page's title names."""
-    name = _cut_suffixes(strip(title))
-    name = _cut_suffixes(strip(F.regexp_replace(name, r"(?i)\s+Tracker\s+[\d.v]+\s*$", "")))
-    bare = _cut_suffixes(strip(F.regexp_replace(name, r"\s*\([^)]*\)\s*$", "")))
-    name = F.when(bare != "", bare).otherwise(name)
-    for p in PREFIXES:
-        name = F.when(name.startswith(p), strip(F.substring(name, F.lit(len(p) + 1), F.length(name)))).otherwise(name)
-    name = strip(F.regexp_replace(name, r"^[\x{1F300}-\x{1F9FF}\s]+", ""))
-    for low, other in OTHER_NAMES.items():
-        name = F.when(F.lower(name) == low, other).otherwise(name)
-    return F.coalesce(some(name), strip(title))
+
+    def cut(name: Column) -> Column:
+        return reduce(_cut_end, SUFFIXES, name)
+
+    name = cut(strip(F.regexp_replace(cut(strip(title)), r"(?i)\s+Tracker\s+[\d.v]+\s*$", "")))
+    name = let(name, lambda n: let(cut(strip(F.regexp_replace(n, r"\s*\([^)]*\)\s*$", ""))), lambda bare: F.when(bare != "", bare).otherwise(n)))
+    name = strip(F.regexp_replace(reduce(_cut_start, PREFIXES, name), r"^[\x{1F300}-\x{1F9FF}\s]+", ""))
+
+    def known(n: Column) -> Column:
+        out = n
+        for low, other in OTHER_NAMES.items():
+            out = F.when(F.lower(n) == low, other).otherwise(out)
+        return some(out)
+
+    return F.coalesce(let(name, known), strip(title))
 
 
 def select_tab(tabs: DataFrame) -> DataFrame:
