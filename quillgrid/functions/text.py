@@ -21,13 +21,17 @@ def some(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
+#: White space of any script, as sheets hold no-break spaces.
+BLANK = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def strip(col: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.regexp_replace(col, f"^{BLANK}+|{BLANK}+$", "")
 
 
 def squash(col: Column) -> Column:
-    return strip(F.regexp_replace(col, r"\s+", " "))
+    return strip(F.regexp_replace(col, f"{BLANK}+", " "))
 
 
 def lines(col: Column) -> Column:

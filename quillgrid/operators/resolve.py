@@ -182,7 +182,9 @@ def resolve_rows(classified: DataFrame) -> DataFrame:
 
     ``(sheet_id, row_idx, action, era_idx, section_idx, label, match_kind)``; a row can do two things.
     """
-    return classified.groupBy("sheet_id").applyInPandas(_fold, PLACEMENTS)
+    # as many tasks as asked for: the rows are few bytes, but work
+    tasks = int(classified.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return classified.repartition(tasks, "sheet_id").groupBy("sheet_id").applyInPandas(_fold, PLACEMENTS)
 
 
 # ---------------------------------------------------------------- lookups without state

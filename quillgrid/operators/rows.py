@@ -58,27 +58,30 @@ def register_keys(name: Column, alts: Column) -> Column:
     return F.array_distinct(F.filter(keys, lambda k: k.isNotNull() & (k != "")))
 
 
-def enrich_versions(projected: DataFrame) -> DataFrame:
-    """The song columns of every row with a name: cleaned name, badge, tag, credits, links, notes."""
-    after_badge = T.without_badge(F.col("name"))
-    base = projected.filter("name is not null").withColumns({"badge": T.badge(F.col("name")), "_named": after_badge})
-    alts = T.alt_titles(F.col("_named"))
+def with_version_columns(projected: DataFrame) -> DataFrame:
+    """Adds the song columns that a row's name, notes and links give: ``title``, tag, badge, credits, links."""
+    named = projected.withColumns({"badge": T.badge(F.col("name")), "_named": T.without_badge(F.col("name"))})
+    named = named.withColumns({"_alts": T.alt_titles(F.col("_named")), "_title": T.title(F.col("_named"))})
     is_unfinished = lambda t: t.rlike(r"(?i)^\[?unfinished\]?$")
-    base = base.withColumns({"_alts": alts, "_title": T.title(F.col("_named"))})
-    unfinished = F.exists("_alts", is_unfinished)
     links = lambda f: F.transform(F.filter(f"{f}_cell_links", lambda x: x != ""), unwrap_link)
-    return base.select(
-        "sheet_id", "row_idx",
-        T.without_tag(F.col("_title")).alias("name"),
-        F.coalesce(T.version_tag(F.col("_title")), F.when(unfinished, "Unfinished")).alias("version_tag"),
-        "badge",
-        *[T.credit(F.col("_named"), k).alias(k) for k in T.CREDITS],
-        F.filter("_alts", lambda t: ~is_unfinished(t)).alias("alt_titles"),
-        "notes",
+    return named.withColumns(
+        {
+            "title": T.without_tag(F.col("_title")),
+            "version_tag": F.coalesce(T.version_tag(F.col("_title")), F.when(F.exists("_alts", is_unfinished), "Unfinished")),
+            **{k: T.credit(F.col("_named"), k) for k in T.CREDITS},
+            "alt_titles": F.filter("_alts", lambda t: ~is_unfinished(t)),
+            "links": F.array_distinct(F.concat(links("links"), links("alt_links"), links("notes"))),
+        }
+    ).drop("_named", "_alts", "_title")
+
+
+def enrich_versions(projected: DataFrame) -> DataFrame:
+    """The song columns of every row with a name: cleaned name, badge, tag, credits, links, notes."""
+    return with_version_columns(projected).filter("name is not null").select(
+        "sheet_id", "row_idx", F.col("title").alias("name"), "version_tag", "badge", *T.CREDITS, "alt_titles", "notes",
         T.og_filename(F.col("notes")).alias("og_filename"),
         F.coalesce(T.samples(F.col("notes")), F.array().cast("array<string>")).alias("samples"),
-        "track_length", "file_date", "leak_date", "available_length", "quality",
-        F.array_distinct(F.concat(links("links"), links("alt_links"), links("notes"))).alias("links"),
+        "track_length", "file_date", "leak_date", "available_length", "quality", "links",
         "quality_color", "available_length_color", "date_of_recording", "type",
     )
 
@@ -95,35 +98,39 @@ def is_label_version(n_filled: Column, era: Column) -> Column:
     return bare & (F.length(F.coalesce("notes", F.lit(""))) <= LONG_NOTE) & (n_filled - era.isNotNull().cast("int") <= 1)
 
 
-def era_headers(projected: DataFrame) -> DataFrame:
-    """What an era's header row says: name, other names, description, timeline, statistics, art, producers.
+def _with_header_name(projected: DataFrame) -> DataFrame:
+    """Adds ``era_name``, ``alt_names`` and ``needs_backfill`` as a header row would give them.
 
     A name in parentheses only, or an image without text, leaves the name to the next song row.
     """
-    head = projected.filter(is_era_header())
-    name_lines = T.lines(F.coalesce("name", F.lit("")))
-    first = F.element_at(name_lines, 1)
-    wrapped = first.startswith("(") & first.endswith(")") & (F.length(first) > 1)
-    others = F.filter(F.transform(F.slice(name_lines, F.lit(2), F.size(name_lines)), T.unwrap_parens), lambda x: x != "")
-    inner = T.unwrap_parens(first)
-    alts = F.when(wrapped & (inner != ""), F.array_distinct(F.concat(F.array(inner), others))).otherwise(others)
+
+    def read(names: Column) -> Column:
+        first = F.element_at(names, 1)
+        wrapped = first.startswith("(") & first.endswith(")") & (F.length(first) > 1)
+        others = F.filter(F.transform(F.slice(names, F.lit(2), F.size(names)), T.unwrap_parens), lambda x: x != "")
+        inner = F.when(wrapped, F.filter(F.array(T.unwrap_parens(first)), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.when(wrapped, "").otherwise(first).alias("name"), F.when(wrapped, F.array_distinct(F.concat(inner, others))).otherwise(others).alias("alts"), (wrapped | (first == "")).alias("open"))
+
+    bound = projected.withColumn("_head", T.let(T.lines(F.coalesce("name", F.lit(""))), read))
+    return bound.withColumns({"era_name": F.col("_head.name"), "alt_names": F.col("_head.alts"), "needs_backfill": F.col("_head.open")}).drop("_head")
+
+
+def era_headers(projected: DataFrame) -> DataFrame:
+    """What an era's header row says: name, other names, description, timeline, statistics, art, producers."""
     right = F.slice("cells", column_of("notes") + 2, F.size("cells"))
-    right_texts = F.filter(F.transform(right, lambda c: T.strip(c["text"])), lambda t: t != "")
-    producers = F.filter(right_texts, lambda t: t.contains("Highlighted") & t.contains("Producer"))
-    described = F.filter(right_texts, lambda t: ~(t.contains("Highlighted") & t.contains("Producer")))
-    longest = F.aggregate(described, F.lit(""), lambda acc, t: F.when(F.length(t) > F.length(acc), t).otherwise(acc))
+    head = _with_header_name(projected.filter(is_era_header())).withColumn("_right", right)
+    right_texts = F.filter(F.transform("_right", lambda c: T.strip(c["text"])), lambda t: t != "")
+    says = lambda t: t.contains("Highlighted") & t.contains("Producer")
+    longest = F.aggregate(F.filter(right_texts, lambda t: ~says(t)), F.lit(""), lambda acc, t: F.when(F.length(t) > F.length(acc), t).otherwise(acc))
     own_image = F.get(F.get(F.col("cells"), column_of("name"))["images"], F.lit(0))
-    next_image = F.get(F.flatten(F.transform(right, lambda c: c["images"])), F.lit(0))
+    next_image = F.get(F.flatten(F.transform("_right", lambda c: c["images"])), F.lit(0))
     return head.select(
-        "sheet_id", "row_idx",
-        F.when(wrapped, "").otherwise(first).alias("era_name"),
-        alts.alias("alt_names"),
-        (wrapped | (first == "")).alias("needs_backfill"),
+        "sheet_id", "row_idx", "era_name", "alt_names", "needs_backfill",
         T.some(longest).alias("description"),
         F.coalesce(T.timeline(F.col("notes")), F.array().cast("array<struct<date:string,event:string>>")).alias("timeline"),
         T.some(T.strip(F.get(F.col("cells"), F.lit(0))["text"])).alias("stats_raw"),
         F.coalesce(F.when((F.coalesce("name", F.lit("")) != "") & ~(F.col("name").startswith("(") & F.col("name").endswith(")")), own_image), next_image).alias("art_url"),
-        F.coalesce(_last_producers(producers), F.array().cast("array<string>")).alias("highlighted_producers"),
+        F.coalesce(_last_producers(F.filter(right_texts, says)), F.array().cast("array<string>")).alias("highlighted_producers"),
     )
 
 
@@ -132,36 +139,31 @@ def _last_producers(cells: Column) -> Column:
 
 
 def classify_rows(projected: DataFrame) -> DataFrame:
-    """Narrow columns of every non-empty row, as the resolution of eras needs them."""
+    """Narrow columns of every non-empty row, as the resolution of eras needs them; no shuffle."""
     kind = F.when(is_section_separator(), "separator").when(is_era_header(), "header").when(is_footer(F.col("name")), "footer").otherwise("row")
-    first_line = T.strip(F.split(F.col("name"), "\n")[0])
-    none = F.array().cast("array<string>")
-    rows = projected.filter(F.size(F.col("filled")) > 0).select(
-        "sheet_id", "row_idx", kind.alias("kind"), "era",
-        F.size(F.col("filled")).alias("n_filled"),
-        F.get(F.col("filled"), F.lit(0)).alias("first_text"),
-        T.full_key(F.col("era")).alias("era_norm"), T.match_key(F.col("era")).alias("era_key"),
-        F.coalesce(T.plausible_era_name(F.col("era")), F.lit(False)).alias("era_plausible"),
-        F.when(F.col("era").isNotNull(), register_keys(F.col("era"), none)).otherwise(none).alias("era_keys"),
-        first_line.alias("name_line"), F.coalesce(F.col("name").contains("\n"), F.lit(False)).alias("name_multiline"),
-        F.coalesce(T.plausible_era_name(first_line), F.lit(False)).alias("name_plausible"),
-        F.when(F.col("name").isNotNull(), register_keys(F.col("name"), none)).otherwise(none).alias("name_keys"),
-        F.when(F.col("name").isNotNull(), register_keys(first_line, none)).otherwise(none).alias("line_keys"),
-        dynamic_label().alias("dynamic_label"),
-        F.substring(F.array_join(F.col("filled"), " | "), 1, 200).alias("row_text"),
-    )
-    versions = enrich_versions(projected).withColumn("_data", has_song_data())
-    marks = versions.join(projected.select("sheet_id", "row_idx", F.size(F.col("filled")).alias("_n"), F.col("era").alias("_era")), ["sheet_id", "row_idx"]).select(
-        "sheet_id", "row_idx", F.col("name").alias("version_name"), "_data", is_label_version(F.col("_n"), F.col("_era")).alias("_label")
-    )
-    heads = era_headers(projected).select("sheet_id", "row_idx", "era_name", "alt_names", "needs_backfill", register_keys(F.col("era_name"), F.col("alt_names")).alias("header_keys"))
-    keys = ["sheet_id", "row_idx"]
-    false = F.lit(False)
-    return (
-        rows.join(marks, keys, "left")
-        .join(heads.drop("alt_names"), keys, "left")
-        .select(*rows.columns, "version_name", F.coalesce("_data", false).alias("has_data"), F.coalesce("_label", false).alias("is_label"), "era_name", F.coalesce("needs_backfill", false).alias("needs_backfill"), F.coalesce("header_keys", none).alias("header_keys"))
+    none, false = F.array().cast("array<string>"), F.lit(False)
+    rows = with_version_columns(projected.filter(F.size("filled") > 0)).withColumns(
+        {"kind": kind, "n_filled": F.size("filled"), "name_line": T.strip(F.split(F.col("name"), "\n")[0]), "version_name": F.when(F.col("name").isNotNull(), F.col("title"))}
     )
+    named = F.col("name").isNotNull()
+    rows = _with_header_name(rows).withColumns({"has_data": F.coalesce(named & has_song_data(), false), "is_label": F.coalesce(named & is_label_version(F.col("n_filled"), F.col("era")), false)})
+    is_row, is_head = F.col("kind") == "row", F.col("kind") == "header"
+    only_row = lambda c, cond=None: F.when(is_row if cond is None else is_row & cond, c)
+    return rows.select(
+        "sheet_id", "row_idx", "kind", "era", "n_filled", F.get("filled", F.lit(0)).alias("first_text"),
+        only_row(T.full_key(F.col("era"))).alias("era_norm"), only_row(T.match_key(F.col("era"))).alias("era_key"),
+        F.coalesce(only_row(T.plausible_era_name(F.col("era"))), false).alias("era_plausible"),
+        F.coalesce(only_row(register_keys(F.col("era"), none), F.col("era").isNotNull()), none).alias("era_keys"),
+        "name_line", F.coalesce(F.col("name").contains("\n"), false).alias("name_multiline"),
+        F.coalesce(only_row(T.plausible_era_name(F.col("name_line")), F.col("era").isNull()), false).alias("name_plausible"),
+        F.coalesce(only_row(register_keys(F.col("name"), none), F.col("era").isNull() & named), none).alias("name_keys"),
+        F.coalesce(only_row(register_keys(F.col("name_line"), none), F.col("era").isNull() & named), none).alias("line_keys"),
+        only_row(dynamic_label()).alias("dynamic_label"),
+        F.substring(F.array_join("filled", " | "), 1, 200).alias("row_text"),
+        "version_name", "has_data", "is_label",
+        F.when(is_head, F.col("era_name")).alias("era_name"), F.coalesce(F.when(is_head, F.col("needs_backfill")), false).alias("needs_backfill"),
+        F.coalesce(F.when(is_head, register_keys(F.col("era_name"), F.col("alt_names"))), none).alias("header_keys"),
+    )
 
 
 def forward_fill(df: DataFrame, part: list[str], order: list[str], col: str, out: str | None = None) -> DataFrame:

@@ -78,7 +78,8 @@ def rendered_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheets = by_era.groupBy("l_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_type", F.concat(head, F.col("songs")).alias("h")))), lambda s: s["h"]), "").alias("body"))
     top = "<html><head><style>.s7{background-color:#4CAF50;}.s8{background-color:#fff}</style></head><body><table><tr><td colspan=\"6\">Sheet of the supplier &#9733; all links are down, no ETA</td></tr><tr><td>Era</td><td>Name (and credits)</td><td>Notes</td><td>Available Length</td><td>Quality</td><td>Link(s)</td></tr>"
     foot = "<tr><td></td><td>Changelogs</td><td></td></tr><tr><td>x</td><td>y</td></tr></table></body></html>"
-    return sheets.select(F.concat(F.lit("sup-"), F.col("l_suppkey").cast("string")).alias("sheet_id"), F.concat(F.lit(top), F.col("body"), F.lit(foot)).alias("html"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return sheets.repartition(tasks, "l_suppkey").select(F.concat(F.lit("sup-"), F.col("l_suppkey").cast("string")).alias("sheet_id"), F.concat(F.lit(top), F.col("body"), F.lit(foot)).alias("html"))
 
 
 SHEET_ITEMS = f"""WITH i AS (SELECT 'sup-' || l_suppkey AS sheet_id, p_type AS era, p_name AS name, l_linenumber, {BADGES} AS badge0, p_size, p_brand, {LENGTHS} AS available_length, {QUALITIES} AS quality,

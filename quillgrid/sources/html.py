@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.functions.text import some, squash, strip
+from quillgrid.functions.text import let, some, squash, strip
 
 # Fixed: named entities that are decoded, '&amp;' last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "))
@@ -25,6 +25,7 @@ CELL = "struct<text:string,links:array<string>,link_lines:array<int>,images:arra
 
 def unescape(col: Column) -> Column:
     """Decodes numeric and the common named entities; others stay as written."""
+    if_any = lambda c, done: F.when(c.contains("&"), done).otherwise(c)
     numeric = F.array_distinct(F.regexp_extract_all(col, F.lit("&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
 
     def decode(acc: Column, ref: Column) -> Column:
@@ -35,7 +36,7 @@ def unescape(col: Column) -> Column:
     out = F.when(col.contains("&#"), F.aggregate(numeric, col, decode)).otherwise(col)
     for ref, char in ENTITIES:
         out = F.replace(out, F.lit(ref), F.lit(char))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    return if_any(col, F.replace(out, F.lit("&amp;"), F.lit("&")))
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -49,7 +50,8 @@ def plain_text(content: Column) -> Column:
     """Character data of a cell: breaks as newlines, image texts in place, other tags dropped."""
     broken = F.regexp_replace(content, r"(?i)<br\b[^>]*>", "\n")
     named = F.regexp_replace(F.regexp_replace(broken, r'(?is)<img\b[^>]*?\salt\s*=\s*"([^"]*)"[^>]*>', "$1"), r"(?is)<img\b[^>]*?\salt\s*=\s*'([^']*)'[^>]*>", "$1")
-    return unescape(F.regexp_replace(named, r"(?s)<[^>]*>", ""))
+    bare = F.when(content.contains("<"), F.regexp_replace(named, r"(?s)<[^>]*>", "")).otherwise(content)
+    return let(bare, unescape)
 
 
 def _links(content: Column) -> Column:
@@ -101,9 +103,9 @@ def sheet_rows(sheets: DataFrame, html_col: str = "html") -> DataFrame:
 
     def build(c: Column) -> Column:
         attrs, links = F.concat(F.lit(" "), c["attrs"]), _links(c["body"])
-        css = attribute(attrs, "class")
-        span = F.greatest(F.coalesce(some(F.regexp_extract(attribute(attrs, "colspan"), r"^\s*(\d{1,4})\s*$", 1)).cast("int"), F.lit(1)), F.lit(1))
-        images = F.filter(F.transform(F.regexp_extract_all(c["body"], F.lit(r"(?is)<img\b[^>]*>"), F.lit(0)), lambda i: attribute(i, "src")), lambda s: s != "")
+        css = F.when(c["attrs"] == "", "").otherwise(attribute(attrs, "class"))
+        span = F.greatest(F.coalesce(some(F.regexp_extract(F.when(c["attrs"].contains("colspan"), attribute(attrs, "colspan")).otherwise(""), r"^\s*(\d{1,4})\s*$", 1)).cast("int"), F.lit(1)), F.lit(1))
+        images = F.filter(F.transform(F.regexp_extract_all(F.when(c["body"].contains("<"), c["body"]).otherwise(""), F.lit(r"(?is)<img\b[^>]*>"), F.lit(0)), lambda i: attribute(i, "src")), lambda s: s != "")
         one = F.struct(
             strip(plain_text(c["body"])).alias("text"),
             F.transform(links, lambda x: x["link"]).alias("links"),
