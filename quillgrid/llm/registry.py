@@ -5,11 +5,11 @@ from __future__ import annotations
 from quillgrid.llm.ann import op2_ann_partitions
 from quillgrid.llm.chat import OP10_SQL, op10_chat_format
 from quillgrid.llm.decontaminate import op4_decontaminate
-from quillgrid.llm.jaccard import op9_ngram_jaccard
+from quillgrid.llm.jaccard import OP9_SQL, op9_ngram_jaccard
 from quillgrid.llm.mixing import OP8_SQL, op8_mix_sources
 from quillgrid.llm.pii import op3_pii
 from quillgrid.llm.quality import op6_quality_pu
-from quillgrid.llm.secrets import op1_secret_scan
+from quillgrid.llm.secrets import OP1_SQL, op1_secret_scan
 from quillgrid.llm.tokens import op5_token_counts
 from quillgrid.llm.urls import OP7_SQL, op7_url_filters
 
@@ -27,7 +27,9 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op1_secret_scan": OP1_SQL,
     "op7_url_filters": OP7_SQL,
     "op8_mix_sources": OP8_SQL,
+    "op9_ngram_jaccard": OP9_SQL,
     "op10_chat_format": OP10_SQL,
 }

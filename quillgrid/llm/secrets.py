@@ -176,3 +176,26 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(span_digest(base).cast("binary"), 256).alias("base_sha256"),
         span_digest(F.col("findings")).alias("spans"),
     )
+
+
+def _sql() -> str:
+    """The base and added spans by splitting each text at the matches; DuckDB's counterpart."""
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    hits, spans = [], []
+    for i, rule in enumerate(RULES):
+        p = quote(rule.pattern)
+        hits.append(f"regexp_extract_all(t, {p}) AS m{i}, string_split_regex(t, {p}) AS g{i}")
+        span = f"list_transform(range(1, len(m{i}) + 1), lambda k: {{'a': list_sum(list_transform(g{i}[1:k], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m{i}[1:k-1], lambda x: length(x))), 0)::BIGINT, 'r': {i}, 'n': length(m{i}[k]), 'h': m{i}[k], 'kind': '{rule.kind}'}})"
+        if rule.min_group:
+            span = f"list_filter({span}, lambda s: length(regexp_extract(s.h, {p}, {rule.min_group[0]})) >= {rule.min_group[1]})"
+        spans.append(span)
+    digest = lambda x: f"array_to_string(list_transform({x}, lambda s: s.kind || ':' || s.a || ':' || (s.a + s.n)), ',')"
+    base = f"list_filter(f, lambda s: s.r < {len(BASE)})"
+    counts = ", ".join(f"len(list_filter(f, lambda s: s.r = {i}))::BIGINT AS n_{k}" for i, k in enumerate(BASE))
+    return (
+        "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS (SELECT doc_id, " + ", ".join(hits) + " FROM d), f AS (SELECT doc_id, list_sort(list_concat("
+        + ", ".join(spans) + f")) AS f FROM h) SELECT doc_id, {counts}, sha256({digest(base)}) AS base_sha256, {digest('f')} AS spans FROM f"
+    )
+
+
+OP1_SQL = _sql()
