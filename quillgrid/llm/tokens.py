@@ -5,8 +5,9 @@ log-probability. The best score of a prefix depends on the prefix alone, so dist
 pre-tokens are inserted in a trie, whose nodes hold the score and the number of pieces;
 shared prefixes are scored once, and terminals keep their counts for repeated words.
 
-Counting is a map over batches without a shuffle. Each task grows its own trie, which is
-dropped when it reaches ``MAX_NODES``; long words are scored without being stored.
+Counting is a map over batches without a shuffle. Each task grows its own trie; its nodes
+are dropped when they reach ``MAX_NODES``, and so are its terminals; long words are scored
+without being stored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from quillgrid.llm.common import table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"  # stands before every pre-token
-MAX_NODES = 500_000
+MAX_NODES = 800_000
 LONG_WORD = 64
 #: How much less likely than the rarest piece a byte of an unknown character is.
 BYTE_PENALTY = 10.0
@@ -43,7 +44,12 @@ class PrefixScores:
 
     def __init__(self, scores: dict[str, float], max_nodes: int = MAX_NODES) -> None:
         self.scores, self.max_nodes = scores, max_nodes
-        self.longest = max(map(len, scores), default=1)
+        #: Lengths of the pieces that end in two given characters.
+        self.lengths: dict[str, list[int]] = {}
+        for piece in scores:
+            if len(piece) > 1:
+                self.lengths.setdefault(piece[-2:], []).append(len(piece))
+        self.lengths = {end: sorted(set(n)) for end, n in self.lengths.items()}
         self.unknown = min(scores.values(), default=0.0) - BYTE_PENALTY
         self.terminals: dict[bytes, int] = {}
         self._clear()
@@ -51,19 +57,27 @@ class PrefixScores:
     def _clear(self) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.nodes: list[tuple[float, int]] = [(0.0, 0)]
-        self.terminals.clear()
 
     def _forward(self, word: str, end: int, before: list[tuple[float, int]]) -> tuple[float, int]:
         """The best (score, fewer pieces on a tie) of ``word[:end]`` from those of its prefixes."""
-        bytes_here = len(word[end - 1].encode())
+        scores, c = self.scores, word[end - 1]
         score, n = before[end - 1]
-        best = (score + bytes_here * self.unknown, -(n + bytes_here))
-        for start in range(max(0, end - self.longest), end):
-            piece = self.scores.get(word[start:end])
+        alone = scores.get(c)
+        if alone is None:  # bytes stand for a character without a piece, and are worse than any piece
+            size = len(c.encode())
+            score, n = score + size * self.unknown, n + size
+        else:
+            score, n = score + alone, n + 1
+        for length in self.lengths.get(word[end - 2 : end], ()) if end > 1 else ():
+            if length > end:
+                break
+            piece = scores.get(word[end - length : end])
             if piece is not None:
-                score, n = before[start]
-                best = max(best, (score + piece, -(n + 1)))
-        return best[0], -best[1]
+                low, m = before[end - length]
+                low += piece
+                if low > score or (low == score and m + 1 < n):
+                    score, n = low, m + 1
+        return score, n
 
     def insert(self, raw: bytes) -> int:
         word = MARK + raw.decode("utf-8", "replace")
@@ -89,6 +103,8 @@ class PrefixScores:
         """Pieces of all the words."""
         if len(self.nodes) > self.max_nodes:
             self._clear()
+        if len(self.terminals) > self.max_nodes:
+            self.terminals.clear()
         extra = {w: self.insert(w) for w in set(words).difference(self.terminals)}
         known = self.terminals.get
         return sum([known(w) or extra[w] for w in words])
