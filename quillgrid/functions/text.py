@@ -139,7 +139,7 @@ def combining_class() -> str:
 
 
 def without_accents(col: Column) -> Column:
-    return F.regexp_replace(F.translate(col, *accent_map()), combining_class(), "")
+    return F.when(col.rlike(r"[^\x{0}-\x{7F}]"), F.regexp_replace(F.translate(col, *accent_map()), combining_class(), "")).otherwise(col)
 
 
 def full_key(name: Column) -> Column:

@@ -52,7 +52,10 @@ def dynamic_label() -> Column:
 
 def register_keys(name: Column, alts: Column) -> Column:
     """Keys under which an era is found: its match key, its full name, its other names, parts joined by ' / '."""
-    primary, full = T.match_key(name), T.full_key(name)
+    return keys_of(name, alts, T.match_key(name), T.full_key(name))
+
+
+def keys_of(name: Column, alts: Column, primary: Column, full: Column) -> Column:
     parts = F.when(name.contains(" / "), F.transform(F.split(name, " / "), T.match_key)).otherwise(F.array().cast("array<string>"))
     keys = F.concat(F.array(primary, full), F.transform(alts, T.match_key), parts)
     return F.array_distinct(F.filter(keys, lambda k: k.isNotNull() & (k != "")))
@@ -87,13 +90,14 @@ def enrich_versions(projected: DataFrame) -> DataFrame:
 
 
 def has_song_data() -> Column:
-    """On version columns: a link, quality, length or date."""
+    """On projected rows: a link, quality, length or date."""
     some = F.coalesce("quality", "track_length", "available_length", "leak_date", "file_date").isNotNull()
-    return (F.size("links") > 0) | some
+    linked = [F.exists(f"{f}_cell_links", lambda x: x != "") for f in ("links", "alt_links", "notes")]
+    return linked[0] | linked[1] | linked[2] | some
 
 
 def is_label_version(n_filled: Column, era: Column) -> Column:
-    """On version columns: nothing but a name beside the era, so a section's label."""
+    """On rows with version columns: nothing but a name beside the era, so a section's label."""
     bare = ~has_song_data() & F.coalesce("featuring", "producers", "collaboration").isNull()
     return bare & (F.length(F.coalesce("notes", F.lit(""))) <= LONG_NOTE) & (n_filled - era.isNotNull().cast("int") <= 1)
 
@@ -149,11 +153,12 @@ def classify_rows(projected: DataFrame) -> DataFrame:
     rows = _with_header_name(rows).withColumns({"has_data": F.coalesce(named & has_song_data(), false), "is_label": F.coalesce(named & is_label_version(F.col("n_filled"), F.col("era")), false)})
     is_row, is_head = F.col("kind") == "row", F.col("kind") == "header"
     only_row = lambda c, cond=None: F.when(is_row if cond is None else is_row & cond, c)
+    rows = rows.withColumns({"era_norm": only_row(T.full_key(F.col("era"))), "era_key": only_row(T.match_key(F.col("era")))})
     return rows.select(
         "sheet_id", "row_idx", "kind", "era", "n_filled", F.get("filled", F.lit(0)).alias("first_text"),
-        only_row(T.full_key(F.col("era"))).alias("era_norm"), only_row(T.match_key(F.col("era"))).alias("era_key"),
+        "era_norm", "era_key",
         F.coalesce(only_row(T.plausible_era_name(F.col("era"))), false).alias("era_plausible"),
-        F.coalesce(only_row(register_keys(F.col("era"), none), F.col("era").isNotNull()), none).alias("era_keys"),
+        F.coalesce(only_row(keys_of(F.col("era"), none, F.col("era_key"), F.col("era_norm")), F.col("era").isNotNull()), none).alias("era_keys"),
         "name_line", F.coalesce(F.col("name").contains("\n"), false).alias("name_multiline"),
         F.coalesce(only_row(T.plausible_era_name(F.col("name_line")), F.col("era").isNull()), false).alias("name_plausible"),
         F.coalesce(only_row(register_keys(F.col("name"), none), F.col("era").isNull() & named), none).alias("name_keys"),
