@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from quillgrid.operators import media, rows
 from quillgrid.operators.resolve import art_map, apply_art
 from quillgrid.operators.tabs import artist_name
 from quillgrid.plans.fixtures import table
+from quillgrid.scratch import new_folder
 from quillgrid.sources.html import sheet_rows
 from quillgrid.streaming import snapshots as snap
 
@@ -240,10 +239,10 @@ def snapshots_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshots_changed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-01 as a stream over the events table, run until it is read."""
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    name = "changed_" + tempfile.mktemp(dir="").lstrip("/").replace("-", "_")
-    run = snap.changed_snapshots_stream(user_snapshots(source)).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select("url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("at"), "content_hash")
+    changed = snap.changed_snapshots_stream(user_snapshots(source))
+    path = new_folder(spark, "changes")
+    changed.writeStream.format("parquet").option("path", path).option("checkpointLocation", new_folder(spark, "stream")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(changed.schema).parquet(path).select("url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("at"), "content_hash")
 
 
 @query(f"WITH s AS ({_SNAP}), m AS (SELECT max(fetched_at) AS t FROM s) SELECT url, CASE WHEN epoch(t) - epoch(fetched_at) <= 3600 THEN 'hit' WHEN epoch(t) - epoch(fetched_at) <= 86400 THEN 'stale' ELSE 'miss' END AS freshness, count(*) AS n FROM (SELECT url, date_trunc('second', fetched_at) AS fetched_at FROM s), (SELECT date_trunc('second', t) AS t FROM m) GROUP BY ALL")
