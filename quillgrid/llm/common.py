@@ -2,41 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrid.scratch import materialise, scratch_root
 
-def scratch_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a local-mode session without that setting (tests) gets a temporary folder, which
-    is remembered in the session. A cluster without it is an error, as no other folder
-    is known to be shared.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = spark.conf.get("quillgrid.scratch.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="quillgrid-")
-        spark.conf.set("quillgrid.scratch.dir", root)
-    return root.rstrip("/")
+__all__ = ["free_name", "match_spans", "materialise", "ranked_spans", "scratch_root", "span_digest", "table"]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared scratch folder and reads it back.
-
-    This cuts the lineage (a lost executor costs a re-read, not a recomputation) and gives
-    the planner the table's true size, so that it broadcasts only what is small.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores after it until no column has that name, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def match_spans(text: Column, pattern: str) -> Column:

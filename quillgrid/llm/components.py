@@ -27,3 +27,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         labels = moved.select("node", "root")
         if moved.filter(F.col("root") != F.col("was")).isEmpty():
             return labels
+
+
+def name_components(roots: DataFrame, names: DataFrame, name_col: str) -> DataFrame:
+    """``(node, root, name)``: the least name in each component, over ``names`` (node, name).
+
+    The names of components are written before nodes are joined to them: that join then
+    reads plain tables, so that the planner can broadcast the names or split a component
+    that holds many nodes.
+    """
+    held = roots.join(names, "node")
+    least = materialise(held.groupBy("root").agg(F.min(name_col).alias("name")), "component-names")
+    return roots.join(least, "root").select("node", "root", "name")

@@ -11,8 +11,10 @@ least 52 bits. Only tokens of two or more sets are kept after counting; these ho
 intersection, so that verification needs no text.
 
 Groups are not expanded into all pairs. Equal sets collapse into one. Then each prefix
-token's sets are matched against one pivot, and only pairs of sets that are in different
-components after that are tried exhaustively. No link between components is lost.
+token's sets are matched against one pivot. Of sets that are in different components after
+that, pairs are formed; where a token has many of these, only among those that also share
+a prefix token of the second order, and where that is not enough, of the third: the filters
+are intersected in the join's key. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgrid.llm.common import materialise, table
-from quillgrid.llm.components import connected_components
+from quillgrid.llm.components import connected_components, name_components
 from quillgrid.llm.shingles import shingle_sets, signature
 
 U = np.uint64
@@ -32,10 +35,16 @@ GROUP_TOKENS = 2_000_000
 #: A token in more than this share of the sets (and more sets than the number) is hot: it
 #: is counted before the shuffle. At most (mean set size / share) tokens can be hot.
 HOT_SHARE, HOT_SETS = 0.005, 4096
+#: Ranges of tokens are at most 2**MAX_BITS, for about 2 * 10**15 tokens.
+MAX_BITS = 30
+#: Tokens that are gathered before they are dealt to many ranges.
+GATHER = 1 << 20
+#: Pairs are formed among at most so many sets of one token; above, the key gets another order's token.
+CROWD = 64
 
 
-def _summaries(size: int):
-    """Per row (id, signature, set size); per chunk the tokens that are frequent in it."""
+def _summaries(size: int, keep: list[str]):
+    """Per row (id, signature, set size, further columns); per chunk the tokens that are frequent in it."""
 
     def run(batches):
         for batch in batches:
@@ -55,6 +64,7 @@ def _summaries(size: int):
                         "n": pa.array([len(s) for s in sets] + [None] * m, pa.int32()),
                         "tok": pa.array([None] * n + toks.view(np.int64).tolist(), pa.int64()),
                         "cnt": pa.array([None] * n + counts.tolist(), pa.int64()),
+                        **{k: pa.concat_arrays([batch.column(2 + i).slice(at, n), pa.nulls(m, batch.column(2 + i).type)]) for i, k in enumerate(keep)},
                     }
                 )
 
@@ -62,19 +72,31 @@ def _summaries(size: int):
 
 
 def _packed(size: int, bits: int, hot: np.ndarray):
-    """Each chunk's sets, dealt to 2**bits ranges of tokens, as one row of bytes for each range.
+    """The sets, dealt to 2**bits ranges of tokens, as one row of bytes for each range.
 
-    A token is the top 48 + bits bits of its hash; the range says the first ``bits``, so
-    6 bytes a token remain. Hot tokens go to ranges of their own, by signature.
+    A token is the top 48 + bits bits of its hash, 64 at most; the range says the first
+    ``bits``, so 6 bytes a token remain. Hot tokens go to ranges of their own, by signature.
+    Sets are taken a chunk at a time, or several where there are more ranges than a chunk
+    has tokens; a row with a single token has about 40 bytes.
     """
-    shift, ranges = U(64 - 48 - bits), 1 << bits
+    shift, low, ranges = U(max(0, 16 - bits)), U(min(48, 64 - bits)), 1 << bits
 
-    def run(batches):
+    def gathered(batches):
+        seen, held = {}, 0
         for batch in batches:
             for _, sets in shingle_sets(batch.column(0), size):
-                seen = {signature(s): s for s in sets if len(s)}
-                if not seen:
-                    continue
+                for s in sets:
+                    if len(s):
+                        seen[signature(s)] = s
+                        held += len(s)
+                if held >= min(GATHER, ranges):
+                    yield seen
+                    seen, held = {}, 0
+        yield seen
+
+    def run(batches):
+        for seen in gathered(batches):
+            if seen:
                 sigs = np.fromiter(seen, dtype=np.int64, count=len(seen))
                 lens = np.array([len(s) for s in seen.values()])
                 toks, rows = np.concatenate(list(seen.values())), np.repeat(np.arange(len(sigs)), lens)
@@ -85,7 +107,7 @@ def _packed(size: int, bits: int, hot: np.ndarray):
                     out.append((where, rows[is_hot], toks[is_hot] >> shift))
                     toks, rows = toks[~is_hot], rows[~is_hot]
                 toks = toks >> shift
-                out.append(((toks >> U(48)).astype(np.int64), rows, toks))
+                out.append(((toks >> low).astype(np.int64), rows, toks))
                 got = {"part": [], "sigs": [], "counts": [], "toks": []}
                 for where, row, tok in out:
                     if not len(where):
@@ -106,7 +128,7 @@ def _packed(size: int, bits: int, hot: np.ndarray):
 
 def _shared(bits: int, hot: np.ndarray, hot_df: np.ndarray):
     """Of one range: each set's tokens that occur in two sets or more, with their frequencies."""
-    shift, ranges = U(64 - 48 - bits), 1 << bits
+    shift, low, ranges = U(max(0, 16 - bits)), U(min(48, 64 - bits)), 1 << bits
     hot_toks = hot >> shift
 
     def run(group: pa.Table) -> pa.Table:
@@ -116,7 +138,7 @@ def _shared(bits: int, hot: np.ndarray, hot_df: np.ndarray):
         if part < ranges:
             toks = np.zeros((len(sigs), 8), dtype=np.uint8)
             toks[:, :6] = raw.reshape(-1, 6)
-            toks = toks.reshape(-1).view(np.uint64) | (U(part) << U(48))
+            toks = toks.reshape(-1).view(np.uint64) | (U(part) << low)
             order = np.argsort(toks, kind="stable")
             toks, sigs = toks[order], sigs[order]
             same = toks[1:] == toks[:-1]
@@ -156,37 +178,69 @@ def _least_overlap(na: Column, nb: Column, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share a prefix token under the other orders too and reach the threshold."""
-    left = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"), F.col("order2").alias("a2"), F.col("order3").alias("a3"))
-    right = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"), F.col("order2").alias("b2"), F.col("order3").alias("b3"))
-    both = pairs.join(left, "a").join(right, "b")
-    filtered = both.filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
-    return filtered.filter(F.size(F.array_intersect("ta", "tb")) >= _least_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    """The pairs (a, b) that share a prefix token under the other orders too and reach the threshold.
 
+    Only what the filters need is joined first; whole token lists travel for what they leave.
+    """
+    side = lambda s, *cols: sets.select(F.col("sig").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in cols])
+    both = pairs.join(side("a", "n", "order2", "order3"), "a").join(side("b", "n", "order2", "order3"), "b")
+    left = both.filter(F.arrays_overlap("a_order2", "b_order2") & F.arrays_overlap("a_order3", "b_order3"))
+    left = materialise(left.select("a", "b", _least_overlap(F.col("a_n"), F.col("b_n"), percent).alias("least")), "filtered-pairs")
+    full = left.join(side("a", "toks"), "a").join(side("b", "toks"), "b")
+    return full.filter(F.size(F.array_intersect("a_toks", "b_toks")) >= F.col("least")).select("a", "b")
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """Per row: id, ``n_shingles``, ``component_id`` (least id reachable by links, itself included).
 
-    A link: 100 * intersection >= percent * union of the distinct shingle sets. Null,
-    empty and blank texts have no set and link to nothing; their component is their own id.
-    Null ids keep their row and never name a component unless it has no other id. Repeated
-    rows and ids are rows like any others. Degrees are not reported: counting them would
-    need every pair of a large group.
+def _pairs(rows: DataFrame, keys: list[str], fits) -> DataFrame:
+    """Pairs (a, b) of sets of an equal key that lie in different components and pass the positional filter."""
+    side = lambda s: rows.select(*keys, F.col("sig").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"p_{s}"), F.col("root").alias(f"r_{s}"))
+    return side("a").join(side("b"), keys).filter((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & fits("n_a", "p_a", "n_b", "p_b")).select("a", "b")
+
+
+def _apart(entries: DataFrame, roots: DataFrame, sets: DataFrame, fits) -> DataFrame:
+    """Pairs of sets that share a prefix token but no component.
+
+    Tokens of more than ``CROWD`` such sets are joined on a prefix token of the second
+    order too, then of the third. A pair that reaches the threshold shares all three.
+    """
+    rows = entries.join(roots, entries["sig"] == roots["node"], "left").select("tok", "sig", "n", "pos", F.coalesce("root", "sig").alias("root"))
+    keys, found = ["tok"], None
+    for order in ("order2", "order3", None):
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("_c"), F.min("root").alias("_r0"), F.max("root").alias("_r1"))
+        counts = materialise(counts.filter(F.col("_r0") != F.col("_r1")).select(*keys, "_c"), "mixed")
+        rows = materialise(rows.join(counts, keys), "apart")
+        few = rows if order is None else rows.filter(F.col("_c") <= CROWD)
+        pairs = _pairs(few, keys, fits)
+        found = pairs if found is None else found.union(pairs)
+        crowded = rows.filter(F.col("_c") > CROWD).drop("_c")
+        if order is None or crowded.isEmpty():
+            break
+        rows = crowded.join(sets.select("sig", F.explode(order).alias(order)), "sig")
+        keys = [*keys, order]
+    return found.distinct()
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: ``id``, ``n`` (set size), ``root``, ``component_id`` and the columns of ``keep``.
+
+    ``root`` is equal for the rows of one component, whatever their ids, and null for rows
+    without a set. ``keep`` columns must not be called id, text, sig, n, tok, cnt or root.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    seen = materialise(rows.mapInArrow(_summaries(size), "id long, sig long, n int, tok long, cnt long"), "shingle-summaries")
-    of_rows = seen.filter(F.col("n").isNotNull()).select("id", "sig", "n")
+    keep = list(keep)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *keep)
+    schema = T.StructType([*T.StructType.fromDDL("id long, sig long, n int, tok long, cnt long").fields, *[T.StructField(f.name, f.dataType) for f in docs.select(*keep).schema.fields]])
+    seen = materialise(rows.mapInArrow(_summaries(size, keep), schema), "shingle-summaries")
+    of_rows = seen.filter(F.col("n").isNotNull()).select("id", "sig", "n", *keep)
     n_sets, n_tokens = of_rows.agg(F.count("sig"), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = max(HOT_SETS, HOT_SHARE * n_sets)
     frequent = seen.filter(F.col("tok").isNotNull()).groupBy("tok").agg(F.sum("cnt").alias("cnt")).filter(F.col("cnt") >= least).collect()
     hot = np.array([r["tok"] for r in frequent], dtype=np.int64).view(np.uint64)
     order = np.argsort(hot)
     hot, hot_df = hot[order], np.array([r["cnt"] for r in frequent], dtype=np.int64)[order]
-    bits = min(14, max(4, int(np.ceil(np.log2(max(1, n_tokens / GROUP_TOKENS))))))
+    bits = min(MAX_BITS, max(4, int(np.ceil(np.log2(max(1, n_tokens / GROUP_TOKENS))))))
 
     shared = rows.select("text").mapInArrow(_packed(size, bits, hot), "part int, sigs binary, counts binary, toks binary").groupBy("part").applyInArrow(_shared(bits, hot, hot_df), "sig long, toks array<long>, dfs array<long>")
-    of_sets = of_rows.filter(F.col("n") > 0).groupBy("sig").agg(F.min("id").alias("least_id"), F.max("n").alias("n"))
+    of_sets = of_rows.filter(F.col("n") > 0).groupBy("sig").agg(F.min("id").alias("least_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
     tokens = shared.groupBy("sig").agg(F.flatten(F.collect_list("toks")).alias("toks"), F.flatten(F.collect_list("dfs")).alias("dfs"))
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100.0)) + 1
     in_order = lambda key: F.slice(F.transform(F.array_sort(F.transform("toks", lambda t: F.struct(key(t).alias("k"), t.alias("t")))), lambda s: s["t"]), F.lit(1), F.col("room"))
@@ -218,22 +272,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = materialise(_verified(tried, sets, percent), "links")
     roots = connected_components(links)
 
-    # what pivots left apart: all pairs of a token's sets in different components
-    placed = entries.join(roots, entries["sig"] == roots["node"], "left").select("tok", "sig", "n", "pos", F.coalesce("root", "sig").alias("root"))
-    mixed = placed.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter(F.col("r0") != F.col("r1")).select("tok")
-    apart = materialise(placed.join(mixed, "tok", "left_semi"), "apart")
-    one = apart.select("tok", F.col("sig").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("root").alias("r1"))
-    two = apart.select("tok", F.col("sig").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("root").alias("r2"))
-    cross = one.join(two, (one["tok"] == two["tok"]) & (F.col("a") < F.col("b")) & (F.col("r1") != F.col("r2")) & fits("n1", "p1", "n2", "p2"))
-    cross = cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialise(_verified(cross, sets, percent), "links")
+    more = materialise(_verified(_apart(entries, roots, sets, fits).join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
     if not more.isEmpty():
         roots = connected_components(links.union(more))
 
-    rooted = of_sets.join(roots, of_sets["sig"] == roots["node"], "left").select("sig", "least_id", F.coalesce("root", "sig").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    result = of_rows.join(rooted.select("sig", "root"), "sig", "left").join(named, "root", "left")
-    return result.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    # components are named set by set; rows whose set is alone need no name
+    placed = name_components(roots, of_sets.select(F.col("sig").alias("node"), "least_id"), "least_id")
+    named = of_sets.join(placed, of_sets["sig"] == placed["node"], "left").filter(F.col("root").isNotNull() | (F.col("copies") > 1))
+    named = materialise(named.select("sig", "root", F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("name")).alias("component_id")), "named-sets")
+    return of_rows.join(named, "sig", "left").select("id", *keep, "n", F.coalesce("root", "sig").alias("root"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """Per row: id, ``n_shingles``, ``component_id`` (least id reachable by links, itself included).
+
+    A link: 100 * intersection >= percent * union of the distinct shingle sets. Null,
+    empty and blank texts have no set and link to nothing; their component is their own id.
+    Null ids keep their row and never name a component unless it has no other id. Repeated
+    rows and ids are rows like any others. Very long texts are one set like any other, held
+    by one task. Other columns are not read. Degrees are not reported: counting them would
+    need every pair of a large group.
+    """
+    groups = jaccard_groups(docs, id_col, text_col, size, percent)
+    return groups.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
