@@ -26,23 +26,32 @@ from quillgrid.llm.shingles import _MIX1, chunks, mix, word_hashes
 SAMPLE_ROWS = 8000
 FEATURES = ("log_words", "upper", "digits", "symbols", "stops", "spaces", "lines", "distinct_words", "distinct_pairs", "repeats", "top_word", "word_length", "non_ascii", "single")
 
-_CLASS = np.zeros((256, 7), dtype=np.float32)
+_CLASS = np.zeros((256, 7))
 for _k, _set in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"#$%&*|!<>=@^~\\/{}[]_+", b".,;:?'\"()-", b" \t\r\n\v\f", b"\n")):
     _CLASS[list(_set), _k] = 1
 
 
+def byte_counts(data: np.ndarray, offsets: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """How often each byte occurs in each row; long rows are counted in steps, as counting widens bytes."""
+    out = np.zeros((len(offsets) - 1, 256))
+    for row, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        for at in range(a, b, step):
+            out[row] += np.bincount(data[at : min(b, at + step)], minlength=256)
+    return out
+
+
 def text_features(texts: pa.Array) -> np.ndarray:
-    """One row of ``FEATURES`` for each text; empty and null texts give zeros."""
+    """One row of ``FEATURES`` for each text; empty and null texts give zeros.
+
+    A very long text is a chunk of its own; what is held beside it are 8 bytes a word, three times.
+    """
     out = []
     for at, end, data, offsets in chunks(texts):
         rows = end - at
         size = np.maximum(np.diff(offsets), 1).astype(float)
-        sums = np.zeros((rows, 7))
-        for k in range(7):
-            running = np.concatenate([[0], np.cumsum(_CLASS[data, k], dtype=np.float64)])
-            sums[:, k] = running[offsets[1:]] - running[offsets[:-1]]
-        high = np.concatenate([[0], np.cumsum(data >= 128)])
-        upper, lower, digits, symbols, stops, spaces, lines = sums.T
+        counts = byte_counts(data, offsets)
+        upper, lower, digits, symbols, stops, spaces, lines = (counts @ _CLASS).T
+        high = counts[:, 128:].sum(1)
         words, per_row = word_hashes(data, offsets)
         stop = np.cumsum(per_row)
         pairs = mix(words[:-1] * _MIX1 + words[1:]) if len(words) > 1 else words[:0]
@@ -59,7 +68,7 @@ def text_features(texts: pa.Array) -> np.ndarray:
         letters = np.maximum(upper + lower, 1)
         out.append(
             np.column_stack(
-                [np.log1p(per_row), upper / letters, digits / size, symbols / size, stops / size, spaces / size, lines / n, distinct, doubles, repeats, top, (size - spaces) / n, (high[offsets[1:]] - high[offsets[:-1]]) / size, 1 / n]
+                [np.log1p(per_row), upper / letters, digits / size, symbols / size, stops / size, spaces / size, lines / n, distinct, doubles, repeats, top, (size - spaces) / n, high / size, 1 / n]
             )
         )
     return np.concatenate(out) if out else np.zeros((0, len(FEATURES)))
@@ -107,6 +116,22 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip(1 / np.median(odds(pos)), 0.05, 0.98))
 
 
+def nnpu_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """The direction in which weights and bias (last) descend, for positives ``p`` and unlabelled ``u``.
+
+    The gradient of the unbiased risk, as long as its estimate of the negatives' risk is not
+    below zero; else the gradient that raises this estimate again.
+    """
+    zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+    sp, su = _sigmoid(zp), _sigmoid(zu)
+    as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    if as_negative >= 0:
+        dp, du = prior * (sp - 1) / len(p) - prior * sp / len(p), su / len(u)
+    else:
+        dp, du = prior * sp / len(p), -su / len(u)
+    return np.r_[p.T @ dp + u.T @ du, dp.sum() + du.sum()]
+
+
 def fit_nnpu(pos: np.ndarray, unl: np.ndarray) -> QualityModel:
     """The model of least non-negative risk on features of positives and unlabelled rows.
 
@@ -118,19 +143,7 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray) -> QualityModel:
     mean, scale = unl.mean(0), unl.std(0) + 1e-6
     p, u = _expand((pos - mean) / scale), _expand((unl - mean) / scale)
     prior = estimate_prior(p, u)
-
-    def gradient(w: np.ndarray) -> np.ndarray:
-        zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        sp, su = _sigmoid(zp), _sigmoid(zu)
-        as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp = prior * (sp - 1) / len(p)  # positives as positives
-        if as_negative >= 0:
-            dp, du = gp - prior * sp / len(p), su / len(u)
-        else:  # the estimated negative risk fell below zero: step back from overfitting
-            dp, du = prior * sp / len(p), -su / len(u)
-        return np.r_[p.T @ dp + u.T @ du, dp.sum() + du.sum()]
-
-    w = _descend(gradient, p.shape[1])
+    w = _descend(lambda w: nnpu_gradient(w, p, u, prior), p.shape[1])
     return QualityModel(mean, scale, w[:-1], float(w[-1]), prior)
 
 
@@ -143,9 +156,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     """Trains on at most ``sample_rows`` positives and as many unlabelled rows, none held out.
 
     Rows labelled 0 take no part. Null ids and null labels are ignored; of contradicting
-    labels of one id the greatest counts.
+    labels of one id the greatest counts. A chosen id gives one row, however often it
+    occurs: that of the least features.
     """
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     marks = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = ids.join(marks, "doc_id", "left")
     pick = lambda which: known.where(which).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -153,11 +167,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
 
     def run(batches):
         for batch in batches:
-            rows = text_features(batch.column(1))
-            yield pa.record_batch([batch.column(0), pa.array(list(rows), pa.list_(pa.float64()))], names=["pos", "x"])
+            rows = text_features(batch.column(2))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(list(rows), pa.list_(pa.float64()))], names=["doc_id", "pos", "x"])
 
     # two limits bound the chosen ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_pos", "text").mapInArrow(run, "pos int, x array<double>").collect()
+    described = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "_pos", "text").mapInArrow(run, "doc_id long, pos int, x array<double>")
+    rows = described.groupBy("doc_id", "pos").agg(F.min("x").alias("x")).collect()
     part = lambda k: np.array(sorted(r["x"] for r in rows if r["pos"] == k)).reshape(-1, len(FEATURES))  # noqa: E731  sorted: the fit does not depend on task order
     return fit_nnpu(part(1), part(0))
 

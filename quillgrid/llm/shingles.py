@@ -60,7 +60,27 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of each row (A-Z lower-cased, split at ASCII white space), and words per row."""
+    """Hashes of the words of each row (A-Z lower-cased, split at ASCII white space), and words per row.
+
+    One very long row is hashed in stretches of about ``CHUNK_BYTES`` that end at white space.
+    """
+    if len(offsets) != 2 or len(data) <= 2 * CHUNK_BYTES:
+        return _word_hashes(data, offsets)
+    found, at = [], 0
+    while at < len(data):
+        end = at + CHUNK_BYTES
+        while end < len(data) and not _SPACE[data[end : end + 4096]].any():
+            end += 4096
+        if end < len(data):
+            end += int(np.argmax(_SPACE[data[end : end + 4096]]))
+        end = min(end, len(data))
+        found.append(_word_hashes(data[at:end], np.array([0, end - at]))[0])
+        at = end
+    words = np.concatenate(found)
+    return words, np.array([len(words)])
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets) - 1, dtype=np.int64)
