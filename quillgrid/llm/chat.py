@@ -58,7 +58,12 @@ def maximal_conversations(hashed: DataFrame) -> DataFrame:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """``(conv_id, n_turns, text)``: maximal conversations, rendered turn by turn."""
+    """``(conv_id, n_turns, text)``: maximal conversations, rendered turn by turn.
+
+    A rendered conversation is one row, so a task holds the longest one whole, and one of
+    2 GB or more has no row in Spark. Everything before rendering is split. Several turns of
+    one number follow each other by role, then text.
+    """
     hashed = materialise(prefix_hashes(turns), "prefix-hashes")
     kept = hashed.join(maximal_conversations(hashed), "conv_id")
     turn = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("<|end|>\n"))

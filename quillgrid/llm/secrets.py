@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import match_spans, materialise, ranked_spans, span_digest, table
+from quillgrid.llm.common import free_name, match_spans, materialise, ranked_spans, span_digest, table
 
 
 @dataclass(frozen=True)
@@ -104,19 +104,45 @@ def trigram_postings(docs: DataFrame, vocabulary: list[str], text_col: str = "te
     return low.select("key", F.explode(held).alias("gram"))
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """``(key, mask)``: bit r is set if the text with that hash satisfies rule r's query."""
+def vocabulary_of(rules: tuple[Rule, ...]) -> list[str]:
+    """The trigrams that any rule mentions, sorted."""
+    return sorted({g for rule in rules for clause in trigram_query(rule.pattern) for g in clause})
+
+
+def index_postings(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The postings ``(gram, key)`` of all texts, written under ``path`` to be reused by later scans.
+
+    Here grams are trigrams, so that an index serves every rule set whose trigrams it has;
+    it holds as many rows as texts have trigrams of ``rules``. New documents are added by
+    writing theirs beside it. Mode is "error": an index is never replaced.
+    """
+    grams = F.array(*[F.lit(g) for g in vocabulary_of(rules)])
+    named = trigram_postings(docs, vocabulary_of(rules), text_col).select(F.get(grams, F.col("gram")).alias("gram"), "key")
+    named.distinct().write.parquet(path)
+    return docs.sparkSession.read.schema("gram string, key long").parquet(path)
+
+
+def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", postings: DataFrame | None = None) -> DataFrame:
+    """``(key, mask)``: bit r is set if the text with that hash satisfies rule r's query.
+
+    ``postings`` of :func:`index_postings` save the pass over the texts; they must cover
+    all texts and the rules' trigrams.
+    """
     spark = docs.sparkSession
     queries = [(r, clause) for r, rule in enumerate(rules) for clause in trigram_query(rule.pattern)]
     if not queries:
         return spark.createDataFrame([], "key long, mask long")
-    vocabulary = sorted({g for _, clause in queries for g in clause})
+    vocabulary = vocabulary_of(rules)
     terms = [(vocabulary.index(g), c, r, 1 << i, len(clause)) for c, (r, clause) in enumerate(queries) for i, g in enumerate(sorted(clause))]
     # the rule list bounds this table, not the data
     lookup = F.broadcast(spark.createDataFrame(terms, "gram int, clause int, rule int, bit long, need int"))
+    if postings is None:
+        found = trigram_postings(docs, vocabulary, text_col)
+    else:
+        numbers = F.broadcast(spark.createDataFrame([*enumerate(vocabulary)], "number int, gram string"))
+        found = postings.join(numbers, "gram").select("key", F.col("number").alias("gram"))
     met = (
-        trigram_postings(docs, vocabulary, text_col)
-        .join(lookup, "gram")
+        found.join(lookup, "gram")
         .groupBy("key", "clause", "rule", "need")
         .agg(F.bit_or("bit").alias("bits"))
         .filter(F.bit_count("bits") == F.col("need"))
@@ -132,24 +158,26 @@ def _rule_spans(text: Column, rule: Rule) -> Column:
     return spans
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``findings``: array of (start, rank, end, kind, hit), by start, then rule order.
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", out_col: str = "findings", postings: DataFrame | None = None) -> DataFrame:
+    """``docs`` with ``out_col``: array of (start, rank, end, kind, hit), by start, then rule order.
 
-    Offsets are code points, end exclusive. Null and empty texts have no findings. The
-    candidate table is written once; the planner broadcasts it if its size allows,
-    otherwise it joins by the text's hash, where skewed hashes are split.
+    Offsets are code points, end exclusive. Null and empty texts have no findings. A column
+    called like ``out_col`` is replaced. The candidate table is written once; the planner
+    broadcasts it if its size allows, otherwise it joins by the text's hash, where skewed
+    hashes are split.
     """
-    found = materialise(candidates(docs, rules, text_col), "secret-candidates").withColumnsRenamed({"key": "_secret_key", "mask": "_secret_mask"})
+    key, mask = free_name(docs, "secret_key"), free_name(docs, "secret_mask")
+    found = materialise(candidates(docs, rules, text_col, postings), "secret-candidates").withColumnsRenamed({"key": key, "mask": mask})
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_secret_key", F.xxhash64(text)).join(found, "_secret_key", "left").drop("_secret_key")
-    mask = F.coalesce(F.col("_secret_mask"), F.lit(0))
+    keyed = docs.withColumn(key, F.xxhash64(text)).join(found, key, "left").drop(key)
+    met = F.coalesce(F.col(mask), F.lit(0))
     kinds = []
     for i, rule in enumerate(rules):
         spans = _rule_spans(text, rule)
         if trigram_query(rule.pattern):
-            spans = F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, spans)
+            spans = F.when(met.bitwiseAND(F.lit(1 << i)) != 0, spans)
         kinds.append(ranked_spans(spans, i, rule.kind))
-    return keyed.withColumn("findings", F.array_sort(reduce(lambda a, b: F.concat(a, b), kinds))).drop("_secret_mask")
+    return keyed.withColumn(out_col, F.array_sort(reduce(lambda a, b: F.concat(a, b), kinds))).drop(mask)
 
 
 def redact(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
