@@ -6,12 +6,12 @@ kept and returns the columns of ``documents``; each result is written and read a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import materialise, table
+from quillgrid.llm.common import free_name, materialise, table
 from quillgrid.llm.decontaminate import find_leaks
-from quillgrid.llm.jaccard import jaccard_components
+from quillgrid.llm.jaccard import jaccard_groups
 from quillgrid.llm.mixing import mix_sources
 from quillgrid.llm.quality import fit_quality, score_quality
 from quillgrid.llm.secrets import redact, scan_secrets
@@ -22,39 +22,57 @@ QUALITY_THRESHOLD = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose score is below ``QUALITY_THRESHOLD``."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model, out_col="_quality").filter(F.col("_quality") >= QUALITY_THRESHOLD).drop("_quality")
+    score = free_name(docs, "score")
+    return score_quality(docs, model, out_col=score).filter(F.col(score) >= QUALITY_THRESHOLD).drop(score)
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns, nulls told apart: rows of one key (and one id) are equal."""
+    plain = [F.to_json(f.name) if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return F.xxhash64(*plain, *[c.isNull() for c in plain])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the one of least id.
+    """Keeps one row of each group of near copies: of least id, rows without an id last, then of least row key.
 
-    Rows of one id are one document and leave one row; rows without an id stay.
+    Every row is judged by its own text, so rows of one id but different texts are different
+    documents. Equal rows leave one. Rows without words are in no group and all stay.
     """
-    placed = materialise(jaccard_components(docs), "placed").filter(F.col("doc_id").isNotNull())
-    ids = placed.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
-    surplus = materialise(ids.filter(F.col("component_id") != F.col("doc_id")).select("doc_id"), "surplus")
-    kept = docs.join(surplus, "doc_id", "left_anti").select(*docs.columns)
-    repeated = materialise(ids.filter(F.col("rows") > 1).select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    key = free_name(docs, "row_key")
+    keyed = docs.withColumn(key, row_key(docs))
+    grouped = jaccard_groups(keyed, keep=(key,)).filter(F.col("root").isNotNull()).select("id", key, "root")
+    grouped = materialise(grouped, "placed")
+    chosen = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", key)).alias("c")).select(F.col("c.id").alias("_id"), F.col(f"c.{key}").alias("_key"))
+    distinct = grouped.groupBy("id", key).agg(F.count("*").alias("rows"))
+    is_chosen = distinct["id"].eqNullSafe(chosen["_id"]) & (distinct[key] == chosen["_key"])
+    surplus = materialise(distinct.join(chosen, is_chosen, "left_anti").select(F.col("id").alias("_id"), F.col(key).alias("_key")), "surplus")
+    repeated = materialise(distinct.filter("rows > 1").join(chosen, is_chosen, "left_semi").select(F.col("id").alias("_id"), F.col(key).alias("_key")), "repeated")
+    of = lambda keys: (F.col(key) == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    kept = keyed.join(surplus, of(surplus), "left_anti")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, of(repeated), "left_anti")
+        kept = once.unionByName(kept.join(repeated, of(repeated), "left_semi").dropDuplicates([key, "doc_id"]))
+    return kept.drop(key)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a test item within its error budget."""
-    return find_leaks(docs, table(spark, sf_dir, "benchmark"), out_col="_leaks").filter(F.coalesce(F.size("_leaks"), F.lit(0)) <= 0).drop("_leaks")
+    leaks = free_name(docs, "leaks")
+    return find_leaks(docs, table(spark, sf_dir, "benchmark"), out_col=leaks).filter(F.coalesce(F.size(leaks), F.lit(0)) <= 0).drop(leaks)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in the texts; no document is dropped."""
-    found = scan_secrets(docs).withColumn("text", F.when(F.size("findings") > 0, redact(F.col("text"), F.col("findings"))).otherwise(F.col("text")))
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = free_name(docs, "findings")
+    scanned = scan_secrets(docs, out_col=found)
+    masked = scanned.withColumn("text", F.when(F.size(found) > 0, redact(F.col("text"), F.col(found))).otherwise(F.col("text")))
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents to the raked weights of source, language and topic."""
-    return mix_sources(docs).select(*docs.columns, F.col("_tokens").alias("n_tokens"), F.col("probability"))
+    """Samples documents to the raked weights of source, language and topic; adds ``n_tokens`` and ``probability``."""
+    mix = free_name(docs, "mix")
+    return mix_sources(docs, out_col=mix).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{mix}.tokens").alias(free_name(docs, "n_tokens")), F.col(f"{mix}.probability").alias(free_name(docs, "probability")))
 
 
 STAGES = [
