@@ -31,8 +31,39 @@ def test_stages(spark, sf_dir):
     assert 0.2 * len(masked) < len(mixed) < len(masked) and set(mixed.index) <= set(masked.index)
 
 
-def test_repeated_and_nameless_rows(spark, sf_dir):
-    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, None), (4, "")]
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    got = [r["doc_id"] for r in P.near_duplicates(spark, docs, sf_dir).collect()]
-    assert sorted(got, key=str) == [1, 3, 4, None]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+T, U = "a b c d e f", "quite another text of seven words here"
+
+
+def stage(spark, sf_dir, rows):
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    return sorted(((r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs.repartition(3), sf_dir).collect()), key=repr)
+
+
+def test_every_row_is_judged_by_its_own_text(spark, sf_dir):
+    """Rows of one id with different texts are different documents; each group leaves one row."""
+    assert stage(spark, sf_dir, [(3, T), (5, T), (5, U)]) == [(3, T), (5, U)]
+    assert stage(spark, sf_dir, [(5, T), (5, U), (7, U), (3, T)]) == [(3, T), (5, U)]
+    assert stage(spark, sf_dir, [(1, T), (1, T), (2, T), (None, T), (3, None), (4, ""), (4, "")]) == sorted([(1, T), (3, None), (4, ""), (4, "")], key=repr)
+    assert stage(spark, sf_dir, [(None, T), (None, T), (None, U), (None, None)]) == sorted([(None, T), (None, U), (None, None)], key=repr)
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty more or less"
+    assert stage(spark, sf_dir, [(9, near), (8, near + " end"), (9, U)]) == [(8, near + " end"), (9, U)]
+
+
+def test_equal_choices_in_every_order(spark, sf_dir):
+    """Of two different copies under one id the same one stays, however rows are dealt."""
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(2, near), (2, near + " tail"), (4, near)]
+    assert len({tuple(stage(spark, sf_dir, order)) for order in (rows, rows[::-1], rows[1:] + rows[:1])}) == 1
+
+
+def test_stages_on_empty_tables_and_clashing_names(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    for name in ("score", "row_key", "leaks", "findings", "mix", "probability", "n_tokens", "root", "weight"):
+        docs = docs.withColumn(name, docs["lang"])
+    for name, run in P.STAGES:
+        kept = run(spark, docs, sf_dir)
+        none = run(spark, docs.limit(0), sf_dir)
+        assert none.count() == 0 and kept.columns[: len(docs.columns)] == docs.columns == none.columns[: len(docs.columns)]
+        assert kept.count() > 50 and kept.filter("score <> lang or leaks <> lang or weight <> lang").count() == 0, name
+    assert kept.columns[len(docs.columns) :] == ["n_tokens_", "probability_"]

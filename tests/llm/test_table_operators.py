@@ -57,6 +57,41 @@ def test_neighbours_edges(spark, monkeypatch):
     assert ann.nearest_neighbours(rows.filter("false"), F.col("id") == 0).count() == 0
 
 
+def brute_neighbours(rows, queries, k=10):
+    """Nearest pair of each (query id, other id) of equal lengths, k ids each."""
+    best = collections.defaultdict(dict)
+    for q, x in rows:
+        if q in queries:
+            for v, y in rows:
+                if v != q and len(x) == len(y):
+                    d = float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum()))
+                    best[q][v] = min(d, best[q].get(v, d))
+    return [(q, i + 1, v) for q in sorted(best) for i, (_, v) in enumerate(sorted((round(d, 12), v) for v, d in best[q].items())[:k])]
+
+
+def test_neighbours_of_repeated_rows_and_several_lengths(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).round(2).tolist()) for i in range(60)] + [(100 + i, rng.normal(size=3).round(2).tolist()) for i in range(40)] + [(200, [1.0, 1.0])]
+    rows += [rows[0]] * 25 + [rows[7]] * 9 + [(0, rng.normal(size=4).tolist()), (9, rng.normal(size=4).tolist()), (100, rows[61][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest_neighbours(df, F.col("id") % 20 == 0, mass=1.0).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == brute_neighbours(rows, {q for q, _ in rows if q % 20 == 0})
+
+
+def test_neighbours_in_two_levels_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SECOND_LEVEL", 1000)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 8)) * 4
+    rows = [(i, (centres[i % 40] + rng.normal(size=8)).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    trees = ann.fit_trees(ann.usable(df, "vec_id", "embedding"), sample_rows=500)
+    assert len(trees[8].below) > 10 and len(trees[8].probabilities(centres)[0]) > 100
+    got = {(r["query_id"], r["vec_id"]) for r in ann.nearest_neighbours(df, F.col("id") % 100 == 0, sample_rows=500).collect()}
+    want = {(q, v) for q, _, v in brute_neighbours(rows, set(range(0, 3000, 100)))}
+    assert len(got & want) / len(want) >= 0.9
+
+
 # ---------------------------------------------------------------- similarity join
 
 
@@ -90,10 +125,13 @@ def brute_components(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [(4096, 0.005), (3, 0.0)])
-def test_jaccard_components_match_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,crowd,group_tokens", [((4096, 0.005), 64, 2_000_000), ((3, 0.0), 2, 2_000_000), ((4096, 0.005), 1, 0.01), ((3, 0.0), 64, 0.01)])
+def test_jaccard_components_match_brute_force(spark, monkeypatch, hot, crowd, group_tokens):
+    """Also with hot tokens, with crowded ones, and with more ranges than a token's first 16 bits tell apart."""
     monkeypatch.setattr(jaccard, "HOT_SETS", hot[0])
     monkeypatch.setattr(jaccard, "HOT_SHARE", hot[1])
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(jaccard, "GROUP_TOKENS", group_tokens)
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefg", k=rng.randint(1, 4)))
     line = " ".join(word() for _ in range(14))
@@ -111,7 +149,10 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch, hot):
         copy[5 * i + 3] = "edit"
         copy[(5 * i + 40) % 80] = f"e{i}"
         texts.append(" ".join(copy))
-    texts += [" ".join(star), "", None, " \n", "one two", "ONE\ttwo", "É one two three four", line, line.upper()]
+    common = [word() for _ in range(12)]
+    for _ in range(10):  # texts that share a passage but are no copies
+        texts.append(" ".join(common + [word() for _ in range(10)]))
+    texts += [" ".join(star), " ".join(word() for _ in range(4000)), "", None, " \n", "one two", "ONE\ttwo", "É one two three four", line, line.upper()]
     rows = [(rng.randrange(10_000), t) for t in texts]
     rows += [rows[0], (None, rows[3][1]), (None, "all alone here now and ever")]
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, component_id string, n int").repartition(5)
@@ -160,11 +201,28 @@ def test_raking_meets_its_targets(spark):
     assert mixing.cell_probabilities(cells, targets).toPandas().probability.between(0, 1).all()
 
 
+def test_raking_residual(spark):
+    """Few turns leave a residual that is reported, many none; targets that cannot be met leave one."""
+    cells = spark.createDataFrame([("a", "x", 90), ("a", "y", 1), ("b", "x", 2), ("b", "y", 40)], "source string, topic string, tokens long")
+    targets = {"source": spark.createDataFrame([("a", 0.2), ("b", 0.8)], "source string, share double"), "topic": spark.createDataFrame([("x", 0.9), ("y", 0.1)], "topic string, share double")}
+    left = [mixing.raking_residual(mixing.rake(cells, targets, turns=t), targets) for t in (0, 1, 6, 40)]
+    assert min(left[:2]) > 0.4 and left[1] > left[2] > left[3] and left[3] < 1e-3
+    reached = mixing.cell_probabilities(cells, targets, turns=1).toPandas()
+    assert np.allclose(reached.residual, left[1])
+    alone = spark.createDataFrame([("a", "x", 5)], "source string, topic string, tokens long")
+    assert mixing.raking_residual(mixing.rake(alone, targets), targets) > 0.05
+    assert mixing.raking_residual(mixing.rake(cells.filter("false"), targets), targets) == 0
+
+
 def test_mixing_edges(spark):
-    rows = [(1, "a b", None, "s"), (2, None, "en", None), (None, "c d", "en", "s"), (3, "", "en", "s"), (1, "a b", None, "s")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("topic", F.lit("own"))
-    out = mixing.mix_sources(df)
-    assert set(df.columns) <= set(out.columns) and out.filter("probability < 0 or probability > 1").count() == 0
+    rows = [(1, "a b", None, "s"), (2, None, "en", None), (None, "c d", "en", "s"), (3, "", "en", "s"), (1, "a b", None, "s"), (4, "w " * 300_000, "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for name in ("topic", "weight", "probability", "tokens", "mix", "mix_tokens", "mix_cell", "residual", "_held"):
+        df = df.withColumn(name, F.lit("own"))
+    out = mixing.mix_sources(df, out_col="found")
+    assert out.columns == [*df.columns, "found"] and out.filter("found.probability < 0 or found.probability > 1 or weight <> 'own' or mix <> 'own'").count() == 0
+    assert out.filter("doc_id = 4 and found.tokens <> 300000").count() == 0
+    assert set(mixing.mix_sources(df).columns) == set(df.columns)
     assert mixing.mix_sources(df.filter("false")).count() == 0
 
 

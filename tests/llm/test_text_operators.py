@@ -58,6 +58,13 @@ def test_redaction(spark):
     assert got == ['é [SECRET]" end', "clean", None]
 
 
+def test_written_postings_serve_again(spark, tmp_path):
+    rows = docs(spark, SECRET_TEXTS * 2)
+    postings = secrets.index_postings(rows, str(tmp_path / "postings"))
+    once, again = (sorted(map(tuple, secrets.scan_secrets(rows, out_col="found", postings=p).select("doc_id", "findings", F.to_json("found")).collect())) for p in (None, postings))
+    assert once == again and any("assign" in r[2] for r in once) and {r[1] for r in once} == {"x"}
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(d[::-1])) % 10 == 0
 
@@ -98,8 +105,43 @@ def test_labelers_are_weighed():
         counts["k", v] = counts.get(("k", v), 0) + 1
     post, rates = pii.estimate([(k, v, n) for (k, v), n in counts.items()])
     assert rates[0, 1][1] > 0.9 and rates[0, 0][-1] > 0.9 and abs(rates[2, 1][1] - rates[2, 0][1]) < 0.1
-    weights = pii.train_classifier([(k, v, n) for (k, v), n in counts.items()], post)
-    assert weights["regex:1"] > weights["context:1"] + 0.5
+    weights = pii.train_classifier([(k, v, (0, 1, 0), n) for (k, v), n in counts.items()], post)
+    assert weights["shape:1"] > weights["context:1"] + 0.5
+
+
+def account(rng, right=True):
+    body = "".join(rng.choices("0123456789", k=18))
+    check = 98 - int(body + "131400") % 97
+    text = f"DE{check if right else (check + 5) % 97 + 1:02d}{body}"
+    return " ".join(text[i : i + 4] for i in range(0, 22, 4))
+
+
+def test_added_kinds_of_personal_data(spark):
+    """Looser spans that the labelers agree on are added, planted negatives are not."""
+    rng = random.Random(3)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    prose = lambda: " ".join(rng.choices(["the", "and", "there", "house", "river", "said", "green"], k=5))
+    cases = []
+    for i in range(40):
+        cases += [(f"jane{i}@mail.example.com", None), (f"+1 (2{rng.randint(20, 99)}) 555-{digits(4)}", None), (f"{rng.randint(11, 100)}.{rng.randint(1, 255)}.3.4", None)]
+        body = "4" + digits(14)
+        cases.append((next(body + c for c in "0123456789" if luhn(body + c)), None))
+    for i in range(6):
+        cases += [
+            (f"jane{i} [at] example [dot] com", "email_masked"), (f"please call (2{rng.randint(20, 99)}) 5{rng.randint(20, 99)}-{digits(4)}", "phone_local"),
+            (f"to the account {account(rng)}", "iban"), (f"social security 2{digits(2)}-4{digits(1)}-1{digits(3)}", "national_id"),
+            ("order 3 # 000-00-1111 #", None), (f"| {account(rng, False)} |", None), ("model (012) 112-3456/7", None), ("version 1.2.3.4.5", None),
+        ]
+        body = "9" + digits(14)
+        cases.append(("order no. " + next(body + c for c in "0123456789" if not luhn(body + c)), None))
+    texts = [f"{prose()} {t} {prose()}" for t, _ in cases]
+    got = {r["doc_id"]: [f["kind"] for f in r["findings"] if f["kind"] not in pii.BASE] for r in pii.find_pii(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(cases))] == [[k] if k else [] for _, k in cases]
+
+
+def test_account_numbers(spark):
+    rows = spark.createDataFrame([("DE89370400440532013000",), ("GB82WEST12345698765432",), ("DE88370400440532013000",)], "t string")
+    assert [r[0] for r in rows.select(pii.iban_ok(F.col("t"))).collect()] == [True, True, False]
 
 
 def best_split(word, scores):
@@ -192,3 +234,53 @@ def test_quality_edges(spark):
     good, bad = rng.normal(1, 0.5, (400, len(quality.FEATURES))), rng.normal(-1, 0.5, (400, len(quality.FEATURES)))
     fitted = quality.fit_nnpu(good[:200], np.vstack([good[200:], bad[:100]]))
     assert abs(fitted.prior - 2 / 3) < 0.12 and fitted.score(good).mean() > 0.9 and fitted.score(bad).mean() < 0.1
+
+
+def test_one_row_for_each_chosen_id(spark, monkeypatch):
+    """An id that occurs often neither breaks the bound of the fit nor takes it over."""
+    rows = [(1, "the same text")] * 300 + [(i, f"text number {i} here") for i in range(2, 60)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 30)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_nnpu", lambda pos, unl: seen.append((len(pos), len(unl))))
+    quality.fit_quality(spark.createDataFrame(rows, "doc_id long, text string"), labels, sample_rows=10)
+    assert seen == [(10, 10)]
+
+
+def plain_risk(w, p, u, prior):
+    """The non-negative unbiased risk row by row, and whether the negatives' part is below zero."""
+    loss = lambda z, y: np.log1p(np.exp(-y * z))
+    score = lambda x: sum(a * b for a, b in zip(x, w[:-1], strict=True)) + w[-1]
+    as_positive = sum(prior * loss(score(x), 1) for x in p) / len(p)
+    as_negative = sum(loss(score(x), -1) for x in u) / len(u) - sum(prior * loss(score(x), -1) for x in p) / len(p)
+    return as_positive + as_negative, as_positive, as_negative
+
+
+def test_gradient_of_the_non_negative_risk():
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(1, 1, (30, 3)), rng.normal(0, 1, (50, 3))
+    kinds = set()
+    for _ in range(40):
+        w, prior = rng.normal(0, 2, 4), rng.uniform(0.1, 0.9)
+        negative = plain_risk(w, p, u, prior)[2]
+        which = (lambda r: r[0]) if negative >= 0 else (lambda r: -r[2])
+        step = lambda k: np.eye(4)[k] * 1e-6
+        want = [(which(plain_risk(w + step(k), p, u, prior)) - which(plain_risk(w - step(k), p, u, prior))) / 2e-6 for k in range(4)]
+        assert np.allclose(quality.nnpu_gradient(w, p, u, prior), want, atol=1e-5)
+        kinds.add(negative >= 0)
+    assert kinds == {True, False}
+
+
+def test_very_long_texts(monkeypatch):
+    """Texts that are cut into stretches give the same words, shingles and features."""
+    from quillgrid.llm import shingles
+
+    rng = random.Random(9)
+    texts = pa.array([" ".join("".join(rng.choices("abC1.", k=rng.randint(1, 9))) for _ in range(3000)), "x" * 20000 + " y", " " * 9000, "short one", None])
+    whole = [list(s) for _, sets in shingles.shingle_sets(texts) for s in sets], quality.text_features(texts)
+    monkeypatch.setattr(shingles, "CHUNK_BYTES", 700)
+    cut = [list(s) for _, sets in shingles.shingle_sets(texts) for s in sets], quality.text_features(texts)
+    assert whole[0] == cut[0] and np.allclose(whole[1], cut[1]) and len(whole[0][0]) == 2996
+
+
+def test_budget_is_a_share_of_every_length():
+    assert [D.budget(n) for n in (12, 13, 23, 50, 100, 200)] == [0, 1, 1, 4, 8, 16]
