@@ -39,8 +39,9 @@ HOT_SHARE, HOT_SETS = 0.005, 4096
 MAX_BITS = 30
 #: Tokens that are gathered before they are dealt to many ranges.
 GATHER = 1 << 20
-#: Pairs are formed among at most so many sets of one token; above, the key gets another order's token.
-CROWD = 64
+#: Pairs are formed among at most so many sets of one token. Above, the key gets another
+#: order's token, which costs a row for each prefix token of the set (a quarter of its size).
+CROWD = 4096
 
 
 def _summaries(size: int, keep: list[str]):
