@@ -182,8 +182,10 @@ class Matcher:
             doc, at, rows = doc[inside], at[inside], rows[inside]
             found.append(np.column_stack([doc, gram.items[rows], at - starts[doc] - gram.offsets[rows], gram.offsets[rows]]))
         hits, out, text, held = np.concatenate(found), {}, b"", -1
+        if not len(hits):
+            return {}
         hits = hits[np.lexsort(hits.T[::-1])]
-        cuts = np.flatnonzero(np.r_[True, (hits[1:, :2] != hits[:-1, :2]).any(1)]) if len(hits) else []
+        cuts = np.flatnonzero(np.r_[True, (hits[1:, :2] != hits[:-1, :2]).any(1)])
         for a, b in zip(cuts, [*cuts[1:], len(hits)], strict=True):
             doc, n = int(hits[a, 0]), int(hits[a, 1])
             if doc != held:

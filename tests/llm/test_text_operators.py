@@ -207,6 +207,7 @@ def test_decontamination_matches_brute_force(spark):
     assert got == want and len(want) > 20
     assert D.find_leaks(docs(spark, ["x"]), bench.filter("false")).first()["leaks"] is None
     assert D.find_leaks(docs(spark, []).filter("false"), bench).count() == 0
+    assert [r["leaks"] for r in D.find_leaks(docs(spark, ["nothing of it", "x"]), bench).collect()] == [[], []]
 
 
 def test_item_blocks_are_searched_in_turn(spark, monkeypatch):
