@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import free_name, materialise, table
+from quillgrid.llm.common import free_name, key_filter, materialise, may_hold, table
 from quillgrid.llm.decontaminate import find_leaks
 from quillgrid.llm.jaccard import jaccard_groups
 from quillgrid.llm.mixing import mix_sources
@@ -37,6 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Every row is judged by its own text, so rows of one id but different texts are different
     documents. Equal rows leave one. Rows without words are in no group and all stay.
+
+    Texts are not shuffled to drop rows: a bounded bit map of the surplus keys tells most
+    rows that stay, and only the others are joined with these keys.
     """
     key = free_name(docs, "row_key")
     keyed = docs.withColumn(key, row_key(docs))
@@ -47,14 +50,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     is_chosen = distinct["id"].eqNullSafe(chosen["_id"]) & (distinct[key] == chosen["_key"])
     surplus = materialise(distinct.join(chosen, is_chosen, "left_anti").select(F.col("id").alias("_id"), F.col(key).alias("_key")), "surplus")
     repeated = materialise(distinct.filter("rows > 1").join(chosen, is_chosen, "left_semi").select(F.col("id").alias("_id"), F.col(key).alias("_key")), "repeated")
-    of = lambda keys: (F.col(key) == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    kept = keyed.join(surplus, of(surplus), "left_anti")
+    same = (F.col(key) == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    kept = without(keyed, surplus, key, same)
     if not repeated.isEmpty():
-        once = kept.join(repeated, of(repeated), "left_anti")
-        kept = once.unionByName(kept.join(repeated, of(repeated), "left_semi").dropDuplicates([key, "doc_id"]))
+        once = kept.filter(may_hold(F.col(key), key_filter(repeated, "_key"))).join(repeated, same, "left_semi")
+        kept = without(kept, repeated, key, same).unionByName(once.dropDuplicates([key, "doc_id"]))
     return kept.drop(key)
 
 
+def without(rows: DataFrame, keys: DataFrame, key: str, same: Column) -> DataFrame:
+    """The rows that meet none of ``keys``; only rows that may meet one take part in the join."""
+    held = may_hold(F.col(key), key_filter(keys, "_key"))
+    return rows.filter(~held).unionByName(rows.filter(held).join(keys, same, "left_anti"))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a test item within its error budget."""
     leaks = free_name(docs, "leaks")
