@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.scratch import materialise, scratch_root
 
-__all__ = ["free_name", "match_spans", "materialise", "ranked_spans", "scratch_root", "span_digest", "table"]
+__all__ = ["free_name", "key_filter", "match_spans", "may_hold", "materialise", "ranked_spans", "scratch_root", "span_digest", "table"]
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -18,6 +19,32 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+#: A filter has at most so many bits (4 MB); with far more keys it lets everything pass.
+FILTER_BITS = 1 << 25
+
+
+def key_filter(keys: DataFrame, key_col: str, most_bits: int = FILTER_BITS) -> bytes:
+    """A bit map with a bit set for each key (a 64-bit hash), about 16 bits a key up to ``most_bits``.
+
+    Words of the map combine in Spark; at most ``most_bits / 64`` of them reach the driver.
+    """
+    n = keys.count()
+    bits = 1 << min(most_bits.bit_length() - 1, max(10, (16 * n).bit_length()))
+    place = F.pmod(F.col(key_col), F.lit(bits))
+    words = keys.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def may_hold(key: Column, bitmap: bytes) -> Column:
+    """Whether a key's bit is set: true for all keys of the filter and for few others."""
+    place = F.pmod(key, F.lit(8 * len(bitmap)))
+    byte = F.conv(F.hex(F.substring(F.lit(bitmap), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (place % 8).cast("int")) == 1
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """All non-overlapping matches of a Java pattern, left to right.
 

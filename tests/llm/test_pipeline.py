@@ -2,9 +2,11 @@
 
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from quillgrid.llm import decontaminate as D
-from quillgrid.llm.common import materialise, table
+from quillgrid.llm.common import key_filter, materialise, may_hold, table
 
 
 def test_stages(spark, sf_dir):
@@ -67,3 +69,13 @@ def test_stages_on_empty_tables_and_clashing_names(spark, sf_dir):
         assert none.count() == 0 and kept.columns[: len(docs.columns)] == docs.columns == none.columns[: len(docs.columns)]
         assert kept.count() > 50 and kept.filter("score <> lang or leaks <> lang or weight <> lang").count() == 0, name
     assert kept.columns[len(docs.columns) :] == ["n_tokens_", "probability_"]
+
+
+def test_key_filters(spark):
+    """A filter holds all its keys and few others; a full one lets everything pass."""
+    keys = spark.range(0, 60_000, 3).select(F.xxhash64("id").alias("k"))
+    others = spark.range(1, 60_000, 3).select(F.xxhash64("id").alias("k"))
+    bitmap = key_filter(keys, "k")
+    assert keys.filter(~may_hold(F.col("k"), bitmap)).count() == 0 and others.filter(may_hold(F.col("k"), bitmap)).count() < 0.1 * 20_000
+    assert len(key_filter(keys, "k", 1024)) == 128 and others.filter(may_hold(F.col("k"), key_filter(keys, "k", 1024))).count() == 20_000
+    assert others.filter(may_hold(F.col("k"), key_filter(keys.limit(0), "k"))).count() == 0
