@@ -172,6 +172,7 @@ def acronym(key: Column) -> Column:
 
 # ---------------------------------------------------------------- notes
 
+# Fixed: forms of an original file's name and of a sample in notes.
 OG_FILENAME = r"(?i)OG Filename(?:\s*\(Metadata\))?:\s*(.+?)(?:\n|\z)"
 _SAMPLES = r"(?i)Samples\s+(?:[^\"“]+?\s+)?[\"“](.+?)[\"”](?:\s+by\s+(.+?))?(?:\.|,|\n|\z)|Samples\s+(.+?)'s\s+[\"'‘’](.+?)[\"'‘’]"
 
@@ -186,7 +187,7 @@ def samples(notes: Column) -> Column:
 
     def one(hit: Column) -> Column:
         part = lambda g: some(strip(F.regexp_extract(hit, _SAMPLES, g)))
-        artist = F.regexp_replace(F.regexp_replace(F.regexp_replace(part(2), r"(?i)\s+and\s+.+$", ""), r"(?i)\s+vs\.?\s*.*$", ""), r"(?i)\s+feat\.?(\s+.+)?$", "")
+        artist = F.regexp_replace(part(2), r"(?i)\s+(?:and\s|vs\b|feat\b).*$", "")
         quoted = F.concat(F.lit('"'), F.coalesce(part(1), part(4)), F.lit('"'))
         by = F.coalesce(F.when(part(1).isNotNull(), artist), part(3))
         return F.concat_ws(" by ", quoted, by)

@@ -52,21 +52,32 @@ def header_field(text: Column, aliases: dict[str, str]) -> Column:
     return F.coalesce(whole, F.get(by_line, F.lit(0)))
 
 
-def detect_columns(rows: DataFrame, aliases: dict[str, str] = ALIASES) -> DataFrame:
-    """``(sheet_id, row_idx, field, col_idx)`` of the first rows; the first column of a field counts."""
-    head = rows.filter(F.col("row_idx") < HEADER_ROWS).select("sheet_id", "row_idx", F.posexplode("cells").alias("col_idx", "c"))
-    named = head.select("sheet_id", "row_idx", "col_idx", header_field(strip(F.col("c.text")), aliases).alias("field")).filter("field is not null")
-    return named.groupBy("sheet_id", "row_idx", "field").agg(F.min("col_idx").alias("col_idx"))
+def row_fields(texts: Column, aliases: dict[str, str]) -> Column:
+    """map<field,column> of one row's texts; the first column of a field counts."""
+    named = F.filter(F.transform(texts, lambda t, i: F.struct(header_field(t, aliases).alias("field"), i.alias("col_idx"))), lambda f: f["field"].isNotNull())
 
+    def once(found: Column) -> Column:
+        fields = F.transform(found, lambda f: f["field"])
+        return F.map_from_entries(F.filter(found, lambda f, i: F.array_position(fields, f["field"]) == i + 1))
 
-def detect_layout(rows: DataFrame, aliases: dict[str, str] = ALIASES) -> DataFrame:
-    """``(sheet_id, header_row, fields map<string,int>)``: the first row with two fields, else row 0; its columns."""
-    found = detect_columns(rows, aliases)
-    by_row = found.groupBy("sheet_id", "row_idx").agg(F.count("*").alias("n"), F.map_from_entries(F.collect_list(F.struct("field", "col_idx"))).alias("fields"))
-    best = by_row.groupBy("sheet_id").agg(F.min(F.when(F.col("n") >= 2, F.col("row_idx"))).alias("r"), F.min_by(F.when(F.col("n") >= 2, F.col("fields")), F.when(F.col("n") >= 2, F.col("row_idx"))).alias("f"), F.max(F.when(F.col("row_idx") == 0, F.to_json("fields"))).alias("f0"))
-    sheets = rows.filter("row_idx = 0").select("sheet_id").join(best, "sheet_id", "left")
-    none = F.expr("cast(map() as map<string,int>)")
-    return sheets.select("sheet_id", F.coalesce("r", F.lit(0)).alias("header_row"), F.coalesce("f", F.from_json("f0", "map<string,int>"), none).alias("fields"))
+    return let(named, once)
+
+
+def layout_of(head: Column, aliases: dict[str, str] = ALIASES) -> Column:
+    """struct(header_row, fields) of a sheet's first rows (array<array<text>>): the first row with two fields, else row 0."""
+
+    def choose(rows: Column) -> Column:
+        fit = F.filter(F.transform(rows, lambda f, i: F.struct(i.alias("header_row"), f.alias("fields"))), lambda r: F.size(r["fields"]) >= 2)
+        none = F.expr("cast(map() as map<string,int>)")
+        first = F.struct(F.lit(0).alias("header_row"), F.coalesce(F.get(rows, F.lit(0)), none).alias("fields"))
+        return F.coalesce(F.get(fit, F.lit(0)), first)
+
+    return let(F.transform(head, lambda texts: row_fields(texts, aliases)), choose)
+
+
+def detect_layout(rows: DataFrame) -> DataFrame:
+    """``(sheet_id, header_row, fields map<string,int>)`` of the sheets of ``sheet_rows``."""
+    return rows.filter("row_idx = 0").select("sheet_id", "header_row", "fields")
 
 
 def layout_columns(layout: DataFrame) -> DataFrame:
@@ -83,12 +94,12 @@ def cell_of(field: str) -> Column:
     return F.get(F.col("cells"), column_of(field))
 
 
-def project_fields(rows: DataFrame, layout: DataFrame) -> DataFrame:
+def project_fields(rows: DataFrame) -> DataFrame:
     """Rows below the header with a text column for each field (null if empty) and the cells of links and notes.
 
-    ``filled`` has the row's texts that are not blank.
+    ``filled`` has the row's texts that are not blank. A map over rows: each carries its layout.
     """
-    below = rows.join(layout, "sheet_id").filter(F.col("row_idx") > F.col("header_row"))
+    below = rows.filter(F.col("row_idx") > F.col("header_row"))
     text = lambda f: F.nullif(strip(cell_of(f)["text"]), F.lit(""))
     return below.select(
         "sheet_id", "row_idx", "cells", "fields",
@@ -99,6 +110,19 @@ def project_fields(rows: DataFrame, layout: DataFrame) -> DataFrame:
     )
 
 
+def field_matrix(columns: DataFrame, sheets: DataFrame) -> DataFrame:
+    """``(field, sheet_id, col_idx)`` for every field that any sheet has and every sheet; null where it lacks it.
+
+    The fields are few: a list of some dozens goes to every sheet, as a column.
+    """
+    known = columns.groupBy().agg(F.sort_array(F.collect_set("field")).alias("known"))
+    had = columns.groupBy("sheet_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "col_idx"))).alias("had"))
+    fields = known.first()["known"] or []
+    wide = sheets.select("sheet_id").distinct().join(had, "sheet_id", "left")
+    every = wide.select("sheet_id", "had", F.explode(F.array(*[F.lit(f) for f in fields]).cast("array<string>")).alias("field"))
+    return every.select("field", "sheet_id", F.element_at("had", F.col("field")).alias("col_idx"))
+
+
 def diff_layouts(columns: DataFrame) -> DataFrame:
     """``(field, n_sheets, n_positions, differs)`` over ``(sheet_id, field, col_idx)``."""
     return columns.groupBy("field").agg(F.countDistinct("sheet_id").alias("n_sheets"), F.countDistinct("col_idx").alias("n_positions")).withColumn("differs", F.col("n_positions") > 1)

@@ -36,12 +36,32 @@ def favourites_join(songs: DataFrame, favourites: DataFrame, how: str = "flag")
 
 
 def favourites_by_artist(favourites: DataFrame) -> DataFrame:
-    """``(user_id, artist_slug, n, latest, eras)``: nested by artist and era, newest first."""
-    era = favourites.groupBy("user_id", "artist_slug", "era_name").agg(F.max("added_at").alias("latest"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("added_at", "base_name")), asc=False).alias("songs"))
-    return era.groupBy("user_id", "artist_slug").agg(F.sum("n").alias("n"), F.max("latest").alias("latest"), F.sort_array(F.collect_list(F.struct("latest", "era_name", "songs")), asc=False).alias("eras"))
+    """``(user_id, artist_slug, n, latest, eras, …)``: nested by artist and era, newest first.
+
+    ``artist_name``, ``source_url`` and, within eras, ``era_art`` are those of the newest
+    entry, if ``favourites`` has these columns.
+    """
+    newest = F.struct("added_at", "base_name")
+    artist = [c for c in ("artist_name", "source_url") if c in favourites.columns]
+    art = [F.max_by("era_art", newest).alias("era_art")] if "era_art" in favourites.columns else []
+    era = favourites.groupBy("user_id", "artist_slug", "era_name").agg(
+        F.max("added_at").alias("latest"), F.count("*").alias("n"), F.sort_array(F.collect_list(newest), asc=False).alias("songs"),
+        F.max(newest).alias("_at"), *[F.max_by(c, newest).alias(c) for c in artist], *art,
+    )
+    inner = F.struct("latest", "era_name", "songs", *(["era_art"] if art else []))
+    return era.groupBy("user_id", "artist_slug").agg(F.sum("n").alias("n"), F.max("latest").alias("latest"), *[F.max_by(c, "_at").alias(c) for c in artist], F.sort_array(F.collect_list(inner), asc=False).alias("eras"))
 
 
 def recent_views(views: DataFrame, key: str = "source_url", n: int = 20) -> DataFrame:
     """The latest view of each source, the newest ``n``."""
     last = views.groupBy(key).agg(F.max("ts").alias("ts"), F.count("*").alias("n_views"))
     return last.orderBy(F.desc("ts"), key).limit(n)
+
+
+def recent_cards(views: DataFrame, artists: DataFrame, stats: DataFrame, n: int = 20) -> DataFrame:
+    """The newest ``n`` viewed sheets with their name, songs, cover (first era with art) and counts.
+
+    Over ``views`` (sheet_id, ts), ``artists`` of the catalogue and ``stats.recents_card_stats`` by sheet.
+    """
+    cards = recent_views(views, "sheet_id", n).join(artists.select("sheet_id", "artist_name", "slug", "n_songs", "art_url"), "sheet_id", "left").join(stats, "sheet_id", "left")
+    return cards.orderBy(F.desc("ts"), "sheet_id")

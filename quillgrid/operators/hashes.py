@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +18,22 @@ def near_hash(left: DataFrame, right: DataFrame, key: str | list[str], most: int
     return both.withColumn("distance", distance).filter(F.coalesce(distance <= most, F.lit(True)))
 
 
+BANDS, BAND_BITS = 4, 16
+
+
 def near_hash_bands(left: DataFrame, right: DataFrame, left_id: str, right_id: str, most: int = 10) -> DataFrame:
     """All pairs ``(left_id, right_id, distance)`` within ``most`` bits, without a key.
 
-    The 64 bits are cut into ``most + 1`` bands; a near pair agrees on one, so the join is on bands.
+    The hash is cut into four bands of 16 bits. Two hashes within ``most`` bits differ in at
+    most ``most // 4`` bits of some band; so the left side asks for every band value
+    near its own (137 values for 10 bits), and the join is on whole band values, of which
+    there are 65536 a band.
     """
-    cuts = [64 * i // (most + 1) for i in range(most + 2)]
-    band = lambda c: F.array(*[F.shiftrightunsigned(F.shiftleft(F.col(c), 64 - b), 64 - b + a) for a, b in zip(cuts, cuts[1:], strict=False)])
-    one = left.select(left_id, "hash", F.posexplode(band("hash")).alias("band", "bits"))
+    near = [sum(1 << b for b in bits) for r in range(most // BANDS + 1) for bits in combinations(range(BAND_BITS), r)]
+    band = lambda c: F.array(*[F.shiftrightunsigned(F.col(c), BAND_BITS * i).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) for i in range(BANDS)])
+    masks = F.array(*[F.lit(m).cast("long") for m in near])
+    asked = left.select(left_id, "hash", F.posexplode(band("hash")).alias("band", "own")).select(left_id, "hash", "band", "own", F.explode(masks).alias("mask"))
+    one = asked.select(left_id, "hash", "band", F.col("own").bitwiseXOR(F.col("mask")).alias("bits"))
     two = right.select(right_id, F.col("hash").alias("other_hash"), F.posexplode(band("hash")).alias("band", "bits"))
     distance = F.bit_count(F.col("hash").bitwiseXOR(F.col("other_hash")))
-    return one.join(two, ["band", "bits"]).select(left_id, right_id, distance.alias("distance")).filter(F.col("distance") <= most).distinct()
+    return one.join(two, ["band", "bits"]).filter(distance <= most).select(left_id, right_id, distance.alias("distance")).distinct()

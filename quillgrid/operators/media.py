@@ -56,14 +56,45 @@ def display_columns(meta: DataFrame, seconds_col: str = "seconds") -> DataFrame:
     mb, gb = 1024.0**2, 1024.0**3
     fixed = lambda c: F.format_string("%.1f", c)
     size_text = F.when((kbps > 0) & (F.col(seconds_col) > 0), F.when(size >= gb, F.concat(F.lit("~"), fixed(size / gb), F.lit(" GB"))).when(size >= mb, F.concat(F.lit("~"), fixed(size / mb), F.lit(" MB"))).otherwise(F.concat(F.lit("~"), F.round(size / 1024).cast("long").cast("string"), F.lit(" KB"))))
-    grade = F.when(kbps >= 1000, "lossless").when(kbps >= 320, "hq").when(kbps >= 192, "cd").when(kbps.isNotNull(), "lq").otherwise("secondary")
+    grade = rate_class(kbps)
     return meta.withColumns({"summary": F.concat_ws(" · ", codec, rate), "bitrate_class": grade, "size_text": size_text, "is_large": F.coalesce("lossless", F.lit(False)) | F.coalesce(kbps >= 1000, F.lit(False))})
 
 
-def metadata_details(meta: DataFrame, keys: list[str], fields: tuple[str, ...] = tuple(TEXT_FIELDS)) -> DataFrame:
-    """Long rows ``(keys, ord, field, value)`` of the fields that are there."""
-    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for i, f in enumerate(fields)])
-    return meta.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.ord", "r.field", "r.value").filter("value is not null")
+# Fixed: labels of the fields that a client shows, in its order.
+SHOWN = (
+    ("container", "Container"), ("codec", "Codec"), ("codec_profile", "Profile"), ("bitrate", "Bitrate"), ("sample_rate", "Sample Rate"), ("bits_per_sample", "Bit Depth"),
+    ("lossless", "Lossless"), ("channels", "Channels"), ("estimated_bitrate", "Est. Bitrate"), ("duration", "Duration"), ("frequency_cutoff", "Freq. Cutoff"), ("quality_mismatch", "Quality Match"),
+)
+
+
+def rate_class(kbps: Column) -> Column:
+    return F.when(kbps >= 1000, "lossless").when(kbps >= 320, "hq").when(kbps >= 192, "cd").when(kbps.isNotNull(), "lq").otherwise("secondary")
+
+
+def _shown(field: str) -> tuple[Column, Column]:
+    """(text, class) of a field as a client shows it; a null text hides it."""
+    value, plain = F.col(field), F.lit("secondary")
+    if field == "bitrate":
+        return some(value), rate_class(leading_number(value))
+    if field == "estimated_bitrate":
+        return F.when(value > 0, F.concat(F.round(value).cast("long").cast("string"), F.lit(" kbps"))), rate_class(value)
+    if field == "lossless":
+        return F.when(value, "Yes").when(~value, "No"), F.when(value, "lossless").otherwise("secondary")
+    if field == "quality_mismatch":
+        return F.when(value, "Mismatch").when(~value, "OK"), F.when(value, "lq").otherwise("full")
+    if field == "duration":
+        seconds = some(F.regexp_extract(value.cast("string"), r"^\s*(\d+(?:\.\d+)?)", 1)).cast("double")
+        text = F.concat(F.floor(seconds / 60).cast("string"), F.lit(":"), F.lpad(F.floor(seconds % 60).cast("string"), 2, "0"))
+        return F.when(seconds > 0, text), plain
+    if field == "frequency_cutoff":
+        return F.when(value > 0, F.concat(F.round(value).cast("long").cast("string"), F.lit(" Hz"))), plain
+    return some(value.cast("string")), plain
+
+
+def metadata_details(meta: DataFrame, keys: list[str]) -> DataFrame:
+    """Long rows ``(keys, ord, field, label, value, variant)`` of the fields that are there, as a client shows them."""
+    rows = [F.struct(F.lit(i).alias("ord"), F.lit(f).alias("field"), F.lit(label).alias("label"), _shown(f)[0].alias("value"), _shown(f)[1].alias("variant")) for i, (f, label) in enumerate(SHOWN) if f in meta.columns]
+    return meta.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*").filter("value is not null")
 
 
 def sniffed_type(content: Column) -> Column:

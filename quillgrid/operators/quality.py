@@ -2,7 +2,8 @@
 
 Input is one row a sheet: ``sheet_id, n_eras, n_songs, n_sections, zero_eras array<string>,
 era_names array<string>, section_names array<string>, total_rows, song_rows, skipped_rows,
-fuzzy_rows, unmatched array<string>, declared, parsed``.
+fuzzy_rows, unmatched array<string>, declared, parsed``. The last two are sums over the
+eras that declare a total (``stats.declared_totals``).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.functions.text import BOGUS
+from quillgrid.functions.text import BOGUS, let
 
 SEVERITIES = ("INFO", "WARNING", "CRITICAL")
 # Fixed: words that mark lost sections.
@@ -30,8 +31,12 @@ def _none() -> Column:
 
 def duplicate_names(names: Column) -> Column:
     """Names that occur twice or more, whatever their case, once each in lower case, sorted."""
-    low = F.transform(names, lambda n: F.lower(F.trim(n)))
-    return F.array_sort(F.array_distinct(F.filter(low, lambda n: F.size(F.filter(low, lambda m: m == n)) > 1)))
+
+    def repeated(low: Column) -> Column:
+        """In order, a name that equals the one before it; null names come last and equal nothing."""
+        return F.array_distinct(F.filter(low, lambda n, i: F.coalesce(n == F.get(low, i - 1), F.lit(False))))
+
+    return let(F.array_sort(F.transform(names, lambda n: F.lower(F.trim(n)))), repeated)
 
 
 def run_checks(sheets: DataFrame) -> DataFrame:
@@ -40,7 +45,7 @@ def run_checks(sheets: DataFrame) -> DataFrame:
     bogus = F.filter("era_names", lambda n: F.trim(n).rlike(BOGUS))
     lost = F.filter("unmatched", lambda t: F.lower(t).rlike("|".join(SECTION_WORDS)))
     named = F.filter("section_names", lambda n: n != "")
-    off = F.when(F.col("declared") > 0, F.abs(F.col("parsed") - F.col("declared")) / F.col("declared")).otherwise(0.0)
+    off = F.when((F.col("declared") > 0) & (F.col("parsed") > 0), F.abs(F.col("parsed") - F.col("declared")) / F.col("parsed")).otherwise(0.0)
     has_eras, has_songs = F.col("n_eras") > 0, F.col("n_songs") > 0
 
     def check(name: str, cond: Column, severity: str, details: Column | None = None) -> Column:
@@ -73,10 +78,17 @@ def roll_up(sheets: DataFrame, issues: DataFrame) -> DataFrame:
     return sheets.select("sheet_id").join(worst, "sheet_id", "left").select("sheet_id", status.alias("status"))
 
 
+# Fixed: errors of a sheet that could not be read, and the status that they give to (live, abandoned) sheets.
+READ_ERRORS = {"access_denied": ("skip", "skip"), "invalid_url": ("error", "error"), "network": ("error", "skip"), "no_tables": ("fail", "skip")}
+
+
 def status_by_rules(sheets: DataFrame) -> DataFrame:
-    """``(sheet_id, status)`` by the second rule set: ok, warn, fail, or skip for abandoned sheets that fail.
+    """``(sheet_id, status)`` by the second rule set: ok, warn, fail, skip or error.
 
-    Uses ``links_work`` and ``updated`` too, if the sheets have them.
+    A sheet with ``error`` (if there is that column) was not read: its status comes from the
+    kind of error, an unknown kind being an error, and from whether the sheet is abandoned:
+    no working links and no updates (``links_work``, ``updated``). Sheets that were read
+    keep their status, abandoned or not.
     """
     skip = _ratio("skipped_rows", "total_rows")
     status = (
@@ -84,8 +96,13 @@ def status_by_rules(sheets: DataFrame) -> DataFrame:
         .when((skip > 0.05) | (F.size("zero_eras") > 3) | ((F.col("n_eras") > 2) & (_ratio("n_songs", "n_eras") < 1)), "warn")
         .otherwise("ok")
     )
-    if {"links_work", "updated"} <= set(sheets.columns):
-        status = F.when((status == "fail") & (F.col("links_work") == 0) & (F.col("updated") == 0), "skip").otherwise(status)
+    if "error" in sheets.columns:
+        known = {"links_work", "updated"} <= set(sheets.columns)
+        abandoned = F.coalesce((F.col("links_work") == 0) & (F.col("updated") == 0), F.lit(False)) if known else F.lit(False)
+        unread = F.lit("error")
+        for kind, (live, left) in READ_ERRORS.items():
+            unread = F.when(F.col("error") == kind, F.when(abandoned, left).otherwise(live)).otherwise(unread)
+        status = F.when(F.coalesce(F.col("error"), F.lit("")) != "", unread).otherwise(status)
     return sheets.select("sheet_id", status.alias("status"))
 
 

@@ -30,6 +30,8 @@ class SheetFold:
         self.names: list[str] = []
         self.sections: list[int] = []
         self.keys: dict[str, int] = {}
+        self.key_words: dict[str, set[str]] = {}
+        self.answers: dict[tuple[str, str], tuple[int | None, str | None]] = {}
         self.unnamed: set[int] = set()
         self.current: int | None = None
         self.in_footer = False
@@ -41,7 +43,10 @@ class SheetFold:
 
     def learn(self, keys: Iterable[str], era: int) -> None:
         for k in keys:
-            self.keys.setdefault(k, era)
+            if k not in self.keys:
+                self.keys[k] = era
+                self.key_words[k] = words(k)
+                self.answers.clear()
 
     def open_era(self, row: int, name: str, keys: list[str], how: str) -> None:
         self.names.append(name)
@@ -55,13 +60,19 @@ class SheetFold:
         self.emit(row, "section", label)
 
     def find(self, norm: str, key: str) -> tuple[int | None, str | None]:
+        """The era of a row's text; answers are remembered until a key is learnt."""
+        if (norm, key) not in self.answers:
+            self.answers[norm, key] = self._look_up(norm, key)
+        return self.answers[norm, key]
+
+    def _look_up(self, norm: str, key: str) -> tuple[int | None, str | None]:
         if norm in self.keys:
             return self.keys[norm], "exact"
         if key in self.keys:
             return self.keys[key], "key"
         mine, best, score = words(norm), None, 0.0
         for other, era in self.keys.items() if mine else ():
-            theirs = words(other)
+            theirs = self.key_words[other]
             shared = len(mine & theirs)
             if shared >= 2 and shared / min(len(mine), len(theirs)) > score:
                 best, score = era, shared / min(len(mine), len(theirs))
@@ -127,7 +138,7 @@ class SheetFold:
         elif named:
             self.emit(at, "song", match="learnt" if r.era_plausible else "fallback")
             if r.era_plausible:
-                self.keys.setdefault(r.era_key, self.current)
+                self.learn([r.era_key], self.current)
         elif r.n_filled <= 2 or not r.era_plausible:
             self.open_section(at, r.era)
         else:
@@ -229,7 +240,7 @@ def acronym_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     """``(left_id, right_id)``: left keys, blanks removed, that are the initials of a right key of three words or more."""
     by = by or []
     short = left.withColumn("_a", F.replace("key", F.lit(" "), F.lit(""))).filter(F.length("_a") >= 3).select(*by, left_id, "_a")
-    long = right.select(*by, right_id, T.acronym(F.col("key")).alias("_a")).filter("_a is not null")
+    long = right.select(*by, right_id, T.acronym(F.col("key")).alias("_a")).filter("_a is not null").groupBy(*by, "_a").agg(F.min(right_id).alias(right_id))
     return short.join(long, [*by, "_a"]).groupBy(*by, left_id).agg(F.min(right_id).alias(right_id))
 
 
@@ -259,8 +270,8 @@ def apply_art(eras: DataFrame, art: DataFrame) -> DataFrame:
     return eras.join(hit, ["sheet_id", "era_idx"], "left").withColumn("art_url", F.coalesce("_art", "art_url")).drop("_art")
 
 
-def _related(a: Column, b: Column) -> Column:
-    ka, kb = T.match_key(a), T.match_key(b)
+def _related(ka: Column, kb: Column, a: Column, b: Column) -> Column:
+    """Whether two eras belong together, by their match keys and names."""
     wa, wb = F.split(ka, " ")[0], F.split(kb, " ")[0]
     same = (ka == kb) | ka.startswith(F.concat(kb, F.lit(" "))) | kb.startswith(F.concat(ka, F.lit(" "))) | ((wa == wb) & (F.length(wa) > 3))
     collab = F.lower(a).startswith("collaboration with ") & F.rtrim(F.lower(b)).endswith("collab")
@@ -275,9 +286,10 @@ def merge_stub_eras(eras: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("sheet_id").orderBy("era_idx")
     fields = ["name", "alt_names", "description", "art_url", "stats_raw", "timeline"]
-    looked = eras.withColumns({"_next": F.lead("name").over(order), "_next_idx": F.lead("era_idx").over(order), "_next_songs": F.lead("n_songs").over(order)})
-    forward = (F.col("n_songs") == 0) & (F.col("_next_songs") > 0) & _related(F.col("name"), F.col("_next"))
-    looked = looked.withColumn("_into", F.when(forward, F.col("_next_idx"))).drop("_next", "_next_idx", "_next_songs")
+    following = {f"_next_{c}": F.lead(c).over(order) for c in ("name", "_key", "era_idx", "n_songs")}
+    looked = eras.withColumn("_key", T.match_key(F.col("name"))).withColumns(following)
+    forward = (F.col("n_songs") == 0) & (F.col("_next_n_songs") > 0) & _related(F.col("_key"), F.col("_next__key"), F.col("name"), F.col("_next_name"))
+    looked = looked.withColumn("_into", F.when(forward, F.col("_next_era_idx"))).drop("_key", *following)
     once = _absorb(looked.filter("_into is null").drop("_into"), looked.filter("_into is not null"), fields)
     keyed = once.withColumn("_key", T.match_key(F.col("name")))
     targets = keyed.filter("n_songs > 0 and _key <> ''").groupBy("sheet_id", "_key").agg(F.min("era_idx").alias("_into"))
@@ -295,7 +307,7 @@ def _absorb(targets: DataFrame, stubs: DataFrame, fields: list[str]) -> DataFram
     )
     merged = targets.join(given, ["sheet_id", "era_idx"], "left")
     new = {"name": F.when(F.length("_name") > F.length("name"), F.col("_name")).otherwise(F.col("name")), "alt_names": F.array_union("alt_names", F.coalesce("_alt_names", F.array().cast("array<string>")))}
-    new |= {f: F.when(_has(f), F.col(f)).otherwise(F.col(f"_{f}")) for f in fields if f not in new}
+    new |= {f: F.when(_has(f), F.col(f)).otherwise(F.coalesce(f"_{f}", f)) for f in fields if f not in new}
     return merged.withColumns(new).drop(*[f"_{f}" for f in fields])
 
 

@@ -78,15 +78,15 @@ def with_version_columns(projected: DataFrame) -> DataFrame:
     ).drop("_named", "_alts", "_title")
 
 
-def enrich_versions(projected: DataFrame) -> DataFrame:
+VERSION = (
+    "version_tag", "badge", *T.CREDITS, "alt_titles", "notes", "og_filename", "samples", "track_length", "file_date", "leak_date",
+    "available_length", "quality", "links", "quality_color", "available_length_color", "date_of_recording", "type",
+)
+
+
+def enrich_versions(described: DataFrame) -> DataFrame:
     """The song columns of every row with a name: cleaned name, badge, tag, credits, links, notes."""
-    return with_version_columns(projected).filter("name is not null").select(
-        "sheet_id", "row_idx", F.col("title").alias("name"), "version_tag", "badge", *T.CREDITS, "alt_titles", "notes",
-        T.og_filename(F.col("notes")).alias("og_filename"),
-        F.coalesce(T.samples(F.col("notes")), F.array().cast("array<string>")).alias("samples"),
-        "track_length", "file_date", "leak_date", "available_length", "quality", "links",
-        "quality_color", "available_length_color", "date_of_recording", "type",
-    )
+    return described.filter("version_name is not null").select("sheet_id", "row_idx", F.col("version_name").alias("name"), *VERSION)
 
 
 def has_song_data() -> Column:
@@ -119,31 +119,67 @@ def _with_header_name(projected: DataFrame) -> DataFrame:
     return bound.withColumns({"era_name": F.col("_head.name"), "alt_names": F.col("_head.alts"), "needs_backfill": F.col("_head.open")}).drop("_head")
 
 
-def era_headers(projected: DataFrame) -> DataFrame:
-    """What an era's header row says: name, other names, description, timeline, statistics, art, producers."""
-    right = F.slice("cells", column_of("notes") + 2, F.size("cells"))
-    head = _with_header_name(projected.filter(is_era_header())).withColumn("_right", right)
-    right_texts = F.filter(F.transform("_right", lambda c: T.strip(c["text"])), lambda t: t != "")
-    says = lambda t: t.contains("Highlighted") & t.contains("Producer")
-    longest = F.aggregate(F.filter(right_texts, lambda t: ~says(t)), F.lit(""), lambda acc, t: F.when(F.length(t) > F.length(acc), t).otherwise(acc))
-    own_image = F.get(F.get(F.col("cells"), column_of("name"))["images"], F.lit(0))
-    next_image = F.get(F.flatten(F.transform("_right", lambda c: c["images"])), F.lit(0))
-    return head.select(
-        "sheet_id", "row_idx", "era_name", "alt_names", "needs_backfill",
-        T.some(longest).alias("description"),
-        F.coalesce(T.timeline(F.col("notes")), F.array().cast("array<struct<date:string,event:string>>")).alias("timeline"),
-        T.some(T.strip(F.get(F.col("cells"), F.lit(0))["text"])).alias("stats_raw"),
-        F.coalesce(F.when((F.coalesce("name", F.lit("")) != "") & ~(F.col("name").startswith("(") & F.col("name").endswith(")")), own_image), next_image).alias("art_url"),
-        F.coalesce(_last_producers(F.filter(right_texts, says)), F.array().cast("array<string>")).alias("highlighted_producers"),
-    )
+HEAD = "struct<alt_names:array<string>,description:string,timeline:array<struct<date:string,event:string>>,stats_raw:string,art_url:string,highlighted_producers:array<string>>"
+_EVENTS = "array<struct<date:string,event:string>>"
+
+
+def _first_image(cells: Column) -> Column:
+    return F.get(F.flatten(F.transform(cells, lambda c: c["images"])), F.lit(0))
+
+
+def _header_content() -> Column:
+    """What a header row with statistics says: other names, description, timeline, statistics, art, producers."""
+
+    def read(right: Column) -> Column:
+        texts = F.filter(F.transform(right, lambda c: T.strip(c["text"])), lambda t: t != "")
+        says = lambda t: t.contains("Highlighted") & t.contains("Producer")
+        longest = F.aggregate(F.filter(texts, lambda t: ~says(t)), F.lit(""), lambda acc, t: F.when(F.length(t) > F.length(acc), t).otherwise(acc))
+        own_image = F.get(F.get(F.col("cells"), column_of("name"))["images"], F.lit(0))
+        named = (F.coalesce("name", F.lit("")) != "") & ~(F.col("name").startswith("(") & F.col("name").endswith(")"))
+        return F.struct(
+            F.col("alt_names").alias("alt_names"),
+            T.some(longest).alias("description"),
+            F.coalesce(T.timeline(F.col("notes")), F.array().cast(_EVENTS)).alias("timeline"),
+            T.some(T.strip(F.get(F.col("cells"), F.lit(0))["text"])).alias("stats_raw"),
+            F.coalesce(F.when(named, own_image), _first_image(right)).alias("art_url"),
+            F.coalesce(_last_producers(F.filter(texts, says)), F.array().cast("array<string>")).alias("highlighted_producers"),
+        ).cast(HEAD)
+
+    return T.let(F.slice("cells", column_of("notes") + 2, F.size("cells")), read)
+
+
+def _opener_content() -> Column:
+    """What other rows say that can open an era.
+
+    A name of several lines: its notes as description, its own image, else another cell's,
+    as art. A row with an era but no name: events of its notes, and the first image.
+    """
+    at = column_of("name")
+    others = F.filter("cells", lambda c, i: i != at)
+    own = F.get(F.get(F.col("cells"), at)["images"], F.lit(0))
+    none, events = F.array().cast("array<string>"), F.array().cast(_EVENTS)
+    empty = F.lit(None).cast("string")
+    by_name = F.struct(none, T.some(F.col("notes")), events, empty, F.coalesce(F.when(F.col("name_line") != "", own), _first_image(others)), none).cast(HEAD)
+    by_era = F.struct(none, empty, F.coalesce(T.timeline(F.col("notes")), events), empty, _first_image(F.col("cells")), none).cast(HEAD)
+    return F.when(F.col("era").isNull() & F.col("name").contains("\n"), by_name).when(F.col("era").isNotNull() & F.col("name").isNull(), by_era)
 
 
 def _last_producers(cells: Column) -> Column:
     return F.when(F.size(cells) > 0, T.highlighted_producers(F.element_at(cells, -1)))
 
 
-def classify_rows(projected: DataFrame) -> DataFrame:
-    """Narrow columns of every non-empty row, as the resolution of eras needs them; no shuffle."""
+CLASSES = (
+    "kind", "era", "n_filled", "first_text", "era_norm", "era_key", "era_plausible", "era_keys", "name_line", "name_multiline", "name_plausible", "name_keys", "line_keys",
+    "dynamic_label", "row_text", "version_name", "has_data", "is_label", "era_name", "needs_backfill", "header_keys",
+)
+
+
+def describe_rows(projected: DataFrame) -> DataFrame:
+    """All that later steps need of every row that is not empty, without its cells; a map over rows.
+
+    The columns of ``CLASSES`` for the resolution of eras, those of ``VERSION`` for songs,
+    and ``head`` for rows that can open an era.
+    """
     kind = F.when(is_section_separator(), "separator").when(is_era_header(), "header").when(is_footer(F.col("name")), "footer").otherwise("row")
     none, false = F.array().cast("array<string>"), F.lit(False)
     rows = with_version_columns(projected.filter(F.size("filled") > 0)).withColumns(
@@ -168,6 +204,12 @@ def classify_rows(projected: DataFrame) -> DataFrame:
         "version_name", "has_data", "is_label",
         F.when(is_head, F.col("era_name")).alias("era_name"), F.coalesce(F.when(is_head, F.col("needs_backfill")), false).alias("needs_backfill"),
         F.coalesce(F.when(is_head, register_keys(F.col("era_name"), F.col("alt_names"))), none).alias("header_keys"),
+        F.when(is_head, _header_content()).when(is_row, _opener_content()).alias("head"),
+        "version_tag", "badge", *T.CREDITS, "alt_titles", "notes",
+        T.og_filename(F.col("notes")).alias("og_filename"),
+        F.coalesce(T.samples(F.col("notes")), none).alias("samples"),
+        "track_length", "file_date", "leak_date", "available_length", "quality", "links",
+        "quality_color", "available_length_color", "date_of_recording", "type",
     )
 
 

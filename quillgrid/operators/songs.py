@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.functions.labels import BEST_OF, STREAM_HOSTS, first_streamable
+from quillgrid.functions.labels import BEST_OF, STREAM_HOSTS, first_streamable, streamable
 from quillgrid.functions.text import SECTION_LABELS, credit_notes, without_tag
 
 SONG = ["sheet_id", "era_idx", "base_name"]
@@ -42,9 +42,14 @@ def song_alt_titles(versions: DataFrame, order: str = "row_idx") -> DataFrame:
     return once.groupBy(*SONG).agg(F.array_sort(F.collect_list("f")).alias("_f")).withColumn("alt_titles", F.transform("_f", lambda f: f["alt"])).drop("_f")
 
 
-def first_streamable_versions(versions: DataFrame, order: str = "row_idx") -> DataFrame:
-    """``(…, link)`` of each song's first version with a streaming link."""
+def first_streamable_versions(versions: DataFrame, order: str = "row_idx", dialect: str = "web") -> DataFrame:
+    """``(…, link)`` of each song's first version with a streaming link.
+
+    ``ios`` passes over versions whose file or link is known to hold no sound.
+    """
     linked = versions.withColumn("_link", first_streamable(F.col("links"))).filter("_link is not null")
+    if dialect == "ios":
+        linked = linked.filter(streamable(F.col("links"), F.col("og_filename"), "ios"))
     return linked.groupBy(*SONG).agg(F.min(order).alias(order), F.min_by("_link", order).alias("link"))
 
 
@@ -96,6 +101,11 @@ def catalog_counts(versions: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def section_counts(sections: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, n_sections, n_named)``: sections, and those with a name."""
+    return sections.groupBy(*keys).agg(F.count("*").alias("n_sections"), F.count_if(F.coalesce(F.col("name"), F.lit("")) != "").alias("n_named"))
+
+
 def nest_catalog(versions: DataFrame, fields: list[str]) -> DataFrame:
     """``(sheet_id, n_versions, eras)``: eras of sections of songs of versions, each with its ordinal and counts.
 

@@ -44,6 +44,12 @@ def availability_stats(versions: DataFrame, keys: list[str], dialect: str = "web
     return out.withColumn("percent", F.floor(F.col("available") * 100 / F.col("total") + 0.5).cast("long"))
 
 
+def recents_card_stats(versions: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, available, snippets, confirmed)`` of a card in the list of recent sheets: a version may count as available and confirmed."""
+    length = F.lower(F.coalesce("available_length", F.lit("")))
+    return versions.groupBy(*keys).agg(_n(streamable(F.col("links"), F.col("og_filename"), "ios")).alias("available"), _n(length.contains("snippet")).alias("snippets"), _n(length.contains("confirmed")).alias("confirmed"))
+
+
 def total_stats(stats: DataFrame, keys: list[str]) -> DataFrame:
     """Sums of the eras' statistics."""
     return stats.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS])
@@ -97,6 +103,30 @@ def reconcile_stats(eras: DataFrame, versions: DataFrame) -> DataFrame:
     return out.withColumn("diff", F.col("parsed") - F.col("declared"))
 
 
+def declared_totals(eras: DataFrame) -> DataFrame:
+    """``(sheet_id, declared, parsed)``: totals of the eras that declare one, and the versions read in these."""
+    told = F.col("declared_total") > 0
+    return eras.groupBy("sheet_id").agg(F.coalesce(F.sum(F.when(told, F.col("declared_total"))), F.lit(0)).alias("declared"), F.coalesce(F.sum(F.when(told, F.col("n_versions"))), F.lit(0)).alias("parsed"))
+
+
+def reconcile_sheets(eras: DataFrame, sheet: DataFrame) -> DataFrame:
+    """``(sheet_id, n_match, n_mismatch, n_art, n_eras, …)``: per sheet, how eras and the sheet's own statistics agree.
+
+    Eras with a declared total match if it equals the versions read. For original files,
+    full and unavailable songs the eras' sum and the sheet's figure stand side by side.
+    """
+    told = F.col("stats_raw").isNotNull()
+    by = eras.groupBy("sheet_id").agg(
+        F.count_if(told & (F.col("declared_total") == F.col("n_versions"))).alias("n_match"),
+        F.count_if(told & (F.col("declared_total") != F.col("n_versions"))).alias("n_mismatch"),
+        F.count("art_url").alias("n_art"),
+        F.count("*").alias("n_eras"),
+        *[F.coalesce(F.sum(F.when(told, F.col(c))), F.lit(0)).alias(f"{c}_eras") for c in ("og_files", "full", "unavailable")],
+    )
+    own = sheet.select("sheet_id", *[F.col(c).alias(f"{c}_sheet") for c in ("og_files", "full", "unavailable")])
+    return by.join(own, "sheet_id", "left")
+
+
 def badge_counts(versions: DataFrame, keys: list[str]) -> DataFrame:
     return versions.filter("badge is not null").groupBy(*keys, "badge").agg(F.count("*").alias("n"))
 
@@ -105,3 +135,9 @@ def era_row_profile(rows: DataFrame, keys: list[str], name_col: str, filled: Col
     """``(keys, n_rows, n_named, n_nameless)`` of rows that are not empty."""
     named = F.coalesce(F.col(name_col), F.lit("")) != ""
     return rows.filter(filled).groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_if(named).alias("n_named"), F.count_if(~named).alias("n_nameless"))
+
+
+def nameless_rows(projected: DataFrame, chars: int = 40) -> DataFrame:
+    """``(sheet_id, row_idx, era, texts)`` of rows with texts but no name: what a reader may have missed."""
+    some = projected.filter((F.size("filled") > 0) & F.col("name").isNull())
+    return some.select("sheet_id", "row_idx", "era", F.transform("filled", lambda t: F.substring(t, 1, chars)).alias("texts"))

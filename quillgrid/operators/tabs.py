@@ -63,6 +63,18 @@ def artist_name(title: Column) -> Column:
     return F.coalesce(let(name, known), strip(title))
 
 
+def tab_artist(html: Column) -> Column:
+    """The artist that the first sheet tab of a page names: its text without the ends that say what a page is."""
+    names = F.regexp_extract_all(html, F.lit(r"(?i)class=\"[^\"]*sheet-tab[^\"]*\"[^>]*>([^<]+)<"), F.lit(1))
+    bare = F.transform(names, lambda n: reduce(_cut_end, SUFFIXES, strip(n)))
+    return F.get(F.filter(bare, lambda n: F.length(n) > 1), F.lit(0))
+
+
+def resolve_artist(override: Column, html: Column, title: Column) -> Column:
+    """The name given, else the one of a sheet tab, else the one of the page's title."""
+    return F.coalesce(some(override), tab_artist(html), artist_name(title))
+
+
 def select_tab(tabs: DataFrame) -> DataFrame:
     """``(workbook_id, gid, n_eras)`` of the tab to read, over ``(workbook_id, tab_ord, gid, role, n_eras, n_songs)``.
 

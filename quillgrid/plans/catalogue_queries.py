@@ -11,6 +11,8 @@ from quillgrid.operators import quality as dq
 from quillgrid.operators import resolve, search, songs, stats
 from quillgrid.operators.hashes import near_hash, near_hash_bands
 from quillgrid.plans.fixtures import V, eras, table, versions
+from quillgrid.scratch import new_folder
+from quillgrid.sources.feeds import read_report, write_report
 
 QUERIES, SQL = {}, {}
 HOST = r"list_filter(links, lambda x: regexp_matches(x, '(?i)^https?://(?:(?:www\.)?(?:pillows\.su|pillowcase\.su|(?:temp\.)?imgur\.gg)/f/|music\.froste\.lol/song/[a-f0-9]+|(?:www\.)?krakenfiles\.com/view/[A-Za-z0-9_-]+/file\.html)'))"
@@ -58,6 +60,12 @@ def song_first_streamable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return songs.first_streamable_versions(versions(spark, sf_dir))
 
 
+@query(V + f"SELECT {SONGS}, min(row_idx) AS row_idx, arg_min({HOST}[1], row_idx) AS link FROM v WHERE len({HOST}) > 0 AND og_filename IS NULL GROUP BY {SONGS}")
+def song_first_playable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-08, the other dialect: versions whose file is an archive are passed over."""
+    return songs.first_streamable_versions(versions(spark, sf_dir), dialect="ios")
+
+
 @query(V + f"SELECT sheet_id, row_idx, min(CASE WHEN len({HOST}) > 0 THEN row_idx END) OVER (PARTITION BY sheet_id, era_idx ORDER BY row_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_row FROM v")
 def version_next_streamable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN-06."""
@@ -93,7 +101,7 @@ def version_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions(spark, sf_dir).select("sheet_id", "row_idx", songs.content_hash(["quality", "base_name"]).alias("fingerprint"))
 
 
-_SECTIONS = "SELECT 'nation-' || c_nationkey AS sheet_id, c_nationkey::BIGINT AS era_idx, c_custkey AS section_idx, CASE WHEN c_custkey % 5 = 0 THEN 'Disc ' || c_custkey WHEN c_custkey % 7 = 0 THEN 'Demos' ELSE 'Part ' || c_custkey END AS name, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN 0 ELSE c_custkey % 4 + 1 END AS n_songs FROM customer"
+_SECTIONS = "SELECT 'book-' || (c_custkey // 40) AS sheet_id, (c_custkey // 40)::BIGINT AS era_idx, c_custkey AS section_idx, CASE WHEN c_custkey % 5 = 0 THEN 'Disc ' || c_custkey WHEN c_custkey % 7 = 0 THEN 'Demos' ELSE 'Part ' || c_custkey END AS name, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN 0 ELSE c_custkey % 4 + 1 END AS n_songs FROM customer"
 
 
 @query(
@@ -104,13 +112,21 @@ def section_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN-04."""
     c = F.col("c_custkey")
     s = table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("sheet_id"), F.col("c_nationkey").cast("long").alias("era_idx"), c.alias("section_idx"),
+        F.concat(F.lit("book-"), F.floor(c / 40).cast("string")).alias("sheet_id"), F.floor(c / 40).alias("era_idx"), c.alias("section_idx"),
         F.when(c % 5 == 0, F.concat(F.lit("Disc "), c.cast("string"))).when(c % 7 == 0, "Demos").otherwise(F.concat(F.lit("Part "), c.cast("string"))).alias("name"),
         F.when((c % 5 == 0) | (c % 7 == 0), 0).otherwise(c % 4 + 1).alias("n_songs"),
     )
     return songs.consolidate_groups(s).select("sheet_id", "section_idx", "name", F.col("group").alias("grp"))
 
 
+@query(f"WITH s AS ({_SECTIONS}) SELECT sheet_id, count(*) AS n_sections, count(*) FILTER (c % 6 > 0) AS n_named FROM (SELECT *, section_idx AS c FROM s) GROUP BY sheet_id")
+def section_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-02: sections and named ones."""
+    c = F.col("c_custkey")
+    s = table(spark, sf_dir, "customer").select(F.concat(F.lit("book-"), F.floor(c / 40).cast("string")).alias("sheet_id"), F.when(c % 6 > 0, F.col("c_name")).alias("name"))
+    return songs.section_counts(s, ["sheet_id"])
+
+
 # ---------------------------------------------------------------- statistics
 
 _PERCENT = "floor(100.0 * available / total + 0.5)::BIGINT AS percent"
@@ -143,6 +159,15 @@ def sheet_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.total_stats(stats.availability_stats(versions(spark, sf_dir), ["sheet_id", "era_idx"]), ["sheet_id"])
 
 
+_CARD = f"count(*) FILTER (len({HOST}) > 0 AND og_filename IS NULL) AS available, count(*) FILTER (available_length = 'Snippet') AS snippets, count(*) FILTER (available_length = 'Confirmed') AS confirmed"
+
+
+@query(V + f"SELECT sheet_id, {_CARD} FROM v GROUP BY sheet_id")
+def recents_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-04: the counts of a card, where a version may count twice."""
+    return stats.recents_card_stats(versions(spark, sf_dir), ["sheet_id"])
+
+
 @query(V + "SELECT sheet_id, era_idx, badge, count(*) AS n FROM v WHERE badge IS NOT NULL GROUP BY ALL")
 def era_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-08."""
@@ -158,7 +183,7 @@ def declared_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.declared_stats(p.select("p_partkey", text.alias("stats_raw"))).select("p_partkey", F.col("og_files").cast("long").alias("og_files"), F.col("full").alias("full_"), "partial", "snippets", "declared_total")
 
 
-@query(V + ", e AS (SELECT 'sheet-' || s_nationkey AS sheet_id, s_suppkey AS era_idx, 550 + s_suppkey % 9 AS declared FROM supplier) SELECT e.sheet_id, e.era_idx, declared, count(v.row_idx) AS parsed, count(v.row_idx) - declared AS diff FROM e LEFT JOIN v USING (sheet_id, era_idx) GROUP BY e.sheet_id, e.era_idx, declared")
+@query(V + ", e AS (SELECT 'sheet-' || s_suppkey AS sheet_id, s_suppkey AS era_idx, 550 + s_suppkey % 9 AS declared FROM supplier) SELECT e.sheet_id, e.era_idx, declared, count(v.row_idx) AS parsed, count(v.row_idx) - declared AS diff FROM e LEFT JOIN v USING (sheet_id, era_idx) GROUP BY e.sheet_id, e.era_idx, declared")
 def stats_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-13."""
     e = eras(spark, sf_dir).withColumn("declared_total", F.lit(550) + F.col("era_idx") % 9)
@@ -183,7 +208,10 @@ def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(versions(spark, sf_dir), " Red Widget", hide_snippets=True).select("sheet_id", "row_idx", "score")
 
 
-@query(V + "SELECT sheet_id, row_idx, CASE WHEN list_contains(alt_titles, 'ECONOMY') THEN 90 WHEN contains(name, 'economy') THEN 20 END AS score FROM v WHERE (sheet_id, era_idx, base_name) IN (SELECT sheet_id, era_idx, base_name FROM v WHERE list_contains(alt_titles, 'ECONOMY'))".replace("CASE WHEN list_contains(alt_titles, 'ECONOMY') THEN 90 WHEN contains(name, 'economy') THEN 20 END", "90"))
+VM = V.replace("WITH v AS (", "WITH v AS MATERIALIZED (")
+
+
+@query(VM + ", k AS MATERIALIZED (SELECT DISTINCT sheet_id, era_idx, base_name FROM v WHERE list_contains(alt_titles, 'ECONOMY')) SELECT v.sheet_id, v.row_idx, 90 AS score FROM v JOIN k ON v.sheet_id = k.sheet_id AND v.era_idx = k.era_idx AND v.base_name = k.base_name")
 def search_alternates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SR-01 on other titles."""
     return search.search(versions(spark, sf_dir), "economy").select("sheet_id", "row_idx", "score")
@@ -238,12 +266,26 @@ def era_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.filter_eras(eras(spark, sf_dir), versions(spark, sf_dir), "00000001").select("era_idx")
 
 
-@query(V + "SELECT sheet_id, row_idx FROM v WHERE available_length <> 'Snippet' AND (contains(lower(era_name), 'brand#2') OR contains(base_name, 'brand#2') OR (sheet_id, era_idx, base_name) IN (SELECT sheet_id, era_idx, base_name FROM v WHERE available_length <> 'Snippet' AND contains(lower(array_to_string(alt_titles, ' ')), 'brand#2')))")
+_BRAND = "k AS MATERIALIZED (SELECT DISTINCT sheet_id, era_idx, base_name FROM v WHERE available_length <> 'Snippet' AND (contains(base_name, 'brand#2') OR contains(lower(name), 'brand#2') OR contains(lower(array_to_string(alt_titles, ' ')), 'brand#2')))"
+
+
+@query(VM + f", {_BRAND} SELECT v.sheet_id, v.row_idx FROM v LEFT JOIN k ON v.sheet_id = k.sheet_id AND v.era_idx = k.era_idx AND v.base_name = k.base_name WHERE available_length <> 'Snippet' AND (contains(lower(era_name), 'brand#2') OR k.sheet_id IS NOT NULL)")
 def song_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-13."""
     return search.filter_songs(versions(spark, sf_dir), eras(spark, sf_dir), "brand#2", hide_snippets=True).select("sheet_id", "row_idx")
 
 
+@query(
+    VM + f", {_BRAND}, f AS (SELECT {SONGS}, arg_min(section_idx, row_idx) AS section_idx FROM v GROUP BY {SONGS}), a AS (SELECT DISTINCT sheet_id, era_idx, section_idx FROM v) "
+    "SELECT a.sheet_id, a.era_idx, a.section_idx, count(*) AS n_left FROM a JOIN f USING (sheet_id, era_idx, section_idx) JOIN k USING (sheet_id, era_idx, base_name) GROUP BY ALL"
+)
+def section_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-13 by sections: those without songs left are dropped."""
+    v = versions(spark, sf_dir)
+    listed = v.select("sheet_id", "era_idx", "section_idx").distinct()
+    return search.filter_sections(listed, v, eras(spark, sf_dir), "brand#2", hide_snippets=True)
+
+
 @query(V + "SELECT sheet_id, row_idx FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, era_idx ORDER BY row_idx) AS rn FROM v WHERE badge IS NOT NULL AND contains(name, 'bolt')) WHERE rn <= 3")
 def song_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-16, SR-07."""
@@ -253,7 +295,7 @@ def song_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- resolution
 
 
-@query("SELECT 'sheet-' || s_nationkey AS sheet_id, regexp_replace(lower(s_name), '[,.:;!?]+', ' ', 'g') AS key, s_suppkey AS era_idx FROM supplier UNION ALL SELECT 'sheet-' || s_nationkey, 'alt ' || substr(s_name, 16, 3), min(s_suppkey) FROM supplier GROUP BY 1, 2")
+@query("SELECT 'sheet-' || s_suppkey AS sheet_id, regexp_replace(lower(s_name), '[,.:;!?]+', ' ', 'g') AS key, s_suppkey AS era_idx FROM supplier UNION ALL SELECT 'sheet-' || s_suppkey, 'alt ' || substr(s_name, 16, 3), min(s_suppkey) FROM supplier GROUP BY 1, 2")
 def era_key_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-01."""
     return resolve.era_keys(eras(spark, sf_dir)).select("sheet_id", "key", "era_idx")
@@ -271,69 +313,76 @@ _WORDS = r"SELECT DISTINCT {id}, unnest(list_filter(string_split_regex(key, '\s+
 
 
 @query(
-    "WITH l AS (SELECT doc_id, lower(string_split(text, chr(10))[1]) AS key FROM documents), r AS (SELECT item_id, lower(string_split(text, chr(10))[1]) AS key FROM benchmark), "
-    f"lw AS ({_WORDS.format(id='doc_id', t='l')}), rw AS ({_WORDS.format(id='item_id', t='r')}), ln AS (SELECT doc_id, count(*) AS n FROM lw GROUP BY 1), rn AS (SELECT item_id, count(*) AS n FROM rw GROUP BY 1), "
-    "p AS (SELECT doc_id, item_id, count(*) AS shared FROM lw JOIN rw USING (w) GROUP BY 1, 2), s AS (SELECT doc_id, item_id, shared, shared / least(ln.n, rn.n) AS score FROM p JOIN ln USING (doc_id) JOIN rn USING (item_id)), "
-    "b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS k FROM s WHERE shared >= 2 AND score >= 0.5) SELECT doc_id, item_id, shared, round(score, 6) AS score FROM b WHERE k = 1"
+    "WITH l AS (SELECT min(p_partkey) AS id, p_name || ' ' || lower(p_type) AS key FROM part GROUP BY 2), r AS (SELECT min(p_partkey) AS other, p_name || ' ' || lower(p_brand) AS key FROM part GROUP BY 2), "
+    f"lw AS ({_WORDS.format(id='id', t='l')}), rw AS ({_WORDS.format(id='other', t='r')}), ln AS (SELECT id, count(*) AS n FROM lw GROUP BY 1), rn AS (SELECT other, count(*) AS n FROM rw GROUP BY 1), "
+    "p AS (SELECT id, other, count(*) AS shared FROM lw JOIN rw USING (w) GROUP BY 1, 2), s AS (SELECT id, other, shared, shared / least(ln.n, rn.n) AS score FROM p JOIN ln USING (id) JOIN rn USING (other)), "
+    "b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS k FROM s WHERE shared >= 2 AND score >= 0.5) SELECT id, other, shared, round(score, 6) AS score FROM b WHERE k = 1"
 )
 def fuzzy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-03 between first lines of documents and of benchmark items."""
-    first = lambda t, i: table(spark, sf_dir, t).select(i, F.lower(F.split("text", "\n")[0]).alias("key"))
-    return resolve.fuzzy_match(first("documents", "doc_id"), first("benchmark", "item_id"), "doc_id", "item_id").withColumn("score", F.round("score", 6))
+    """JN-03 between two spellings of titles, each distinct one once."""
+    p = table(spark, sf_dir, "part")
+    spelt = lambda col, name: p.select("p_partkey", F.concat_ws(" ", "p_name", F.lower(col)).alias("key")).groupBy("key").agg(F.min("p_partkey").alias(name))
+    return resolve.fuzzy_match(spelt("p_type", "id"), spelt("p_brand", "other"), "id", "other").withColumn("score", F.round("score", 6))
 
 
-@query("SELECT p_partkey, min(q.k) AS other FROM part, (SELECT p_partkey AS k, substr(p_name, 1, 1) || substr(string_split(p_name, ' ')[2], 1, 1) || lower(substr(p_type, 1, 1)) AS a FROM part) q WHERE part.p_partkey % 10 = 0 AND q.a = substr(p_name, 1, 1) || substr(string_split(p_name, ' ')[2], 1, 1) || lower(substr(p_type, 1, 1)) GROUP BY 1")
+@query("WITH q AS MATERIALIZED (SELECT p_partkey, substr(p_name, 1, 1) || substr(string_split(p_name, ' ')[2], 1, 1) || lower(substr(p_type, 1, 1)) AS a FROM part), m AS (SELECT a, min(p_partkey) AS other FROM q GROUP BY a) SELECT p_partkey, other FROM q JOIN m USING (a)")
 def acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-04."""
     p = table(spark, sf_dir, "part").withColumn("key", F.concat_ws(" ", "p_name", F.lower("p_type")))
-    short = p.filter("p_partkey % 10 = 0").select("p_partkey", resolve.T.acronym(F.col("key")).alias("key"))
+    short = p.select("p_partkey", resolve.T.acronym(F.col("key")).alias("key"))
     return resolve.acronym_match(short, p.select(F.col("p_partkey").alias("other"), "key"), "p_partkey", "other")
 
 
-@query("SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+@query(
+    "WITH u AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'), idle AS (SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT k FROM u)) "
+    "SELECT idle.k, count(u.k) AS n_near FROM idle LEFT JOIN u ON u.k // 10 = idle.k // 10 AND (contains('c' || u.k || 'c', 'c' || idle.k || 'c') OR contains('c' || idle.k || 'c', 'c' || u.k || 'c')) GROUP BY idle.k"
+)
 def unused_era_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-12 (the anti-join part)."""
-    keys = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("sheet_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("key"))
-    used = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").cast("string").alias("sheet_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("key")).distinct()
-    return resolve.unused_keys(keys, used).select(F.substring("key", 2, 20).cast("long").alias("k"))
+    """JN-12: idle keys, and the used ones of their sheet that are close to them."""
+    key = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"), F.lit("c")).alias("key")
+    sheet = lambda c: F.floor(F.col(c) / 10).cast("string").alias("sheet_id")
+    keys = table(spark, sf_dir, "customer").select(sheet("c_custkey"), key("c_custkey"))
+    used = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(sheet("o_custkey"), key("o_custkey")).distinct()
+    return resolve.unused_keys(keys, used).select(F.regexp_extract("key", "[0-9]+", 0).cast("long").alias("k"), F.size("near_misses").cast("long").alias("n_near"))
 
 
 @query(
-    """WITH e AS (SELECT s_nationkey, s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 1 END AS n, lead(s_suppkey) OVER w AS nx, lead(CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 1 END) OVER w AS nn FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)),
-m AS (SELECT s_nationkey, s_suppkey, nx FROM e WHERE n = 0 AND nn > 0)
-SELECT 'sheet-' || e.s_nationkey AS sheet_id, e.s_suppkey AS era_idx, CASE WHEN m.s_suppkey IS NULL THEN 'Rodeo ' || e.s_suppkey WHEN length('Rodeo ' || m.s_suppkey || ' The Whole') > length('Rodeo ' || e.s_suppkey) THEN 'Rodeo ' || m.s_suppkey || ' The Whole' END AS name,
-CASE WHEN m.s_suppkey IS NULL THEN NULL ELSE 'about ' || m.s_suppkey END AS description
-FROM e LEFT JOIN m ON m.s_nationkey = e.s_nationkey AND m.nx = e.s_suppkey WHERE (e.s_nationkey, e.s_suppkey) NOT IN (SELECT s_nationkey, s_suppkey FROM m)""".replace("CASE WHEN m.s_suppkey IS NULL THEN 'Rodeo ' || e.s_suppkey", "CASE WHEN m.s_suppkey IS NULL THEN 'Rodeo ' || e.s_suppkey || CASE WHEN e.s_suppkey % 5 = 0 THEN ' The Whole' ELSE '' END").replace("CASE WHEN m.s_suppkey IS NULL THEN NULL", "CASE WHEN m.s_suppkey IS NULL THEN CASE WHEN e.s_suppkey % 5 = 0 THEN 'about ' || e.s_suppkey END")
+    """WITH e AS (SELECT s_suppkey // 20 AS book, s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 1 END AS n, lead(s_suppkey) OVER w AS nx, lead(CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 1 END) OVER w AS nn FROM supplier WINDOW w AS (PARTITION BY s_suppkey // 20 ORDER BY s_suppkey)),
+m AS (SELECT book, s_suppkey, nx FROM e WHERE n = 0 AND nn > 0)
+SELECT 'book-' || e.book AS sheet_id, e.s_suppkey AS era_idx, CASE WHEN m.s_suppkey IS NULL THEN 'Rodeo ' || e.s_suppkey WHEN length('Rodeo ' || m.s_suppkey || ' The Whole') > length('Rodeo ' || e.s_suppkey) THEN 'Rodeo ' || m.s_suppkey || ' The Whole' END AS name,
+CASE WHEN m.s_suppkey IS NULL THEN NULL ELSE 'about ' || m.s_suppkey END AS description, 'a' || e.s_suppkey || CASE WHEN m.s_suppkey IS NULL THEN '' ELSE '|a' || m.s_suppkey END AS alts
+FROM e LEFT JOIN m ON m.book = e.book AND m.nx = e.s_suppkey WHERE (e.book, e.s_suppkey) NOT IN (SELECT book, s_suppkey FROM m)""".replace("CASE WHEN m.s_suppkey IS NULL THEN 'Rodeo ' || e.s_suppkey", "CASE WHEN m.s_suppkey IS NULL THEN 'Rodeo ' || e.s_suppkey || CASE WHEN e.s_suppkey % 5 = 0 THEN ' The Whole' ELSE '' END").replace("CASE WHEN m.s_suppkey IS NULL THEN NULL", "CASE WHEN m.s_suppkey IS NULL THEN CASE WHEN e.s_suppkey % 5 = 0 THEN 'about ' || e.s_suppkey END")
 )
 def stub_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-14: empty eras go into the next one of the same first word."""
+    """JN-14: empty eras go into the next one of the same first word; other names are joined (ST-03)."""
     s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
     stub = k % 5 == 0
     e = s.select(
-        F.concat(F.lit("sheet-"), F.col("s_nationkey").cast("string")).alias("sheet_id"), k.alias("era_idx"), F.concat(F.lit("Rodeo "), k.cast("string"), F.when(stub, " The Whole").otherwise("")).alias("name"),
+        F.concat(F.lit("book-"), F.floor(k / 20).cast("string")).alias("sheet_id"), k.alias("era_idx"), F.concat(F.lit("Rodeo "), k.cast("string"), F.when(stub, " The Whole").otherwise("")).alias("name"),
         F.array(F.concat(F.lit("a"), k.cast("string"))).alias("alt_names"), F.when(stub, F.concat(F.lit("about "), k.cast("string"))).alias("description"),
         F.lit(None).cast("string").alias("art_url"), F.lit(None).cast("string").alias("stats_raw"), F.array().cast("array<struct<date:string,event:string>>").alias("timeline"), F.when(stub, 0).otherwise(1).alias("n_songs"),
     )
-    return resolve.merge_stub_eras(e).select("sheet_id", "era_idx", "name", "description")
+    return resolve.merge_stub_eras(e).select("sheet_id", "era_idx", "name", "description", F.array_join("alt_names", "|").alias("alts"))
 
 
-_SIGN = "SELECT vec_id, list_sum([CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END for i in range(1, 61)])::BIGINT AS h FROM embeddings"
+_SIGN = "SELECT vec_id, CASE WHEN b >= 9223372036854775808 THEN b - 18446744073709551616 ELSE b END::BIGINT AS h FROM (SELECT vec_id, list_sum([CASE WHEN embedding[i] > 0 THEN 1::HUGEINT << (i - 1) ELSE 0 END for i in range(1, 65)])::HUGEINT AS b FROM embeddings)"
 
 
 def _signs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(59)), F.lit(0).cast("long"), lambda acc, i: acc + F.when(F.get(F.col("embedding"), i) > 0, F.expr("1L")).otherwise(F.lit(0)) * F.pow(F.lit(2), i).cast("long"))
+    """The signs of a vector's 64 components as the bits of a number."""
+    bits = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.when(F.get(F.col("embedding"), i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", bits.alias("hash"))
 
 
-@query(f"WITH s AS ({_SIGN}) SELECT a.vec_id AS one, b.vec_id AS two, bit_count(xor(a.h, b.h))::BIGINT AS distance FROM s a JOIN s b ON a.vec_id % 100 = b.vec_id % 100 AND bit_count(xor(a.h, b.h)) <= 26")
+@query(f"WITH s AS ({_SIGN}) SELECT a.vec_id AS one, b.vec_id AS two, bit_count(xor(a.h, b.h))::BIGINT AS distance FROM s a JOIN s b ON a.vec_id // 8 = b.vec_id // 8 AND bit_count(xor(a.h, b.h)) <= 28")
 def hash_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-15: sign hashes of vectors."""
-    s = _signs(spark, sf_dir).withColumn("k", F.col("vec_id") % 100)
-    pairs = near_hash(s.select("k", F.col("vec_id").alias("one"), "hash"), s.select("k", F.col("vec_id").alias("two"), F.col("hash").alias("other_hash")), "k", 26)
+    """JN-15: sign hashes of vectors of one key, as of the few pictures of one era."""
+    s = _signs(spark, sf_dir).withColumn("k", F.floor(F.col("vec_id") / 8))
+    pairs = near_hash(s.select("k", F.col("vec_id").alias("one"), "hash"), s.select("k", F.col("vec_id").alias("two"), F.col("hash").alias("other_hash")), "k", 28)
     return pairs.select("one", "two", F.col("distance").cast("long").alias("distance"))
 
 
-@query(f"WITH s AS ({_SIGN}) SELECT a.vec_id AS one, b.vec_id AS two, bit_count(xor(a.h, b.h))::BIGINT AS distance FROM s a, s b WHERE bit_count(xor(a.h, b.h)) <= 10")
+@query(f"WITH s AS MATERIALIZED ({_SIGN}) SELECT a.vec_id AS one, b.vec_id AS two, bit_count(xor(a.h, b.h))::BIGINT AS distance FROM s a, s b WHERE bit_count(xor(a.h, b.h)) <= 10")
 def hash_distance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-15 without a key, by bands."""
     s = _signs(spark, sf_dir)
@@ -342,9 +391,11 @@ def hash_distance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- quality sweep
 
-_SHEETS = """s AS (SELECT c_nationkey AS sheet_id, count(*) FILTER (c_acctbal > 5000) AS n_eras, count(*) FILTER (c_acctbal > 9000) AS n_songs, list(c_name ORDER BY c_custkey) FILTER (c_custkey % 40 = 0) AS zero_eras,
-list(c_mktsegment ORDER BY c_custkey) FILTER (c_custkey % 10 = 0) AS era_names, count(*) AS total_rows, count(*) FILTER (c_acctbal > 0) AS song_rows, count(*) FILTER (c_acctbal < 600) AS skipped_rows,
-count(*) FILTER (c_acctbal > 7800) AS fuzzy_rows, count(*) FILTER (c_custkey % 2 = 0) AS declared, count(*) FILTER (c_custkey % 3 = 0) AS parsed FROM customer GROUP BY c_nationkey)"""
+_SHEETS = """s AS (SELECT c_custkey // 60 AS sheet_id, count(*) FILTER (c_acctbal > 5000) AS n_eras, count(*) FILTER (c_acctbal > 9000) AS n_songs, list(c_name ORDER BY c_custkey) FILTER (c_custkey % 40 = 0) AS zero_eras,
+list(CASE WHEN c_custkey % 180 = 0 THEN 'Changelog' ELSE c_mktsegment END ORDER BY c_custkey) FILTER (c_custkey % 20 = 0) AS era_names, list('Part ' || c_custkey ORDER BY c_custkey) FILTER (c_custkey % 90 = 7) AS section_names,
+list('Row ' || c_custkey || CASE WHEN c_custkey % 100 = 9 THEN ': Guest Verses' ELSE ': stray' END ORDER BY c_custkey) FILTER (c_acctbal < 600 OR (c_custkey // 60) % 5 = 0) AS unmatched,
+count(*) AS total_rows, count(*) FILTER (c_acctbal > 0) AS song_rows, count(*) FILTER (c_acctbal < 600) AS skipped_rows,
+count(*) FILTER (c_acctbal > 7800) AS fuzzy_rows, count(*) FILTER (c_custkey % 2 = 0) AS declared, count(*) FILTER (c_custkey % 60 < 23 + (c_custkey // 60) % 3) AS parsed FROM customer GROUP BY c_custkey // 60)"""
 _ISSUES = (
     _SHEETS
     + """, d AS (SELECT sheet_id, (SELECT count(*) FROM (SELECT unnest(coalesce(era_names, []::VARCHAR[])) AS x) GROUP BY lower(x) HAVING count(*) > 1 LIMIT 1) IS NOT NULL AS dup FROM s),
@@ -354,18 +405,21 @@ i AS (SELECT sheet_id, unnest(list_filter([
   CASE WHEN len(zero_eras) BETWEEN 1 AND 2 THEN 'ZERO_SONG_ERAS:WARNING' WHEN len(zero_eras) > 2 THEN 'ZERO_SONG_ERAS:CRITICAL' END,
   CASE WHEN n_eras >= 3 AND n_songs / n_eras < 3 THEN 'LOW_SONG_RATIO:WARNING' END, CASE WHEN n_eras > 40 THEN 'MANY_ERAS:INFO' END,
   CASE WHEN song_rows > 0 AND fuzzy_rows / song_rows > 0.2 THEN 'HIGH_FUZZY:WARNING' END, CASE WHEN dup THEN 'DUPLICATE_ERAS:WARNING' END,
-  CASE WHEN declared > 0 AND abs(parsed - declared) / declared > 0.25 THEN 'STATS_MISMATCH:WARNING' END], lambda x: x IS NOT NULL)) AS issue FROM s JOIN d USING (sheet_id))"""
+  CASE WHEN declared > 0 AND parsed > 0 AND abs(parsed - declared) / parsed > 0.25 THEN 'STATS_MISMATCH:WARNING' END, CASE WHEN list_contains(era_names, 'Changelog') THEN 'BOGUS_ERAS:WARNING' END, CASE WHEN len(list_filter(unmatched, lambda t: contains(t, 'Guest'))) > 0 THEN 'LOST_SECTIONS:INFO' END, CASE WHEN len(section_names) > 0 THEN 'SECTIONS_FOUND:INFO' END], lambda x: x IS NOT NULL)) AS issue FROM s JOIN d USING (sheet_id))"""
 )
 
 
 def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty customers as a sheet."""
     c, k, b = table(spark, sf_dir, "customer"), F.col("c_custkey"), F.col("c_acctbal")
-    names = lambda col, cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("c_custkey", F.col(col).alias("n"))))), lambda s: s["n"])
-    none = F.array().cast("array<string>")
-    return c.groupBy(F.col("c_nationkey").alias("sheet_id")).agg(
-        F.count_if(b > 5000).alias("n_eras"), F.count_if(b > 9000).alias("n_songs"), names("c_name", k % 40 == 0).alias("zero_eras"), names("c_mktsegment", k % 10 == 0).alias("era_names"), none.alias("section_names"),
-        F.count("*").alias("total_rows"), F.count_if(b > 0).alias("song_rows"), F.count_if(b < 600).alias("skipped_rows"), F.count_if(b > 7800).alias("fuzzy_rows"), none.alias("unmatched"),
-        F.count_if(k % 2 == 0).alias("declared"), F.count_if(k % 3 == 0).alias("parsed"),
+    names = lambda text, cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("c_custkey", text.alias("n"))))), lambda s: s["n"])
+    book = F.floor(k / 60)
+    return c.groupBy(book.alias("sheet_id")).agg(
+        F.count_if(b > 5000).alias("n_eras"), F.count_if(b > 9000).alias("n_songs"), names(F.col("c_name"), k % 40 == 0).alias("zero_eras"),
+        names(F.when(k % 180 == 0, "Changelog").otherwise(F.col("c_mktsegment")), k % 20 == 0).alias("era_names"), names(F.concat(F.lit("Part "), k.cast("string")), k % 90 == 7).alias("section_names"),
+        F.count("*").alias("total_rows"), F.count_if(b > 0).alias("song_rows"), F.count_if(b < 600).alias("skipped_rows"), F.count_if(b > 7800).alias("fuzzy_rows"),
+        names(F.concat(F.lit("Row "), k.cast("string"), F.when(k % 100 == 9, ": Guest Verses").otherwise(": stray")), (b < 600) | (book % 5 == 0)).alias("unmatched"),
+        F.count_if(k % 2 == 0).alias("declared"), F.count_if(k % 60 < 23 + book % 3).alias("parsed"),
     )
 
 
@@ -388,23 +442,26 @@ def quality_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dq.issue_frequency(dq.run_checks(_sheets(spark, sf_dir)))
 
 
-_STATUS = "CASE WHEN n_eras = 0 OR n_songs = 0 OR skipped_rows / total_rows > 0.2 THEN 'fail' WHEN skipped_rows / total_rows > 0.05 OR len(zero_eras) > 3 OR (n_eras > 2 AND n_songs / n_eras < 1) THEN 'warn' ELSE 'ok' END"
+_STATUS = """CASE WHEN sheet_id % 11 = 3 THEN CASE WHEN sheet_id % 2 = 0 THEN 'skip' ELSE 'error' END WHEN sheet_id % 11 = 5 THEN 'skip' WHEN sheet_id % 11 = 7 THEN CASE WHEN sheet_id % 2 = 0 THEN 'skip' ELSE 'fail' END WHEN sheet_id % 11 = 9 THEN 'error'
+WHEN n_eras = 0 OR n_songs = 0 OR skipped_rows / total_rows > 0.2 THEN 'fail' WHEN skipped_rows / total_rows > 0.05 OR len(zero_eras) > 3 OR (n_eras > 2 AND n_songs / n_eras < 1) THEN 'warn' ELSE 'ok' END"""
 
 
 @query(f"WITH {_SHEETS}, t AS (SELECT *, {_STATUS} AS status FROM s) SELECT status, count(*) AS n_sheets, sum(n_eras)::BIGINT AS n_eras, sum(n_songs)::BIGINT AS n_songs, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM t GROUP BY status")
 def quality_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DQ-14, AG-10."""
-    s = _sheets(spark, sf_dir)
+    """DQ-14, AG-10: sheets that were read and sheets that were not, some of them abandoned."""
+    k = F.col("sheet_id")
+    error = F.when(k % 11 == 3, "network").when(k % 11 == 5, "access_denied").when(k % 11 == 7, "no_tables").when(k % 11 == 9, "odd")
+    s = _sheets(spark, sf_dir).withColumns({"error": error, "links_work": k % 2, "updated": F.lit(0)})
     return dq.corpus_totals(s.join(dq.status_by_rules(s), "sheet_id"))
 
 
-@query(f"WITH {_SHEETS} SELECT sheet_id::BIGINT AS sheet_id, CASE WHEN n_eras = 0 THEN 'FAIL_NO_ERAS' WHEN n_songs = 0 THEN 'FAIL_NO_SONGS' ELSE 'OK' END AS verdict FROM s")
+@query(f"WITH {_SHEETS} SELECT sheet_id::BIGINT AS sheet_id, CASE WHEN n_eras = 0 THEN 'FAIL_NO_ERAS' WHEN n_songs = 0 THEN 'FAIL_NO_SONGS' WHEN least(coalesce(len(unmatched), 0), 50) > 0.3 * song_rows THEN 'WARN_MANY_UNMATCHED' ELSE 'OK' END AS verdict FROM s")
 def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DQ-15."""
     return dq.verdict_of(_sheets(spark, sf_dir)).withColumn("sheet_id", F.col("sheet_id").cast("long"))
 
 
-@query("SELECT 'sheet-' || s_nationkey AS sheet_id, count(*) AS n_eras, count(*) FILTER (s_acctbal > 3000) AS n_art, round(avg((s_acctbal > 3000)::INT), 4) AS coverage FROM supplier GROUP BY ALL")
+@query("SELECT 'sheet-' || s_suppkey AS sheet_id, count(*) AS n_eras, count(*) FILTER (s_acctbal > 3000) AS n_art, round(avg((s_acctbal > 3000)::INT), 4) AS coverage FROM supplier GROUP BY ALL")
 def quality_art(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DQ-16."""
     return dq.art_coverage(eras(spark, sf_dir).withColumn("art_url", F.when(F.col("s_acctbal") > 3000, F.col("name"))))
@@ -420,6 +477,17 @@ def quality_empty_eras(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dq.categorize_empty(c.select(F.col("c_nationkey").alias("sheet_id"), name.alias("name"), F.lit(0).alias("n_songs")))
 
 
+@query(f"WITH {_ISSUES}, t AS (SELECT *, {_STATUS} AS status FROM s) SELECT t.sheet_id::VARCHAR AS sheet_id, status, n_eras, count(i.issue) AS n_issues FROM t LEFT JOIN i USING (sheet_id) WHERE status IN ('ok', 'warn') GROUP BY ALL")
+def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-09/10: a report written as records and read back; only passed sheets count."""
+    k, path = F.col("sheet_id"), new_folder(spark, "report")
+    error = F.when(k % 11 == 3, "network").when(k % 11 == 5, "access_denied").when(k % 11 == 7, "no_tables").when(k % 11 == 9, "odd")
+    s = _sheets(spark, sf_dir).withColumns({"error": error, "links_work": k % 2, "updated": F.lit(0)})
+    results = s.join(dq.status_by_rules(s), "sheet_id").select("sheet_id", F.lit("n").alias("name"), "status", "n_eras", "n_songs")
+    write_report(dq.report_rows(results, dq.run_checks(s)), path)
+    return read_report(spark, path).select("sheet_id", "status", "n_eras", F.greatest(F.coalesce(F.size("issues"), F.lit(0)), F.lit(0)).cast("long").alias("n_issues"))
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus IN ('O', 'P'))")
 def pending_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-10, SRC-10's rule: what has not passed."""
@@ -449,20 +517,25 @@ def favourites_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fav.favourites_state(favourite_events(spark, sf_dir)).select("user_id", "artist_slug", "era_name", F.date_format("added_at", "yyyy-MM-dd HH:mm:ss").alias("added_at"))
 
 
-@query(f"WITH {_FAV_STATE} SELECT user_id, artist_slug, count(*) AS n, strftime(max(added_at), '%Y-%m-%d %H:%M:%S') AS latest, arg_max(era_name, added_at) AS newest_era FROM st GROUP BY ALL")
+@query(
+    f"WITH {_FAV_STATE} SELECT user_id, artist_slug, count(*) AS n, strftime(max(added_at), '%Y-%m-%d %H:%M:%S') AS latest, arg_max(era_name, added_at) AS newest_era, 'Name of ' || artist_slug AS artist_name, "
+    "'https://x/' || arg_max(era_name, added_at) AS source_url, 'art-' || arg_max(era_name, added_at) AS newest_art FROM st GROUP BY ALL"
+)
 def favourites_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-12."""
-    n = fav.favourites_by_artist(fav.favourites_state(favourite_events(spark, sf_dir)))
-    return n.select("user_id", "artist_slug", "n", F.date_format("latest", "yyyy-MM-dd HH:mm:ss").alias("latest"), F.col("eras")[0]["era_name"].alias("newest_era"))
+    """AG-12: with the artist's name and source, and the eras' art, of the newest entry."""
+    held = fav.favourites_state(favourite_events(spark, sf_dir))
+    told = held.withColumns({"artist_name": F.concat(F.lit("Name of "), "artist_slug"), "source_url": F.concat(F.lit("https://x/"), "era_name"), "era_art": F.concat(F.lit("art-"), "era_name")})
+    n = fav.favourites_by_artist(told)
+    return n.select("user_id", "artist_slug", "n", F.date_format("latest", "yyyy-MM-dd HH:mm:ss").alias("latest"), F.col("eras")[0]["era_name"].alias("newest_era"), "artist_name", "source_url", F.col("eras")[0]["era_art"].alias("newest_art"))
 
 
-@query(V + ", k AS (SELECT DISTINCT 'sheet-' || (o_custkey % 25) AS sheet_id, 'Supplier#' || lpad((o_orderkey % 50)::VARCHAR, 9, '0') AS era_name FROM orders) SELECT v.sheet_id, v.row_idx, k.sheet_id IS NOT NULL AND base_name LIKE 'red%' AS is_favourite FROM v LEFT JOIN k ON k.sheet_id = v.sheet_id AND k.era_name = v.era_name")
+@query(V + ", k AS (SELECT DISTINCT 'sheet-' || (o_custkey % 50) AS sheet_id, 'Supplier#' || lpad((o_custkey % 50)::VARCHAR, 9, '0') AS era_name FROM orders) SELECT v.sheet_id, v.row_idx, k.sheet_id IS NOT NULL AND base_name LIKE 'red%' AS is_favourite FROM v LEFT JOIN k ON k.sheet_id = v.sheet_id AND k.era_name = v.era_name")
 def favourite_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-09: base names with a tag find their favourites."""
     v = versions(spark, sf_dir)
     names = v.select("base_name").distinct().filter("base_name like 'red%'")
     o = table(spark, sf_dir, "orders")
-    keys = o.select(F.concat(F.lit("sheet-"), (F.col("o_custkey") % 25).cast("string")).alias("artist_slug"), F.concat(F.lit("Supplier#"), F.lpad((F.col("o_orderkey") % 50).cast("string"), 9, "0")).alias("era_name")).distinct()
+    keys = o.select(F.concat(F.lit("sheet-"), (F.col("o_custkey") % 50).cast("string")).alias("artist_slug"), F.concat(F.lit("Supplier#"), F.lpad((F.col("o_custkey") % 50).cast("string"), 9, "0")).alias("era_name")).distinct()
     tagged = v.withColumns({"artist_slug": F.col("sheet_id"), "base_name": F.concat("base_name", F.lit(" [V2]"))})
     liked = keys.join(v.select(F.col("sheet_id").alias("artist_slug"), "era_name", "base_name").distinct(), ["artist_slug", "era_name"]).join(names, "base_name", "left_semi")
     return fav.favourites_join(tagged, liked).select("sheet_id", "row_idx", "is_favourite")
@@ -474,6 +547,21 @@ def recent_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fav.recent_views(table(spark, sf_dir, "events"), "user_id").select("user_id", "n_views", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("last_view"))
 
 
+@query(
+    VM + f", c AS (SELECT sheet_id, {_CARD}, count(DISTINCT (era_idx, base_name)) AS n_songs FROM v GROUP BY sheet_id), w AS (SELECT 'sheet-' || (user_id % 100) AS sheet_id, max(ts) AS ts, count(*) AS n_views FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20), "
+    "a AS (SELECT 'sheet-' || s_suppkey AS sheet_id, s_name AS artist_name, CASE WHEN s_acctbal > 3000 THEN 'art of ' || s_name END AS art_url FROM supplier) "
+    "SELECT w.sheet_id, n_views, artist_name, art_url, c.n_songs, available, snippets, confirmed FROM w LEFT JOIN a USING (sheet_id) LEFT JOIN c USING (sheet_id)"
+)
+def recent_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN-08: the cards of the sheets viewed last, with their covers."""
+    v = versions(spark, sf_dir)
+    views = table(spark, sf_dir, "events").select("ts", F.concat(F.lit("sheet-"), (F.col("user_id") % 100).cast("string")).alias("sheet_id"))
+    e = eras(spark, sf_dir)
+    named = e.select("sheet_id", F.col("name").alias("artist_name"), F.col("name").alias("slug"), F.when(F.col("s_acctbal") > 3000, F.concat(F.lit("art of "), "name")).alias("art_url"))
+    artists = named.join(songs.catalog_counts(v, ["sheet_id"]).select("sheet_id", "n_songs"), "sheet_id", "left")
+    return fav.recent_cards(views, artists, stats.recents_card_stats(v, ["sheet_id"])).select("sheet_id", "n_views", "artist_name", "art_url", "n_songs", "available", "snippets", "confirmed")
+
+
 @query(V + f"SELECT sheet_id, row_idx, {HOST}[1] AS link FROM v")
 def streamable_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-14's link rule."""

@@ -14,8 +14,8 @@ QUALITIES = "CASE l_returnflag WHEN 'A' THEN 'High Quality (HQ)' WHEN 'R' THEN '
 BADGES = "CASE p_size % 10 WHEN 0 THEN 'best' WHEN 1 THEN 'special' WHEN 2 THEN 'worst' END"
 
 _COLUMNS = f"""
-  concat('sheet-', CAST(s_nationkey AS STRING)) AS sheet_id, CAST(l_suppkey AS BIGINT) AS era_idx, s_name AS era_name, CAST(p_size % 4 AS BIGINT) AS section_idx,
-  CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY {ORDER}) AS BIGINT) AS row_idx,
+  concat('sheet-', CAST(l_suppkey AS STRING)) AS sheet_id, CAST(l_suppkey AS BIGINT) AS era_idx, s_name AS era_name, CAST(p_size % 4 AS BIGINT) AS section_idx,
+  CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY {ORDER}) AS BIGINT) AS row_idx,
   p_name AS base_name, concat(p_name, ' take ', CAST(l_linenumber AS STRING)) AS name, {BADGES} AS badge, {LENGTHS} AS available_length, {QUALITIES} AS quality,
   CASE WHEN l_discount < 0.03 THEN concat(p_name, '.zip') END AS og_filename, CAST(NULL AS STRING) AS notes, p_brand AS producers"""
 
@@ -42,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A nation's suppliers as a sheet's eras, their line items as versions of the parts' songs."""
+    """A supplier as a sheet with one era, its line items as versions of the parts' songs."""
     tables = {t: table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier")}
     return spark.sql(SPARK_VERSIONS, **tables)
 
@@ -51,7 +51,7 @@ def eras(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as eras, some without songs."""
     s = table(spark, sf_dir, "supplier")
     return s.select(
-        F.concat(F.lit("sheet-"), F.col("s_nationkey").cast("string")).alias("sheet_id"), F.col("s_suppkey").alias("era_idx"), F.col("s_name").alias("name"),
+        F.concat(F.lit("sheet-"), F.col("s_suppkey").cast("string")).alias("sheet_id"), F.col("s_suppkey").alias("era_idx"), F.col("s_name").alias("name"),
         F.array(F.concat(F.lit("Alt "), F.substring("s_name", 16, 3))).alias("alt_names"), F.col("s_acctbal"),
     )
 
@@ -79,9 +79,91 @@ def rendered_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = "<html><head><style>.s7{background-color:#4CAF50;}.s8{background-color:#fff}</style></head><body><table><tr><td colspan=\"6\">Sheet of the supplier &#9733; all links are down, no ETA</td></tr><tr><td>Era</td><td>Name (and credits)</td><td>Notes</td><td>Available Length</td><td>Quality</td><td>Link(s)</td></tr>"
     foot = "<tr><td></td><td>Changelogs</td><td></td></tr><tr><td>x</td><td>y</td></tr></table></body></html>"
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return sheets.repartition(tasks, "l_suppkey").select(F.concat(F.lit("sup-"), F.col("l_suppkey").cast("string")).alias("sheet_id"), F.concat(F.lit(top), F.col("body"), F.lit(foot)).alias("html"))
+    return sheets.repartition(tasks, F.xxhash64("l_suppkey")).select(F.concat(F.lit("sup-"), F.col("l_suppkey").cast("string")).alias("sheet_id"), F.concat(F.lit(top), F.col("body"), F.lit(foot)).alias("html"))
 
 
 SHEET_ITEMS = f"""WITH i AS (SELECT 'sup-' || l_suppkey AS sheet_id, p_type AS era, p_name AS name, l_linenumber, {BADGES} AS badge0, p_size, p_brand, {LENGTHS} AS available_length, {QUALITIES} AS quality,
   l_partkey, l_orderkey, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey)
 """
+
+
+# ---------------------------------------------------------------- sheets of several layouts
+
+#: Header texts and fields of four layouts; supplier k has layout k % 4.
+LAYOUTS = (
+    (("Era", "era"), ("Name (and credits)", "name"), ("Notes", "notes"), ("Available Length", "available_length"), ("Quality", "quality"), ("Link(s)", "links")),
+    (("Era", "era"), ("Title", "name"), ("Track Number / Info", "notes"), ("Portion", "available_length"), ("Quality", "quality"), ("Main Link", "links"), ("Mirror Links", "alt_links")),
+    (("Era", "era"), ("Song Name<br>(join us at discord)", "name"), ("Notes &amp; Information", "notes"), ("Leak Date", "leak_date"), ("Currently Available", "available_length"), ("See below<br>Quality", "quality"), ("Downloads", "links")),
+    (("Era", "era"), ("Name", "name"), ("Info", "notes"), ("Quality of file", "quality"), ("Links to files", "links"), ("Streaming?", "streaming")),
+)
+#: What stands above the header of each layout.
+ABOVE = (
+    '<tr><td colspan="6">Sheet of the supplier &#9733; <a href="https://a.b/down">all links</a> are down, no ETA</td></tr>',
+    "",
+    '<tr><td>Welcome to the catalogue</td></tr><tr><td>My Tracker</td></tr><tr><td>Read <a href="https://www.google.com/url?q=https%3A%2F%2Fa.b%2Frules">the rules</a> first</td></tr><tr><td>short</td></tr><tr><td>Welcome to the catalogue</td></tr>',
+    "<tr><td></td><td>All about the supplier</td></tr>",
+)
+STYLES = (".s7{background-color:#4CAF50;}", ".s7{background-color:RGB(1, 2, 255)}", ".s7{background-color:#fff}.s8{background-color:#123}", ".s7{color:red}")
+#: One way of each part type to open its era, by what its first rows are.
+SONG_ERA = """CASE p_type WHEN 'PROMO' THEN '' WHEN 'SMALL' THEN CASE l_linenumber WHEN 7 THEN 'Smäll [V2]' WHEN 6 THEN 'The Small Years' WHEN 5 THEN 'Those Small Years' WHEN 4 THEN 'TSY' ELSE 'SMALL' END
+  WHEN 'LARGE' THEN CASE WHEN l_linenumber = 5 THEN 'Odd LARGE Thing' ELSE 'LARGE' END ELSE p_type END"""
+
+
+def _tr(*cells) -> str:
+    return "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+
+
+def mixed_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One HTML sheet for each supplier, in one of four layouts; each part type opens its era in another way.
+
+    ECONOMY by a row with an era but no name, LARGE by an empty header before its own,
+    MEDIUM by a name of two lines, PROMO by a header whose songs have no era, SMALL by a
+    header whose songs use four other spellings, STANDARD by an image that the first song
+    names. Items of line 4 and above form a section; stray, label and footer rows are there too.
+    """
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    text = lambda c: F.col(c).cast("string")
+    cells = {
+        "era": F.expr(SONG_ERA),
+        "name": F.concat(F.col("p_name"), F.lit(" [V"), text("l_linenumber"), F.lit("]<br>(prod. "), F.col("p_brand"), F.lit(" &amp; Co)")),
+        "notes": F.concat(F.lit("OG Filename: f"), text("l_partkey"), F.lit("<br>x")),
+        "available_length": F.expr(LENGTHS), "quality": F.expr(QUALITIES), "streaming": F.lit("no"), "leak_date": F.date_format("l_shipdate", "MM/dd/yyyy"),
+        "links": F.when(F.col("l_quantity") < 25, F.concat(F.lit('<a href="https://pillows.su/f/'), text("l_orderkey"), F.lit('">play</a>'))).otherwise(""),
+        "alt_links": F.concat(F.lit('<a href="https://alt.example/'), text("l_partkey"), F.lit('">b</a>')),
+    }
+    layout, song = F.col("l_suppkey") % len(LAYOUTS), F.lit(None).cast("string")
+    for k, fields in enumerate(LAYOUTS):
+        tds = [x for _, f in fields for x in (F.lit('<td class="s7">' if f == "quality" else "<td>"), cells[f], F.lit("</td>"))]
+        song = F.when(layout == k, F.concat(F.lit("<tr>"), *tds, F.lit("</tr>"))).otherwise(song)
+    late = F.col("l_linenumber") >= 4
+    rows = items.select("l_suppkey", "p_type", F.struct(late.alias("late"), *ITEM_ORDER, song.alias("html")).alias("r"), (F.col("l_linenumber") % 6 == 0).cast("int").alias("full"))
+    by_era = rows.groupBy("l_suppkey", "p_type").agg(F.array_sort(F.collect_list("r")).alias("r"), F.sum("full").alias("full"), F.count("*").alias("n"))
+    join = lambda is_late: F.array_join(F.transform(F.filter("r", lambda r: r["late"] == F.lit(is_late)), lambda r: r["html"]), "")
+    kind = F.col("p_type")
+    extra = F.when(kind == "STANDARD", 2).otherwise(0)
+    stats = F.concat(text("full"), F.lit(" Full<br>"), (F.col("n") - F.col("full") + extra).cast("string"), F.lit(" Unavailable"))
+    header = lambda name, events, about: F.concat(F.lit("<tr><td>"), stats, F.lit("</td><td>"), name, F.lit("</td><td>" + events + "</td><td></td><td>"), about, F.lit("</td><td></td></tr>"))
+    two = "(2001) (begun)<br>(2002) (ended)"
+    head = (
+        F.when(kind == "ECONOMY", _tr("ECONOMY", "", "(2001) (begun)", 'x <img src="http://img/e">', "y", ""))
+        .when(kind == "LARGE", F.concat(F.lit(_tr("0 Full", "LARGE [Phase 1]", "", "", "The stub of LARGE", "")), header(kind, "", F.lit(""))))
+        .when(kind == "MEDIUM", _tr("", "MEDIUM<br>(2007 - 2009)", "Notes of MEDIUM", "", '<img src="http://img/m">', ""))
+        .when(kind == "SMALL", header(F.lit("SMALL<br>(the small years)"), two, F.lit("All about SMALL")))
+        .when(kind == "STANDARD", header(F.lit('<img src="http://img/s">'), "(2001) (begun)", F.lit("All about STANDARD")))
+        .otherwise(header(kind, two, F.concat(F.lit("All about "), kind)))
+    )
+    label = F.when(kind == "SMALL", _tr("", "", "WLR Higher Files", "", "", "")).when(kind == "LARGE", _tr("", "Uncut Reels", "", "", "", "")).when(kind == "MEDIUM", _tr("MEDIUM", "Bonus Disc", "", "", "", "")).otherwise("")
+    body = F.concat(head, join(False), label, F.lit(_tr("Demos", "", "", "", "", "")), join(True))
+    sheets = by_era.groupBy("l_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_type", body.alias("h")))), lambda s: s["h"]), "").alias("body"), F.sum("n").alias("n"))
+    top = F.lit(None).cast("string")
+    for k, fields in enumerate(LAYOUTS):
+        top = F.when(layout == k, f"<html><head><style>{STYLES[k]}</style></head><body><table>{ABOVE[k]}{_tr(*[t for t, _ in fields])}").otherwise(top)
+    foot = F.concat(F.lit(_tr("", "Changelogs", "") + _tr("x", "y") + "<tr><td>🔗 "), text("n"), F.lit(" Total Links<br>❌ 1 Missing Links</td><td>7 Lossless</td><td>5 Total Full<br>3 OG File(s)</td><td>2 Best Of</td></tr></table></body></html>"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = sheets.repartition(tasks, F.xxhash64("l_suppkey"))
+    return spread.select(F.concat(F.lit("sup-"), text("l_suppkey")).alias("sheet_id"), F.concat(top, F.lit(_tr("Links", "", "see", "", "", "")), F.col("body"), foot).alias("html"))
+
+
+MIXED = f"""WITH i AS (SELECT 'sup-' || l_suppkey AS sheet_id, l_suppkey, p_type, p_name, l_linenumber, l_linenumber >= 4 AS late, l_partkey, l_orderkey, l_quantity, {LENGTHS} AS available_length, {QUALITIES} AS quality
+  FROM lineitem JOIN part ON l_partkey = p_partkey)
+"""

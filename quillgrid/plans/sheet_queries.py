@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.functions import labels as L
-from quillgrid.operators.columns import detect_layout, diff_layouts, layout_columns, missing_fields
+from quillgrid.operators.columns import detect_layout, diff_layouts, field_matrix, layout_columns, missing_fields, project_fields
 from quillgrid.operators.notices import notices
-from quillgrid.operators.stats import availability_stats, declared_stats, sheet_stats
-from quillgrid.operators.tabs import canonical_urls, dedup_urls, select_tab
+from quillgrid.operators.songs import flatten_catalog
+from quillgrid.operators.stats import availability_stats, nameless_rows, reconcile_sheets, sheet_stats
+from quillgrid.operators.tabs import canonical_urls, dedup_urls, resolve_artist, select_tab
 from quillgrid.plans.catalogue import read_catalogue
-from quillgrid.plans.fixtures import SHEET_ITEMS, rendered_sheets, table
-from quillgrid.sources.html import attribute, discover_tabs, plain_text, preview_cells, sheet_class_colors, sheet_profile, sheet_rows
+from quillgrid.plans.fixtures import LAYOUTS, MIXED, SHEET_ITEMS, mixed_sheets, rendered_sheets, table
+from quillgrid.scratch import new_folder
+from quillgrid.sources.feeds import read_discovery, read_links
+from quillgrid.sources.html import attribute, discover_tabs, plain_text, preview_cells, read_sheets, sheet_class_colors, sheet_profile, sheet_rows, stream_sheets
 
 QUERIES, SQL = {}, {}
 
@@ -54,7 +57,7 @@ def sheet_roundtrip_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sheet_eras(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EN-08/09, AG-05: header rows with their declared statistics."""
-    eras = declared_stats(read_catalogue(rendered_sheets(spark, sf_dir))["eras"])
+    eras = read_catalogue(rendered_sheets(spark, sf_dir))["eras"]
     return eras.select("sheet_id", "name", F.array_join("alt_names", "|").alias("alt_names"), "description", F.size("timeline").cast("long").alias("n_events"), F.col("full").alias("declared_full"), "declared_total", F.col("n_songs").cast("long").alias("n_songs"))
 
 
@@ -64,54 +67,195 @@ def sheet_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_catalogue(rendered_sheets(spark, sf_dir))["ingest_metrics"].drop("unmatched")
 
 
-@query(
-    "WITH f(field, col_idx) AS (VALUES ('era', 0), ('name', 1), ('notes', 2), ('available_length', 3), ('quality', 4), ('links', 5)) "
-    "SELECT 'sup-' || l_suppkey AS sheet_id, field, col_idx::BIGINT AS col_idx FROM (SELECT DISTINCT l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey), f"
-)
+_SUPPLIERS = "s AS (SELECT DISTINCT l_suppkey, 'sup-' || l_suppkey AS sheet_id, l_suppkey % 4 AS layout FROM lineitem JOIN part ON l_partkey = p_partkey)"
+_FIELDS = "f(layout, field, col_idx) AS (VALUES " + ", ".join(f"({k}, '{f}', {i})" for k, fields in enumerate(LAYOUTS) for i, (_, f) in enumerate(fields)) + ")"
+
+
+def _columns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    layout = detect_layout(sheet_rows(mixed_sheets(spark, sf_dir)))
+    return layout, layout_columns(layout)
+
+
+@query(f"WITH {_SUPPLIERS}, {_FIELDS} SELECT sheet_id, CASE layout WHEN 1 THEN 0 WHEN 2 THEN 5 ELSE 1 END::BIGINT AS header_row, field, col_idx::BIGINT AS col_idx FROM s JOIN f USING (layout)")
 def sheet_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ-01/02."""
-    return layout_columns(detect_layout(sheet_rows(rendered_sheets(spark, sf_dir)))).withColumn("col_idx", F.col("col_idx").cast("long"))
+    """PRJ-01/02: four layouts, by equal aliases, their beginnings, parentheses and single lines; the header in three places."""
+    layout, _ = _columns(spark, sf_dir)
+    return layout.select("sheet_id", F.col("header_row").cast("long").alias("header_row"), F.explode("fields").alias("field", "col_idx")).withColumn("col_idx", F.col("col_idx").cast("long"))
 
 
-@query(
-    "WITH f(field) AS (VALUES ('era'), ('name'), ('notes'), ('available_length'), ('quality'), ('links')) "
-    "SELECT field, count(DISTINCT l_suppkey) AS n_sheets, 1::BIGINT AS n_positions, FALSE AS differs FROM lineitem JOIN part ON l_partkey = p_partkey, f GROUP BY field"
-)
+@query(f"WITH {_SUPPLIERS}, {_FIELDS} SELECT field, count(DISTINCT sheet_id) AS n_sheets, count(DISTINCT col_idx) AS n_positions, count(DISTINCT col_idx) > 1 AS differs FROM s JOIN f USING (layout) GROUP BY field")
 def layout_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ-04."""
-    return diff_layouts(layout_columns(detect_layout(sheet_rows(rendered_sheets(spark, sf_dir)))))
+    """PRJ-04 in numbers."""
+    return diff_layouts(_columns(spark, sf_dir)[1])
 
 
-@query("SELECT DISTINCT 'sup-' || l_suppkey AS sheet_id, 'alt_links,date_of_recording,file_date,leak_date,track_length,type' AS missing, '' AS unusual FROM lineitem JOIN part ON l_partkey = p_partkey")
+@query(f"WITH {_SUPPLIERS}, {_FIELDS} SELECT n.field, s.sheet_id, f.col_idx::BIGINT AS col_idx FROM s CROSS JOIN (SELECT DISTINCT field FROM f JOIN s USING (layout)) n LEFT JOIN f ON f.layout = s.layout AND f.field = n.field")
+def layout_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-04: every field's column in every sheet."""
+    layout, columns = _columns(spark, sf_dir)
+    return field_matrix(columns, layout).withColumn("col_idx", F.col("col_idx").cast("long"))
+
+
+@query(
+    f"WITH {_SUPPLIERS} SELECT sheet_id, CASE layout WHEN 0 THEN 'alt_links,date_of_recording,file_date,leak_date,track_length,type' WHEN 1 THEN 'date_of_recording,file_date,leak_date,track_length,type' "
+    "WHEN 2 THEN 'alt_links,date_of_recording,file_date,track_length,type' ELSE 'alt_links,available_length,date_of_recording,file_date,leak_date,track_length,type' END AS missing, CASE WHEN layout = 3 THEN 'streaming' ELSE '' END AS unusual FROM s"
+)
 def layout_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-05, ST-04."""
-    gaps = missing_fields(layout_columns(detect_layout(sheet_rows(rendered_sheets(spark, sf_dir)))))
+    gaps = missing_fields(_columns(spark, sf_dir)[1])
     return gaps.select("sheet_id", F.array_join("missing", ",").alias("missing"), F.array_join("unusual", ",").alias("unusual"))
 
 
-@query("SELECT DISTINCT 'sup-' || l_suppkey AS sheet_id, 's7' AS css_class, '#4caf50' AS bg_color FROM lineitem JOIN part ON l_partkey = p_partkey")
+@query(f"WITH {_SUPPLIERS}, c(layout, css_class, bg_color) AS (VALUES (0, 's7', '#4caf50'), (1, 's7', '#0102ff'), (2, 's8', '#123')) SELECT sheet_id, css_class, bg_color FROM s JOIN c USING (layout)")
 def sheet_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-03."""
-    return sheet_class_colors(rendered_sheets(spark, sf_dir))
+    """SRC-03: colours in three spellings; neutral and missing ones do not count."""
+    return sheet_class_colors(mixed_sheets(spark, sf_dir))
 
 
-@query("SELECT DISTINCT 'sup-' || l_suppkey AS sheet_id, 0::BIGINT AS ord, 'Sheet of the supplier ★ all links are down, no ETA' AS text, 'alert' AS kind FROM lineitem JOIN part ON l_partkey = p_partkey")
+@query(
+    f"""WITH {_SUPPLIERS}, n(layout, ord, text, link, kind) AS (VALUES (0, 0, 'Sheet of the supplier ★ all links are down, no ETA', 'https://a.b/down', 'alert'), (2, 0, 'join us at discord', NULL, 'info'),
+(2, 1, 'Welcome to the catalogue', NULL, 'info'), (2, 2, 'Read the rules first', 'https://a.b/rules', 'info'), (3, 0, 'All about the supplier', NULL, 'info')) SELECT sheet_id, ord::BIGINT AS ord, text, link, kind FROM s JOIN n USING (layout)"""
+)
 def sheet_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST-02, JN-11."""
-    rows = sheet_rows(rendered_sheets(spark, sf_dir))
-    return notices(rows, detect_layout(rows)).select("sheet_id", F.col("ord").cast("long").alias("ord"), "text", "kind")
+    """ST-02, JN-11: notices in and above the header, with the links of their lines."""
+    return notices(sheet_rows(mixed_sheets(spark, sf_dir))).select("sheet_id", F.col("ord").cast("long").alias("ord"), "text", "link", "kind")
 
 
 @query(
-    "WITH r(row_idx, col_idx, text) AS (VALUES (0, 0, 'Sheet of the supplier ★ all links are down, no ETA'), (0, 1, ''), (0, 2, ''), (1, 0, 'Era'), (1, 1, 'Name (and credits)'), (1, 2, 'Notes')) "
-    "SELECT 'sup-' || l_suppkey AS sheet_id, row_idx::BIGINT AS row_idx, col_idx::BIGINT AS col_idx, text, 0::BIGINT AS n_links FROM (SELECT DISTINCT l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey), r"
+    f"""WITH {_SUPPLIERS}, p(layout, row_idx, col_idx, text, n_links) AS (VALUES (0, 0, 0, 'Sheet of the supplier ★ all links are down, no ETA', 1), (0, 0, 1, '', 0), (0, 1, 0, 'Era', 0), (0, 1, 1, 'Name (and credits)', 0), (1, 0, 0, 'Era', 0), (1, 0, 1, 'Title', 0), (1, 1, 0, 'Links', 0), (1, 1, 1, '', 0),
+(2, 0, 0, 'Welcome to the catalogue', 0), (2, 1, 0, 'My Tracker', 0), (3, 0, 0, '', 0), (3, 0, 1, 'All about the supplier', 0), (3, 1, 0, 'Era', 0), (3, 1, 1, 'Name', 0)) SELECT sheet_id, row_idx::BIGINT AS row_idx, col_idx::BIGINT AS col_idx, text, n_links::BIGINT AS n_links FROM s JOIN p USING (layout)"""
 )
 def sheet_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-02, SRC-12."""
-    cells = preview_cells(sheet_rows(rendered_sheets(spark, sf_dir)), 0, 2, 3)
+    cells = preview_cells(sheet_rows(mixed_sheets(spark, sf_dir)), 0, 2, 2)
     return cells.select("sheet_id", F.col("row_idx").cast("long").alias("row_idx"), F.col("col_idx").cast("long").alias("col_idx"), "text", F.col("n_links").cast("long").alias("n_links"))
 
 
+# ---------------------------------------------------------------- the whole job over sheets of several layouts
+
+
+@query(
+    MIXED + """SELECT sheet_id, CASE p_type WHEN 'LARGE' THEN 'LARGE [Phase 1]' ELSE p_type END AS name, CASE p_type WHEN 'ECONOMY' THEN 'auto' WHEN 'MEDIUM' THEN 'name' ELSE 'header' END AS origin, CASE p_type WHEN 'SMALL' THEN 'the small years' ELSE '' END AS alt_names,
+CASE p_type WHEN 'LARGE' THEN 'The stub of LARGE' WHEN 'MEDIUM' THEN 'Notes of MEDIUM' WHEN 'ECONOMY' THEN NULL ELSE 'All about ' || p_type END AS description, CASE p_type WHEN 'SMALL' THEN 2 WHEN 'PROMO' THEN 2 WHEN 'STANDARD' THEN 1 WHEN 'ECONOMY' THEN 1 ELSE 0 END::BIGINT AS n_events,
+CASE p_type WHEN 'MEDIUM' THEN 'http://img/m' WHEN 'ECONOMY' THEN 'http://img/e' END AS art_url, CASE WHEN p_type IN ('MEDIUM', 'ECONOMY') THEN 0 WHEN p_type = 'STANDARD' THEN count(*) + 2 ELSE count(*) END AS declared_total, count(DISTINCT p_name) AS n_songs, count(*) AS n_versions FROM i GROUP BY sheet_id, p_type"""
+)
+def catalogue_eras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-05 in all its ways, JN-14, ST-03, EN-08/09, AG-05: what the rows that open an era say of it, stubs merged."""
+    eras = read_catalogue(mixed_sheets(spark, sf_dir))["eras"]
+    return eras.select("sheet_id", "name", "origin", F.array_join("alt_names", "|").alias("alt_names"), "description", F.size("timeline").cast("long").alias("n_events"), "art_url", "declared_total", F.col("n_songs").cast("long").alias("n_songs"), F.col("n_versions").cast("long").alias("n_versions"))
+
+
+@query(
+    MIXED + "SELECT sheet_id, p_type AS era, CASE WHEN late THEN 'Demos' END AS section, CASE WHEN late THEN CASE p_type WHEN 'SMALL' THEN 'WLR Higher Files' WHEN 'LARGE' THEN 'Uncut Reels' WHEN 'MEDIUM' THEN 'Bonus Disc' END END AS grp, count(DISTINCT p_name) AS n_songs FROM i GROUP BY sheet_id, p_type, late"
+)
+def catalogue_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-02, FLT-05, FLT-06, WN-03/04: separators and labels of three kinds, which group the section after them."""
+    cat = read_catalogue(mixed_sheets(spark, sf_dir))
+    named = cat["sections"].join(cat["eras"].select("sheet_id", "era_idx", F.split("name", " ")[0].alias("era")), ["sheet_id", "era_idx"])
+    return named.select("sheet_id", "era", F.col("name").alias("section"), F.col("group").alias("grp"), F.col("n_songs").cast("long").alias("n_songs"))
+
+
+@query(
+    MIXED + """, k AS (SELECT sheet_id, p_type, CASE p_type WHEN 'PROMO' THEN 'position' WHEN 'SMALL' THEN CASE l_linenumber WHEN 7 THEN 'key' WHEN 5 THEN 'fuzzy' WHEN 4 THEN 'acronym' ELSE 'exact' END WHEN 'STANDARD' THEN CASE WHEN rn = 1 THEN 'backfill' ELSE 'exact' END
+WHEN 'LARGE' THEN CASE WHEN l_linenumber = 5 AND odd = 1 THEN 'learnt' ELSE 'exact' END ELSE 'exact' END AS match_kind FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, p_type ORDER BY l_orderkey) AS rn, row_number() OVER (PARTITION BY sheet_id, p_type, l_linenumber ORDER BY l_orderkey) AS odd FROM i))
+SELECT sheet_id, p_type AS era, match_kind, count(*) AS n FROM k GROUP BY ALL"""
+)
+def catalogue_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-02..05, FLT-08: how song rows find their eras."""
+    cat = read_catalogue(mixed_sheets(spark, sf_dir))
+    named = cat["versions"].join(cat["eras"].select("sheet_id", "era_idx", F.split("name", " ")[0].alias("era")), ["sheet_id", "era_idx"])
+    return named.groupBy("sheet_id", "era", "match_kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    MIXED + """SELECT sheet_id, count(*) + 20 AS total_rows, count(*) AS song_rows, 1::BIGINT AS skipped_rows, 3::BIGINT AS footer_rows, count(*) FILTER (p_type = 'SMALL' AND l_linenumber IN (4, 5)) AS fuzzy_rows,
+'Row ' || CASE l_suppkey % 4 WHEN 1 THEN 1 WHEN 2 THEN 6 ELSE 2 END || ': Links | see' AS unmatched FROM i GROUP BY sheet_id, l_suppkey"""
+)
+def catalogue_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-07, WN-02, FLT-03/07: rows by what became of them."""
+    return read_catalogue(mixed_sheets(spark, sf_dir))["ingest_metrics"].withColumn("unmatched", F.array_join("unmatched", ";"))
+
+
+@query(
+    MIXED + """, e AS (SELECT sheet_id, l_suppkey, p_type, count(DISTINCT p_name) AS songs, count(*) AS n, count(*) FILTER (l_linenumber % 6 = 0) AS f FROM i GROUP BY ALL)
+SELECT sheet_id, 'Artist ' || l_suppkey AS artist_name, 'artist-' || l_suppkey AS slug, count(*) AS n_eras, sum(songs)::BIGINT AS n_songs, sum(n)::BIGINT AS n_versions, arg_min(CASE p_type WHEN 'ECONOMY' THEN 'http://img/e' WHEN 'MEDIUM' THEN 'http://img/m' END, p_type) FILTER (p_type IN ('ECONOMY', 'MEDIUM')) AS art_url,
+count(*) FILTER (p_type IN ('LARGE', 'PROMO', 'SMALL')) AS n_match, count(*) FILTER (p_type = 'STANDARD') AS n_mismatch, coalesce(sum(f) FILTER (p_type IN ('LARGE', 'PROMO', 'SMALL', 'STANDARD')), 0)::BIGINT AS full_eras, sum(n)::BIGINT AS total_links, 5::BIGINT AS total_full FROM e GROUP BY sheet_id, l_suppkey"""
+)
+def catalogue_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-01/02, AG-06, JN-13 for whole sheets, SRC-08's artist row."""
+    sheets = mixed_sheets(spark, sf_dir)
+    cat = read_catalogue(sheets, names=sheets.select("sheet_id", F.concat(F.lit("Artist "), F.substring("sheet_id", 5, 20)).alias("artist_name")))
+    told = reconcile_sheets(cat["eras"], cat["sheet_stats"]).select("sheet_id", "n_match", "n_mismatch", "full_eras")
+    return cat["artists"].drop("n_links").join(told, "sheet_id").join(cat["sheet_stats"].select("sheet_id", "total_links", "total_full"), "sheet_id")
+
+
+@query(MIXED + "SELECT sheet_id, p_type AS era, CASE WHEN late THEN 'Demos' END AS section, p_name AS base_name, 'V' || l_linenumber AS version_tag, count(*) AS n FROM i GROUP BY ALL")
+def catalogue_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-08: the nested catalogue of the job, taken apart again; a song stands in the section where it is seen first or again."""
+    flat = flatten_catalog(read_catalogue(mixed_sheets(spark, sf_dir))["nested"])
+    return flat.groupBy("sheet_id", F.split("era_name", " ")[0].alias("era"), F.col("section_name").alias("section"), "base_name", "version_tag").agg(F.count("*").alias("n"))
+
+
+@query(
+    MIXED + """, x(p_type, k, era, texts) AS (VALUES ('ECONOMY', 0, 'ECONOMY', 'ECONOMY|(2001) (begun)|x|y'), ('SMALL', 1, NULL, 'WLR Higher Files'), ('STANDARD', 2, 'stats', 'All about STANDARD'))
+SELECT sheet_id, p_type, count(*) AS n FROM (SELECT DISTINCT sheet_id, p_type FROM i) JOIN x USING (p_type) GROUP BY ALL"""
+)
+def rows_without_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-13: rows with texts but no name, told by what they say."""
+    rows = nameless_rows(project_fields(sheet_rows(mixed_sheets(spark, sf_dir))))
+    said = F.array_join("texts", " ")
+    kind = F.when(said.contains("ECONOMY"), "ECONOMY").when(said.contains("WLR Higher"), "SMALL").when(said.contains("All about STANDARD"), "STANDARD")
+    return rows.select("sheet_id", kind.alias("p_type")).filter("p_type is not null").groupBy("sheet_id", "p_type").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- sources, written to the shared folder and read back
+
+
+_LINKS = "SELECT n AS total_links, count(*) AS n_sheets FROM (SELECT l_suppkey, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) GROUP BY 1"
+
+
+def _sheet_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with one file for each sheet."""
+    path = new_folder(spark, "sheet-files")
+    mixed_sheets(spark, sf_dir).select("html").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query(_LINKS)
+def sheet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-05: whole files as sheets."""
+    stats = sheet_stats(sheet_rows(read_sheets(spark, _sheet_files(spark, sf_dir))))
+    return stats.groupBy("total_links").agg(F.count("*").alias("n_sheets"))
+
+
+@query(_LINKS)
+def sheet_files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-05: the same from a stream of new files."""
+    rows = sheet_rows(stream_sheets(spark, _sheet_files(spark, sf_dir)))
+    path = new_folder(spark, "streamed-rows")
+    rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", new_folder(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return sheet_stats(spark.read.schema(rows.schema).parquet(path)).groupBy("total_links").agg(F.count("*").alias("n_sheets"))
+
+
+@query("SELECT c_name AS name, 'https://x/' || c_custkey AS url, c_mktsegment AS credit FROM customer WHERE c_custkey % 5 <> 0 AND c_mktsegment = 'BUILDING' AND contains(lower(c_name), '1') ORDER BY c_custkey LIMIT 25")
+def discovery_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-06: a feed's first entries, in its order, of those that its filters leave."""
+    c, path = table(spark, sf_dir, "customer"), new_folder(spark, "feed")
+    key = F.col("c_custkey").cast("string")
+    url = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("https://docs.google.com/document/d/"), key)).otherwise(F.concat(F.lit("https://x/"), key))
+    c.orderBy("c_custkey").select(F.col("c_name").alias("name"), url.alias("url"), F.col("c_mktsegment").alias("credit"), F.lit(1).alias("links_work"), F.lit(1).alias("updated"), (F.col("c_mktsegment") == "BUILDING").alias("best")).write.json(path)
+    return read_discovery(spark, path, best_only=True, name_like="1", limit=25).select("name", "url", "credit")
+
+
+@query("SELECT 'https://x/' || o_orderkey AS url FROM orders WHERE o_orderkey % 3 = 0")
+def link_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-07: lines with links, between comments and blank lines."""
+    path, key = new_folder(spark, "links"), F.col("o_orderkey")
+    line = F.when(key % 3 == 0, F.concat(F.lit("  https://x/"), key.cast("string"))).when(key % 3 == 1, F.concat(F.lit("# https://x/"), key.cast("string"))).otherwise("   ")
+    table(spark, sf_dir, "orders").select(line.alias("value")).write.text(path)
+    return read_links(spark, path)
+
+
 @query(
     r"SELECT page_id::VARCHAR AS sheet_id, length(html)::BIGINT AS n_chars, len(regexp_extract_all(html, '(?i)<tr\b'))::BIGINT AS n_rows, len(regexp_extract_all(html, '(?i)<th\b'))::BIGINT AS n_header_cells, "
     r"len(regexp_extract_all(html, '(?i)<img\b'))::BIGINT AS n_images FROM pages"
@@ -175,13 +319,27 @@ def url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT c_custkey AS workbook_id, t.ord::BIGINT AS tab_ord, t.gid, t.name AS tab_name, t.role FROM customer, (VALUES (0, '7', 'Recent', 'other'), (1, '0', '🔥 Unreleased', 'main'), (2, '12', 'Album Art', 'art')) t(ord, gid, name, role)"
+    "SELECT c_custkey AS workbook_id, t.ord::BIGINT AS tab_ord, CASE t.ord WHEN 0 THEN '7' WHEN 1 THEN c_custkey::VARCHAR ELSE '12' END AS gid, CASE t.ord WHEN 0 THEN 'Recent' WHEN 1 THEN CASE WHEN c_custkey % 3 = 0 THEN '🔥 Unreleased' ELSE 'Part ' || c_custkey END ELSE 'Album Art' END AS tab_name, "
+    "CASE t.ord WHEN 0 THEN 'other' WHEN 1 THEN CASE WHEN c_custkey % 3 = 0 THEN 'main' ELSE 'other' END ELSE 'art' END AS role FROM customer, (VALUES (0), (1), (2)) t(ord) WHERE (t.ord < 2 OR c_custkey % 2 = 0) AND c_custkey NOT IN (7, 12)"
 )
 def workbook_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-11, EN-14."""
-    js = 'items.push({name: "Recent", pageUrl: "x", gid: "7"});items.push({name: "🔥 Unreleased", gid: "0"});items.push({name: "Album Art", gid: "12"});items.push({name: "Again", gid: "7"});'
-    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("workbook_id"), F.concat(F.col("c_name"), F.lit(js)).alias("html"))
-    return discover_tabs(pages).withColumn("tab_ord", F.col("tab_ord").cast("long"))
+    """SRC-11, EN-14: workbooks with a main tab or without, with an art tab or without."""
+    c = table(spark, sf_dir, "customer").filter("c_custkey not in (7, 12)")
+    key = F.col("c_custkey").cast("string")
+    js = F.concat(
+        F.lit('items.push({name: "Recent", pageUrl: "x", gid: "7"});items.push({name: "'), F.when(F.col("c_custkey") % 3 == 0, "🔥 Unreleased").otherwise(F.concat(F.lit("Part "), key)), F.lit('", gid: "'), key, F.lit('"});'),
+        F.when(F.col("c_custkey") % 2 == 0, 'items.push({name: "Album Art", gid: "12"});').otherwise(""), F.lit('items.push({name: "Again", gid: "7"});'),
+    )
+    return discover_tabs(c.select(F.col("c_custkey").alias("workbook_id"), F.concat("c_name", js).alias("html"))).withColumn("tab_ord", F.col("tab_ord").cast("long"))
+
+
+@query("SELECT c_custkey AS workbook_id, CASE WHEN c_custkey % 5 = 0 THEN 'Given ' || c_custkey WHEN c_custkey % 2 = 0 THEN 'Tab ' || c_custkey ELSE c_name END AS artist FROM customer")
+def workbook_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EN-13: a given name before a sheet tab's before the title's."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
+    html = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('<li class="x sheet-tab y"> </li><li class="docs-sheet-tab">Tab '), key, F.lit(" Tracker</li>"))).otherwise("<p>none</p>")
+    given = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("Given "), key)).otherwise("")
+    return c.select(F.col("c_custkey").alias("workbook_id"), resolve_artist(given, html, F.concat("c_name", F.lit(" Tracker - Google Drive"))).alias("artist"))
 
 
 @query(

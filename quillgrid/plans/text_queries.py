@@ -151,11 +151,20 @@ def file_display_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.display_columns(p).select("p_partkey", "summary", F.col("bitrate_class").alias("grade"), "is_large")
 
 
-@query("SELECT p_partkey, label AS field, value FROM (SELECT p_partkey, unnest(['codec', 'lossless', 'title']) AS label, unnest(['AAC', CASE WHEN p_size % 2 = 0 THEN 'true' END, p_name]) AS value FROM part) WHERE value IS NOT NULL")
+@query(
+    "SELECT p_partkey, label, value, variant FROM (SELECT p_partkey, unnest(['Codec', 'Bitrate', 'Lossless', 'Est. Bitrate', 'Duration', 'Freq. Cutoff', 'Quality Match']) AS label, "
+    "unnest(['AAC', p_size * 40 || 'kbps', CASE WHEN p_size % 3 = 0 THEN 'Yes' WHEN p_size % 3 = 1 THEN 'No' END, CASE WHEN p_size % 2 = 0 THEN p_size * 30 || ' kbps' END, (p_size * 7 // 60) || ':' || lpad((p_size * 7 % 60)::VARCHAR, 2, '0'), p_size * 400 || ' Hz', CASE WHEN p_size % 2 = 0 THEN 'Mismatch' ELSE 'OK' END]) AS value, "
+    "unnest(['secondary', CASE WHEN p_size * 40 >= 1000 THEN 'lossless' WHEN p_size * 40 >= 320 THEN 'hq' WHEN p_size * 40 >= 192 THEN 'cd' ELSE 'lq' END, CASE WHEN p_size % 3 = 0 THEN 'lossless' ELSE 'secondary' END, "
+    "CASE WHEN p_size * 30 >= 1000 THEN 'lossless' WHEN p_size * 30 >= 320 THEN 'hq' WHEN p_size * 30 >= 192 THEN 'cd' ELSE 'lq' END, 'secondary', 'secondary', CASE WHEN p_size % 2 = 0 THEN 'lq' ELSE 'full' END]) AS variant FROM part) WHERE value IS NOT NULL"
+)
 def file_detail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ-11."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.lit("AAC").alias("codec"), F.when(F.col("p_size") % 2 == 0, True).alias("lossless"), F.col("p_name").alias("title"))
-    return media.metadata_details(p, ["p_partkey"], ("codec", "lossless", "title")).drop("ord")
+    """PRJ-11: labels, formats and classes of the fields that a client shows."""
+    n = F.col("p_size")
+    p = table(spark, sf_dir, "part").select(
+        "p_partkey", F.lit("AAC").alias("codec"), F.concat((n * 40).cast("string"), F.lit("kbps")).alias("bitrate"), F.when(n % 3 < 2, n % 3 == 0).alias("lossless"), F.when(n % 2 == 0, n * 30).alias("estimated_bitrate"),
+        (n * 7).cast("string").alias("duration"), (n * 400).cast("double").alias("frequency_cutoff"), (n % 2 == 0).alias("quality_mismatch"),
+    )
+    return media.metadata_details(p, ["p_partkey"]).select("p_partkey", "label", "value", "variant")
 
 
 @query(
@@ -204,17 +213,18 @@ def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH a AS (SELECT s_nationkey, s_suppkey, 'http://img/' || (s_suppkey + CASE WHEN s_suppkey % 3 = 0 THEN 1000 ELSE 0 END) AS url FROM supplier WHERE s_suppkey % 2 = 0) "
-    "SELECT 'sheet-' || s.s_nationkey AS sheet_id, s.s_suppkey AS era_idx, coalesce(a.url, 'own') AS art_url FROM supplier s LEFT JOIN a ON a.s_suppkey = s.s_suppkey"
+    "WITH a AS (SELECT s_suppkey, 'http://img/' || (s_suppkey + CASE WHEN s_suppkey % 3 = 0 THEN 1000 ELSE 0 END) AS url FROM supplier WHERE s_suppkey % 2 = 0) "
+    "SELECT 'book-' || (s.s_suppkey // 20) AS sheet_id, s.s_suppkey AS era_idx, coalesce(a.url, 'own') AS art_url FROM supplier s LEFT JOIN a ON a.s_suppkey = s.s_suppkey"
 )
 def era_art(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-16, JN-06: covers before other images, found by another name where the first is unknown."""
     s, k = table(spark, sf_dir, "supplier"), _s("s_suppkey")
     row = F.concat(F.lit("<tr><td>"), F.col("s_name"), F.lit(' (x)</td><td><img src="http://img/'), k, F.lit('"></td></tr>'), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("<tr><td>"), F.col("s_name"), F.lit('</td><td>Front Cover</td><td><img src="http://img/'), (F.col("s_suppkey") + 1000).cast("string"), F.lit('"></td></tr>'))).otherwise(""))
-    even = s.filter("s_suppkey % 2 = 0").groupBy("s_nationkey").agg(F.array_join(F.sort_array(F.collect_list(row)), "").alias("r"))
-    art = art_map(sheet_rows(even.select(F.concat(F.lit("sheet-"), _s("s_nationkey")).alias("sheet_id"), F.concat(F.lit("<table>"), "r", F.lit("</table>")).alias("html"))))
+    book = F.concat(F.lit("book-"), F.floor(F.col("s_suppkey") / 20).cast("string")).alias("sheet_id")
+    even = s.filter("s_suppkey % 2 = 0").groupBy(book).agg(F.array_join(F.sort_array(F.collect_list(row)), "").alias("r"))
+    art = art_map(sheet_rows(even.select("sheet_id", F.concat(F.lit("<table>"), "r", F.lit("</table>")).alias("html"))))
     unnamed = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("Working title "), k)).otherwise(F.col("s_name"))
-    eras = s.select(F.concat(F.lit("sheet-"), _s("s_nationkey")).alias("sheet_id"), F.col("s_suppkey").alias("era_idx"), unnamed.alias("name"), F.array("s_name").alias("alt_names"), F.lit("own").alias("art_url"))
+    eras = s.select(book, F.col("s_suppkey").alias("era_idx"), unnamed.alias("name"), F.array("s_name").alias("alt_names"), F.lit("own").alias("art_url"))
     return apply_art(eras, art).select("sheet_id", "era_idx", "art_url")
 
 

@@ -11,15 +11,21 @@ REPORT = "sheet_id string, name string, status string, n_eras bigint, n_songs bi
 
 
 def read_discovery(spark: SparkSession, path: str, best_only: bool = False, name_like: str | None = None, limit: int | None = None, strict: bool = False, drop_documents: bool = True) -> DataFrame:
-    """A feed of one JSON object a line; blank and malformed lines are dropped, or fail if ``strict``."""
+    """A feed of one JSON object a line; blank and malformed lines are dropped, or fail if ``strict``.
+
+    ``limit`` takes the first in the feed's order: by file, then by place in it.
+    """
     feed = spark.read.schema(FEED).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    if limit is not None:
+        # partitions hold stretches of files: numbers that rise with the place, file by file
+        feed = feed.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
     if drop_documents:
         feed = feed.filter(~F.coalesce(F.col("url").contains("docs.google.com/document"), F.lit(False)))
     if best_only:
         feed = feed.filter("best")
     if name_like:
         feed = feed.filter(F.lower("name").contains(name_like.lower()))
-    return feed if limit is None else feed.orderBy("name", "url").limit(limit)
+    return feed if limit is None else feed.orderBy("_file", "_block", "_at").limit(limit).drop("_file", "_block", "_at")
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:

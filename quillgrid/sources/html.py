@@ -6,13 +6,15 @@ column functions in one pass over the sheets, without a shuffle.
 
 from __future__ import annotations
 
+from functools import cache
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.functions.text import let, some, squash, strip
+from quillgrid.operators.columns import ALIASES, HEADER_ROWS, layout_of
 
-# Fixed: named entities that are decoded, '&amp;' last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "))
 # Fixed: background colours without meaning.
 NEUTRAL = ("#ffffff", "#fff", "#000000", "#000", "#fafafa", "#f8f9fa", "#f3f3f3", "#eeeeee", "#cccccc", "#1e1e1e", "#1a1a1a", "#1f1f1f", "#2a2a2a", "#161616", "#0f0f0f", "#0d0d0d")
 EMOJI = r"[\x{1F300}-\x{1F9FF}\x{2600}-\x{27BF}\x{2B50}\x{FE0F}\x{200D}]+"
@@ -23,20 +25,25 @@ MAIN_TABS = ("unreleased", "leaks", "leaked", "unreleased songs", "leaked songs"
 CELL = "struct<text:string,links:array<string>,link_lines:array<int>,images:array<string>,css_class:string,bg_color:string>"
 
 
+@cache
+def named_entities() -> str:
+    """Names and characters of the standard table as one text for ``str_to_map``; '&amp;' is decoded apart."""
+    known = {"apos": 39, **{n: c for n, c in name2codepoint.items() if n != "amp"}}
+    return "\x02".join(f"{n}\x01{chr(c)}" for n, c in sorted(known.items()))
+
+
 def unescape(col: Column) -> Column:
-    """Decodes numeric and the common named entities; others stay as written."""
-    if_any = lambda c, done: F.when(c.contains("&"), done).otherwise(c)
-    numeric = F.array_distinct(F.regexp_extract_all(col, F.lit("&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
+    """Decodes numeric and named entities; unknown names stay as written."""
+    refs = F.array_distinct(F.regexp_extract_all(col, F.lit("&(?:#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6})|(?!amp;)[A-Za-z][A-Za-z0-9]{1,7});"), F.lit(0)))
 
     def decode(acc: Column, ref: Column) -> Column:
         body = F.substring(ref, F.lit(3), F.length(ref) - 3)
         code = F.when(F.lower(body).startswith("x"), F.substring(body, F.lit(2), F.length(body))).otherwise(F.conv(body, 10, 16))
-        return F.replace(acc, ref, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
+        numeric = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+        named = F.element_at(F.str_to_map(F.lit(named_entities()), F.lit("\x02"), F.lit("\x01")), F.substring(ref, F.lit(2), F.length(ref) - 2))
+        return F.replace(acc, ref, F.coalesce(F.when(ref.startswith("&#"), numeric).otherwise(named), ref))
 
-    out = F.when(col.contains("&#"), F.aggregate(numeric, col, decode)).otherwise(col)
-    for ref, char in ENTITIES:
-        out = F.replace(out, F.lit(ref), F.lit(char))
-    return if_any(col, F.replace(out, F.lit("&amp;"), F.lit("&")))
+    return F.when(col.contains("&"), F.replace(F.aggregate(refs, col, decode), F.lit("&amp;"), F.lit("&"))).otherwise(col)
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -56,15 +63,18 @@ def plain_text(content: Column) -> Column:
 
 def _links(content: Column) -> Column:
     """array<struct<link,line>>: targets in order, with the newlines before each closing tag."""
-    parts = F.split(content, r"(?i)</a\s*>")
 
-    def one(part: Column, i: Column) -> Column:
-        opening = F.regexp_extract(part, r"(?is).*(<a\b[^>]*>)", 1)
-        before = plain_text(F.array_join(F.slice(parts, F.lit(1), i + 1), ""))
-        return F.struct(attribute(opening, "href").alias("link"), F.regexp_count(before, F.lit("\n")).alias("line"))
+    def located(counts: Column) -> Column:
+        """The parts with the newlines up to the end of each: a sum over counts, not over texts."""
+        return F.transform(closed, lambda part, i: F.struct(
+            attribute(F.regexp_extract(part, r"(?is).*(<a\b[^>]*>)", 1), "href").alias("link"),
+            F.aggregate(F.slice(counts, F.lit(1), i + 1), F.lit(0), lambda acc, n: acc + n).alias("line"),
+        ))
 
+    parts = F.split(content, r"(?i)</a\s*>")
     closed = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    return F.when(content.rlike(r"(?i)</a\s*>"), F.filter(F.transform(closed, one), lambda x: x["link"] != "")).otherwise(F.array().cast("array<struct<link:string,line:int>>"))
+    counts = F.transform(closed, lambda part: F.regexp_count(plain_text(part), F.lit("\n")))
+    return F.when(content.rlike(r"(?i)</a\s*>"), F.filter(let(counts, located), lambda x: x["link"] != "")).otherwise(F.array().cast("array<struct<link:string,line:int>>"))
 
 
 def class_colors(html: Column) -> Column:
@@ -90,21 +100,43 @@ def sheet_class_colors(sheets: DataFrame, html_col: str = "html") -> DataFrame:
     return sheets.select("sheet_id", class_colors(F.col(html_col)).alias("c")).select("sheet_id", F.explode("c").alias("css_class", "bg_color"))
 
 
-def sheet_rows(sheets: DataFrame, html_col: str = "html") -> DataFrame:
-    """``(sheet_id, row_idx, cells array<struct>)``: table rows with a cell; a wide cell is followed by empty ones."""
+CELL_FORM = r"(?is)<td\b([^>]*)>(.*?)</td>"
+
+
+def _raw_cells(row: Column) -> Column:
+    """array<struct<attrs,body>> of a row's text."""
+    part = lambda g: F.regexp_extract_all(row, F.lit(CELL_FORM), F.lit(g))
+    return F.arrays_zip(part(1).alias("attrs"), part(2).alias("body"))
+
+
+def _span(attrs: Column) -> Column:
+    wide = F.when(attrs.contains("colspan"), attribute(F.concat(F.lit(" "), attrs), "colspan")).otherwise("")
+    return F.greatest(F.coalesce(some(F.regexp_extract(wide, r"^\s*(\d{1,4})\s*$", 1)).cast("int"), F.lit(1)), F.lit(1))
+
+
+def _row_texts(row: Column) -> Column:
+    """The cells' texts of one row; a wide cell is followed by empty ones."""
+    return F.flatten(F.transform(_raw_cells(row), lambda c: F.concat(F.array(strip(plain_text(c["body"]))), F.array_repeat(F.lit(""), _span(c["attrs"]) - 1))))
+
+
+def sheet_rows(sheets: DataFrame, html_col: str = "html", aliases: dict[str, str] = ALIASES) -> DataFrame:
+    """``(sheet_id, row_idx, cells array<struct>, header_row, fields)``: table rows with a cell.
+
+    A wide cell is followed by empty ones. The layout, ``header_row`` and ``fields``, is
+    found in a sheet's first rows before they are spread, so that it needs no join.
+    """
     html = F.regexp_replace(F.col(html_col), r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
     tables = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), F.lit(1)), "")
     rows = F.filter(F.regexp_extract_all(tables, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), lambda r: r.rlike(r"(?i)<td\b"))
     read = sheets.select("sheet_id", class_colors(F.col(html_col)).alias("_colors"), rows.alias("_rows"))
-    split = read.select("sheet_id", "_colors", F.posexplode("_rows").alias("row_idx", "_row"))
-    cell = r"(?is)<td\b([^>]*)>(.*?)</td>"
-    raw = F.arrays_zip(F.regexp_extract_all("_row", F.lit(cell), F.lit(1)).alias("attrs"), F.regexp_extract_all("_row", F.lit(cell), F.lit(2)).alias("body"))
+    head = F.transform(F.slice("_rows", 1, HEADER_ROWS), _row_texts)
+    placed = read.select("sheet_id", "_colors", "_rows", layout_of(head, aliases).alias("_layout"))
+    split = placed.select("sheet_id", "_colors", "_layout", F.posexplode("_rows").alias("row_idx", "_row"))
     blank = F.expr(f"cast(named_struct('text', '', 'links', array(), 'link_lines', array(), 'images', array(), 'css_class', '', 'bg_color', null) as {CELL})")
 
     def build(c: Column) -> Column:
         attrs, links = F.concat(F.lit(" "), c["attrs"]), _links(c["body"])
         css = F.when(c["attrs"] == "", "").otherwise(attribute(attrs, "class"))
-        span = F.greatest(F.coalesce(some(F.regexp_extract(F.when(c["attrs"].contains("colspan"), attribute(attrs, "colspan")).otherwise(""), r"^\s*(\d{1,4})\s*$", 1)).cast("int"), F.lit(1)), F.lit(1))
         images = F.filter(F.transform(F.regexp_extract_all(F.when(c["body"].contains("<"), c["body"]).otherwise(""), F.lit(r"(?is)<img\b[^>]*>"), F.lit(0)), lambda i: attribute(i, "src")), lambda s: s != "")
         one = F.struct(
             strip(plain_text(c["body"])).alias("text"),
@@ -114,9 +146,9 @@ def sheet_rows(sheets: DataFrame, html_col: str = "html") -> DataFrame:
             css.alias("css_class"),
             F.element_at(F.col("_colors"), css).alias("bg_color"),
         )
-        return F.concat(F.array(one.cast(CELL)), F.array_repeat(blank, span - 1))
+        return F.concat(F.array(one.cast(CELL)), F.array_repeat(blank, _span(c["attrs"]) - 1))
 
-    return split.select("sheet_id", "row_idx", F.flatten(F.transform(raw, build)).alias("cells"))
+    return split.select("sheet_id", "row_idx", F.flatten(F.transform(_raw_cells(F.col("_row")), build)).alias("cells"), "_layout.header_row", "_layout.fields")
 
 
 def sheet_cells(sheets: DataFrame, html_col: str = "html") -> DataFrame:
@@ -170,10 +202,10 @@ def stream_sheets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def discover_sheets(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
-    """``(sheet_ord, name, folder, html)`` of ``<folder>_files/sheet.html``: known folders (folder, name) first in their order, then the others by name."""
+    """``(name, folder, html)`` of ``<folder>_files/sheet.html``: known folders (folder, name, ord) first in their order, then the others by folder."""
     found = read_sheets(spark, path).withColumn("folder", F.url_decode(F.regexp_extract("sheet_id", r"/([^/]+)_files/sheet\.html$", 1))).filter("folder <> ''")
     if known is None:
         known = spark.createDataFrame([], "folder string, name string, ord int")
     named = found.join(known.select("folder", F.col("name").alias("_known"), "ord"), "folder", "left")
     name = F.coalesce("_known", strip(F.replace("folder", F.lit(" - Google Drive"), F.lit(""))))
-    return named.select(F.col("ord").alias("known_ord"), name.alias("name"), "folder", "html")
+    return named.orderBy(F.col("ord").isNull(), "ord", "folder").select(name.alias("name"), "folder", "html")

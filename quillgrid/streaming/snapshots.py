@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -54,33 +55,65 @@ def latest_snapshots(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("url").agg(best).select("url", *[f"b.{c}" for c in rest])
 
 
-def upsert_latest(stream: DataFrame, root: str, checkpoint: str):
-    """Starts a stream that keeps the newest snapshot of each url under ``root``.
+#: After so many batches the deltas become a new base.
+COMPACT_EVERY = 50
 
-    Each batch writes a whole new version beside the old one and then names it in the
-    ``current`` pointer, so that no reader sees a half-written table. Returns the query's writer.
+
+def upsert_latest(stream: DataFrame, root: str, checkpoint: str, compact_every: int = COMPACT_EVERY):
+    """A stream's writer that keeps the newest snapshot of each url under ``root``.
+
+    A batch writes its own newest snapshots as a delta named by the batch, so that a batch
+    that is run again replaces only itself, and nothing that other batches wrote is ever
+    deleted. Every ``compact_every`` batches base and deltas become a new base beside the old
+    one; only then is it named, by a numbered pointer of its own. A crash at any point leaves
+    the last named base and all deltas after it.
     """
 
-    def step(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        stored = read_latest(spark, root)
-        rows = batch if stored is None else stored.unionByName(batch)
-        path = f"{root}/v-{uuid.uuid4().hex}"
-        latest_snapshots(rows).write.parquet(path)
-        spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
+    def step(batch: DataFrame, number: int) -> None:
+        latest_snapshots(batch).write.mode("overwrite").parquet(f"{root}/delta/batch={number}")
+        if number % compact_every == compact_every - 1:
+            compact_latest(batch.sparkSession, root, number)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
-def read_latest(spark: SparkSession, root: str) -> DataFrame | None:
-    """The table that the pointer names, or nothing before the first batch."""
+def _found(read, path: str) -> DataFrame | None:
+    """What ``read`` reads, or nothing if there is no such path."""
     try:
-        rows = spark.read.text(f"{root}/current").collect()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
+        return read(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return None
         raise
-    return spark.read.parquet(rows[0]["value"]) if rows else None
+
+
+def _named_base(spark: SparkSession, root: str) -> tuple[int, str | None]:
+    """The last batch that is in the newest named base, and that base's folder."""
+    pointers = _found(spark.read.schema("path string, through int").json, f"{root}/pointer")
+    newest = None if pointers is None else pointers.filter("path is not null").orderBy(F.desc("through")).first()
+    return (newest["through"], newest["path"]) if newest else (-1, None)
+
+
+def compact_latest(spark: SparkSession, root: str, through: int) -> None:
+    """Writes base and deltas up to a batch as a new base, then its pointer."""
+    rows = read_latest(spark, root, through)
+    if rows is not None:
+        path = f"{root}/base-{through}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        spark.createDataFrame([(path, through)], "path string, through int").coalesce(1).write.mode("overwrite").json(f"{root}/pointer/n={through}")
+
+
+def read_latest(spark: SparkSession, root: str, through: int | None = None) -> DataFrame | None:
+    """The newest snapshot of each url in base and later deltas, or nothing before the first batch."""
+    done, base = _named_base(spark, root)
+    deltas = _found(spark.read.parquet, f"{root}/delta")
+    if deltas is not None:
+        later = deltas.filter(F.col("batch") > done)
+        deltas = (later if through is None else later.filter(F.col("batch") <= through)).drop("batch")
+    if base is None:
+        return None if deltas is None else latest_snapshots(deltas)
+    kept = spark.read.parquet(base)
+    return kept if deltas is None else latest_snapshots(kept.unionByName(deltas))
 
 
 FAVOURITE_KEY = ["artist_slug", "era_name", "base_name"]
@@ -98,10 +131,15 @@ def _fold_favourites(key: tuple, batches: Iterable[pd.DataFrame], state: GroupSt
         else:
             held[k] = r.ts.isoformat()
     state.update(([list(k) for k in held], list(held.values())))
-    yield pd.DataFrame([(key[0], *k, t) for k, t in held.items()], columns=["user_id", *FAVOURITE_KEY, "added_at"])
+    rows = [(key[0], *k, t) for k, t in held.items()] or [(key[0], None, None, None, None)]
+    yield pd.DataFrame(rows, columns=["user_id", *FAVOURITE_KEY, "added_at"])
 
 
 def favourites_stream(events: DataFrame) -> DataFrame:
-    """Each user's favourites after every batch that touches them; the state is one user's set."""
+    """Each user's favourites after every batch that touches them; the state is one user's set.
+
+    A user whose set has become empty gives one row of nulls, so that a reader that keeps
+    the last rows of each user drops the old ones.
+    """
     schema = "user_id long, artist_slug string, era_name string, base_name string, added_at string"
     return events.groupBy("user_id").applyInPandasWithState(_fold_favourites, schema, "keys array<array<string>>, times array<string>", "update", GroupStateTimeout.NoTimeout)

@@ -87,3 +87,59 @@ def test_stub_eras_merge_twice(spark):
     )
     got = [(r["era_idx"], r["name"], r["description"]) for r in merge_stub_eras(eras).orderBy("era_idx").collect()]
     assert got == [(1, "Birds In The Trap", "d"), (3, "Other", None), (4, "HiTunes [V3]", "h"), (5, "Alone", None)]
+
+
+def eras_of(cat, *cols):
+    return [tuple(r[c] for c in cols) for r in cat["eras"].orderBy("era_idx").collect()]
+
+
+def test_eras_opened_by_rows_keep_what_the_rows_say(spark):
+    """A name of two lines has notes and an image; a row with an era but no name has events and the first image."""
+    _, songs, cat = read(
+        spark,
+        row("", "The Graduates<br>(2007 - 2009)", "Early days", "", '<img src="http://i/g">'), row("The Graduates", "A", *SONG),
+        row("Next Era", "", "(2010) (begun)<br>(2011) (done)", "x", '<img src="http://i/n"><img src="http://i/m">'), row("Next Era", "B", *SONG),
+        row("Third Era", "C", "", "", ""), row("Third Era", "D", *SONG),
+    )
+    got = eras_of(cat, "name", "origin", "description", "art_url")
+    assert got == [("The Graduates", "name", "Early days", "http://i/g"), ("Next Era", "auto", None, "http://i/n"), ("Third Era", "auto", None, None)]
+    events = [[tuple(e) for e in r["timeline"]] for r in cat["eras"].orderBy("era_idx").collect()]
+    assert events == [[], [("2010", "begun"), ("2011", "done")], []]
+    assert [s[:2] for s in songs] == [("The Graduates", "A"), ("Next Era", "B"), ("Third Era", "D")]
+
+
+def test_name_column_image_before_other_images(spark):
+    _, _, cat = read(spark, row("", '<img src="http://i/own">The Graduates<br>(2007)', "d", "", '<img src="http://i/other">'), row("The Graduates", "A", *SONG))
+    assert eras_of(cat, "name", "art_url") == [("The Graduates", "http://i/own")]
+
+
+def test_a_lone_name_opens_an_era_without_content(spark):
+    _, songs, cat = read(spark, row("", "Before Unknown Death", "notes here", "", ""), row("", "A", *SONG), row("", "B", *SONG))
+    assert eras_of(cat, "name", "origin", "description") == [("Before Unknown Death", "name", None)]
+    assert [s[0] for s in songs] == ["Before Unknown Death"] * 2
+
+
+def test_the_job_merges_stubs_reads_statistics_notices_and_art(spark):
+    html = "<table>" + row("Some notice that is long", "") + HEAD + row("0 Full", "Birds In The Trap", "(2001) (x)", "", "About birds") + row("2 Full<br>1 Snippet(s)", "Birds", "", "", "")
+    html += row("Birds", "A", *SONG) + row("Birds", "A [V2]", *SONG) + row("Birds", "B", *SONG) + row("3 Total Links<br>1 Missing Links", "", "2 Total Full", "", "") + "</table>"
+    sheets = spark.createDataFrame([("s", html), ("empty", "<p>"), ("head", "<table>" + HEAD + "</table>")], "sheet_id string, html string")
+    art = spark.createDataFrame([("s", "<table>" + row("Birds In The Trap", '<img src="http://i/a">', "alternate") + row("Birds In The Trap", '<img src="http://i/c">', "Front cover") + "</table>")], "sheet_id string, html string")
+    names = spark.createDataFrame([("s", "The Artist!")], "sheet_id string, artist_name string")
+    cat = read_catalogue(sheets, names=names, art=art)
+    got = eras_of(cat, "name", "description", "art_url", "declared_total", "n_songs", "n_versions", "era_idx")
+    assert got == [("Birds In The Trap", "About birds", "http://i/c", 3, 2, 3, 1)]
+    assert [(r["text"], r["kind"]) for r in cat["notices"].collect()] == [("Some notice that is long", "info")]
+    stats = cat["sheet_stats"].first()
+    assert (stats["total_links"], stats["missing_links"], stats["total_full"]) == (3, 1, 2)
+    artists = {r["sheet_id"]: (r["artist_name"], r["slug"], r["n_eras"], r["n_songs"], r["n_versions"], r["art_url"]) for r in cat["artists"].collect()}
+    assert artists == {"s": ("The Artist!", "the-artist", 1, 2, 3, "http://i/c"), "head": ("head", "head", 0, 0, 0, None)}
+    nested = cat["nested"].collect()
+    assert len(nested) == 1 and [e["era_name"] for e in nested[0]["eras"]] == ["Birds In The Trap"] and nested[0]["n_versions"] == 3
+    metrics = {r["sheet_id"]: (r["total_rows"], r["song_rows"], r["footer_rows"]) for r in cat["ingest_metrics"].collect()}
+    assert metrics == {"s": (6, 3, 1), "head": (0, 0, 0)}
+
+
+def test_links_know_their_lines(spark):
+    html = "<table><tr><td>" + "".join(f'<a href="u{i}">x</a>{"<br>" if i % 2 else " "}' for i in range(40)) + "</td></tr></table>"
+    cell = explode_cells(sheet_rows(spark.createDataFrame([("s", html)], "sheet_id string, html string"))).first()
+    assert cell["links"] == [f"u{i}" for i in range(40)] and cell["link_lines"] == [i // 2 for i in range(40)]

@@ -32,7 +32,12 @@ def test_sheet_files(spark, tmp_path):
         d.mkdir()
         (d / "sheet.html").write_text(f"<table><tr><td>{name}</td></tr></table>")
     known = spark.createDataFrame([("Known - Google Drive", "K", 0)], "folder string, name string, ord int")
-    assert sorted((r["name"], r["known_ord"]) for r in discover_sheets(spark, str(tmp_path), known).collect()) == [("K", 0), ("Other", None)]
+    for name in ("A first - Google Drive", "Zed - Google Drive"):
+        (tmp_path / f"{name}_files").mkdir()
+        (tmp_path / f"{name}_files" / "sheet.html").write_text("<table><tr><td>x</td></tr></table>")
+    assert [(r["name"], r["folder"]) for r in discover_sheets(spark, str(tmp_path), known).collect()] == [("K", "Known - Google Drive"), ("A first", "A first - Google Drive"), ("Other", "Other - Google Drive"), ("Zed", "Zed - Google Drive")]
+    for name in ("A first - Google Drive", "Zed - Google Drive"):
+        (tmp_path / f"{name}_files" / "sheet.html").unlink()
     assert read_sheets(spark, str(tmp_path)).count() == 2
     run = sheet_rows(stream_sheets(spark, str(tmp_path))).writeStream.format("memory").queryName("sheet_stream").trigger(availableNow=True).start()
     run.awaitTermination()
@@ -67,6 +72,55 @@ def test_latest_stream_keeps_the_newest(spark, tmp_path):
     assert [r["content_hash"] for r in snap.read_latest(spark, root).collect()] == ["new"]
 
 
+def _batch(spark, rows):
+    at = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame([(u, at + dt.timedelta(minutes=m), h) for u, m, h in rows], "url string, fetched_at timestamp, content_hash string")
+
+
+def test_latest_survives_a_stop_at_any_point(spark, tmp_path, monkeypatch):
+    """Batches that are run again, and a stop between a new base and its pointer, lose nothing."""
+    root = str(tmp_path / "out")
+    step = {}
+
+    class Stream:
+        writeStream = property(lambda self: self)
+        foreachBatch = lambda self, f: step.update(f=f) or self
+        option = lambda self, *a: self
+
+    snap.upsert_latest(Stream(), root, "none", compact_every=2)
+    now = lambda: sorted((r["url"], r["content_hash"]) for r in snap.read_latest(spark, root).collect())
+    step["f"](_batch(spark, [("u", 1, "a"), ("v", 1, "x")]), 0)
+    assert now() == [("u", "a"), ("v", "x")]
+    real = snap.compact_latest
+
+    def stopped(session, folder, through):
+        snap.read_latest(session, folder, through).write.parquet(f"{folder}/base-{through}-half")
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(snap, "compact_latest", stopped)
+    try:
+        step["f"](_batch(spark, [("u", 5, "b")]), 1)
+        raise AssertionError
+    except RuntimeError:
+        assert now() == [("u", "b"), ("v", "x")]
+    monkeypatch.setattr(snap, "compact_latest", real)
+    step["f"](_batch(spark, [("u", 5, "b")]), 1)  # the batch again, as the stream would
+    step["f"](_batch(spark, [("u", 3, "late"), ("w", 1, "n")]), 2)
+    assert now() == [("u", "b"), ("v", "x"), ("w", "n")]
+    step["f"](_batch(spark, [("v", 9, "y")]), 3)
+    assert now() == [("u", "b"), ("v", "y"), ("w", "n")]
+
+
+def test_favourites_stream_tells_of_empty_sets(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    schema = "ts timestamp, user_id long, action string, artist_slug string, era_name string, base_name string"
+    rows = [(t, 1, "toggle", "a", "e", "s"), (t + dt.timedelta(minutes=1), 1, "clear", None, None, None), (t, 2, "toggle", "a", "e", "s")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    run = snap.favourites_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("emptied").outputMode("update").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted((r["user_id"], r["base_name"]) for r in spark.table("emptied").collect()) == [(1, None), (2, "s")]
+
+
 def test_favourites_stream_equals_batch(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     actions = ["toggle", "toggle", "toggle", "remove", "toggle", "clear", "toggle"]
