@@ -217,6 +217,18 @@ def search_alternates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(versions(spark, sf_dir), "economy").select("sheet_id", "row_idx", "score")
 
 
+@query(VM + ", k AS MATERIALIZED (SELECT DISTINCT sheet_id, era_idx, base_name FROM v WHERE list_contains(alt_titles, 'ECONOMY')) SELECT v.sheet_id, v.row_idx, 60 AS score FROM v JOIN k ON v.sheet_id = k.sheet_id AND v.era_idx = k.era_idx AND v.base_name = k.base_name")
+def search_alternate_beginnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SR-01: other titles that begin with the query."""
+    return search.search(versions(spark, sf_dir), "Econ").select("sheet_id", "row_idx", "score")
+
+
+@query(VM + ", k AS MATERIALIZED (SELECT DISTINCT sheet_id, era_idx, base_name FROM v WHERE contains(name, 'take 3')) SELECT v.sheet_id, v.row_idx, 20 AS score FROM v JOIN k ON v.sheet_id = k.sheet_id AND v.era_idx = k.era_idx AND v.base_name = k.base_name")
+def search_within_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SR-01: a version's name that holds the query."""
+    return search.search(versions(spark, sf_dir), "take 3").select("sheet_id", "row_idx", "score")
+
+
 @query(V + "SELECT sheet_id, row_idx, CASE WHEN starts_with(base_name, 'wid') THEN 100 WHEN regexp_matches(base_name, '\\bwid') THEN 60 ELSE 30 END AS score FROM v WHERE contains(base_name, 'wid')")
 def search_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SR-02."""
@@ -286,10 +298,10 @@ def section_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.filter_sections(listed, v, eras(spark, sf_dir), "brand#2", hide_snippets=True)
 
 
-@query(V + "SELECT sheet_id, row_idx FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, era_idx ORDER BY row_idx) AS rn FROM v WHERE badge IS NOT NULL AND contains(name, 'bolt')) WHERE rn <= 3")
+@query(V + "SELECT sheet_id, row_idx FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, era_idx ORDER BY row_idx) AS rn FROM v WHERE badge IS NOT NULL AND contains(name, 'bolt') AND contains(era_name, '0000')) WHERE rn <= 3")
 def song_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-16, SR-07."""
-    return search.inspect_songs(versions(spark, sf_dir), name_like="Bolt", badges_only=True, per_era=3).select("sheet_id", "row_idx")
+    return search.inspect_songs(versions(spark, sf_dir), era_like="r#0000", name_like="Bolt", badges_only=True, per_era=3).select("sheet_id", "row_idx")
 
 
 # ---------------------------------------------------------------- resolution
@@ -467,14 +479,19 @@ def quality_art(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dq.art_coverage(eras(spark, sf_dir).withColumn("art_url", F.when(F.col("s_acctbal") > 3000, F.col("name"))))
 
 
+_EMPTY = {"navigation": "Skip to {}", "discord": "{} Discord", "updates": "Added {}", "meta_label": "Mega Folder", "guidelines": "{} guidelines", "announcements": "Please read {}", "empty": " ", "real_era": "{}"}
+
+
 @query(
-    "SELECT category, category <> 'real_era' AS fixable, count(*) AS n, count(DISTINCT c_nationkey) AS n_sheets FROM (SELECT c_nationkey, CASE c_custkey % 5 WHEN 0 THEN 'navigation' WHEN 1 THEN 'discord' WHEN 2 THEN 'updates' WHEN 3 THEN 'meta_label' ELSE 'real_era' END AS category FROM customer) GROUP BY ALL"
+    "SELECT category, category <> 'real_era' AS fixable, count(*) AS n, count(DISTINCT c_custkey // 60) AS n_sheets FROM (SELECT c_custkey, ["
+    + ", ".join(f"'{c}'" for c in _EMPTY)
+    + "][c_custkey % 8 + 1] AS category FROM customer) GROUP BY ALL"
 )
 def quality_empty_eras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-11."""
-    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey") % 5
-    name = F.when(k == 0, F.concat(F.lit("Skip to "), F.col("c_name"))).when(k == 1, F.concat(F.col("c_name"), F.lit(" Discord"))).when(k == 2, F.concat(F.lit("Added "), F.col("c_name"))).when(k == 3, "Mega Folder").otherwise(F.col("c_name"))
-    return dq.categorize_empty(c.select(F.col("c_nationkey").alias("sheet_id"), name.alias("name"), F.lit(0).alias("n_songs")))
+    """AG-11: every reason why an era has no songs."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    names = F.array(*[F.concat(*[x for part in form.split("{}") for x in (F.lit(part), F.col("c_name"))][:-1]) for form in _EMPTY.values()])
+    return dq.categorize_empty(c.select(F.floor(k / 60).alias("sheet_id"), F.get(names, (k % 8).cast("int")).alias("name"), F.lit(0).alias("n_songs")))
 
 
 @query(f"WITH {_ISSUES}, t AS (SELECT *, {_STATUS} AS status FROM s) SELECT t.sheet_id::VARCHAR AS sheet_id, status, n_eras, count(i.issue) AS n_issues FROM t LEFT JOIN i USING (sheet_id) WHERE status IN ('ok', 'warn') GROUP BY ALL")

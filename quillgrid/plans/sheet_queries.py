@@ -157,14 +157,14 @@ def catalogue_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     MIXED + """, k AS (SELECT sheet_id, p_type, CASE p_type WHEN 'PROMO' THEN 'position' WHEN 'SMALL' THEN CASE l_linenumber WHEN 7 THEN 'key' WHEN 5 THEN 'fuzzy' WHEN 4 THEN 'acronym' ELSE 'exact' END WHEN 'STANDARD' THEN CASE WHEN rn = 1 THEN 'backfill' ELSE 'exact' END
-WHEN 'LARGE' THEN CASE WHEN l_linenumber = 5 AND odd = 1 THEN 'learnt' ELSE 'exact' END ELSE 'exact' END AS match_kind FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, p_type ORDER BY l_orderkey) AS rn, row_number() OVER (PARTITION BY sheet_id, p_type, l_linenumber ORDER BY l_orderkey) AS odd FROM i))
-SELECT sheet_id, p_type AS era, match_kind, count(*) AS n FROM k GROUP BY ALL"""
+WHEN 'LARGE' THEN CASE WHEN l_linenumber = 5 AND odd = 1 THEN 'learnt' ELSE 'exact' END ELSE 'exact' END AS match_kind, (l_quantity < 25)::INT + (l_suppkey % 4 = 1)::INT AS n_links FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, p_type ORDER BY late, l_orderkey, l_linenumber, l_partkey) AS rn, row_number() OVER (PARTITION BY sheet_id, p_type, l_linenumber ORDER BY l_orderkey, l_partkey) AS odd FROM i))
+SELECT sheet_id, p_type AS era, match_kind, count(*) AS n, sum(n_links)::BIGINT AS n_links FROM k GROUP BY ALL"""
 )
 def catalogue_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-02..05, FLT-08: how song rows find their eras."""
+    """JN-02..05, FLT-08, ST-01: how song rows find their eras, and the links of their two columns."""
     cat = read_catalogue(mixed_sheets(spark, sf_dir))
     named = cat["versions"].join(cat["eras"].select("sheet_id", "era_idx", F.split("name", " ")[0].alias("era")), ["sheet_id", "era_idx"])
-    return named.groupBy("sheet_id", "era", "match_kind").agg(F.count("*").alias("n"))
+    return named.groupBy("sheet_id", "era", "match_kind").agg(F.count("*").alias("n"), F.sum(F.size("links")).alias("n_links"))
 
 
 @query(

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quillgrid.functions import labels as L
 from quillgrid.functions import text as T
 from quillgrid.operators import media, rows
-from quillgrid.operators.resolve import art_map, apply_art
+from quillgrid.operators.columns import project_fields
+from quillgrid.operators.resolve import apply_art, art_map
 from quillgrid.operators.tabs import artist_name
 from quillgrid.plans.fixtures import table
 from quillgrid.scratch import new_folder
@@ -141,14 +142,23 @@ def file_metadata_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.file_metadata(p).select("p_partkey", "codec", "bitrate", "lossless", "estimated_bitrate", "title")
 
 
-@query("SELECT p_partkey, 'AAC · ' || CASE WHEN p_size % 2 = 0 THEN 'Lossless' ELSE p_size * 40 || 'kbps' END AS summary, CASE WHEN p_size * 40 >= 1000 THEN 'lossless' WHEN p_size * 40 >= 320 THEN 'hq' WHEN p_size * 40 >= 192 THEN 'cd' ELSE 'lq' END AS grade, p_size % 2 = 0 OR p_size * 40 >= 1000 AS is_large FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN p_size * 1000 END::BIGINT AS file_size, 'audio/mpeg' AS mime_type, p_name || '.mp3' AS filename, p_size % 2 = 0 AS quality_mismatch, round(p_size * 1.25 - 0.01, 1)::DOUBLE AS frequency_cutoff FROM part")
+def file_metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EN-20: the other JSON shape."""
+    size = F.when(F.col("p_size") % 3 > 0, F.col("p_size") * 1000).otherwise(0)
+    body = F.concat(F.lit('{"size": '), size.cast("string"), F.lit(', "mimeType": "audio/mpeg", "name": "'), F.col("p_name"), F.lit('.mp3", "qualityMismatch": '), F.when(F.col("p_size") % 2 == 0, "true").otherwise("false"), F.lit(', "frequencyCutoff": '), (F.col("p_size") * 1.25 - 0.01).cast("decimal(10,2)").cast("string"), F.lit("}"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lit("imgur").alias("provider"), body.alias("body"))
+    return media.file_metadata(p).select("p_partkey", "file_size", "mime_type", "filename", "quality_mismatch", "frequency_cutoff")
+
+
+@query("SELECT p_partkey, 'AAC · ' || CASE WHEN p_size % 2 = 0 THEN 'Lossless' ELSE p_size * 40 || 'kbps' END AS summary, CASE WHEN p_size * 40 >= 1000 THEN 'lossless' WHEN p_size * 40 >= 320 THEN 'hq' WHEN p_size * 40 >= 192 THEN 'cd' ELSE 'lq' END AS grade, p_size % 2 = 0 OR p_size * 40 >= 1000 AS is_large, '~' || CASE WHEN p_size * 900000 >= 1048576 THEN printf('%.1f MB', p_size * 900000 / 1048576) ELSE round(p_size * 900000 / 1024)::BIGINT || ' KB' END AS size_text FROM part")
 def file_display_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EN-21."""
     p = table(spark, sf_dir, "part").select(
         "p_partkey", F.lit("AAC").alias("codec"), F.lit("MP4").alias("container"), (F.col("p_size") % 2 == 0).alias("lossless"), F.concat((F.col("p_size") * 40).cast("string"), F.lit("kbps")).alias("bitrate"),
         F.lit(None).cast("long").alias("estimated_bitrate"), F.lit(180).alias("seconds"),
     )
-    return media.display_columns(p).select("p_partkey", "summary", F.col("bitrate_class").alias("grade"), "is_large")
+    return media.display_columns(p).select("p_partkey", "summary", F.col("bitrate_class").alias("grade"), "is_large", "size_text")
 
 
 @query(
@@ -267,3 +277,20 @@ def snapshots_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshots_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-03, batch form."""
     return snap.latest_snapshots(user_snapshots(table(spark, sf_dir, "events"))).select("url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("at"), "content_hash")
+
+
+@query(f"WITH s AS ({_SNAP}), m AS (SELECT date_trunc('second', max(fetched_at)) AS t FROM s) SELECT url, count(*) FILTER (epoch(t) - epoch(date_trunc('second', fetched_at)) <= 604800 AND content_hash <> 'error') AS n_valid FROM s, m GROUP BY url")
+def snapshots_client_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-02: a client's copies that are young enough and of the current form."""
+    s = user_snapshots(table(spark, sf_dir, "events"))
+    now = F.lit(s.agg(F.max("fetched_at")).first()[0])
+    version = F.when(F.col("content_hash") == "error", 0).otherwise(1)
+    return s.groupBy("url").agg(F.count_if(snap.client_copy_valid(F.col("fetched_at"), now, version)).alias("n_valid"))
+
+
+@query("SELECT p_partkey, 'Unfinished' AS version_tag, p_name AS name, p_brand AS alts FROM part")
+def unfinished_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EN-04: an other title that says unfinished becomes the tag and is no title."""
+    cell = F.concat(F.lit("<table><tr><td>Era</td><td>Name</td><td>Notes</td></tr><tr><td>x</td><td>"), F.col("p_name"), F.lit("<br>"), F.col("p_brand"), F.lit("<br>[Unfinished]</td><td>n</td></tr></table>"))
+    read = rows.with_version_columns(project_fields(sheet_rows(table(spark, sf_dir, "part").select(_s("p_partkey").alias("sheet_id"), cell.alias("html")))))
+    return read.select(F.col("sheet_id").cast("long").alias("p_partkey"), "version_tag", F.col("title").alias("name"), F.array_join("alt_titles", "|").alias("alts"))
