@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +41,10 @@ PATTERNS = {
     "national_id": r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
-#: Tested first, as the pattern itself begins with a wide class.
-GUARDS = {"email": "@", "email_masked": "at", "phone": "+"}
+#: Tested first, as the pattern itself begins with a wide class: one of these must be there.
+GUARDS = {"email": ("@",), "email_masked": ("at]", "at)", "AT]", "AT)"), "phone": ("+",)}
+#: The other kinds have a digit in every match, so texts without digits are not searched for them.
+WITHOUT_DIGITS = ("email", "email_masked")
 
 #: Kinds whose matches must pass a further test.
 CHECKED = ("ip", "card", "phone")
@@ -164,17 +167,21 @@ def _features(hit: Column, before: Column, after: Column) -> list[Column]:
 
 def candidate_spans(text: Column) -> Column:
     """Candidates of all kinds, by kind, then start; loose ones where no base span is."""
-    found = {}
-    for rank, kind in enumerate(KINDS):
-        spans = match_spans(text, PATTERNS[kind])
-        if kind in GUARDS:
-            spans = F.when(text.contains(GUARDS[kind]), spans)
-        if kind in CHECKED:
-            spans = _checked(spans, kind)
-        found[kind] = ranked_spans(spans, rank, kind)
-    base = F.concat(*[found[k] for k in BASE])
-    loose = F.filter(F.concat(*[found[k] for k in KINDS if k not in BASE]), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.concat(base, loose)
+
+    def spans_of(kinds: tuple[str, ...]) -> Column:
+        found = {}
+        for kind in kinds:
+            spans = match_spans(text, PATTERNS[kind])
+            if kind in GUARDS:
+                spans = F.when(reduce(lambda a, b: a | b, [text.contains(g) for g in GUARDS[kind]]), spans)
+            if kind in CHECKED:
+                spans = _checked(spans, kind)
+            found[kind] = ranked_spans(spans, KINDS.index(kind), kind)
+        base = F.concat(*[found[k] for k in kinds if k in BASE])
+        loose = F.filter(F.concat(*[found[k] for k in kinds if k not in BASE]), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        return F.concat(base, loose)
+
+    return F.when(text.rlike("[0-9]"), spans_of(KINDS)).otherwise(spans_of(WITHOUT_DIGITS))
 
 
 def _checked(spans: Column, kind: str) -> Column:
