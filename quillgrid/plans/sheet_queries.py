@@ -357,15 +357,28 @@ def workbook_best_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_tab(tabs)
 
 
+_COUNTERS = {
+    "sources_needed": (4, "Sources Needed"), "not_available_links": (5, "Not Available"), "lossless": (7, "Lossless"), "cd_quality": (8, "CD Quality"), "high_quality": (9, "High Quality"), "low_quality": (10, "Low Quality"), "recordings": (11, "Recordings"),
+    "not_available_quality": (12, "Not Available"), "og_files": (2, "OG File(s)"), "stem_bounces": (13, "Stem Bounces"), "full": (14, "Full"), "tagged": (15, "Tagged"), "partial": (16, "Partial"), "snippets": (17, "Snippets"), "unavailable": (18, "Unavailable"),
+    "best_of": (1, "Best Of"), "special": (19, "Special"), "grails": (3, "Grails"), "wanted": (20, "Wanted"), "worst_of": (21, "Worst Of"),
+}
+
+
 @query(
-    "SELECT 'sheet-' || c_nationkey AS sheet_id, count(*) AS total_links, sum((c_acctbal < 0)::BIGINT)::BIGINT AS missing_links, 7::BIGINT AS lossless, count(DISTINCT c_mktsegment) AS total_full, 3::BIGINT AS grails FROM customer GROUP BY ALL"
+    "SELECT 'book-' || (c_custkey // 60) AS sheet_id, count(*) AS total_links, sum((c_acctbal < 0)::BIGINT)::BIGINT AS missing_links, count(DISTINCT c_mktsegment) AS total_full, "
+    + ", ".join(f'{n}::BIGINT AS "{c}"' for c, (n, _) in _COUNTERS.items())
+    + " FROM customer GROUP BY ALL"
 )
 def sheet_declared_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-06: the last statistics row of sheets that declare them."""
-    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum((F.col("c_acctbal") < 0).cast("int")).alias("m"), F.countDistinct("c_mktsegment").alias("s"))
+    """AG-06: all counters of the last statistics row of sheets that declare them."""
+    book = F.floor(F.col("c_custkey") / 60).alias("book")
+    c = table(spark, sf_dir, "customer").groupBy(book).agg(F.count("*").alias("n"), F.sum((F.col("c_acctbal") < 0).cast("int")).alias("m"), F.countDistinct("c_mktsegment").alias("s"))
     s = lambda x: F.col(x).cast("string")
+    told = lambda *names: "<br>".join(f"{_COUNTERS[c][0]} {_COUNTERS[c][1]}" for c in names)
+    names = list(_COUNTERS)
     html = F.concat(
-        F.lit("<table><tr><td>🔗 1 Total Links</td></tr><tr><td>🔗 "), s("n"), F.lit(" Total Links<br>❌ "), s("m"), F.lit(" Missing Links</td><td>7 Lossless</td><td>"), s("s"), F.lit(" Total Full<br>2 OG File(s)</td><td>1 Best Of<br>3 Grails</td></tr></table>"),
+        F.lit("<table><tr><td>🔗 1 Total Links</td></tr><tr><td>🔗 "), s("n"), F.lit(" Total Links<br>❌ "), s("m"), F.lit(f" Missing Links<br>{told(*names[:2])}</td><td>{told(*names[2:8])}</td><td>"),
+        s("s"), F.lit(f" Total Full<br>{told(*names[8:15])}</td><td>{told(*names[15:])}</td></tr></table>"),
     )
-    rows = sheet_rows(c.select(F.concat(F.lit("sheet-"), s("c_nationkey")).alias("sheet_id"), html.alias("html")))
-    return sheet_stats(rows).select("sheet_id", "total_links", "missing_links", "lossless", "total_full", "grails")
+    rows = sheet_rows(c.select(F.concat(F.lit("book-"), s("book")).alias("sheet_id"), html.alias("html")))
+    return sheet_stats(rows)

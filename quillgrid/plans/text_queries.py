@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import labels as L
 from quillgrid.functions import text as T
-from quillgrid.operators import media, rows
+from quillgrid.operators import media, quality, rows
 from quillgrid.operators.columns import project_fields
 from quillgrid.operators.resolve import apply_art, art_map
 from quillgrid.operators.tabs import artist_name
@@ -216,10 +216,13 @@ def change_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.change_flag(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], "o_orderstatus").select("o_custkey", "o_orderkey", "is_first")
 
 
-@query("SELECT lower(trim(p_name)) AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT p_partkey // 50 AS book, lower(trim(p_name)) AS name FROM part GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WN-09."""
-    return table(spark, sf_dir, "part").groupBy(F.lower(F.trim("p_name")).alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
+    """WN-09: names that occur twice in a sheet, whatever their case."""
+    p = table(spark, sf_dir, "part")
+    shouted = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat(F.lit(" "), "p_name"))
+    names = p.groupBy(F.floor(F.col("p_partkey") / 50).alias("book")).agg(F.collect_list(shouted).alias("names"))
+    return names.select("book", F.explode(quality.duplicate_names(F.col("names"))).alias("name"))
 
 
 @query(

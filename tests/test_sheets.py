@@ -143,3 +143,12 @@ def test_links_know_their_lines(spark):
     html = "<table><tr><td>" + "".join(f'<a href="u{i}">x</a>{"<br>" if i % 2 else " "}' for i in range(40)) + "</td></tr></table>"
     cell = explode_cells(sheet_rows(spark.createDataFrame([("s", html)], "sheet_id string, html string"))).first()
     assert cell["links"] == [f"u{i}" for i in range(40)] and cell["link_lines"] == [i // 2 for i in range(40)]
+
+
+def test_columns_that_a_header_does_not_name_have_default_places(spark):
+    """Era, name and notes stand in the first three columns unless the header says otherwise."""
+    html = "<table><tr><td>What</td><td>Who</td><td>Why</td><td>Quality</td><td>Link(s)</td></tr>" + row("1 Full", "Rodeo", "(2001) (x)", "", "") + row("Rodeo", "A", "OG Filename: f", "HQ", '<a href="http://a.b">x</a>') + "</table>"
+    cat = read_catalogue(spark.createDataFrame([("s", html)], "sheet_id string, html string"))
+    r = cat["versions"].first()
+    assert (r["name"], r["og_filename"], r["quality"], r["links"]) == ("A", "f", "HQ", ["http://a.b"])
+    assert len(cat["eras"].first()["timeline"]) == 1 and set(cat["layout"].first()["fields"]) == {"quality", "links"}
