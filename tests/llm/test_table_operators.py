@@ -249,3 +249,21 @@ def test_snapshots_collapse(spark, monkeypatch):
     got = {r["conv_id"]: (r["n_turns"], r["text"]) for r in chat.format_chats(df).collect()}
     assert got == want and len(want) < 50
     assert chat.format_chats(df.filter("false")).count() == 0
+
+
+def test_very_long_turns_and_turns_of_one_number(spark):
+    """Long texts are rendered whole; turns of one number follow each other by role, then text."""
+    long = "word " * 200_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (1, 1, "system", "s"), (2, 0, "user", long), (3, 0, "user", None), (3, 1, None, "x")]
+    got = {r["conv_id"]: r["text"] for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)).collect()}
+    turn = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
+    assert got == {1: turn("user", long) + turn("assistant", "a") + turn("assistant", "b") + turn("system", "s"), 3: turn("user", "") + turn("", "x")}
+
+
+def test_very_long_urls_and_hosts(spark):
+    t = dt.datetime(2024, 1, 15, 12)
+    deep = ".".join(f"p{i}" for i in range(300))
+    caps = [(1, "http://bad.org/" + "x/" * 100_000, t), (2, f"http://{deep}.bad.org/", t), (3, "http://" + "h" * 50_000, t), (4, f"http://{deep}.org/?u=bad.org", t)]
+    lists = spark.createDataFrame([("block", "bad.org", dt.date(2024, 1, 1), "add")], "list string, pattern string, listed_on date, event string")
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(spark.createDataFrame(caps, "page_id long, url string, fetched_at timestamp"), lists).collect()}
+    assert got == {1: "block", 2: "block", 3: "none", 4: "none"}
