@@ -23,6 +23,11 @@ def words(key: str) -> set[str]:
     return {w for w in key.split() if len(w) > 2}
 
 
+def era_keys_of(row) -> list[str]:
+    """The keys that a row's era text registers: its match key, its full text, the parts of a joined name."""
+    return list(dict.fromkeys(k for k in (row.era_key, row.era_norm, *row.era_keys) if k))
+
+
 class SheetFold:
     """The state of one sheet: eras, the section in use of each, and the keys learnt so far."""
 
@@ -101,7 +106,7 @@ class SheetFold:
             self.emit(at, "footer")
         elif r.era and self.current in self.unnamed:
             self.names[self.current] = r.era
-            self.learn(r.era_keys, self.current)
+            self.learn(era_keys_of(r), self.current)
             self.unnamed.discard(self.current)
             self.emit(at, "name", r.era)
             if r.version_name is not None:
@@ -125,7 +130,7 @@ class SheetFold:
             if not r.era_plausible:
                 self.emit(at, "skip", r.row_text)
                 return
-            self.open_era(at, r.era, list(r.era_keys), "auto")
+            self.open_era(at, r.era, era_keys_of(r), "auto")
             if named:
                 self.emit(at, "song", match="auto")
         elif r.era_key and r.era_key == self.current_key():
@@ -134,7 +139,7 @@ class SheetFold:
             elif r.n_filled <= 3:
                 self.open_section(at, r.era)
         elif named and r.era_plausible and not r.has_data:
-            self.open_era(at, r.era, list(r.era_keys), "auto")  # the row's own version is not kept
+            self.open_era(at, r.era, era_keys_of(r), "auto")  # the row's own version is not kept
         elif named:
             self.emit(at, "song", match="learnt" if r.era_plausible else "fallback")
             if r.era_plausible:
@@ -142,7 +147,7 @@ class SheetFold:
         elif r.n_filled <= 2 or not r.era_plausible:
             self.open_section(at, r.era)
         else:
-            self.open_era(at, r.era, list(r.era_keys), "auto")
+            self.open_era(at, r.era, era_keys_of(r), "auto")
 
     def current_key(self) -> str | None:
         """The match key of the current era's name: the first key that the name registers."""

@@ -189,18 +189,21 @@ def describe_rows(projected: DataFrame) -> DataFrame:
     rows = _with_header_name(rows).withColumns({"has_data": F.coalesce(named & has_song_data(), false), "is_label": F.coalesce(named & is_label_version(F.col("n_filled"), F.col("era")), false)})
     is_row, is_head = F.col("kind") == "row", F.col("kind") == "header"
     only_row = lambda c, cond=None: F.when(is_row if cond is None else is_row & cond, c)
-    rows = rows.withColumns({"era_norm": only_row(T.full_key(F.col("era"))), "era_key": only_row(T.match_key(F.col("era")))})
+    plausible = F.coalesce(only_row(T.plausible_era_name(F.col("era"))), false)
+    rows = rows.withColumns({"era_norm": only_row(T.full_key(F.col("era"))), "era_key": only_row(T.match_key(F.col("era"))), "era_plausible": plausible})
     return rows.select(
         "sheet_id", "row_idx", "kind", "era", "n_filled", F.get("filled", F.lit(0)).alias("first_text"),
         "era_norm", "era_key",
-        F.coalesce(only_row(T.plausible_era_name(F.col("era"))), false).alias("era_plausible"),
-        F.coalesce(only_row(keys_of(F.col("era"), none, F.col("era_key"), F.col("era_norm")), F.col("era").isNotNull()), none).alias("era_keys"),
+        "era_plausible",
+        # the two keys above are the era's own; most names have no others
+        F.coalesce(only_row(keys_of(F.col("era"), none, F.col("era_key"), F.col("era_norm")), F.col("era").contains(" / ")), none).alias("era_keys"),
         "name_line", F.coalesce(F.col("name").contains("\n"), false).alias("name_multiline"),
         F.coalesce(only_row(T.plausible_era_name(F.col("name_line")), F.col("era").isNull()), false).alias("name_plausible"),
         F.coalesce(only_row(register_keys(F.col("name"), none), F.col("era").isNull() & named), none).alias("name_keys"),
         F.coalesce(only_row(register_keys(F.col("name_line"), none), F.col("era").isNull() & named), none).alias("line_keys"),
         only_row(dynamic_label()).alias("dynamic_label"),
-        F.substring(F.array_join("filled", " | "), 1, 200).alias("row_text"),
+        # what is reported of a row that is skipped; one with the name of an era is not
+        F.when(F.col("era").isNull() | ~F.col("era_plausible"), F.substring(F.array_join("filled", " | "), 1, 200)).alias("row_text"),
         "version_name", "has_data", "is_label",
         F.when(is_head, F.col("era_name")).alias("era_name"), F.coalesce(F.when(is_head, F.col("needs_backfill")), false).alias("needs_backfill"),
         F.coalesce(F.when(is_head, register_keys(F.col("era_name"), F.col("alt_names"))), none).alias("header_keys"),
