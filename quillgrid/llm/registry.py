@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillgrid.llm.ann import op2_ann_partitions
+from quillgrid.llm.bpe import op13_bpe_codec
 from quillgrid.llm.chat import OP10_SQL, op10_chat_format
 from quillgrid.llm.decontaminate import op4_decontaminate
 from quillgrid.llm.jaccard import OP9_SQL, op9_ngram_jaccard
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_chat_format": op10_chat_format,
+    "op13_bpe_codec": op13_bpe_codec,
 }
 
 SQL: dict[str, str] = {
