@@ -13,6 +13,7 @@ from quillgrid.llm.quality import op6_quality_pu
 from quillgrid.llm.secrets import OP1_SQL, op1_secret_scan
 from quillgrid.llm.tokens import op5_token_counts
 from quillgrid.llm.urls import OP7_SQL, op7_url_filters
+from quillgrid.llm.whitening import op12_embedding_whitening
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_chat_format": op10_chat_format,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_bpe_codec": op13_bpe_codec,
 }
 
