@@ -7,15 +7,16 @@ prefix is therefore described by its last token alone. Distinct words are insert
 trie in depth-first order; each node's last token follows from those of its ancestors, once
 for all words that share the prefix; a leaf's encoding is read back along the path.
 
-Encoding and decoding are maps over batches without a shuffle. Words are normalised and cut
-by the tokenizer's own rules, once for each distinct run without ASCII white space. Each
-task's tables of runs and words are dropped when they reach ``MAX_WORDS``.
+Encoding and decoding are maps over batches without a shuffle. Plain Latin text is cut into
+words by the tokenizer's rules as one regular expression, other runs without white space by
+the library. Each task's tables of words and runs are dropped when they reach ``MAX_WORDS``.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -43,8 +44,23 @@ END = 0x10000
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
-#: The words of a printable ASCII run in lower case, as these rules cut it; other runs are cut by the library.
-PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+#: Characters whose kind and lower case have been fixed since the rules' first Unicode version: Latin letters, without
+#: those whose lower case lies elsewhere. "<" is left out, as a special token may begin with it.
+PLAIN = [chr(i) for i in range(0x250) if chr(i) != "<" and ord(max(chr(i).lower())) < 0x250]
+NOT_PLAIN = re.compile(f"[^{re.escape(''.join(PLAIN))}]")
+ASCII_RUNS = re.compile(r"[^ \t\n\r\f\v]+")
+
+
+def _kind(letter: str) -> str:
+    return re.escape("".join(c for c in PLAIN if unicodedata.category(c).startswith(letter)))
+
+
+#: The words of plain text in lower case, as the file's rules cut it.
+WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_kind('L')}]+|[{_kind('N')}]|[^ \t-\r\x85\xa0{_kind('L')}{_kind('N')}]+")
+#: The character that stands for each byte: itself where it is printed, else the next one from U+0100 on.
+_shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+BYTE_CHAR = {b: b for b in _shown} | {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in set(_shown))}
+CHAR_BYTE = {c: b for b, c in BYTE_CHAR.items()}
 NEVER = 1 << 60
 
 
@@ -84,8 +100,10 @@ class PairMerges:
         for symbols in self.tokens:
             if len(symbols) > 2:
                 lengths.setdefault(symbols[-3:], set()).add(len(symbols))
-        #: Lengths of the tokens that end in three given symbols, longest first.
-        self.lengths = {end: sorted(n, reverse=True) for end, n in lengths.items()}
+        #: Two symbols that are a token -> (2,).
+        self.pairs = {symbols: (2,) for symbols in self.tokens if len(symbols) == 2}
+        #: Lengths, from two symbols on, of the tokens that end in three given symbols, longest first.
+        self.lengths = {end: (*sorted(n, reverse=True), *self.pairs.get(end[1:], ())) for end, n in lengths.items()}
 
     text: dict[int, str]
 
@@ -119,9 +137,9 @@ class TrieEncoder:
     def _follow(self, word: str, start: int, last: list[int], size: list[int]) -> None:
         """Sets the last tokens of the prefixes of ``word`` longer than ``start``, given the shorter ones'."""
         m, apart = self.merges, self.apart
-        tokens, lengths = m.tokens.get, m.lengths.get
+        tokens, lengths, shorter = m.tokens.get, m.lengths.get, m.pairs.get
         for depth in range(start + 1, len(word) + 1):
-            for n in lengths(word[depth - 3 : depth], ()) if depth > 2 else ():
+            for n in lengths(word[max(0, depth - 3) : depth]) or shorter(word[max(0, depth - 2) : depth], ()):
                 if n > depth:
                     continue
                 token = tokens(word[depth - n : depth])
@@ -137,11 +155,7 @@ class TrieEncoder:
                 last[depth], size[depth] = token, n
                 break
             else:
-                token = tokens(word[depth - 2 : depth]) if depth > 1 else None
-                if token is not None and (depth == 2 or m.stay_apart(last[depth - 2], token)):
-                    last[depth], size[depth] = token, 2
-                else:
-                    last[depth], size[depth] = m.tokens[word[depth - 1]], 1
+                last[depth], size[depth] = tokens(word[depth - 1]), 1
 
     @staticmethod
     def _read_back(depth: int, last: list[int], size: list[int]) -> list[int]:
@@ -179,8 +193,8 @@ class TrieEncoder:
         return out
 
 
-class RunEncoder:
-    """Runs of a text without ASCII white space to the bytes of their token ids (32 bits each)."""
+class TextEncoder:
+    """Texts to token ids: cuts them into words, and encodes all new words of a call in one trie."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -188,59 +202,66 @@ class RunEncoder:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("unk_token") or model.get("dropout") or model.get("ignore_merges") or not model.get("end_of_word_suffix"):
             raise ValueError("only vocabularies of byte pairs with word ends and without an unknown token or dropout are read")
-        self.trie = TrieEncoder(PairMerges(model))
-        self.rules = Tokenizer.from_file(path)
-        special = [t for t in spec["added_tokens"] if not t["normalized"]]
-        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in special) or len(special) < len(spec["added_tokens"]):
-            raise ValueError("added tokens must stand for their own characters")
-        self.special = {t["content"]: t["id"] for t in special}
         if spec["normalizer"] != NORMALIZER or spec["pre_tokenizer"] != PRE_TOKENIZER:
             raise ValueError("the file cuts words by other rules")
-        self.words: dict[str, list[int]] = {}
-        self.runs: dict[bytes, bytes] = {}
-
-    def _cut(self, run: str) -> list[str | int]:
-        """The run's words as symbols, and the ids of special tokens written out in it."""
-        if "<|" in run:
-            at, best = min(((run.find(s), -len(s), s) for s in self.special if s in run), default=(-1, 0, None))[::2]
-            if best is not None:
-                return [*self._cut(run[:at]), self.special[best], *self._cut(run[at + len(best) :])]
-        if run.isascii() and run.isprintable():
-            words = PLAIN_WORDS.findall(run.lower())
-        elif run:
-            words = [w for w, _ in self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(run))]
-        else:
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+            raise ValueError("added tokens must stand for their own characters")
+        self.trie = TrieEncoder(PairMerges(model))
+        self.rules = Tokenizer.from_file(path)
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        #: Words, and ids of special tokens, to the bytes of their ids (32 bits each).
+        self.words: dict[str | int, bytes] = {}
+        #: Runs that the library has cut.
+        self.runs: dict[str, list[str | int]] = {}
+
+    def _cut_run(self, run: str) -> list[str | int]:
+        """The words of a run without ASCII white space, and the ids of special tokens written out in it."""
+        at, best = min(((run.find(s), -len(s), s) for s in self.special if s in run), default=(-1, 0, None))[::2]
+        if best is not None:
+            return [*self._cut_run(run[:at]), self.special[best], *self._cut_run(run[at + len(best) :])]
+        if not run:
             return []
-        return [w[:-1] + chr(ord(w[-1]) + END) for w in words]
-
-    def learn(self, runs: Iterable[bytes]) -> dict[bytes, bytes]:
-        """Encodes the runs, all of their new words in one trie."""
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        cuts = {run: self._cut(run.decode()) for run in runs}
-        known = self.words
-        fresh = self.trie.encode({w for cut in cuts.values() for w in cut if w not in known and not isinstance(w, int)})
-        known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONG_WORD)
-        out = {}
-        for run, cut in cuts.items():
-            ids: list[int] = []
-            for w in cut:
-                if isinstance(w, int):
-                    ids.append(w)
-                else:
-                    ids += known[w] if w in known else fresh[w]
-            out[run] = array("i", ids).tobytes()
-        return out
+        words = self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(run))
+        return [w.translate(CHAR_BYTE).encode("latin-1").decode() for w, _ in words]
+
+    def cut(self, text: str) -> list[str | int]:
+        """The words of a text in order. Runs with a character outside ``PLAIN``, or that may hold a special token, are cut by the library."""
+        if not NOT_PLAIN.search(text):
+            return WORDS.findall(text.lower())
+        runs, out, at = ASCII_RUNS.findall(text), [], 0
+        for i in [i for i, run in enumerate(runs) if NOT_PLAIN.search(run)]:
+            out += WORDS.findall(" ".join(runs[at:i]).lower())
+            run, at = runs[i], i + 1
+            words = self.runs.get(run)
+            if words is None:
+                words = self._cut_run(run)
+                if len(run) <= LONG_WORD:
+                    self.runs[run] = words
+            out += words
+        return out + WORDS.findall(" ".join(runs[at:]).lower())
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All token ids of the texts in a row, and the place where each text begins (and the end)."""
         if len(self.runs) > MAX_WORDS:
             self.runs.clear()
-        split = [(t or "").encode().split() for t in texts]
-        fresh = self.learn(set().union(*split).difference(self.runs))
-        self.runs.update((run, ids) for run, ids in fresh.items() if len(run) <= LONG_WORD)
-        known = self.runs
-        coded = [b"".join([known[r] if r in known else fresh[r] for r in runs]) for runs in split]
+        if len(self.words) > MAX_WORDS:
+            self.words.clear()
+        known = self.words
+        cuts = [self.cut(t or "") for t in texts]
+        fresh = set().union(*cuts).difference(known)
+        symbols = {}
+        for w in fresh:
+            if isinstance(w, int):
+                known[w] = array("i", [w]).tobytes()
+            else:
+                s = w.encode().decode("latin-1").translate(BYTE_CHAR)
+                symbols[s[:-1] + chr(ord(s[-1]) + END)] = w
+        for s, ids in self.trie.encode(symbols).items():
+            known[symbols[s]] = array("i", ids).tobytes()
+        coded = [b"".join([known[w] for w in words]) for words in cuts]
+        for w in fresh:
+            if not isinstance(w, int) and len(w) > LONG_WORD:
+                del known[w]
         starts = np.zeros(len(texts) + 1, dtype=np.int32)
         np.cumsum([len(c) // 4 for c in coded], out=starts[1:])
         return np.frombuffer(b"".join(coded), dtype=np.int32), starts
@@ -270,7 +291,7 @@ def encode_texts(docs: DataFrame, path: str = VOCABULARY, text_col: str = "text"
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(free_name(docs, "_text")))
 
     def run(batches):
-        encoder = RunEncoder(path)
+        encoder = TextEncoder(path)
         for batch in batches:
             texts = batch.column(len(keep))
             for at, n in _slices(texts):

@@ -10,6 +10,7 @@ from quillgrid.llm.jaccard import OP9_SQL, op9_ngram_jaccard
 from quillgrid.llm.mixing import OP8_SQL, op8_mix_sources
 from quillgrid.llm.pii import op3_pii
 from quillgrid.llm.quality import op6_quality_pu
+from quillgrid.llm.repair import op11_conversation_repair
 from quillgrid.llm.secrets import OP1_SQL, op1_secret_scan
 from quillgrid.llm.tokens import op5_token_counts
 from quillgrid.llm.urls import OP7_SQL, op7_url_filters
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_chat_format": op10_chat_format,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_bpe_codec": op13_bpe_codec,
 }

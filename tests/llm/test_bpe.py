@@ -25,13 +25,21 @@ def odd_texts():
 
 
 def test_words_match_the_library(library):
-    encoder, texts = bpe.RunEncoder(bpe.VOCABULARY), odd_texts()
+    encoder, texts = bpe.TextEncoder(bpe.VOCABULARY), odd_texts()
     for part in (texts[:2000], texts[2000:], texts[:10]):
         ids, starts = encoder.encode(part)
         want = library.encode_batch(part, add_special_tokens=False)
         assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [w.ids for w in want]
 
 
+def test_every_plain_character_is_cut_as_the_library_does(library):
+    rng, encoder = random.Random(8), bpe.TextEncoder(bpe.VOCABULARY)
+    texts = [a + chr(i) + b for i in range(0x400) for a, b in (("", ""), ("a", "b"), ("1", "'s"), (" ", " "))]
+    texts += ["".join(chr(rng.randrange(0x250)) for _ in range(5)) for _ in range(5000)]
+    ids, starts = encoder.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [w.ids for w in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_every_token_and_pair_is_judged_as_merges_do(library):
     merges = bpe.PairMerges(__import__("json").load(open(bpe.VOCABULARY))["model"])
     rng, ids = random.Random(6), sorted(merges.text)
@@ -50,7 +58,7 @@ def test_every_token_and_pair_is_judged_as_merges_do(library):
 
 def test_tables_are_dropped_when_full(library, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_WORDS", 20)
-    encoder, texts = bpe.RunEncoder(bpe.VOCABULARY), odd_texts()[:300]
+    encoder, texts = bpe.TextEncoder(bpe.VOCABULARY), odd_texts()[:300]
     for at in range(0, 300, 30):
         ids, starts = encoder.encode(texts[at : at + 30])
         want = library.encode_batch(texts[at : at + 30], add_special_tokens=False)
