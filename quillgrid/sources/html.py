@@ -1,7 +1,6 @@
 """Sheets as HTML table exports: rows, cells, colours, tabs.
 
-The domain is machine-written exports: no nested tables, no unclosed cells. All is done by
-column functions in one pass over the sheets, without a shuffle.
+Sheets are scanned once, in batches; all is a map over the sheets, without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions.text import let, some, squash, strip
 from quillgrid.operators.columns import ALIASES, HEADER_ROWS, layout_of
+from quillgrid.sources.scan import scan_batches
 
 # Fixed: background colours without meaning.
 NEUTRAL = ("#ffffff", "#fff", "#000000", "#000", "#fafafa", "#f8f9fa", "#f3f3f3", "#eeeeee", "#cccccc", "#1e1e1e", "#1a1a1a", "#1f1f1f", "#2a2a2a", "#161616", "#0f0f0f", "#0d0d0d")
@@ -61,22 +61,6 @@ def plain_text(content: Column) -> Column:
     return let(bare, unescape)
 
 
-def _links(content: Column) -> Column:
-    """array<struct<link,line>>: targets in order, with the newlines before each closing tag."""
-
-    def located(counts: Column) -> Column:
-        """The parts with the newlines up to the end of each: a sum over counts, not over texts."""
-        return F.transform(closed, lambda part, i: F.struct(
-            attribute(F.regexp_extract(part, r"(?is).*(<a\b[^>]*>)", 1), "href").alias("link"),
-            F.aggregate(F.slice(counts, F.lit(1), i + 1), F.lit(0), lambda acc, n: acc + n).alias("line"),
-        ))
-
-    parts = F.split(content, r"(?i)</a\s*>")
-    closed = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    counts = F.transform(closed, lambda part: F.regexp_count(plain_text(part), F.lit("\n")))
-    return F.when(content.rlike(r"(?i)</a\s*>"), F.filter(let(counts, located), lambda x: x["link"] != "")).otherwise(F.array().cast("array<struct<link:string,line:int>>"))
-
-
 def class_colors(html: Column) -> Column:
     """map<class, colour> of the first style block; neutral colours do not count, the last other one does."""
     style = F.regexp_extract(html, r"(?is)<style[^>]*>(.*?)</style>", 1)
@@ -100,55 +84,19 @@ def sheet_class_colors(sheets: DataFrame, html_col: str = "html") -> DataFrame:
     return sheets.select("sheet_id", class_colors(F.col(html_col)).alias("c")).select("sheet_id", F.explode("c").alias("css_class", "bg_color"))
 
 
-CELL_FORM = r"(?is)<td\b([^>]*)>(.*?)</td>"
-
-
-def _raw_cells(row: Column) -> Column:
-    """array<struct<attrs,body>> of a row's text."""
-    part = lambda g: F.regexp_extract_all(row, F.lit(CELL_FORM), F.lit(g))
-    return F.arrays_zip(part(1).alias("attrs"), part(2).alias("body"))
-
-
-def _span(attrs: Column) -> Column:
-    wide = F.when(attrs.contains("colspan"), attribute(F.concat(F.lit(" "), attrs), "colspan")).otherwise("")
-    return F.greatest(F.coalesce(some(F.regexp_extract(wide, r"^\s*(\d{1,4})\s*$", 1)).cast("int"), F.lit(1)), F.lit(1))
-
-
-def _row_texts(row: Column) -> Column:
-    """The cells' texts of one row; a wide cell is followed by empty ones."""
-    return F.flatten(F.transform(_raw_cells(row), lambda c: F.concat(F.array(strip(plain_text(c["body"]))), F.array_repeat(F.lit(""), _span(c["attrs"]) - 1))))
-
-
 def sheet_rows(sheets: DataFrame, html_col: str = "html", aliases: dict[str, str] = ALIASES) -> DataFrame:
     """``(sheet_id, row_idx, cells array<struct>, header_row, fields)``: table rows with a cell.
 
     A wide cell is followed by empty ones. The layout, ``header_row`` and ``fields``, is
-    found in a sheet's first rows before they are spread, so that it needs no join.
+    found in a sheet's first rows before they are spread, so that it needs no join. The
+    texts are scanned once, see ``quillgrid.sources.scan`` for cells that are not closed and
+    tables within tables.
     """
-    html = F.regexp_replace(F.col(html_col), r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
-    tables = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), F.lit(1)), "")
-    rows = F.filter(F.regexp_extract_all(tables, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), lambda r: r.rlike(r"(?i)<td\b"))
-    read = sheets.select("sheet_id", class_colors(F.col(html_col)).alias("_colors"), rows.alias("_rows"))
-    head = F.transform(F.slice("_rows", 1, HEADER_ROWS), _row_texts)
-    placed = read.select("sheet_id", "_colors", "_rows", layout_of(head, aliases).alias("_layout"))
-    split = placed.select("sheet_id", "_colors", "_layout", F.posexplode("_rows").alias("row_idx", "_row"))
-    blank = F.expr(f"cast(named_struct('text', '', 'links', array(), 'link_lines', array(), 'images', array(), 'css_class', '', 'bg_color', null) as {CELL})")
-
-    def build(c: Column) -> Column:
-        attrs, links = F.concat(F.lit(" "), c["attrs"]), _links(c["body"])
-        css = F.when(c["attrs"] == "", "").otherwise(attribute(attrs, "class"))
-        images = F.filter(F.transform(F.regexp_extract_all(F.when(c["body"].contains("<"), c["body"]).otherwise(""), F.lit(r"(?is)<img\b[^>]*>"), F.lit(0)), lambda i: attribute(i, "src")), lambda s: s != "")
-        one = F.struct(
-            strip(plain_text(c["body"])).alias("text"),
-            F.transform(links, lambda x: x["link"]).alias("links"),
-            F.transform(links, lambda x: x["line"]).alias("link_lines"),
-            images.alias("images"),
-            css.alias("css_class"),
-            F.element_at(F.col("_colors"), css).alias("bg_color"),
-        )
-        return F.concat(F.array(one.cast(CELL)), F.array_repeat(blank, _span(c["attrs"]) - 1))
-
-    return split.select("sheet_id", "row_idx", F.flatten(F.transform(_raw_cells(F.col("_row")), build)).alias("cells"), "_layout.header_row", "_layout.fields")
+    read = sheets.select("sheet_id", F.col(html_col).alias("html"), class_colors(F.col(html_col)).alias("colors"))
+    scanned = read.mapInArrow(scan_batches, f"sheet_id {read.schema['sheet_id'].dataType.simpleString()}, rows array<array<{CELL}>>")
+    head = F.transform(F.slice("rows", 1, HEADER_ROWS), lambda row: F.transform(row, lambda c: c["text"]))
+    placed = scanned.select("sheet_id", "rows", layout_of(head, aliases).alias("_layout"))
+    return placed.select("sheet_id", F.posexplode("rows").alias("row_idx", "cells"), "_layout.header_row", "_layout.fields")
 
 
 def sheet_cells(sheets: DataFrame, html_col: str = "html") -> DataFrame:
