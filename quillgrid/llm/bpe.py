@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from quillgrid.llm.common import free_name, table
+from quillgrid.llm.common import free_name, map_batches, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Runs, words and token pairs that a task remembers, each.
@@ -299,7 +299,7 @@ def encode_texts(docs: DataFrame, path: str = VOCABULARY, text_col: str = "text"
                 yield pa.record_batch([*[c.slice(at, n) for c in batch.columns[: len(keep)]], pa.ListArray.from_arrays(starts, ids)], names=[*keep, out_col])
 
     schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField(out_col, T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def decode_ids(rows: DataFrame, path: str = VOCABULARY, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -333,7 +333,7 @@ def decode_ids(rows: DataFrame, path: str = VOCABULARY, ids_col: str = "ids", ou
             text = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), found), " ")
             yield pa.record_batch([*batch.columns, pc.if_else(ids.is_valid(), text, None)], names=[*keep, out_col])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())]))
+    return map_batches(rows, run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgrid.scratch import materialise, scratch_root
 
-__all__ = ["free_name", "key_filter", "match_spans", "may_hold", "materialise", "ranked_spans", "scratch_root", "span_digest", "table"]
+__all__ = ["free_name", "key_filter", "map_batches", "match_spans", "may_hold", "materialise", "ranked_spans", "scratch_root", "span_digest", "table"]
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -19,6 +22,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def map_batches(rows: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name: a name with a dot cannot be an input there. ``run`` goes by position."""
+    return rows.toDF(*[f"c{i}" for i in range(len(rows.columns))]).mapInArrow(run, schema)
+
+
 #: A filter has at most so many bits (4 MB); with far more keys it lets everything pass.
 FILTER_BITS = 1 << 25
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import table
+from quillgrid.llm.common import map_batches, table
 from quillgrid.llm.shingles import _BYTE, _POWERS, U, chunks
 
 #: Edits allowed for each character of an item.
@@ -264,7 +264,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ou
         return run
 
     for block in item_blocks(benchmark):
-        out = out.mapInArrow(searching(block), schema)
+        out = map_batches(out, searching(block), schema)
     return out if out_col in out.columns else out.withColumn(out_col, F.lit(None).cast(LEAK))
 
 

@@ -165,6 +165,28 @@ def _features(hit: Column, before: Column, after: Column) -> list[Column]:
     return [alone.cast("int"), dense.cast("int"), F.least(marks, F.lit(2))]
 
 
+def _apart_from(loose: Column, base: Column) -> Column:
+    """The loose spans that overlap no base span, by kind, then start.
+
+    One walk over both by position: base spans count from their start on, a loose one is
+    judged at its end, by the furthest end of the base spans met so far.
+    """
+    event = lambda at, kind: lambda s: F.struct(s[at].alias("at"), F.lit(kind).alias("is_base"), s.alias("s"))
+    events = F.array_sort(F.concat(F.transform(base, event("start", 1)), F.transform(loose, event("end", 0))))
+
+    def step(acc: Column, e: Column) -> Column:
+        s = e["s"]
+        kept = F.concat(acc["kept"], F.array(F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s.alias("s"))))
+        return F.struct(
+            F.when(e["is_base"] == 1, F.greatest(acc["reach"], s["end"])).otherwise(acc["reach"]).alias("reach"),
+            F.when((e["is_base"] == 0) & (acc["reach"] <= s["start"]), kept).otherwise(acc["kept"]).alias("kept"),
+        )
+
+    span = "start:int,rank:int,end:int,kind:string,hit:string"
+    start = F.struct(F.lit(0).alias("reach"), F.expr(f"cast(array() as array<struct<rank:int,start:int,s:struct<{span}>>>)").alias("kept"))
+    return F.aggregate(events, start, step, lambda acc: F.transform(F.array_sort(acc["kept"]), lambda k: k["s"]))
+
+
 def candidate_spans(text: Column) -> Column:
     """Candidates of all kinds, by kind, then start; loose ones where no base span is."""
 
@@ -177,9 +199,8 @@ def candidate_spans(text: Column) -> Column:
             if kind in CHECKED:
                 spans = _checked(spans, kind)
             found[kind] = ranked_spans(spans, KINDS.index(kind), kind)
-        base = F.concat(*[found[k] for k in kinds if k in BASE])
-        loose = F.filter(F.concat(*[found[k] for k in kinds if k not in BASE]), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        return F.concat(base, loose)
+        whole = F.struct(F.concat(*[found[k] for k in kinds if k in BASE]).alias("base"), F.concat(*[found[k] for k in kinds if k not in BASE]).alias("loose"))
+        return F.get(F.transform(F.array(whole), lambda w: F.concat(w["base"], _apart_from(w["loose"], w["base"]))), F.lit(0))
 
     return F.when(text.rlike("[0-9]"), spans_of(KINDS)).otherwise(spans_of(WITHOUT_DIGITS))
 

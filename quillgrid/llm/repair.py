@@ -301,12 +301,14 @@ def _steps(batches):
 def repaired_turns(placed: DataFrame, plans: DataFrame) -> DataFrame:
     """``(conv_id, segment, step, edit, role, text)``: the repaired conversations, in order of segment and step.
 
-    Added turns have an empty text. Deleted rows are not there.
+    Added turns have an empty text. Deleted rows are not there. The join is of one row to
+    one: steps are many more than their written form, a letter each, lets the planner guess,
+    so it is told to merge.
     """
     conv = f"conv_id {placed.schema['conv_id'].dataType.simpleString()}"
     steps = plans.select("conv_id", "base", "audit", "roles").mapInArrow(_steps, f"{conv}, segment long, step long, edit string, initial string, pos long")
     role = F.when(F.col("initial") == "u", ROLES["u"]).when(F.col("initial") == "a", ROLES["a"])
-    stay = steps.filter(F.col("pos").isNotNull()).join(placed.select("pos", "role", "text"), "pos").select("conv_id", "segment", "step", "edit", F.coalesce(role, "role").alias("role"), "text")
+    stay = steps.filter(F.col("pos").isNotNull()).hint("merge").join(placed.select("pos", "role", "text"), "pos").select("conv_id", "segment", "step", "edit", F.coalesce(role, "role").alias("role"), "text")
     added = steps.filter("edit = 'I'").select("conv_id", "segment", "step", "edit", role.alias("role"), F.lit("").alias("text"))
     return stay.unionByName(added)
 

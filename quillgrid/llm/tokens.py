@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import table
+from quillgrid.llm.common import free_name, map_batches, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"  # stands before every pre-token
@@ -114,10 +114,12 @@ def count_tokens(docs: DataFrame, scores: dict[str, float], text_col: str = "tex
     """The columns ``keep`` (all by default) with ``n_pretokens`` and ``n_tokens``.
 
     Pre-tokens are runs without ASCII white space. Null and empty texts have none; repeated
-    rows are counted like any others.
+    rows are counted like any others; an empty table gives an empty one. Columns called
+    n_pretokens or n_tokens, in any case, are replaced; no other name can clash.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_pretokens", "n_tokens")]
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_counted"))
+    own = ("n_pretokens", "n_tokens")
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in own]
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(free_name(docs, "counted_text")))
 
     def run(batches):
         trie = PrefixScores(scores)
@@ -129,8 +131,8 @@ def count_tokens(docs: DataFrame, scores: dict[str, float], text_col: str = "tex
                 tok.append(trie.count(words))
             yield pa.record_batch([*batch.columns[: len(keep)], pa.array(pre, pa.int64()), pa.array(tok, pa.int64())], names=[*keep, "n_pretokens", "n_tokens"])
 
-    schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return rows.mapInArrow(run, schema)
+    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    return map_batches(rows, run, schema)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

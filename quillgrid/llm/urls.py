@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import table
+from quillgrid.llm.common import free_name, table
 
 ENDLESS = "9999-12-31"
 
@@ -47,19 +47,21 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """``captures`` with ``host``, ``verdict`` (block, allow, none) and ``matched`` (the entry's pattern).
 
-    Captures without a host or a time match nothing.
+    Captures without a host or a time match nothing. Columns of ``captures`` called host,
+    verdict or matched, in any case, are replaced; all others stay as they are, whatever
+    they are called. Empty captures give an empty table, empty entries no verdict; repeated
+    rows stay.
     """
-    rows = captures.withColumns({"host": url_host(F.col(url_col)), "_day": F.to_date(time_col)})
-    seen = rows.select("host", "_day").dropna().distinct().select("host", "_day", F.explode(host_suffixes(F.col("host"))).alias("pattern"))
-    spans = validity_intervals(entries)
-    active = seen.join(spans, "pattern").filter((F.col("_day") >= F.col("valid_from")) & (F.col("_day") < F.col("valid_to")))
+    own = ("host", "verdict", "matched")
+    kept = [c for c in captures.columns if c.lower() not in own]
+    wide = captures.select(*[F.col(f"`{c}`") for c in kept], url_host(F.col(f"`{url_col}`")).alias("host"), F.to_date(f"`{time_col}`").alias(day := free_name(captures, "fetch_day")))
+    seen = wide.select("host", F.col(day).alias("day")).dropna().distinct().select("host", "day", F.explode(host_suffixes(F.col("host"))).alias("pattern"))
+    active = seen.join(validity_intervals(entries), "pattern").filter((F.col("day") >= F.col("valid_from")) & (F.col("day") < F.col("valid_to")))
     rank = F.struct(F.length("pattern"), (F.col("list") == "allow").cast("int"))
-    judged = active.groupBy("host", "_day").agg(F.max_by(F.struct("list", "pattern"), rank).alias("_hit"))
-    return (
-        rows.join(judged, ["host", "_day"], "left")
-        .withColumns({"verdict": F.coalesce("_hit.list", F.lit("none")), "matched": F.col("_hit.pattern")})
-        .select(*[c for c in captures.columns if c not in ("host", "verdict", "matched")], "host", "verdict", "matched")
-    )
+    hit = free_name(captures, "url_hit")
+    judged = active.groupBy("host", F.col("day").alias(day)).agg(F.max_by(F.struct("list", "pattern"), rank).alias(hit))
+    joined = wide.join(judged, ["host", day], "left")
+    return joined.select(*[F.col(f"`{c}`") for c in kept], "host", F.coalesce(F.col(hit)["list"], F.lit("none")).alias("verdict"), F.col(hit)["pattern"].alias("matched"))
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
