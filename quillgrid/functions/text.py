@@ -25,13 +25,19 @@ def some(col: Column) -> Column:
 BLANK = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+#: The same characters as text.
+BLANKS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(col: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(col, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def squash(col: Column) -> Column:
-    return strip(F.regexp_replace(col, f"{BLANK}+", " "))
+    """Stripped, and runs of white space as one blank; most texts have none but single blanks."""
+    other = BLANK.replace(r"\s", r"\t-\r")
+    return strip(F.when(col.rlike(rf"  |{other}"), F.regexp_replace(col, f"{BLANK}+", " ")).otherwise(col))
 
 
 def lines(col: Column) -> Column:
@@ -139,24 +145,25 @@ def combining_class() -> str:
 
 
 def without_accents(col: Column) -> Column:
-    return F.when(col.rlike(r"[^\x{0}-\x{7F}]"), F.regexp_replace(F.translate(col, *accent_map()), combining_class(), "")).otherwise(col)
+    return F.when(F.octet_length(col) != F.length(col), F.regexp_replace(F.translate(col, *accent_map()), combining_class(), "")).otherwise(col)
 
 
 def full_key(name: Column) -> Column:
     return strip(F.lower(without_accents(name)))
 
 
+PUNCTUATION = ",.:;!?'\""
+
+
 def match_key(name: Column) -> Column:
     """Key for matching names: up to the first parenthesis (or inside a leading one), without
     version tags, trailing asterisks, accents, case and punctuation."""
 
-    def outside(n: Column) -> Column:
-        at, close = F.instr(n, "("), F.instr(n, ")")
-        return F.when(at > 1, F.substring(n, F.lit(1), at - 1)).when((at == 1) & (close > 1), F.substring(n, F.lit(2), close - 2)).otherwise(n)
-
-    bare = F.regexp_replace(strip(F.regexp_replace(strip(let(name, outside)), TAG, "")), r"\*+$", "")
-    plain = F.regexp_replace(F.lower(without_accents(strip(bare))), "[,.:;!?'\"]+", " ")
-    return squash(plain)
+    at, close = F.instr(name, "("), F.instr(name, ")")
+    outside = F.when(at > 1, F.substring(name, F.lit(1), at - 1)).when((at == 1) & (close > 1), F.substring(name, F.lit(2), close - 2)).otherwise(name)
+    tagged = F.when(name.contains("["), F.regexp_replace(strip(outside), TAG, "")).otherwise(outside)
+    bare = F.when(name.contains("*"), F.regexp_replace(strip(tagged), r"\*+$", "")).otherwise(tagged)
+    return squash(F.translate(F.lower(without_accents(strip(bare))), PUNCTUATION, " " * len(PUNCTUATION)))
 
 
 def slug(name: Column) -> Column:
