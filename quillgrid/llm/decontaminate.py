@@ -155,6 +155,11 @@ class Gram:
         return np.repeat(at, counts), rows
 
 
+def _whole_words(text: bytes, start: int, end: int) -> bool:
+    """Whether a stretch of a plain form begins and ends where words do."""
+    return text[start - 1 : start] in (b"", b" ") and text[end : end + 1] in (b"", b" ")
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         self.patterns = [Pattern(i, t) for i, t in items if t]
@@ -204,8 +209,10 @@ class Matcher:
         for s, offset in at:
             if text[s + offset : s + ends[offset]] != p.text[offset : ends[offset]]:
                 continue
-            if s >= 0 and text.startswith(p.text, s):
+            if s >= 0 and text.startswith(p.text, s) and (p.k or _whole_words(text, s, s + m)):
                 best = min(best or (1,), (0, s, s + m))
+            if not p.k:
+                continue
             if runs and s - runs[-1][1] <= p.k:
                 runs[-1][1] = s
             else:
@@ -243,7 +250,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ou
     one item the closest counts, then the first. Null and empty texts hold nothing: an empty
     array; where there is no item to search for, the column is null. Items that are null or
     have no letter or digit match nothing; repeated rows are searched like any others; items
-    of one id are items of their own. A column called like ``out_col`` is replaced.
+    of one id are items of their own. Items too short for an edit (under 13 bytes) count as
+    whole words only: "art" is not in "party". A column called like ``out_col`` is replaced.
     """
     out = docs.drop(out_col)
     names = out.columns

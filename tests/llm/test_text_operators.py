@@ -210,6 +210,13 @@ def test_decontamination_matches_brute_force(spark):
     assert [r["leaks"] for r in D.find_leaks(docs(spark, ["nothing of it", "x"]), bench).collect()] == [[], []]
 
 
+def test_short_items_are_whole_words(spark):
+    bench = spark.createDataFrame([(1, "Art"), (2, "a b"), (3, "party hats")], "item_id long, text string")
+    texts = ["a party", "the ART, of", "art", "xa b", "A--b!", "smart art", "the party hats!", "party hatstand"]
+    got = [[(e["item_id"], e["start"]) for e in r["leaks"]] for r in D.find_leaks(docs(spark, texts), bench).orderBy("doc_id").collect()]
+    assert got == [[], [(1, 4)], [(1, 0)], [], [(2, 0)], [(1, 6)], [(3, 4)], []]
+
+
 def test_item_blocks_are_searched_in_turn(spark, monkeypatch):
     items = [(i, f"item number {i} has a text of its own " + "abcdefgh"[i] * 20) for i in range(8)]
     monkeypatch.setattr(D, "BLOCK_BYTES", 100)
