@@ -112,15 +112,16 @@ def filter_songs(versions: DataFrame, eras: DataFrame, query: str = "", only_bes
     return marked.filter(F.col("_era").isNotNull() | F.col("_song").isNotNull()).drop("_era", "_song")
 
 
-def filter_sections(sections: DataFrame, versions: DataFrame, eras: DataFrame, query: str = "", only_best: bool = False, hide_snippets: bool = False) -> DataFrame:
+def filter_sections(sections: DataFrame, versions: DataFrame, eras: DataFrame, query: str = "", only_best: bool = False, hide_snippets: bool = False, dialect: str = "web") -> DataFrame:
     """Sections ``(sheet_id, era_idx, section_idx, …)`` with ``n_left``, the songs that the filters leave.
 
     Without a query or the filter for best versions all sections are listed, whole; otherwise
-    those without songs left are dropped. The filter for snippets applies only beside these.
+    those without songs left are dropped. ``web`` applies the filter for snippets only beside
+    these, for ``ios`` it is a filter like them.
     """
     place = ["sheet_id", "era_idx", "section_idx"]
-    filtering = only_best or bool(query.strip())
-    left = filter_songs(versions, eras, query, only_best, hide_snippets) if filtering else versions
+    filtering = only_best or bool(query.strip()) or (hide_snippets and dialect == "ios")
+    left = filter_songs(versions, eras, query, only_best, hide_snippets, dialect) if filtering else versions
     first = versions.groupBy(*SONG).agg(F.min_by("section_idx", "row_idx").alias("section_idx"))
     counts = left.select(*SONG).distinct().join(first, SONG).groupBy(*place).agg(F.count("*").alias("n_left"))
     out = sections.join(counts, place, "left").withColumn("n_left", F.coalesce("n_left", F.lit(0)))

@@ -298,6 +298,20 @@ def section_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.filter_sections(listed, v, eras(spark, sf_dir), "brand#2", hide_snippets=True)
 
 
+_WHOLE = "available_length NOT IN ('Snippet', 'Unavailable') AND quality <> 'Not Available'"
+
+
+@query(
+    VM + f", k AS (SELECT DISTINCT {SONGS} FROM v WHERE {_WHOLE}), f AS (SELECT {SONGS}, arg_min(section_idx, row_idx) AS section_idx FROM v GROUP BY {SONGS}), a AS (SELECT DISTINCT sheet_id, era_idx, section_idx FROM v) "
+    "SELECT a.sheet_id, a.era_idx, a.section_idx, count(*) AS n_left FROM a JOIN f USING (sheet_id, era_idx, section_idx) JOIN k USING (sheet_id, era_idx, base_name) GROUP BY ALL"
+)
+def section_filter_ios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-13, the other dialect: hiding snippets alone drops sections without songs left."""
+    v = versions(spark, sf_dir)
+    listed = v.select("sheet_id", "era_idx", "section_idx").distinct()
+    return search.filter_sections(listed, v, eras(spark, sf_dir), hide_snippets=True, dialect="ios")
+
+
 @query(V + "SELECT sheet_id, row_idx FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, era_idx ORDER BY row_idx) AS rn FROM v WHERE badge IS NOT NULL AND contains(name, 'bolt') AND contains(era_name, '0000')) WHERE rn <= 3")
 def song_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-16, SR-07."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions import labels as L
@@ -15,7 +15,7 @@ from quillgrid.plans.catalogue import read_catalogue
 from quillgrid.plans.fixtures import LAYOUTS, MIXED, SHEET_ITEMS, mixed_sheets, rendered_sheets, table
 from quillgrid.scratch import new_folder
 from quillgrid.sources.feeds import read_discovery, read_links
-from quillgrid.sources.html import attribute, discover_tabs, plain_text, preview_cells, read_sheets, sheet_class_colors, sheet_profile, sheet_rows, stream_sheets
+from quillgrid.sources.html import attribute, discover_sheets, discover_tabs, plain_text, preview_cells, read_sheets, sheet_class_colors, sheet_profile, sheet_rows, stream_sheets
 
 QUERIES, SQL = {}, {}
 
@@ -228,6 +228,25 @@ def sheet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.groupBy("total_links").agg(F.count("*").alias("n_sheets"))
 
 
+@query(
+    f"WITH {_SUPPLIERS} SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'Artist ' || l_suppkey ELSE sheet_id END AS name, sheet_id || ' - Google Drive' AS folder, "
+    "CASE WHEN l_suppkey % 2 = 0 THEN row_number() OVER (ORDER BY l_suppkey % 2, l_suppkey) END AS ord, l_suppkey % 4 AS layout FROM s"
+)
+def known_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-04, JN-08: folders of saved sheets; the known ones, half of them, by their names and in their order."""
+    path = new_folder(spark, "sheet-folders")
+    sheets = mixed_sheets(spark, sf_dir).withColumn("folder", F.concat("sheet_id", F.lit(" - Google Drive_files")))
+    sheets.select("html", "folder").write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
+    key = F.col("s_suppkey")
+    known = table(spark, sf_dir, "supplier").filter(key % 2 == 0).select(F.concat(F.lit("sup-"), key.cast("string"), F.lit(" - Google Drive")).alias("folder"), F.concat(F.lit("Artist "), key.cast("string")).alias("name"), key.cast("int").alias("ord"))
+    found = discover_sheets(spark, path, known, r"/folder=([^/]+)_files/part-[^/]+$").withColumn("ord", F.when(F.col("name").startswith("Artist"), F.monotonically_increasing_id()))
+    layouts = detect_layout(sheet_rows(found.withColumnRenamed("folder", "sheet_id")))
+    kind = F.when(F.map_contains_key("fields", F.lit("streaming")), 3).when(F.map_contains_key("fields", F.lit("leak_date")), 2).when(F.map_contains_key("fields", F.lit("alt_links")), 1).otherwise(0)
+    placed = found.select("name", "folder", "ord").join(layouts.select(F.col("sheet_id").alias("folder"), kind.cast("long").alias("layout")), "folder")
+    first = Window.orderBy("ord")
+    return placed.filter("ord is not null").withColumn("ord", F.row_number().over(first).cast("long")).unionByName(placed.filter("ord is null")).select("name", "folder", "ord", "layout")
+
+
 @query(_LINKS)
 def sheet_files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-05: the same from a stream of new files."""
@@ -319,16 +338,16 @@ def url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT c_custkey AS workbook_id, t.ord::BIGINT AS tab_ord, CASE t.ord WHEN 0 THEN '7' WHEN 1 THEN c_custkey::VARCHAR ELSE '12' END AS gid, CASE t.ord WHEN 0 THEN 'Recent' WHEN 1 THEN CASE WHEN c_custkey % 3 = 0 THEN '🔥 Unreleased' ELSE 'Part ' || c_custkey END ELSE 'Album Art' END AS tab_name, "
-    "CASE t.ord WHEN 0 THEN 'other' WHEN 1 THEN CASE WHEN c_custkey % 3 = 0 THEN 'main' ELSE 'other' END ELSE 'art' END AS role FROM customer, (VALUES (0), (1), (2)) t(ord) WHERE (t.ord < 2 OR c_custkey % 2 = 0) AND c_custkey NOT IN (7, 12)"
+    "SELECT c_custkey AS workbook_id, t.ord::BIGINT AS tab_ord, CASE t.ord WHEN 0 THEN '000' || c_custkey WHEN 1 THEN c_custkey::VARCHAR ELSE '00' || c_custkey END AS gid, CASE t.ord WHEN 0 THEN 'Recent' WHEN 1 THEN CASE WHEN c_custkey % 3 = 0 THEN '🔥 Unreleased' ELSE 'Part ' || c_custkey END ELSE 'Album Art' END AS tab_name, "
+    "CASE t.ord WHEN 0 THEN 'other' WHEN 1 THEN CASE WHEN c_custkey % 3 = 0 THEN 'main' ELSE 'other' END ELSE 'art' END AS role FROM customer, (VALUES (0), (1), (2)) t(ord) WHERE t.ord < 2 OR c_custkey % 2 = 0"
 )
 def workbook_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-11, EN-14: workbooks with a main tab or without, with an art tab or without."""
-    c = table(spark, sf_dir, "customer").filter("c_custkey not in (7, 12)")
+    c = table(spark, sf_dir, "customer")
     key = F.col("c_custkey").cast("string")
     js = F.concat(
-        F.lit('items.push({name: "Recent", pageUrl: "x", gid: "7"});items.push({name: "'), F.when(F.col("c_custkey") % 3 == 0, "🔥 Unreleased").otherwise(F.concat(F.lit("Part "), key)), F.lit('", gid: "'), key, F.lit('"});'),
-        F.when(F.col("c_custkey") % 2 == 0, 'items.push({name: "Album Art", gid: "12"});').otherwise(""), F.lit('items.push({name: "Again", gid: "7"});'),
+        F.lit('items.push({name: "Recent", pageUrl: "x", gid: "000'), key, F.lit('"});items.push({name: "'), F.when(F.col("c_custkey") % 3 == 0, "🔥 Unreleased").otherwise(F.concat(F.lit("Part "), key)), F.lit('", gid: "'), key, F.lit('"});'),
+        F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('items.push({name: "Album Art", gid: "00'), key, F.lit('"});'))).otherwise(""), F.lit('items.push({name: "Again", gid: "000'), key, F.lit('"});'),
     )
     return discover_tabs(c.select(F.col("c_custkey").alias("workbook_id"), F.concat("c_name", js).alias("html"))).withColumn("tab_ord", F.col("tab_ord").cast("long"))
 

@@ -117,12 +117,20 @@ def artist_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", artist_name(title).alias("artist"))
 
 
-@query("SELECT p_partkey, p_partkey % 3 = 0 AS plausible FROM part")
+#: A text for each rule by which a name is refused (``~`` stands for a part's name), and some that are not.
+REFUSED = (
+    "a\nb\nc", "", " \n ", "ask @me now", "see x.com", "~ at files.gg", "one two three four five six seven eight nine ten eleven", "~ " + "x" * 80, "~:", "Changelog", "what's new?", "collaboration with ~",
+    "~ tracker", "skip to ~", "click to view ~", "click here ~", "discord.gg/~", "discord.com/~", "http://~", "https://~", "~.gg/x", "~ playlist", "on spotify ~", "sent all ~", "onlyfiles ~",
+    "Added ~", "removed ~", "Updated ~", "renamed ~", "started ~", "Finished ~", "12.10.2024 - ~", "1/2/24 ~", "2024-1-2 ~", "1/23 - ~", "123", "*~", "who (@me)", "~ x @you", "~!!", "12 Full", "3 Snippets and ~",
+)
+ACCEPTED = ("~", "~ (part two: more)", "~ @ home", "~!", "1234 ~", "~\nsecond line", "Barter 7", "The ~ Added", "~ links", "Ca$ino ~")
+
+
+@query(f"SELECT p_partkey, p_partkey % {len(REFUSED) + len(ACCEPTED)} >= {len(REFUSED)} AS plausible FROM part")
 def plausible_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-04."""
-    k, n = F.col("p_partkey"), F.col("p_name")
-    bad = F.array(F.concat(F.lit("Added "), n), F.concat(n, F.lit(":")), F.lit("Changelog"), F.concat(F.lit("12.10.2024 - "), n), F.lit("12 Full"), F.concat(n, F.lit(" tracker")), F.lit("who (@me)"), F.concat(n, F.lit("!!")), F.lit("a\nb\nc"), F.lit("see x.com"))
-    text = F.when(k % 3 == 0, F.concat(n, F.lit(" (part two: more)"))).otherwise(F.get(bad, (k % 10).cast("int")))
+    """FLT-04: every rule once in each round of parts."""
+    forms = F.array(*[F.lit(t) for t in (*REFUSED, *ACCEPTED)])
+    text = F.replace(F.get(forms, (F.col("p_partkey") % (len(REFUSED) + len(ACCEPTED))).cast("int")), F.lit("~"), F.col("p_name"))
     return table(spark, sf_dir, "part").select("p_partkey", T.plausible_era_name(text).alias("plausible"))
 
 

@@ -149,9 +149,15 @@ def stream_sheets(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("sheet_id"), F.col("_metadata.file_path").alias("source_url"), F.col("value").alias("html"))
 
 
-def discover_sheets(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
-    """``(name, folder, html)`` of ``<folder>_files/sheet.html``: known folders (folder, name, ord) first in their order, then the others by folder."""
-    found = read_sheets(spark, path).withColumn("folder", F.url_decode(F.regexp_extract("sheet_id", r"/([^/]+)_files/sheet\.html$", 1))).filter("folder <> ''")
+SAVED_SHEET = r"/([^/]+)_files/sheet\.html$"
+
+
+def discover_sheets(spark: SparkSession, path: str, known: DataFrame | None = None, pattern: str = SAVED_SHEET) -> DataFrame:
+    """``(name, folder, html)`` of ``<folder>_files/sheet.html``, or of files whose path matches ``pattern`` (group 1 is the folder).
+
+    Known folders (folder, name, ord) come first in their order, then the others by folder.
+    """
+    found = read_sheets(spark, path).withColumn("folder", F.url_decode(F.regexp_extract("sheet_id", pattern, 1))).filter("folder <> ''")
     if known is None:
         known = spark.createDataFrame([], "folder string, name string, ord int")
     named = found.join(known.select("folder", F.col("name").alias("_known"), "ord"), "folder", "left")
