@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,19 +21,49 @@ def near_hash(left: DataFrame, right: DataFrame, key: str | list[str], most: int
 BANDS, BAND_BITS = 4, 16
 
 
+def _radii(most: int) -> list[int]:
+    """Bits that a band may differ in: of hashes within ``most`` bits some band is within its radius.
+
+    If every band differed in one bit more than its radius, these would be ``most + 1`` bits.
+    A band of radius -1 need not be asked for.
+    """
+    return [(most + 1) // BANDS + (i < (most + 1) % BANDS) - 1 for i in range(BANDS)]
+
+
+def near_hash_classes(left: DataFrame, right: DataFrame, most: int = 10) -> DataFrame:
+    """``(hash, other_hash, distance)``: all pairs of distinct hashes within ``most`` bits.
+
+    Rows of one hash are one class, however many there are. The hash is cut into four bands
+    of 16 bits; the left side asks for every band value within the band's radius of its own,
+    and the join is on whole band values, of which there are 65536 a band. A pair is made in
+    the first band that is close enough, so once.
+    """
+    radii = _radii(most)
+    within = [[sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(BAND_BITS), r)] for radius in radii]
+    cut = lambda c, i: F.shiftrightunsigned(c, BAND_BITS * i).bitwiseAND(F.lit((1 << BAND_BITS) - 1))
+    bands = [i for i in range(BANDS) if within[i]]
+
+    def asked(i: int) -> Column:
+        values = F.transform(F.array(*[F.lit(m).cast("long") for m in within[i]]), lambda m: cut(F.col("hash"), i).bitwiseXOR(m))
+        return F.struct(F.lit(i).alias("band"), values.alias("values"))
+
+    asks = F.array(*[asked(i) for i in bands])
+    one = left.select("hash").dropna().distinct().select("hash", F.explode(asks).alias("a")).select("hash", "a.band", F.explode("a.values").alias("bits"))
+    has = F.array(*[F.struct(F.lit(i).alias("band"), cut(F.col("other_hash"), i).alias("bits")) for i in bands])
+    two = right.select("other_hash").dropna().distinct().select("other_hash", F.explode(has).alias("b")).select("other_hash", "b.*")
+    differ = F.col("hash").bitwiseXOR(F.col("other_hash"))
+    first = F.lit(None).cast("int")
+    for i in reversed(bands):
+        first = F.when(F.bit_count(cut(differ, i)) <= radii[i], i).otherwise(first)
+    return one.join(two, ["band", "bits"]).filter((F.bit_count(differ) <= most) & (F.col("band") == first)).select("hash", "other_hash", F.bit_count(differ).alias("distance"))
+
+
 def near_hash_bands(left: DataFrame, right: DataFrame, left_id: str, right_id: str, most: int = 10) -> DataFrame:
     """All pairs ``(left_id, right_id, distance)`` within ``most`` bits, without a key.
 
-    The hash is cut into four bands of 16 bits. Two hashes within ``most`` bits differ in at
-    most ``most // 4`` bits of some band; so the left side asks for every band value
-    near its own (137 values for 10 bits), and the join is on whole band values, of which
-    there are 65536 a band.
+    ``left`` has ``hash``, ``right`` too. The classes that are near are found first; rows
+    are put in their place last, as many as pairs are asked for.
     """
-    near = [sum(1 << b for b in bits) for r in range(most // BANDS + 1) for bits in combinations(range(BAND_BITS), r)]
-    band = lambda c: F.array(*[F.shiftrightunsigned(F.col(c), BAND_BITS * i).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) for i in range(BANDS)])
-    masks = F.array(*[F.lit(m).cast("long") for m in near])
-    asked = left.select(left_id, "hash", F.posexplode(band("hash")).alias("band", "own")).select(left_id, "hash", "band", "own", F.explode(masks).alias("mask"))
-    one = asked.select(left_id, "hash", "band", F.col("own").bitwiseXOR(F.col("mask")).alias("bits"))
-    two = right.select(right_id, F.col("hash").alias("other_hash"), F.posexplode(band("hash")).alias("band", "bits"))
-    distance = F.bit_count(F.col("hash").bitwiseXOR(F.col("other_hash")))
-    return one.join(two, ["band", "bits"]).filter(distance <= most).select(left_id, right_id, distance.alias("distance")).distinct()
+    two = right.select(right_id, F.col("hash").alias("other_hash")).distinct()
+    near = near_hash_classes(left, two, most)
+    return near.join(left.select(left_id, "hash").distinct(), "hash").join(two, "other_hash").select(left_id, right_id, "distance")

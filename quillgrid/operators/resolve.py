@@ -225,18 +225,38 @@ def _words(col: Column) -> Column:
     return F.array_distinct(F.filter(F.split(col, r"\s+"), lambda w: F.length(w) > 2))
 
 
+def _by_rarity(rows: DataFrame, side_id: str, by: list[str], counts: DataFrame) -> DataFrame:
+    """``(by, side_id, words)``: each row's words, the rarest first."""
+    named = rows.select(*by, side_id, F.explode(_words(F.col("key"))).alias("_w")).join(counts, [*by, "_w"])
+    order = F.array_sort(F.collect_set(F.struct("_c", "_w")))
+    return named.groupBy(*by, side_id).agg(F.transform(order, lambda w: w["_w"]).alias("words"))
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, by: list[str] | None = None, least_shared: int = 2, least_score: float = 0.5) -> DataFrame:
     """``(left_id, right_id, shared, score)``: of each left row the right one that shares most words.
 
-    Both sides have a column ``key``. Words of over two characters count; two must be
-    shared, and half of the shorter side's; ties go to the least ``right_id``. The join is on
-    words, never on all pairs, and ``by`` names further columns that must be equal.
+    Both sides have a column ``key``. Words of over two characters count; ``least_shared``
+    must be shared, and ``least_score`` of the shorter side's; ties go to the least
+    ``right_id``. ``by`` names further columns that must be equal.
+
+    A pair that shares ``t`` words has its rarest shared word among each side's words but the
+    ``t - 1`` most frequent ones. Sides are joined on these rarer words alone, and a pair is
+    made at its rarest shared word only: once, and never at a word that half of the rows
+    have beside rarer ones. Rights of equal words meet as one.
     """
     by = by or []
-    lw = left.select(*by, left_id, _words(F.col("key")).alias("_lw")).withColumn("_ln", F.size("_lw")).select(*by, left_id, "_ln", F.explode("_lw").alias("_w"))
-    rw = right.select(*by, right_id, _words(F.col("key")).alias("_rw")).withColumn("_rn", F.size("_rw")).select(*by, right_id, "_rn", F.explode("_rw").alias("_w"))
-    pairs = lw.join(rw, [*by, "_w"]).groupBy(*by, left_id, right_id, "_ln", "_rn").agg(F.count("*").alias("shared"))
-    scored = pairs.withColumn("score", F.col("shared") / F.least("_ln", "_rn")).filter((F.col("shared") >= least_shared) & (F.col("score") >= least_score))
+    every = left.select(*by, "key").unionByName(right.select(*by, "key"))
+    counts = every.select(*by, F.explode(_words(F.col("key"))).alias("_w")).groupBy(*by, "_w").agg(F.count("*").alias("_c"))
+    lefts = _by_rarity(left, left_id, by, counts).withColumnRenamed("words", "_lw")
+    rights = _by_rarity(right, right_id, by, counts).groupBy(*by, "words").agg(F.min(right_id).alias(right_id)).withColumnRenamed("words", "_rw")
+    rare = lambda words: F.slice(words, F.lit(1), F.greatest(F.size(words) - (least_shared - 1), F.lit(0)))
+    one = lefts.select(*by, left_id, "_lw", F.posexplode(rare(F.col("_lw"))).alias("_i", "_w"))
+    two = rights.select(*by, right_id, "_rw", F.posexplode(rare(F.col("_rw"))).alias("_j", "_w"))
+    shorter = F.least(F.size("_lw"), F.size("_rw"))
+    need = F.greatest(F.lit(least_shared), F.ceil(F.lit(least_score) * shorter - 1e-9).cast("int"))
+    close = one.join(two, [*by, "_w"]).filter((F.col("_i") <= F.size("_lw") - need) & (F.col("_j") <= F.size("_rw") - need))
+    both = close.withColumn("_both", F.array_intersect("_lw", "_rw")).filter(F.get("_both", F.lit(0)) == F.col("_w"))
+    scored = both.withColumns({"shared": F.size("_both").cast("long"), "score": F.size("_both") / shorter}).filter((F.col("shared") >= least_shared) & (F.col("score") >= least_score))
     best = scored.groupBy(*by, left_id).agg(F.max_by(F.struct(right_id, "shared", "score"), F.struct("score", -F.col(right_id))).alias("b"))
     return best.select(*by, left_id, f"b.{right_id}", "b.shared", "b.score")
 
