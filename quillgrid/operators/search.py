@@ -142,6 +142,10 @@ def inspect_songs(versions: DataFrame, era_like: str | None = None, name_like: s
     return out
 
 
+def recents_order() -> list[Column]:
+    return [F.desc("sort_date"), F.col("sheet_id"), F.col("era_idx"), F.col("row_idx")]
+
+
 def recents(versions: DataFrame, days: int | None = None, as_of: str | None = None) -> DataFrame:
     """Versions with a leak or file date and that date as ``sort_date``, newest first, undated forms last.
 
@@ -152,11 +156,11 @@ def recents(versions: DataFrame, days: int | None = None, as_of: str | None = No
     if days is not None:
         end = F.lit(as_of).cast("date") if as_of else F.current_date()
         dated = dated.filter((F.col("sort_date") <= end) & (F.col("sort_date") > F.date_sub(end, days)))
-    return dated.orderBy(F.desc("sort_date"), "sheet_id", "era_idx", "row_idx")
+    return dated.orderBy(*recents_order())
 
 
 def page(df: DataFrame, number: int, size: int = 60) -> DataFrame:
-    """One page, from 0, of an ordered table."""
+    """One page, from 0, of an ordered table, which is sorted for it; ``search_index.write_ordered`` writes an order for many pages."""
     return df.offset(number * size).limit(size)
 
 

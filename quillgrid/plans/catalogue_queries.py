@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from quillgrid.operators import favourites as fav
 from quillgrid.operators import quality as dq
 from quillgrid.operators import resolve, search, songs, stats
 from quillgrid.operators.hashes import near_hash, near_hash_bands
+from quillgrid.operators.search_index import build_index, write_ordered
 from quillgrid.plans.fixtures import V, eras, table, versions
 from quillgrid.scratch import new_folder
 from quillgrid.sources.feeds import read_report, write_report
@@ -247,6 +250,28 @@ def recent_30_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.recents(versions(spark, sf_dir), days=30, as_of="1999-02-01").select("sheet_id", "row_idx")
 
 
+#: Searches of one index: the query that each repeats, its words and its options.
+SEARCHES = (
+    ("search_ranked", " Red Widget", {"hide_snippets": True}), ("search_alternates", "economy", {}), ("search_alternate_beginnings", "Econ", {}),
+    ("search_within_names", "take 3", {}), ("search_spec", "wid", {"scoring": "spec"}),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS search, * FROM ({SQL[name]})" for name, _, _ in SEARCHES))
+def search_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SR-01/02 over a written index: each search reads the postings of its letters and the parts that they name."""
+    index = build_index(versions(spark, sf_dir), new_folder(spark, "search-index"), parts=16)
+    found = [search.search(index.candidates(words), words, **options).select(F.lit(name).alias("search"), "sheet_id", "row_idx", "score") for name, words, options in SEARCHES]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(V + "SELECT sheet_id, row_idx FROM v ORDER BY CASE WHEN l_tax <= 0.06 THEN l_shipdate::DATE ELSE make_date(year(l_shipdate), 1, 1) END DESC, sheet_id, era_idx, row_idx LIMIT 60 OFFSET 1200")
+def recent_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SR-03/06: a page far down, read from the ranges of a written order."""
+    written = write_ordered(search.recents(versions(spark, sf_dir)), search.recents_order(), new_folder(spark, "recents"))
+    return written.page(20).select("sheet_id", "row_idx")
+
+
 @query("SELECT c_custkey, c_name FROM customer ORDER BY c_mktsegment = 'BUILDING' DESC, lower(c_name), c_name LIMIT 60 OFFSET 60")
 def discovery_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SR-05/06: the second page."""

@@ -31,32 +31,12 @@ def test_fuzzy_match_equals_all_pairs(spark):
         assert got == want and len(want) > 20
 
 
-def rows_joined(spark, frame):
-    """Rows out of every join of a plan that ran."""
-    frame.collect()
-    out = []
-
-    def walk(node):
-        if "Join" in node.nodeName():
-            out.append(node.metrics().apply("numOutputRows").value())
-        if node.nodeName() == "AdaptiveSparkPlan":
-            walk(node.executedPlan())
-        if "QueryStage" in node.nodeName():
-            walk(node.plan())
-        children = node.children()
-        for i in range(children.size()):
-            walk(children.apply(i))
-
-    walk(frame._jdf.queryExecution().executedPlan())
-    return out
-
-
-def test_a_word_in_half_of_the_rows_makes_no_pairs(spark):
+def test_a_word_in_half_of_the_rows_makes_no_pairs(spark, node_metrics):
     n = 1500
     left = spark.createDataFrame([(i, f"vault x{i:05d}" if i % 2 else f"x{i:05d} y{i:05d}") for i in range(n)], "l int, key string")
     right = spark.createDataFrame([(i, f"vault x{i:05d}" if i % 2 else f"x{i:05d} y{i:05d}") for i in range(n)], "r int, key string")
     got = fuzzy_match(left, right, "l", "r")
-    assert max(rows_joined(spark, got)) < 10 * n
+    assert max(node_metrics(got, "Join")) < 10 * n
     assert sorted((r["l"], r["r"]) for r in got.collect()) == [(i, i) for i in range(n)]
 
 
@@ -75,8 +55,8 @@ def test_hash_pairs_equal_all_pairs(spark):
         assert got == want
 
 
-def test_equal_hashes_are_one_class(spark):
+def test_equal_hashes_are_one_class(spark, node_metrics):
     rows = spark.range(5000).selectExpr("7L AS hash")
     near = near_hash_classes(rows, rows.withColumnRenamed("hash", "other_hash"))
     assert [tuple(r) for r in near.collect()] == [(7, 7, 0)]
-    assert max(rows_joined(spark, near)) <= 4
+    assert max(node_metrics(near, "Join")) <= 4
