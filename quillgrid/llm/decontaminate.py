@@ -30,6 +30,8 @@ from quillgrid.llm.shingles import _BYTE, _POWERS, U, chunks
 ERROR_RATE = 0.08
 #: Bytes of item text for one pass; a task needs some six times as much memory.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text that are searched at once; their hashes and places take some sixty times as much.
+TEXT_BYTES = 1 << 19
 #: Pieces are hashed by so many first characters, the most that they have; shorter ones whole.
 GRAMS = (12, 10, 8)
 LEAK = T.ArrayType(
@@ -45,7 +47,7 @@ _PLAIN[65:91] = np.arange(97, 123)
 
 def plain_chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each chunk its first row, the bytes of the plain forms, and the rows' starts and ends in them; nulls are empty."""
-    for at, _, data, offsets in chunks(pc.utf8_lower(texts)):
+    for at, _, data, offsets in chunks(pc.utf8_lower(texts), TEXT_BYTES):
         data = _PLAIN[data]
         gap = data == 32
         opens = np.zeros(len(data) + 1, dtype=bool)

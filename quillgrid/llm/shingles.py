@@ -42,8 +42,8 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows of about ``CHUNK_BYTES`` (one row at least): first row, end, bytes, offsets.
+def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows of about ``size`` bytes (one row at least): first row, end, bytes, offsets.
 
     Null texts are empty.
     """
@@ -54,7 +54,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
 
