@@ -270,7 +270,7 @@ def snapshots_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshots_changed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-01 as a stream over the events table, run until it is read."""
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    changed = snap.changed_snapshots_stream(user_snapshots(source))
+    changed = snap.changed_snapshots_stream(user_snapshots(source), keep_seconds=10 * 365 * 86400)
     path = new_folder(spark, "changes")
     changed.writeStream.format("parquet").option("path", path).option("checkpointLocation", new_folder(spark, "stream")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(changed.schema).parquet(path).select("url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("at"), "content_hash")
@@ -290,6 +290,37 @@ def snapshots_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snap.latest_snapshots(user_snapshots(table(spark, sf_dir, "events"))).select("url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("at"), "content_hash")
 
 
+_LATEST = f"WITH s AS ({_SNAP}) SELECT url, strftime(max(fetched_at), '%Y-%m-%d %H:%M:%S') AS at, arg_max(content_hash, (fetched_at, content_hash)) AS content_hash FROM s GROUP BY url"
+
+
+@query(_LATEST)
+def snapshots_latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-03 as a stream over the events table: deltas by bucket, merged once there are any."""
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    root = new_folder(spark, "latest")
+    snap.upsert_latest(user_snapshots(source), root, new_folder(spark, "stream"), compact_every=1, buckets=16).trigger(availableNow=True).start().awaitTermination()
+    return snap.read_latest(spark, root).select("url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("at"), "content_hash")
+
+
+_EXPIRED = "WITH s AS (SELECT 'u' || user_id AS url, ts AS fetched_at, event_type AS content_hash FROM events), l AS (SELECT *, lag(content_hash) OVER w AS b, lag(fetched_at) OVER w AS t FROM s WINDOW w AS (PARTITION BY url ORDER BY fetched_at, content_hash)) SELECT url, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS at, content_hash FROM l WHERE b IS DISTINCT FROM content_hash OR epoch_us(fetched_at) - epoch_us(t) > 259200000000"
+
+
+@query(_EXPIRED)
+def snapshots_expiring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-01 with expiry: after three days without a snapshot a url is new again."""
+    return snap.changed_snapshots(user_snapshots(table(spark, sf_dir, "events")), keep_seconds=3 * 86400).select("url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("at"), "content_hash")
+
+
+@query(_EXPIRED)
+def snapshots_expiring_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-01 with expiry as a stream, whose state goes by event time."""
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    changed = snap.changed_snapshots_stream(user_snapshots(source), keep_seconds=3 * 86400)
+    path = new_folder(spark, "changes")
+    changed.writeStream.format("parquet").option("path", path).option("checkpointLocation", new_folder(spark, "stream")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(changed.schema).parquet(path).select("url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("at"), "content_hash")
+
+
 @query(f"WITH s AS ({_SNAP}), m AS (SELECT date_trunc('second', max(fetched_at)) AS t FROM s) SELECT url, count(*) FILTER (epoch(t) - epoch(date_trunc('second', fetched_at)) <= 604800 AND content_hash <> 'error') AS n_valid FROM s, m GROUP BY url")
 def snapshots_client_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-02: a client's copies that are young enough and of the current form."""

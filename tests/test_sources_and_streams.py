@@ -61,6 +61,64 @@ def test_changed_stream_equals_batch_over_batches(spark, tmp_path):
     assert want == 3 and spark.table("changes").count() == 3
 
 
+DAY = 24 * 60
+
+
+def test_changed_stream_forgets_old_urls_and_knows_earlier_ones(spark, tmp_path):
+    """Days of u, v and others in several batches: the stream equals the batch form, and old states leave the store."""
+    path, at = str(tmp_path / "in"), dt.datetime(2024, 1, 1)
+    days = [[("u", 0, "A"), ("v", 0, "X"), ("x", 0, None)], [("u", 1, "A"), ("w", 1, "W"), ("x", 1, None)], [("w", 20, "W")], [("w", 21, "W")], [("u", 22, "A"), ("v", 22, "Y")]]
+    for i, rows in enumerate(days):
+        spark.createDataFrame([(u, at + dt.timedelta(days=d), h) for u, d, h in rows], "url string, fetched_at timestamp, content_hash string").coalesce(1).write.parquet(f"{path}/b={i}")
+    initial = _batch(spark, [("v", -DAY, "X"), ("w", -30 * DAY, "W"), ("x", -30 * DAY, None)])
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    stream = spark.readStream.schema(stored.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)
+    for name, known in (("plain", None), ("seeded", initial)):
+        run = snap.changed_snapshots_stream(stream, 5 * 86400, known, "1 hour").writeStream.format("memory").queryName(f"forget_{name}").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+        told = lambda rows: sorted((r["url"], r["fetched_at"].day, str(r["content_hash"])) for r in rows.collect())
+        want = told(snap.changed_snapshots(stored, 5 * 86400, known))
+        assert told(spark.table(f"forget_{name}")) == want
+        assert ("u", 23, "A") in want and ("w", 21, "W") in want and ("w", 22, "W") not in want
+        assert ("x", 1, "None") in want and ("x", 2, "None") not in want
+        assert (("v", 1, "X") in want) == (known is None)
+        kept = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+        assert max(kept) == 4 and kept[-1] == 3  # x has gone; u, v and w have come again
+
+
+def test_merges_rewrite_grown_buckets_only(spark, tmp_path):
+    root, schema = str(tmp_path / "out"), "url string, fetched_at timestamp, content_hash string"
+    step = _steps(root, compact_every=1, buckets=8)
+    at = dt.datetime(2024, 1, 1)
+    step(spark.createDataFrame([(f"u{i}", at, "a") for i in range(800)], schema), 0)
+    first = snap._named_bases(spark, root)
+    assert len(first) == 8 and sum(r["n_rows"] for r in first.values()) == 800
+    step(_batch(spark, [("u5", 1, "b")]), 1)  # too few rows for a merge
+    assert snap._named_bases(spark, root) == first
+    one = spark.range(20000).selectExpr("concat('n', id) url").filter("pmod(xxhash64(url), 8) = 3").limit(60)
+    step(one.selectExpr("url", "timestamp '2024-01-02' fetched_at", "'c' content_hash"), 2)
+    second = snap._named_bases(spark, root)
+    assert [b for b in first if second[b] != first[b]] == [3]
+    assert [p.name for p in (tmp_path / "out" / "base" / f"at={second[3]['at']}").iterdir() if p.is_dir()] == ["bucket=3"]
+    now = {r["url"]: r["content_hash"] for r in snap.read_latest(spark, root).collect()}
+    assert len(now) == 860 and now["u5"] == "b" and now["u6"] == "a"
+    step(_batch(spark, []), 3)
+    assert snap.read_latest(spark, root).count() == 860
+
+
+def _steps(root, **how):
+    """What a stream would run for each batch."""
+    held = {}
+
+    class Stream:
+        writeStream = property(lambda self: self)
+        foreachBatch = lambda self, f: held.update(f=f) or self
+        option = lambda self, *a: self
+
+    snap.upsert_latest(Stream(), root, "none", **how)
+    return held["f"]
+
+
 def test_latest_stream_keeps_the_newest(spark, tmp_path):
     path, root = str(tmp_path / "in"), str(tmp_path / "out")
     assert snap.read_latest(spark, root) is None
@@ -94,7 +152,7 @@ def test_latest_survives_a_stop_at_any_point(spark, tmp_path, monkeypatch):
     real = snap.compact_latest
 
     def stopped(session, folder, through):
-        snap.read_latest(session, folder, through).write.parquet(f"{folder}/base-{through}-half")
+        snap.read_latest(session, folder, through).write.parquet(f"{folder}/base/at={through}-half/bucket=0")
         raise RuntimeError("stopped")
 
     monkeypatch.setattr(snap, "compact_latest", stopped)
