@@ -249,8 +249,8 @@ def known_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_LINKS)
 def sheet_files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-05: the same from a stream of new files."""
-    rows = sheet_rows(stream_sheets(spark, _sheet_files(spark, sf_dir)))
+    """STM-05: the same from a stream of new files, in several batches by bytes."""
+    rows = sheet_rows(stream_sheets(spark, _sheet_files(spark, sf_dir), batch_bytes=32 << 20))
     path = new_folder(spark, "streamed-rows")
     rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", new_folder(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     return sheet_stats(spark.read.schema(rows.schema).parquet(path)).groupBy("total_links").agg(F.count("*").alias("n_sheets"))

@@ -137,16 +137,28 @@ def tab_role(name: Column) -> Column:
     return F.when(clean.isin(*ART_TABS), "art").when(clean.isin(*MAIN_TABS), "main").otherwise("other")
 
 
+def _whole_files(files: DataFrame) -> DataFrame:
+    path = F.col("_metadata.file_path")
+    return files.select(path.alias("sheet_id"), path.alias("source_url"), F.col("value").alias("html"))
+
+
 def read_sheets(spark: SparkSession, path: str) -> DataFrame:
-    """``(sheet_id, source_url, html)``: one whole file a sheet."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("sheet_id"), F.col("_metadata.file_path").alias("source_url"), F.col("value").alias("html"))
+    """``(sheet_id, source_url, html)``: one whole file a sheet. Small files share a task, by their bytes and the cost of opening one."""
+    return _whole_files(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True))
+
 
+#: Bytes of new files that one batch of a stream takes.
+BATCH_BYTES = 8 << 30
 
-def stream_sheets(spark: SparkSession, path: str) -> DataFrame:
-    """The same as a stream of new files."""
-    files = spark.readStream.option("wholetext", "true").option("recursiveFileLookup", "true").format("text").load(path)
-    return files.select(F.col("_metadata.file_path").alias("sheet_id"), F.col("_metadata.file_path").alias("source_url"), F.col("value").alias("html"))
+
+def stream_sheets(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """The same as a stream of new files, a batch at a time of up to ``batch_bytes``, or of one file if that is larger.
+
+    The oldest come first. What was read is in the query's checkpoint: a query that starts
+    again reads no file twice and leaves none out.
+    """
+    files = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("maxBytesPerTrigger", batch_bytes)
+    return _whole_files(files.load(path))
 
 
 SAVED_SHEET = r"/([^/]+)_files/sheet\.html$"

@@ -44,6 +44,41 @@ def test_sheet_files(spark, tmp_path):
     assert spark.table("sheet_stream").count() == 2
 
 
+def test_sheet_stream_takes_files_by_bytes_and_starts_again(spark, tmp_path):
+    folder, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
+    folder.mkdir()
+
+    def put(names, size=1000):
+        for n in names:
+            (folder / f"{n}.html").write_text(f"<table><tr><td>{n}</td></tr></table>".ljust(size))
+
+    def run():
+        stream = stream_sheets(spark, str(folder), batch_bytes=2500).selectExpr("regexp_extract(sheet_id, '([^/]+)[.]html', 1) name", "length(html) n")
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+
+    put("abcdef")
+    assert run() == [2, 2, 2]
+    put("g", 9000)
+    put("hi")
+    taken = run()
+    assert sum(taken) == 3 and max(taken) <= 2 and len(taken) >= 2
+    assert run() == []
+    assert sorted((r["name"], r["n"]) for r in spark.read.parquet(out).collect()) == [(c, 9000 if c == "g" else 1000) for c in "abcdefghi"]
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"{i}.html").write_text("<table><tr><td>x</td></tr></table>")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64k")
+    try:
+        sheets = read_sheets(spark, str(tmp_path))
+        assert sheets.count() == 200 and sheets.selectExpr("spark_partition_id() p").distinct().count() <= 8
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def _write(spark, path, rows, i):
     at = dt.datetime(2024, 1, 1)
     spark.createDataFrame([("u", at + dt.timedelta(minutes=m), h) for m, h in rows], "url string, fetched_at timestamp, content_hash string").coalesce(1).write.parquet(f"{path}/b={i}")
