@@ -37,6 +37,8 @@ SECOND_LEVEL = 4_000_000
 LENGTHS = 8
 #: Probability of the parts that a query visits; recall on vectors without structure is about as high.
 MASS = 0.95
+#: Where parts are cut again, two networks may err: what the mass leaves out is taken times this.
+SECOND_LEFT_OUT = 0.4
 #: Vectors, and queries, for one task of a part; more are split by a hash of the id.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 8192
 
@@ -167,6 +169,13 @@ class Tree:
     top: Router
     below: dict[int, Router]
 
+    def visits(self, falling: np.ndarray, mass: float) -> np.ndarray:
+        """How many parts each vector visits, from their falling probabilities; all for a mass of 1."""
+        if mass >= 1:
+            return np.full(len(falling), falling.shape[1])
+        reach = 1 - (1 - mass) * SECOND_LEFT_OUT if self.below else mass
+        return (np.cumsum(falling, axis=1) < reach).sum(1) + 1
+
     def probabilities(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(names, one row of probabilities for each vector) of all last parts."""
         top = _softmax(self.top.logits(x))
@@ -200,7 +209,7 @@ def _route(trees: dict[int, Tree], mass: float | None):
                         parts = [[int(n)] for n in names[p.argmax(1)]]
                     else:
                         order = np.argsort(-p, axis=1, kind="stable")
-                        visits = (np.cumsum(np.take_along_axis(p, order, 1), axis=1) < mass).sum(1) + 1
+                        visits = trees[int(dim)].visits(np.take_along_axis(p, order, 1), mass)
                         parts = [names[row[:m]].tolist() for row, m in zip(order, visits, strict=True)]
                 yield pa.record_batch([*some.columns, pa.array(parts, pa.list_(pa.int32()))], names=["id", "dim", "x", "parts"])
 
@@ -282,7 +291,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vec
     ``is_query`` is a condition on the column ``id``. Every vector is indexed; a row of the
     query's own id is no candidate. Null, zero, non-finite vectors and null ids take no
     part; a vector has no distance to one of another length, so that only equal lengths are
-    neighbours. Equal distances go to the smaller id; fewer candidates give fewer rows.
+    neighbours. A ``mass`` of 1 visits all parts and is exact. Equal distances go to the smaller id; fewer candidates give fewer rows.
     Repeated rows count once; of several vectors under one id, and of several queries
     under one id, the nearest pair counts. Other columns are not read.
     """

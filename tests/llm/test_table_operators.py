@@ -92,6 +92,25 @@ def test_neighbours_in_two_levels_of_parts(spark, monkeypatch):
     assert len(got & want) / len(want) >= 0.9
 
 
+@pytest.mark.parametrize("level, least", [(10**9, 0.94), (1000, 0.94)])
+def test_recall_on_vectors_without_structure(spark, monkeypatch, level, least):
+    """The table's own vectors, in one level of parts and in two, and every neighbour with all parts."""
+    monkeypatch.setattr(ann, "SECOND_LEVEL", level)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r["vec_id"], np.array(r["embedding"], dtype=float)) for r in df.collect()]
+    ids, x = np.array([v for v, _ in rows]), np.stack([v for _, v in rows])
+    want = set()
+    for q in np.flatnonzero(ids % 20 == 0):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        want |= {(int(ids[q]), int(v)) for v in ids[np.lexsort((ids, d))[:10]]}
+    for mass, bound in ((ann.MASS, least), (1.0, 1.0)):
+        got = {(r["query_id"], r["vec_id"]) for r in ann.nearest_neighbours(df, F.col("id") % 20 == 0, mass=mass).collect()}
+        recall = len(got & want) / len(want)
+        print("recall", level, mass, recall)
+        assert recall >= bound
+
+
 # ---------------------------------------------------------------- similarity join
 
 
