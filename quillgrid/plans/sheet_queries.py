@@ -13,9 +13,9 @@ from quillgrid.operators.stats import availability_stats, nameless_rows, reconci
 from quillgrid.operators.tabs import canonical_urls, dedup_urls, resolve_artist, select_tab
 from quillgrid.plans.catalogue import read_catalogue
 from quillgrid.plans.fixtures import LAYOUTS, MIXED, SHEET_ITEMS, mixed_sheets, rendered_sheets, table
-from quillgrid.scratch import new_folder
+from quillgrid.scratch import materialise, new_folder
 from quillgrid.sources.feeds import read_discovery, read_links
-from quillgrid.sources.html import attribute, discover_sheets, discover_tabs, plain_text, preview_cells, read_sheets, sheet_class_colors, sheet_profile, sheet_rows, stream_sheets
+from quillgrid.sources.html import attribute, discover_sheets, discover_tabs, head_rows, plain_text, preview_cells, read_sheets, sheet_class_colors, sheet_profile, sheet_rows, stream_sheets
 
 QUERIES, SQL = {}, {}
 
@@ -72,7 +72,8 @@ _FIELDS = "f(layout, field, col_idx) AS (VALUES " + ", ".join(f"({k}, '{f}', {i}
 
 
 def _columns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    layout = detect_layout(sheet_rows(mixed_sheets(spark, sf_dir)))
+    """A row a sheet, kept, as what follows reads it more than once."""
+    layout = materialise(detect_layout(head_rows(mixed_sheets(spark, sf_dir))), "layouts")
     return layout, layout_columns(layout)
 
 
@@ -118,7 +119,7 @@ def sheet_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sheet_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-02, JN-11: notices in and above the header, with the links of their lines."""
-    return notices(sheet_rows(mixed_sheets(spark, sf_dir))).select("sheet_id", F.col("ord").cast("long").alias("ord"), "text", "link", "kind")
+    return notices(head_rows(mixed_sheets(spark, sf_dir))).select("sheet_id", F.col("ord").cast("long").alias("ord"), "text", "link", "kind")
 
 
 @query(
@@ -127,7 +128,7 @@ def sheet_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sheet_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-02, SRC-12."""
-    cells = preview_cells(sheet_rows(mixed_sheets(spark, sf_dir)), 0, 2, 2)
+    cells = preview_cells(head_rows(mixed_sheets(spark, sf_dir)), 0, 2, 2)
     return cells.select("sheet_id", F.col("row_idx").cast("long").alias("row_idx"), F.col("col_idx").cast("long").alias("col_idx"), "text", F.col("n_links").cast("long").alias("n_links"))
 
 

@@ -5,7 +5,7 @@ Sheets are scanned once, in batches; all is a map over the sheets, without a shu
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, partial
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,21 +84,28 @@ def sheet_class_colors(sheets: DataFrame, html_col: str = "html") -> DataFrame:
     return sheets.select("sheet_id", class_colors(F.col(html_col)).alias("c")).select("sheet_id", F.explode("c").alias("css_class", "bg_color"))
 
 
-def sheet_rows(sheets: DataFrame, html_col: str = "html", aliases: dict[str, str] = ALIASES) -> DataFrame:
+def sheet_rows(sheets: DataFrame, html_col: str = "html", aliases: dict[str, str] = ALIASES, most_rows: int | None = None) -> DataFrame:
     """``(sheet_id, row_idx, cells array<struct>, header_row, fields)``: table rows with a cell.
 
     A wide cell is followed by empty ones. The layout, ``header_row`` and ``fields``, is
     found in a sheet's first rows before they are spread, so that it needs no join. The
     texts are scanned once, see ``quillgrid.sources.scan`` for cells that are not closed and
-    tables within tables.
+    tables within tables. ``most_rows`` ends the scan of a sheet after so many rows, or after
+    those that the layout is found in, for callers that look no further.
     """
+    scan = scan_batches if most_rows is None else partial(scan_batches, most_rows=max(most_rows, HEADER_ROWS))
     read = sheets.select("sheet_id", F.col(html_col).alias("html"), class_colors(F.col(html_col)).alias("colors"))
-    scanned = read.mapInArrow(scan_batches, f"sheet_id {read.schema['sheet_id'].dataType.simpleString()}, rows array<array<{CELL}>>")
+    scanned = read.mapInArrow(scan, f"sheet_id {read.schema['sheet_id'].dataType.simpleString()}, rows array<array<{CELL}>>")
     head = F.transform(F.slice("rows", 1, HEADER_ROWS), lambda row: F.transform(row, lambda c: c["text"]))
     placed = scanned.select("sheet_id", "rows", layout_of(head, aliases).alias("_layout"))
     return placed.select("sheet_id", F.posexplode("rows").alias("row_idx", "cells"), "_layout.header_row", "_layout.fields")
 
 
+def head_rows(sheets: DataFrame, html_col: str = "html", aliases: dict[str, str] = ALIASES) -> DataFrame:
+    """The first rows of ``sheet_rows``, in which a header can stand: all that layouts, notices and previews of them look at."""
+    return sheet_rows(sheets, html_col, aliases, HEADER_ROWS)
+
+
 def sheet_cells(sheets: DataFrame, html_col: str = "html") -> DataFrame:
     """``(sheet_id, row_idx, col_idx, text, links, link_lines, images, css_class, bg_color)``."""
     return explode_cells(sheet_rows(sheets, html_col))

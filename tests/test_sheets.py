@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from quillgrid.operators.resolve import merge_stub_eras
 from quillgrid.plans.catalogue import read_catalogue
-from quillgrid.sources.html import explode_cells, sheet_rows
+from quillgrid.plans.fixtures import mixed_sheets, rendered_sheets
+from quillgrid.sources.html import explode_cells, head_rows, sheet_rows
 
 HEAD = "<tr><td>Era</td><td>Name</td><td>Notes</td><td>Quality</td><td>Link(s)</td></tr>"
 
@@ -152,3 +153,18 @@ def test_columns_that_a_header_does_not_name_have_default_places(spark):
     r = cat["versions"].first()
     assert (r["name"], r["og_filename"], r["quality"], r["links"]) == ("A", "f", "HQ", ["http://a.b"])
     assert len(cat["eras"].first()["timeline"]) == 1 and set(cat["layout"].first()["fields"]) == {"quality", "links"}
+
+
+def test_first_rows_are_the_first_of_all_rows(spark):
+    html = "<table>" + "".join(f"<tr><td>Era</td><td>Name</td><td>t{i} &amp; x<br>y</td></tr>" for i in range(40)) + "</table>"
+    sheets = spark.createDataFrame([("s", html), ("short", "<table><tr><td>x</td></tr></table>"), ("none", "<p>")], "sheet_id string, html string")
+    every = sheet_rows(sheets).orderBy("sheet_id", "row_idx").collect()
+    first = head_rows(sheets).orderBy("sheet_id", "row_idx").collect()
+    assert first == [r for r in every if r["row_idx"] < 11] and len(first) == 12
+
+
+def test_sheets_are_made_where_their_rows_are(spark, sf_dir):
+    """Narrow rows are spread once; no text of a sheet is shuffled, and parts are not broadcast by their file's size."""
+    for sheets in (mixed_sheets(spark, sf_dir), rendered_sheets(spark, sf_dir)):
+        plan = sheets._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 3 and "Broadcast" not in plan
