@@ -2,7 +2,7 @@
 
 import random
 
-from quillgrid.operators.hashes import _radii, near_hash_bands, near_hash_classes
+from quillgrid.operators.hashes import _radii, near_hash_bands, near_hash_classes, near_hash_groups
 from quillgrid.operators.resolve import fuzzy_match
 
 
@@ -60,3 +60,11 @@ def test_equal_hashes_are_one_class(spark, node_metrics):
     near = near_hash_classes(rows, rows.withColumnRenamed("hash", "other_hash"))
     assert [tuple(r) for r in near.collect()] == [(7, 7, 0)]
     assert max(node_metrics(near, "Join")) <= 4
+
+
+def test_copies_are_members_and_not_pairs(spark):
+    rows = spark.range(4000).selectExpr("id + 5 AS id", "CASE WHEN id % 2 = 0 THEN 7L ELSE 6L END AS hash").union(spark.createDataFrame([(1, -1), (2, None)], "id long, hash long"))
+    got = near_hash_groups(rows, "id").collect()
+    assert len(got) == 4003
+    assert {tuple(r) for r in got if r["distance"]} == {(5, 6, 1), (6, 5, 1)}
+    assert {tuple(r) for r in got if not r["distance"]} == {(5 + i % 2, i + 5, 0) for i in range(4000)} | {(1, 1, 0)}
