@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from quillgrid.operators.columns import project_fields
 from quillgrid.operators.resolve import merge_stub_eras
+from quillgrid.operators.rows import describe_rows
 from quillgrid.plans.catalogue import read_catalogue
 from quillgrid.plans.fixtures import mixed_sheets, rendered_sheets
 from quillgrid.sources.html import explode_cells, head_rows, sheet_rows
@@ -168,3 +170,19 @@ def test_sheets_are_made_where_their_rows_are(spark, sf_dir):
     for sheets in (mixed_sheets(spark, sf_dir), rendered_sheets(spark, sf_dir)):
         plan = sheets._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 3 and "Broadcast" not in plan
+
+
+def test_rows_are_read_for_what_they_can_be_only(spark):
+    """Names beside many cells have no keys of eras, and a footer's words are not found across two cells."""
+    long = "<tr><td></td><td>Alone<br>b</td><td>n</td><td>Full</td><td>HQ</td></tr>"
+    split = "<tr><td>total</td><td>links</td></tr><tr><td></td><td>Total LINKS</td></tr>"
+    html = "<table><tr><td>Era</td><td>Name</td><td>Notes</td><td>Available Length</td><td>Quality</td></tr>" + long + "<tr><td></td><td>Alone</td></tr>" + split + "</table>"
+    got = describe_rows(project_fields(sheet_rows(spark.createDataFrame([("s", html)], "sheet_id string, html string")))).orderBy("row_idx").collect()
+    assert [(r["kind"], r["line_keys"]) for r in got] == [("row", []), ("row", ["alone"]), ("row", []), ("footer", [])]
+    assert got[0]["version_name"] == "Alone" and got[0]["alt_titles"] == ["b"]
+
+
+def test_an_era_opened_by_name_knows_its_key_after_a_song_of_that_name(spark):
+    html = "<table><tr><td>Era</td><td>Name</td><td>Notes</td><td>Quality</td></tr><tr><td>Alpha</td><td>Beta</td><td>n</td><td>HQ</td></tr><tr><td></td><td>Beta<br>(2001)</td></tr><tr><td>Gamma</td><td></td><td>x</td><td>LQ</td></tr></table>"
+    cat = read_catalogue(spark.createDataFrame([("s", html)], "sheet_id string, html string"))
+    assert [r["name"] for r in cat["eras"].orderBy("era_idx").collect()] == ["Alpha", "Beta", "Gamma"]
