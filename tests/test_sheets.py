@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillgrid.operators.columns import project_fields
-from quillgrid.operators.resolve import merge_stub_eras
+from quillgrid.operators.resolve import era_texts, merge_stub_eras
 from quillgrid.operators.rows import describe_rows
 from quillgrid.plans.catalogue import read_catalogue
 from quillgrid.plans.fixtures import mixed_sheets, rendered_sheets
@@ -186,3 +186,9 @@ def test_an_era_opened_by_name_knows_its_key_after_a_song_of_that_name(spark):
     html = "<table><tr><td>Era</td><td>Name</td><td>Notes</td><td>Quality</td></tr><tr><td>Alpha</td><td>Beta</td><td>n</td><td>HQ</td></tr><tr><td></td><td>Beta<br>(2001)</td></tr><tr><td>Gamma</td><td></td><td>x</td><td>LQ</td></tr></table>"
     cat = read_catalogue(spark.createDataFrame([("s", html)], "sheet_id string, html string"))
     assert [r["name"] for r in cat["eras"].orderBy("era_idx").collect()] == ["Alpha", "Beta", "Gamma"]
+
+
+def test_era_texts_are_read_once_a_sheet(spark):
+    rows = [("s", "Rodeo [V2]"), ("s", "Rodeo [V2]"), ("s", "Links"), ("s", None), ("t", "Ab / Cd")] * 3
+    got = [tuple(r) for r in era_texts(spark.createDataFrame(rows, "sheet_id string, era string")).orderBy("sheet_id", "era").collect()]
+    assert got == [("s", "Links", "links", "links", ["links"], False), ("s", "Rodeo [V2]", "rodeo [v2]", "rodeo", ["rodeo", "rodeo [v2]"], True), ("t", "Ab / Cd", "ab / cd", "ab / cd", ["ab / cd", "ab", "cd"], True)]
