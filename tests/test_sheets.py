@@ -7,6 +7,7 @@ from quillgrid.operators.resolve import era_texts, merge_stub_eras
 from quillgrid.operators.rows import describe_rows
 from quillgrid.plans.catalogue import read_catalogue
 from quillgrid.plans.fixtures import mixed_sheets, rendered_sheets
+from quillgrid.scratch import materialise
 from quillgrid.sources.html import explode_cells, head_rows, sheet_rows
 
 HEAD = "<tr><td>Era</td><td>Name</td><td>Notes</td><td>Quality</td><td>Link(s)</td></tr>"
@@ -192,3 +193,18 @@ def test_era_texts_are_read_once_a_sheet(spark):
     rows = [("s", "Rodeo [V2]"), ("s", "Rodeo [V2]"), ("s", "Links"), ("s", None), ("t", "Ab / Cd")] * 3
     got = [tuple(r) for r in era_texts(spark.createDataFrame(rows, "sheet_id string, era string")).orderBy("sheet_id", "era").collect()]
     assert got == [("s", "Links", "links", "links", ["links"], False), ("s", "Rodeo [V2]", "rodeo [v2]", "rodeo", ["rodeo", "rodeo [v2]"], True), ("t", "Ab / Cd", "ab / cd", "ab / cd", ["ab / cd", "ab", "cd"], True)]
+
+
+def test_kept_tables_are_never_collected_for_a_join(spark):
+    # their files are a few bytes a thousand rows, which says nothing of the rows
+    rows = spark.range(200_000).selectExpr("'a sheet' as sheet_id", "id as row_idx", "'song' as action")
+    one, two = materialise(rows, "one"), materialise(rows, "two")
+    joined = one.filter("action = 'song'").select("sheet_id", "row_idx").join(two.groupBy("sheet_id", "row_idx").count(), ["sheet_id", "row_idx"])
+    assert joined.count() == 200_000
+    assert "BroadcastExchange" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_era_texts_are_read_by_all_tasks(spark):
+    rows = spark.range(4000).selectExpr("concat('sheet', id % 400) as sheet_id", "concat('Era ', id) as era")
+    got = era_texts(rows)
+    assert got.count() == 4000 and got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
