@@ -208,3 +208,13 @@ def test_era_texts_are_read_by_all_tasks(spark):
     rows = spark.range(4000).selectExpr("concat('sheet', id % 400) as sheet_id", "concat('Era ', id) as era")
     got = era_texts(rows)
     assert got.count() == 4000 and got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_the_jvm_compiles_what_makes_sheets(spark, sf_dir):
+    """It leaves methods of over 8000 bytes to its interpreter."""
+    for sheets in (mixed_sheets(spark, sf_dir), rendered_sheets(spark, sf_dir)):
+        sheets.collect()
+        debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+        parts = getattr(debug, "MODULE$").codegenStringSeq(sheets._jdf.queryExecution().executedPlan())
+        sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+        assert sizes and max(sizes) < 8000
