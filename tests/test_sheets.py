@@ -9,6 +9,7 @@ from quillgrid.plans.catalogue import read_catalogue
 from quillgrid.plans.fixtures import mixed_sheets, rendered_sheets
 from quillgrid.scratch import materialise
 from quillgrid.sources.html import explode_cells, head_rows, sheet_rows
+from quillgrid.sources.scan import TAGS, CellColumns, _tags
 
 HEAD = "<tr><td>Era</td><td>Name</td><td>Notes</td><td>Quality</td><td>Link(s)</td></tr>"
 
@@ -218,3 +219,15 @@ def test_the_jvm_compiles_what_makes_sheets(spark, sf_dir):
         parts = getattr(debug, "MODULE$").codegenStringSeq(sheets._jdf.queryExecution().executedPlan())
         sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
         assert sizes and max(sizes) < 8000
+
+
+def test_whole_cells_are_read_at_once():
+    """As the same cells tag by tag: these are cut one tag at a time where anything but texts and breaks stands in them."""
+    simple = "<table>" + "<tr>" + '<TD class="s7"> a &amp; b<br>c </td>' * 50 + "</tr></table>"
+    assert sum(1 for _ in _tags(simple, TAGS)) == 50 + 5
+    plain, tagged = CellColumns(), CellColumns()
+    odd = '<td>outside</td><table><tr><td colspan="3">x&lt<br>y</td><td><a href="u">open<td>1<br>2</td></a><td>kept<tr><td>z</td></tr><td>lost</td></table>'
+    for columns, html in ((plain, simple + odd), (tagged, (simple + odd).replace("</td>", "<b></b></td>"))):
+        columns.scan(html, {"s7": "#1"})
+    assert plain.__dict__ == tagged.__dict__
+    assert plain.texts[0] == "a & b\nc" and plain.colors[0] == "#1" and plain.texts[50:] == ["z"]
