@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillgrid.functions.text import FOOTER_WORDS
 from quillgrid.operators.columns import project_fields
 from quillgrid.operators.resolve import era_texts, merge_stub_eras
 from quillgrid.operators.rows import describe_rows
@@ -231,3 +232,12 @@ def test_whole_cells_are_read_at_once():
         columns.scan(html, {"s7": "#1"})
     assert plain.__dict__ == tagged.__dict__
     assert plain.texts[0] == "a & b\nc" and plain.colors[0] == "#1" and plain.texts[50:] == ["z"]
+
+
+def test_texts_that_the_scan_has_stripped_are_not_stripped_again(spark):
+    texts = [f"x {w.title()} y" for w in FOOTER_WORDS] + ["Total", "guide", "an editor", "tracks"]
+    html = "<table>" + HEAD + "".join(row("", f"   {t}\x1c ", "a<br> ", "HQ", "") for t in texts) + "</table>"
+    fields = project_fields(materialise(sheet_rows(spark.createDataFrame([("s", html)], "sheet_id string, html string")), "rows"))
+    got = describe_rows(fields).orderBy("row_idx").collect()
+    assert [(r["row_text"] or r["kind"], r["notes"]) for r in got] == [("footer", "a")] * len(FOOTER_WORDS) + [(f"{t} | a | HQ", "a") for t in texts[len(FOOTER_WORDS) :]]
+    assert "trim" not in fields.select("filled", "name", "era", "quality")._jdf.queryExecution().optimizedPlan().toString()
