@@ -19,6 +19,11 @@ from quillgrid.streaming import snapshots as snap
 QUERIES, SQL = {}, {}
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, spread over the tasks asked for: a million of them are one small file, but the texts made of them are work."""
+    return table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -42,7 +47,7 @@ def _s(col: str) -> Column:
 )
 def name_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EN-01/02/03 on raw multi-line names."""
-    p = table(spark, sf_dir, "part")
+    p = parts(spark, sf_dir)
     star = F.when(F.col("p_size") % 5 == 0, "⭐️ ").when(F.col("p_size") % 5 == 1, "💿✨").when(F.col("p_size") % 5 == 2, " 🥇 ").when(F.col("p_size") % 5 == 3, "🗑️").otherwise("")
     tag = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit(" [V"), _s("p_size"), F.lit("]"))).when(F.col("p_partkey") % 4 == 1, " [v1-V?]").when(F.col("p_partkey") % 4 == 2, " [Radio Mix]").otherwise("")
     raw = F.concat(star, F.col("p_name"), tag, F.lit("\n(feat. "), F.col("p_brand"), F.lit(") (Prod. "), F.col("p_type"), F.lit(") (prod "), F.col("p_brand"), F.lit(")"), F.when(F.col("p_partkey") % 2 == 0, " (with Friends)").otherwise(""), F.lit("\n(Old "), F.col("p_name"), F.lit(")\n"))
@@ -56,7 +61,7 @@ def name_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EN-10/11/23: accents, punctuation, tags and parentheses go."""
     messy = F.concat(F.translate("p_name", "eioa", "éïöà"), F.lit(", Vol. 2 [V3]*(live at "), F.col("p_type"), F.lit(")"))
-    return table(spark, sf_dir, "part").select("p_partkey", T.match_key(messy).alias("match_key"), T.slug(F.concat("p_name", F.lit(", Vol. 2_"), F.col("p_type"), F.lit("!"))).alias("slug"), T.initials(F.col("p_name")).alias("short"))
+    return parts(spark, sf_dir).select("p_partkey", T.match_key(messy).alias("match_key"), T.slug(F.concat("p_name", F.lit(", Vol. 2_"), F.col("p_type"), F.lit("!"))).alias("slug"), T.initials(F.col("p_name")).alias("short"))
 
 
 @query("""SELECT p_partkey, p_name || '.wav' AS og, '"' || p_name || '" by ' || p_brand AS samples, p_brand || '|' || p_type AS producers, 'released' AS event, p_size::VARCHAR AS event_date, 'Plain ' || p_name AS kept FROM part""")
@@ -66,7 +71,7 @@ def note_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     sampled = F.concat(F.lit('Here it samples "'), F.col("p_name"), F.lit('" by '), F.col("p_brand"), F.lit(" and others.\n"))
     producers = F.concat(F.lit("Highlighted Producers:\n- "), F.col("p_brand"), F.lit("\n- ???\n- "), F.col("p_type"))
     events = T.timeline(F.concat(F.lit("("), _s("p_size"), F.lit(") (released)\n(2001)\nno date")))
-    return table(spark, sf_dir, "part").select(
+    return parts(spark, sf_dir).select(
         "p_partkey", T.og_filename(notes).alias("og"), F.array_join(T.samples(sampled), "|").alias("samples"), F.array_join(T.highlighted_producers(producers), "|").alias("producers"),
         F.get(events, F.lit(0))["event"].alias("event"), F.get(events, F.lit(0))["date"].alias("event_date"), T.credit_notes(notes).alias("kept"),
     )
@@ -81,7 +86,7 @@ def badge_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EN-17/18."""
     q = F.when(F.col("p_size") % 4 == 0, "Lossless").when(F.col("p_size") % 4 == 1, "CD Quality").when(F.col("p_size") % 4 == 2, "Not Available").otherwise("Low Quality")
     a = F.when(F.col("p_partkey") % 4 == 0, "Full").when(F.col("p_partkey") % 4 == 1, "Snippet").when(F.col("p_partkey") % 4 == 2, "Partial / Cut")
-    p = table(spark, sf_dir, "part").select("p_partkey", q.alias("q"), a.alias("a"))
+    p = parts(spark, sf_dir).select("p_partkey", q.alias("q"), a.alias("a"))
     return p.select("p_partkey", L.quality_class(F.col("q")).alias("quality"), L.availability_class(F.col("a")).alias("availability"), L.effective_badge(F.col("q"), F.col("a"))["variant"].alias("shown"), L.secondary_badge(F.col("q"), F.col("a"))["variant"].alias("second"))
 
 
@@ -105,7 +110,7 @@ def link_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     real = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("https://pillows.su/f/p"), k)).when(F.col("p_size") % 3 == 1, F.concat(F.lit("https://krakenfiles.com/view/k"), k, F.lit("/file.html"))).otherwise(F.concat(F.lit("https://example.org/"), k))
     wrapped = F.concat(F.lit("https://www.google.com/url?q="), F.url_encode(real), F.lit("&sa=D"))
     art = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("//lh3.googleusercontent.com/"), k, F.lit("=w200-h200"))).otherwise(F.concat(F.lit("data:image/"), k))
-    p = table(spark, sf_dir, "part").select("p_partkey", L.provider(L.unwrap_link(wrapped)).alias("p"), L.art_url(art).alias("art"))
+    p = parts(spark, sf_dir).select("p_partkey", L.provider(L.unwrap_link(wrapped)).alias("p"), L.art_url(art).alias("art"))
     return p.select("p_partkey", "p.provider", "p.file_id", "art")
 
 
@@ -131,7 +136,7 @@ def plausible_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-04: every rule once in each round of parts."""
     forms = F.array(*[F.lit(t) for t in (*REFUSED, *ACCEPTED)])
     text = F.replace(F.get(forms, (F.col("p_partkey") % (len(REFUSED) + len(ACCEPTED))).cast("int")), F.lit("~"), F.col("p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", T.plausible_era_name(text).alias("plausible"))
+    return parts(spark, sf_dir).select("p_partkey", T.plausible_era_name(text).alias("plausible"))
 
 
 # ---------------------------------------------------------------- files
@@ -146,7 +151,7 @@ def file_metadata_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("COMMON INFOCONTAINER: MP4CODEC PROFILE: unknownCODEC: "), F.col("p_type"), F.lit("BITRATE: "), _s("p_size"), F.lit("kbpsLOSSLESS: "), F.when(F.col("p_size") % 2 == 0, "true").otherwise("false"), F.lit("ARTIST: nullTITLE: "), F.col("p_name"))
     json = F.concat(F.lit('{"estimatedBitrate": '), (F.col("p_size") * 10).cast("string"), F.lit('.2, "frequencyCutoff": 16.04}'))
     even = F.col("p_partkey") % 2 == 0
-    p = table(spark, sf_dir, "part").select("p_partkey", F.when(even, "pillows").otherwise("froste").alias("provider"), F.when(even, text).otherwise(json).alias("body"))
+    p = parts(spark, sf_dir).select("p_partkey", F.when(even, "pillows").otherwise("froste").alias("provider"), F.when(even, text).otherwise(json).alias("body"))
     return media.file_metadata(p).select("p_partkey", "codec", "bitrate", "lossless", "estimated_bitrate", "title")
 
 
@@ -155,14 +160,14 @@ def file_metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EN-20: the other JSON shape."""
     size = F.when(F.col("p_size") % 3 > 0, F.col("p_size") * 1000).otherwise(0)
     body = F.concat(F.lit('{"size": '), size.cast("string"), F.lit(', "mimeType": "audio/mpeg", "name": "'), F.col("p_name"), F.lit('.mp3", "qualityMismatch": '), F.when(F.col("p_size") % 2 == 0, "true").otherwise("false"), F.lit(', "frequencyCutoff": '), (F.col("p_size") * 1.25 - 0.01).cast("decimal(10,2)").cast("string"), F.lit("}"))
-    p = table(spark, sf_dir, "part").select("p_partkey", F.lit("imgur").alias("provider"), body.alias("body"))
+    p = parts(spark, sf_dir).select("p_partkey", F.lit("imgur").alias("provider"), body.alias("body"))
     return media.file_metadata(p).select("p_partkey", "file_size", "mime_type", "filename", "quality_mismatch", "frequency_cutoff")
 
 
 @query("SELECT p_partkey, 'AAC · ' || CASE WHEN p_size % 2 = 0 THEN 'Lossless' ELSE p_size * 40 || 'kbps' END AS summary, CASE WHEN p_size * 40 >= 1000 THEN 'lossless' WHEN p_size * 40 >= 320 THEN 'hq' WHEN p_size * 40 >= 192 THEN 'cd' ELSE 'lq' END AS grade, p_size % 2 = 0 OR p_size * 40 >= 1000 AS is_large, '~' || CASE WHEN p_size * 900000 >= 1048576 THEN printf('%.1f MB', p_size * 900000 / 1048576) ELSE round(p_size * 900000 / 1024)::BIGINT || ' KB' END AS size_text FROM part")
 def file_display_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EN-21."""
-    p = table(spark, sf_dir, "part").select(
+    p = parts(spark, sf_dir).select(
         "p_partkey", F.lit("AAC").alias("codec"), F.lit("MP4").alias("container"), (F.col("p_size") % 2 == 0).alias("lossless"), F.concat((F.col("p_size") * 40).cast("string"), F.lit("kbps")).alias("bitrate"),
         F.lit(None).cast("long").alias("estimated_bitrate"), F.lit(180).alias("seconds"),
     )
@@ -178,7 +183,7 @@ def file_display_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_detail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-11: labels, formats and classes of the fields that a client shows."""
     n = F.col("p_size")
-    p = table(spark, sf_dir, "part").select(
+    p = parts(spark, sf_dir).select(
         "p_partkey", F.lit("AAC").alias("codec"), F.concat((n * 40).cast("string"), F.lit("kbps")).alias("bitrate"), F.when(n % 3 < 2, n % 3 == 0).alias("lossless"), F.when(n % 2 == 0, n * 30).alias("estimated_bitrate"),
         (n * 7).cast("string").alias("duration"), (n * 400).cast("double").alias("frequency_cutoff"), (n % 2 == 0).alias("quality_mismatch"),
     )
@@ -193,7 +198,7 @@ def file_format_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EN-22."""
     z, k = F.col("p_size") % 4, F.col("p_partkey") % 3
     head = F.when(z == 0, "OggS").when(z == 1, "fLaC").when(z == 2, "\0\0\0 ftyp").otherwise("<htm")
-    p = table(spark, sf_dir, "part").select(
+    p = parts(spark, sf_dir).select(
         "p_partkey", F.concat(head, F.col("p_name")).cast("binary").alias("content"), F.when(k == 0, "audio/m4a; x=1").otherwise("application/octet-stream").alias("content_type"),
         F.when(k == 1, 'attachment; filename="a.FLAC"').alias("content_disposition"), F.concat(F.lit("https://example.org/a.mp3?x="), F.col("p_name")).alias("url"),
     )
@@ -227,7 +232,7 @@ def change_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey // 50 AS book, lower(trim(p_name)) AS name FROM part GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN-09: names that occur twice in a sheet, whatever their case."""
-    p = table(spark, sf_dir, "part")
+    p = parts(spark, sf_dir)
     shouted = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat(F.lit(" "), "p_name"))
     names = p.groupBy(F.floor(F.col("p_partkey") / 50).alias("book")).agg(F.collect_list(shouted).alias("names"))
     return names.select("book", F.explode(quality.duplicate_names(F.col("names"))).alias("name"))
@@ -334,5 +339,5 @@ def snapshots_client_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unfinished_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EN-04: an other title that says unfinished becomes the tag and is no title."""
     cell = F.concat(F.lit("<table><tr><td>Era</td><td>Name</td><td>Notes</td></tr><tr><td>x</td><td>"), F.col("p_name"), F.lit("<br>"), F.col("p_brand"), F.lit("<br>[Unfinished]</td><td>n</td></tr></table>"))
-    read = rows.with_version_columns(project_fields(sheet_rows(table(spark, sf_dir, "part").select(_s("p_partkey").alias("sheet_id"), cell.alias("html")))))
+    read = rows.with_version_columns(project_fields(sheet_rows(parts(spark, sf_dir).select(_s("p_partkey").alias("sheet_id"), cell.alias("html")))))
     return read.select(F.col("sheet_id").cast("long").alias("p_partkey"), "version_tag", F.col("title").alias("name"), F.array_join("alt_titles", "|").alias("alts"))

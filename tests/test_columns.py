@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillgrid.functions import labels as L
 from quillgrid.functions import text as T
 from quillgrid.operators.stats import declared_pairs
+from quillgrid.plans.text_queries import QUERIES
 from quillgrid.sources.html import unescape
 
 
@@ -76,3 +77,8 @@ def test_repeated_names_and_near_hashes(spark):
     rows = spark.createDataFrame([(i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(hashes)], "one long, hash long")
     got = {tuple(r) for r in near_hash_bands(rows, rows.withColumnRenamed("one", "two"), "one", "two", 10).collect()}
     assert got == {(i, j, (a ^ b).bit_count()) for i, a in enumerate(hashes) for j, b in enumerate(hashes) if (a ^ b).bit_count() <= 10}
+
+
+def test_texts_of_parts_are_read_by_all_tasks(spark, sf_dir):
+    for name in ("file_metadata_columns", "unfinished_songs"):
+        assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
