@@ -8,7 +8,7 @@ from quillgrid.operators.resolve import era_texts, merge_stub_eras
 from quillgrid.operators.rows import describe_rows
 from quillgrid.plans.catalogue import read_catalogue
 from quillgrid.plans.fixtures import mixed_sheets, rendered_sheets
-from quillgrid.scratch import materialise
+from quillgrid.scratch import materialise_large
 from quillgrid.sources.html import explode_cells, head_rows, sheet_rows
 from quillgrid.sources.scan import TAGS, CellColumns, _tags
 
@@ -200,7 +200,7 @@ def test_era_texts_are_read_once_a_sheet(spark):
 def test_kept_tables_are_never_collected_for_a_join(spark):
     # their files are a few bytes a thousand rows, which says nothing of the rows
     rows = spark.range(200_000).selectExpr("'a sheet' as sheet_id", "id as row_idx", "'song' as action")
-    one, two = materialise(rows, "one"), materialise(rows, "two")
+    one, two = materialise_large(rows, "one"), materialise_large(rows, "two")
     joined = one.filter("action = 'song'").select("sheet_id", "row_idx").join(two.groupBy("sheet_id", "row_idx").count(), ["sheet_id", "row_idx"])
     assert joined.count() == 200_000
     assert "BroadcastExchange" not in joined._jdf.queryExecution().executedPlan().toString()
@@ -237,7 +237,7 @@ def test_whole_cells_are_read_at_once():
 def test_texts_that_the_scan_has_stripped_are_not_stripped_again(spark):
     texts = [f"x {w.title()} y" for w in FOOTER_WORDS] + ["Total", "guide", "an editor", "tracks"]
     html = "<table>" + HEAD + "".join(row("", f"   {t}\x1c ", "a<br> ", "HQ", "") for t in texts) + "</table>"
-    fields = project_fields(materialise(sheet_rows(spark.createDataFrame([("s", html)], "sheet_id string, html string")), "rows"))
+    fields = project_fields(materialise_large(sheet_rows(spark.createDataFrame([("s", html)], "sheet_id string, html string")), "rows"))
     got = describe_rows(fields).orderBy("row_idx").collect()
     assert [(r["row_text"] or r["kind"], r["notes"]) for r in got] == [("footer", "a")] * len(FOOTER_WORDS) + [(f"{t} | a | HQ", "a") for t in texts[len(FOOTER_WORDS) :]]
     assert "trim" not in fields.select("filled", "name", "era", "quality")._jdf.queryExecution().optimizedPlan().toString()
