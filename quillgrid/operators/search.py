@@ -5,12 +5,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions.labels import BEST_OF, parse_date
 
 SONG = ["sheet_id", "era_idx", "base_name"]
+Searches = Sequence[tuple[str, str, dict]]
 
 
 def _low(col: str) -> Column:
@@ -47,6 +51,30 @@ def match_songs(versions: DataFrame, query: str) -> DataFrame:
     return with_search_text(versions).filter(F.col("search_text").contains(query.strip().lower())).select(*SONG).distinct()
 
 
+def _all_texts(columns: list[str]) -> Column:
+    """All that a search looks at, in lower case, line by line: a query that it does not hold has no score."""
+    credits = [F.col(c) for c in ("featuring", "producers", "collaboration") if c in columns]
+    return F.lower(F.concat_ws("\n", F.col("base_name"), F.col("name"), F.array_join("alt_titles", "\n"), *credits))
+
+
+def _score(columns: list[str], query: str, scoring: str) -> Column:
+    q = query.strip().lower()
+    base, name = F.lower("base_name"), F.lower("name")
+    if scoring == "spec":
+        quoted = r"\b\Q" + q.replace("\\E", "") + r"\E"
+        text = _all_texts(columns)
+        return F.when(base.startswith(q), 100).when(text.rlike(quoted), 60).when(text.contains(q), 30)
+    alts = F.transform(F.coalesce("alt_titles", F.array().cast("array<string>")), F.lower)
+    return (
+        F.when(base == q, 100)
+        .when(F.exists(alts, lambda a: a == q), 90)
+        .when(base.startswith(q), 70)
+        .when(F.exists(alts, lambda a: a.startswith(q)), 60)
+        .when(base.contains(q), 40)
+        .when(name.contains(q) | F.exists(alts, lambda a: a.contains(q)), 20)
+    )
+
+
 def song_scores(versions: DataFrame, query: str, scoring: str = "clients") -> DataFrame:
     """``(sheet_id, era_idx, base_name, score)`` of songs that match the query.
 
@@ -54,33 +82,45 @@ def song_scores(versions: DataFrame, query: str, scoring: str = "clients") -> Da
     name, 20 within a version's name or other title. ``spec``: 100 beginning, 60 start of a
     word in names, titles and credits, 30 anywhere in these.
     """
-    q = query.strip().lower()
-    base, name = F.lower("base_name"), F.lower("name")
-    alts = F.transform(F.coalesce("alt_titles", F.array().cast("array<string>")), F.lower)
-    if scoring == "spec":
-        quoted = r"\b\Q" + q.replace("\\E", "") + r"\E"
-        more = F.concat_ws("\n", F.col("name"), F.array_join("alt_titles", "\n"), *[F.col(c) for c in ("featuring", "producers", "collaboration") if c in versions.columns])
-        score = F.when(base.startswith(q), 100).when(F.lower(F.concat_ws("\n", F.col("base_name"), more)).rlike(quoted), 60).when(F.lower(F.concat_ws("\n", F.col("base_name"), more)).contains(q), 30)
-    else:
-        score = (
-            F.when(base == q, 100)
-            .when(F.exists(alts, lambda a: a == q), 90)
-            .when(base.startswith(q), 70)
-            .when(F.exists(alts, lambda a: a.startswith(q)), 60)
-            .when(base.contains(q), 40)
-            .when(name.contains(q) | F.exists(alts, lambda a: a.contains(q)), 20)
-        )
-    return versions.select(*SONG, score.alias("score")).groupBy(*SONG).agg(F.max("score").alias("score")).filter("score is not null")
+    return scores_of(versions, [("", query, {"scoring": scoring})]).drop("search")
+
+
+def scores_of(versions: DataFrame, searches: Searches) -> DataFrame:
+    """``(sheet_id, era_idx, base_name, search, score)`` of the songs that match each of several searches, in one pass.
+
+    Rows that hold no query are left out first; the others are scored for the queries that they hold.
+    """
+    held = {f"_held{i}": _all_texts(versions.columns).contains(query.strip().lower()) for i, (_, query, _) in enumerate(searches)}
+    score = {f"_score{i}": F.when(F.col(f"_held{i}"), _score(versions.columns, query, options.get("scoring", "clients"))) for i, (_, query, options) in enumerate(searches)}
+    scored = versions.withColumns(held).filter(reduce(Column.__or__, map(F.col, held))).select(*SONG, *[c.alias(n) for n, c in score.items()])
+    songs = scored.groupBy(*SONG).agg(*[F.max(n).alias(n) for n in score])
+    pairs = F.array(*[F.struct(F.lit(name).alias("search"), F.col(f"_score{i}").alias("score")) for i, (name, _, _) in enumerate(searches)])
+    return songs.select(*SONG, F.inline(pairs)).filter("score is not null")
 
 
 def search(versions: DataFrame, query: str, only_best: bool = False, hide_snippets: bool = False, dialect: str = "web", scoring: str = "clients") -> DataFrame:
     """Matching versions with ``score``, best first, then in the catalogue's order; an empty query finds none."""
-    if not query.strip():
-        return versions.withColumn("score", F.lit(0)).limit(0)
-    hits = versions.join(song_scores(versions, query, scoring), SONG)
-    hits = hits.filter(F.col("badge").isin(*BEST_OF)) if only_best else hits
-    hits = no_snippets(hits, dialect) if hide_snippets else hits
-    return hits.orderBy(F.desc("score"), "sheet_id", "era_idx", "row_idx")
+    options = {"only_best": only_best, "hide_snippets": hide_snippets, "dialect": dialect, "scoring": scoring}
+    return search_many(versions, [("", query, options)]).drop("search").orderBy(F.desc("score"), "sheet_id", "era_idx", "row_idx")
+
+
+def search_many(versions: DataFrame, searches: Searches) -> DataFrame:
+    """The versions that each of several searches finds, with ``search``, its name, and ``score``, in no order.
+
+    A search is ``(name, query, options)`` with the options of ``search``. The versions are read
+    and joined once for all of them.
+    """
+    asked = [s for s in searches if s[1].strip()]
+    if not asked:
+        return versions.withColumns({"search": F.lit(""), "score": F.lit(0)}).limit(0)
+    found = versions.join(scores_of(versions, asked), SONG)
+    for name, _, options in asked:
+        others = F.col("search") != name
+        if options.get("only_best"):
+            found = found.filter(others | F.col("badge").isin(*BEST_OF))
+        if options.get("hide_snippets"):
+            found = found.filter(others | ~is_snippet(options.get("dialect", "web")))
+    return found
 
 
 def filter_eras(eras: DataFrame, versions: DataFrame, query: str = "", only_best: bool = False, dialect: str = "web") -> DataFrame:

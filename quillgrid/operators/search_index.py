@@ -1,9 +1,11 @@
 """A written index for searches within texts, and a written order for pages.
 
-The index holds the versions dealt into parts by song, and for each three letters of a
-song's texts the songs that have them, dealt into parts by the letters. A search reads the
-postings of its few rarest letters, and then only the parts that hold a song with all of
-them; it is then the search of those songs, with the same result as one of the whole table.
+The index holds the versions dealt into parts by song, for each three letters the distinct
+texts that have them, dealt into parts by the letters, and for each text the parts with a song
+that has it. Texts repeat from sheet to sheet, and are taken apart once. A search reads the
+postings of its few rarest letters, the parts of the texts with all of them, and then only
+these parts of the versions; it is then a search of their songs, with the same result as one
+of the whole table.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.operators.search import SONG
+from quillgrid.operators.search import SONG, Searches, search_many
 
 GRAM = 3
 #: Of a query's letter groups, so many of the least frequent ones are looked up.
@@ -53,38 +55,48 @@ class SearchIndex:
 
     def _read(self, table: str) -> DataFrame:
         # the forms are known, so that empty tables, which have no files, can be read too
-        schema = {"versions": self.schema, "postings": "song_no long, gram string, gram_part int", "grams": "gram string, gram_part int, songs long"}[table]
+        schema = {
+            "versions": self.schema,
+            "holders": "text_no long, text string, song_part int, text_part int",
+            "postings": "text_no long, gram string, gram_part int",
+            "grams": "gram string, gram_part int, texts long",
+        }[table]
         return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
 
     def versions(self) -> DataFrame:
         return self._read("versions").drop("song_no", "song_part")
 
-    def songs_with(self, query: str) -> DataFrame | None:
-        """``(song_no)`` of the songs that have the query's rarest letter groups; none if it is too short to have one."""
+    def folders(self, query: str) -> list[int] | None:
+        """The folders with a text that has the query's rarest letter groups; none, for all, if it is too short to have one."""
         q = query.strip().lower()
         grams = sorted({q[i : i + GRAM] for i in range(len(q) - GRAM + 1)})
         if not grams:
             return None
         # as many rows as the query has groups
         found = self._read("grams").filter(F.col("gram").isin(grams)).collect()
-        postings = self._read("postings")
         if len(found) < len(grams):
-            return postings.select("song_no").limit(0)
-        rarest = [r["gram"] for r in sorted(found, key=lambda r: (r["songs"], r["gram"]))[:LOOKED_UP]]
-        folders = sorted({r["gram_part"] for r in found if r["gram"] in rarest})
-        met = postings.filter(F.col("gram_part").isin(folders) & F.col("gram").isin(rarest)).groupBy("song_no").agg(F.count("*").alias("n"))
-        return met.filter(F.col("n") == len(rarest)).select("song_no")
-
-    def candidates(self, query: str) -> DataFrame:
-        """The versions of the songs that may match a query, from the folders that hold any."""
+            return []
+        rarest = [r["gram"] for r in sorted(found, key=lambda r: (r["texts"], r["gram"]))[:LOOKED_UP]]
+        parts = sorted({r["gram_part"] for r in found if r["gram"] in rarest})
+        met = self._read("postings").filter(F.col("gram_part").isin(parts) & F.col("gram").isin(rarest)).groupBy("text_no").agg(F.count("*").alias("n"))
+        texts = met.filter(F.col("n") == len(rarest)).select("text_no", _part(F.col("text_no"), self.parts).alias("text_part"))
+        # at most one number for each folder reaches the driver, here and below
+        parts = [r[0] for r in texts.select("text_part").distinct().collect()]
+        holders = self._read("holders").filter(F.col("text_part").isin(parts)).join(texts, ["text_part", "text_no"], "left_semi")
+        return [r[0] for r in holders.select("song_part").distinct().collect()]
+
+    def candidates(self, *queries: str) -> DataFrame:
+        """The versions in the folders that hold a song that may match one of the queries."""
         rows = self._read("versions")
-        songs = self.songs_with(query)
-        if songs is not None:
-            # at most one number for each folder reaches the driver
-            folders = [r[0] for r in songs.select(_part(F.col("song_no"), self.parts)).distinct().collect()]
-            rows = rows.filter(F.col("song_part").isin(folders)).join(songs, "song_no", "left_semi")
+        named = [self.folders(q) for q in queries if q.strip()]
+        if None not in named:
+            rows = rows.filter(F.col("song_part").isin(sorted({p for folders in named for p in folders})))
         return rows.drop("song_no", "song_part")
 
+    def search(self, searches: Searches) -> DataFrame:
+        """``search.search_many`` of the indexed versions."""
+        return search_many(self.candidates(*[query for _, query, _ in searches]), searches)
+
 
 def build_index(versions: DataFrame, root: str, parts: int = PARTS) -> SearchIndex:
     """Writes the index of ``versions`` under ``root``. Null titles count as empty; versions of one song share its entries."""
@@ -94,9 +106,14 @@ def build_index(versions: DataFrame, root: str, parts: int = PARTS) -> SearchInd
     numbered.repartition(F.col("song_part"), F.pmod(F.xxhash64("sheet_id", "row_idx"), F.lit(SPREAD))).sortWithinPartitions("song_part", "song_no").write.partitionBy("song_part").parquet(f"{root}/versions")
     index = SearchIndex(spark, root, parts, numbered.schema)
     written = index._read("versions")
-    pairs = written.select("song_no", F.explode(_grams(_texts(written))).alias("gram")).distinct().withColumn("gram_part", _part(F.col("gram"), parts))
-    pairs.repartition(F.col("gram_part"), F.col("gram"), F.pmod("song_no", F.lit(SPREAD))).sortWithinPartitions("gram_part", "gram").write.partitionBy("gram_part").parquet(f"{root}/postings")
-    counted = index._read("postings").groupBy("gram", "gram_part").agg(F.count("*").alias("songs"))
+    texts = written.select(_texts(written).alias("text"), "song_part").distinct().withColumn("text_no", F.xxhash64("text")).withColumn("text_part", _part(F.col("text_no"), parts))
+    holders = texts.select("text_no", "text", "song_part", "text_part").repartition("text_part", F.pmod("text_no", F.lit(SPREAD)))
+    holders.sortWithinPartitions("text_part", "text_no").write.partitionBy("text_part").parquet(f"{root}/holders")
+    # two texts of one number are one here, with the letters of both
+    pairs = index._read("holders").select("text_no", "text").distinct().select("text_no", F.explode(_grams(F.col("text"))).alias("gram"))
+    pairs = pairs.select("text_no", "gram", _part(F.col("gram"), parts).alias("gram_part"), F.pmod("text_no", F.lit(SPREAD)).alias("spread"))
+    pairs.repartition("gram_part", "gram", "spread").distinct().drop("spread").sortWithinPartitions("gram_part", "gram").write.partitionBy("gram_part").parquet(f"{root}/postings")
+    counted = index._read("postings").groupBy("gram", "gram_part").agg(F.count("*").alias("texts"))
     counted.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{root}/grams")
     return index
 

@@ -49,6 +49,28 @@ def test_a_search_reads_few_rows(spark, tmp_path, node_metrics):
     assert empty.candidates(word).count() == 0
 
 
+def test_postings_do_not_grow_with_copies(spark, tmp_path):
+    versions = table(spark, random.Random(3), 60).cache()
+    copies = versions.crossJoin(spark.range(7).withColumnRenamed("id", "copy")).withColumn("sheet_id", F.concat("sheet_id", F.lit("-"), "copy")).drop("copy")
+    count = lambda v, name: spark.read.parquet(f"{build_index(v, str(tmp_path / name), parts=4).root}/postings").count()
+    assert count(copies, "copies") == count(versions, "once") > 0
+
+
+def test_searches_together_equal_single_ones(spark, tmp_path):
+    versions = table(spark, random.Random(4), 300).cache()
+    index = build_index(versions, str(tmp_path / "index"), parts=8)
+    searches = [
+        ("a", "alpha", {}), ("b", " BETA ", {"scoring": "spec"}), ("c", "take 1", {"only_best": True}), ("d", "", {}), ("e", "zzz", {}),
+        ("f", "delta", {"hide_snippets": True}), ("g", "guest", {"scoring": "spec"}), ("h", "ta", {"hide_snippets": True, "dialect": "ios"}),
+    ]
+    short = versions.withColumn("available_length", F.when(F.col("row_idx") % 3 == 0, "Snippet").when(F.col("row_idx") % 3 == 1, "Unavailable").otherwise("Full"))
+    for found, rows in ((index.search(searches), versions), (search.search_many(short, searches), short)):
+        got = sorted(tuple(r) for r in found.select("search", "sheet_id", "era_idx", "row_idx", "score").collect())
+        want = [(name, *r) for name, words, options in searches for r in search.search(rows, words, **options).select("sheet_id", "era_idx", "row_idx", "score").collect()]
+        assert got == sorted(want) and len(got) > 300
+    assert search.search_many(versions, [("d", " ", {})]).count() == 0 == index.search([]).count()
+
+
 def test_pages_of_a_written_order(spark, tmp_path, node_metrics):
     rng = random.Random(2)
     rows = spark.createDataFrame([(i, rng.randint(0, 30)) for i in range(1000)], "id int, k int").repartition(5)
