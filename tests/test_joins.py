@@ -4,6 +4,7 @@ import random
 
 from quillgrid.operators.hashes import _radii, near_hash_bands, near_hash_classes, near_hash_groups
 from quillgrid.operators.resolve import fuzzy_match
+from quillgrid.operators.songs import flatten_catalog, nest_catalog
 
 
 def words(key):
@@ -68,3 +69,12 @@ def test_copies_are_members_and_not_pairs(spark):
     assert len(got) == 4003
     assert {tuple(r) for r in got if r["distance"]} == {(5, 6, 1), (6, 5, 1)}
     assert {tuple(r) for r in got if not r["distance"]} == {(5 + i % 2, i + 5, 0) for i in range(4000)} | {(1, 1, 0)}
+
+
+def test_nesting_shuffles_the_versions_once(spark):
+    rows = [(f"s{i % 3}", i % 2, f"era {i % 2}", i % 4, "part", f"song {i % 5}", i, f"take {i}") for i in range(60)]
+    versions = spark.createDataFrame(rows, "sheet_id string, era_idx int, era_name string, section_idx int, section_name string, base_name string, row_idx int, name string")
+    nested = nest_catalog(versions, ["name"])
+    assert nested._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, flatten_catalog(nested).collect())) == sorted(rows)
+    assert {r["sheet_id"]: r["n_versions"] for r in nested.collect()} == {"s0": 20, "s1": 20, "s2": 20}
