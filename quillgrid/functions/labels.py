@@ -76,8 +76,9 @@ def format_duration(seconds: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """A date from the usual forms, else the first of January of a year found; null if there is none."""
-    formats = ("M/d/yyyy", "yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "MMMM yyyy", "MMM yyyy")
-    tries = [F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats]
+    # a form is tried where its separator is: each one that fails costs an exception
+    formats = {"M/d/yyyy": "/", "yyyy-MM-dd": "-", "MMMM d, yyyy": ", ", "MMM d, yyyy": ", ", "MMMM yyyy": " ", "MMM yyyy": " "}
+    tries = [F.when(text.contains(mark), F.try_to_timestamp(text, F.lit(f)).cast("date")) for f, mark in formats.items()]
     year = some(F.regexp_extract(text, r"(\d{4})", 1))
     return F.coalesce(*tries, F.try_to_timestamp(F.concat(year, F.lit("-01-01")), F.lit("yyyy-MM-dd")).cast("date"))
 

@@ -186,8 +186,8 @@ def recents_order() -> list[Column]:
     return [F.desc("sort_date"), F.col("sheet_id"), F.col("era_idx"), F.col("row_idx")]
 
 
-def recents(versions: DataFrame, days: int | None = None, as_of: str | None = None) -> DataFrame:
-    """Versions with a leak or file date and that date as ``sort_date``, newest first, undated forms last.
+def dated_versions(versions: DataFrame, days: int | None = None, as_of: str | None = None) -> DataFrame:
+    """Versions with a leak or file date and that date as ``sort_date``, in no order.
 
     ``days`` keeps those of so many days up to ``as_of``.
     """
@@ -196,7 +196,12 @@ def recents(versions: DataFrame, days: int | None = None, as_of: str | None = No
     if days is not None:
         end = F.lit(as_of).cast("date") if as_of else F.current_date()
         dated = dated.filter((F.col("sort_date") <= end) & (F.col("sort_date") > F.date_sub(end, days)))
-    return dated.orderBy(*recents_order())
+    return dated
+
+
+def recents(versions: DataFrame, days: int | None = None, as_of: str | None = None) -> DataFrame:
+    """The ``dated_versions``, newest first, undated forms last."""
+    return dated_versions(versions, days, as_of).orderBy(*recents_order())
 
 
 def page(df: DataFrame, number: int, size: int = 60) -> DataFrame:

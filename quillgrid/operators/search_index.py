@@ -142,11 +142,15 @@ class OrderedRows:
 def write_ordered(rows: DataFrame, order: list[Column], path: str, ranges: int | None = None) -> OrderedRows:
     """Writes ``rows`` in ranges of an order, for pages. Rows that tie in the order may change places between pages.
 
-    Without ``ranges`` their number is Spark's, by the size of the rows.
+    Without ``ranges`` their number is Spark's, by the size of the rows. The rows are written as
+    given first: the ranges' bounds come from a sample, for which they would be made twice.
     """
-    ranged = rows.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order).withColumn("range_no", F.spark_partition_id())
-    ranged.write.partitionBy("range_no").parquet(f"{path}/rows")
     spark = rows.sparkSession
+    rows.write.parquet(f"{path}/given")
+    given = spark.read.schema(rows.schema).parquet(f"{path}/given")
+    ranged = given.repartitionByRange(*([ranges] if ranges else []), *order).withColumn("range_no", F.spark_partition_id())
+    # sorted as the folders need it, too, so that the rows are sorted once
+    ranged.sortWithinPartitions("range_no", *order).write.partitionBy("range_no").parquet(f"{path}/rows")
     sizes = spark.read.schema(ranged.schema).parquet(f"{path}/rows").groupBy("range_no").agg(F.count("*").alias("n"))
     # one row for each range
     before = F.sum("n").over(Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1))

@@ -71,6 +71,20 @@ def test_searches_together_equal_single_ones(spark, tmp_path):
     assert search.search_many(versions, [("d", " ", {})]).count() == 0 == index.search([]).count()
 
 
+def test_rows_are_made_once_for_a_written_order(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(500).mapInArrow(counted, "id long")
+    page = write_ordered(rows, [F.desc("id")], str(tmp_path / "o"), 4).page(1, 10)
+    assert [r["id"] for r in page.collect()] == list(range(489, 479, -1))
+    assert made.value == 500
+
+
 def test_pages_of_a_written_order(spark, tmp_path, node_metrics):
     rng = random.Random(2)
     rows = spark.createDataFrame([(i, rng.randint(0, 30)) for i in range(1000)], "id int, k int").repartition(5)
