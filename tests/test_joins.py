@@ -2,9 +2,13 @@
 
 import random
 
+import duckdb
+
+from quillgrid.operators import hashes
 from quillgrid.operators.hashes import _radii, near_hash_bands, near_hash_classes, near_hash_groups
 from quillgrid.operators.resolve import fuzzy_match
 from quillgrid.operators.songs import flatten_catalog, nest_catalog
+from quillgrid.plans.queries import QUERIES, SQL
 
 
 def words(key):
@@ -71,6 +75,29 @@ def test_copies_are_members_and_not_pairs(spark):
     assert {tuple(r) for r in got if not r["distance"]} == {(5 + i % 2, i + 5, 0) for i in range(4000)} | {(1, 1, 0)}
 
 
+def test_the_hash_query_gives_all_pairs_of_rows(spark, tmp_path):
+    rng = random.Random(5)
+    base = [rng.uniform(-1, 1) for _ in range(64)]
+    turned = lambda k: [-x if i < k else x for i, x in enumerate(base)]
+    signs = lambda v: sum(1 << i for i, x in enumerate(v or []) if x > 0)
+    vectors = [(i, turned(i % 3 * 6)) for i in range(12)] + [(3, turned(0)), (3, turned(0)), (None, turned(1)), (20, None), (21, None)]
+    spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    pairs = [(i, j, (signs(v) ^ signs(w)).bit_count()) for i, v in vectors for j, w in vectors]
+    got = sorted(map(tuple, QUERIES["hash_distance_bands"](spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted((p for p in pairs if p[2] <= 10), key=repr)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(con.execute(SQL["hash_distance_bands"]).fetchall(), key=repr) == got
+
+
+def test_large_classes_are_paired_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(hashes, "CHUNK", 10)
+    rows = spark.range(95).selectExpr("id", "CASE WHEN id < 60 THEN 7L ELSE 6L END AS hash").union(spark.createDataFrame([(1, 7), (None, 7), (2, None)], "id long, hash long"))
+    kept = [(r["id"], r["hash"]) for r in rows.collect() if r["hash"] is not None]
+    got = hashes.near_hash_rows(rows.withColumnRenamed("id", "a"), rows.withColumnRenamed("id", "b"), "a", "b")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((i, j, (g ^ h).bit_count()) for i, g in kept for j, h in kept), key=repr)
+
+
 def test_nesting_shuffles_the_versions_once(spark):
     rows = [(f"s{i % 3}", i % 2, f"era {i % 2}", i % 4, "part", f"song {i % 5}", i, f"take {i}") for i in range(60)]
     versions = spark.createDataFrame(rows, "sheet_id string, era_idx int, era_name string, section_idx int, section_name string, base_name string, row_idx int, name string")
