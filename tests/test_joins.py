@@ -67,6 +67,15 @@ def test_equal_hashes_are_one_class(spark, node_metrics):
     assert max(node_metrics(near, "Join")) <= 4
 
 
+def test_band_values_are_dealt_out_and_not_collected(spark, node_metrics):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(400)], "hash long")
+    near = near_hash_classes(rows, rows.withColumnRenamed("hash", "other_hash"))
+    assert not node_metrics(near, "BroadcastExchange", "dataSize")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(4), REPARTITION_BY_NUM" in plan and "SortMergeJoin" in plan
+
+
 def test_copies_are_members_and_not_pairs(spark):
     rows = spark.range(4000).selectExpr("id + 5 AS id", "CASE WHEN id % 2 = 0 THEN 7L ELSE 6L END AS hash").union(spark.createDataFrame([(1, -1), (2, None)], "id long, hash long"))
     got = near_hash_groups(rows, "id").collect()
