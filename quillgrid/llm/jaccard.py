@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from quillgrid.llm.common import materialise, table
 from quillgrid.llm.components import connected_components, name_components
-from quillgrid.llm.shingles import shingle_sets, signature
+from quillgrid.llm.shingles import mix, shingle_sets, signatures
 
 U = np.uint64
 #: Tokens for one group of the counting shuffle.
@@ -51,7 +51,7 @@ def _summaries(size: int, keep: list[str]):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for at, sets in shingle_sets(texts, size):
-                sigs = [signature(s) if len(s) else None for s in sets]
+                sigs = signatures(sets)
                 n = len(sets)
                 seen = {g: s for g, s in zip(sigs, sets, strict=True) if g is not None}
                 toks, counts = np.unique(np.concatenate(list(seen.values())), return_counts=True) if seen else (np.zeros(0, U), np.zeros(0, int))
@@ -86,9 +86,9 @@ def _packed(size: int, bits: int, hot: np.ndarray):
         seen, held = {}, 0
         for batch in batches:
             for _, sets in shingle_sets(batch.column(0), size):
-                for s in sets:
-                    if len(s):
-                        seen[signature(s)] = s
+                for sig, s in zip(signatures(sets), sets, strict=True):
+                    if sig is not None:
+                        seen[sig] = s
                         held += len(s)
                 if held >= min(GATHER, ranges):
                     yield seen
@@ -113,7 +113,8 @@ def _packed(size: int, bits: int, hot: np.ndarray):
                 for where, row, tok in out:
                     if not len(where):
                         continue
-                    order = np.lexsort((row, where))
+                    # rows are in order; few ranges sort by digits
+                    order = np.argsort(where.astype(np.uint16) if bits < 15 else where, kind="stable")
                     where, row, tok = where[order], row[order], tok[order]
                     cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
                     for a, b in zip(cuts, [*cuts[1:], len(where)], strict=True):
@@ -140,7 +141,7 @@ def _shared(bits: int, hot: np.ndarray, hot_df: np.ndarray):
             toks = np.zeros((len(sigs), 8), dtype=np.uint8)
             toks[:, :6] = raw.reshape(-1, 6)
             toks = toks.reshape(-1).view(np.uint64) | (U(part) << low)
-            order = np.argsort(toks, kind="stable")
+            order = np.argsort(toks)
             toks, sigs = toks[order], sigs[order]
             same = toks[1:] == toks[:-1]
             keep = np.r_[same, False] | np.r_[False, same]
@@ -153,8 +154,8 @@ def _shared(bits: int, hot: np.ndarray, hot_df: np.ndarray):
             new = np.r_[True, (toks[1:] != toks[:-1]) | (sigs[1:] != sigs[:-1])]
             toks, sigs = toks[new], sigs[new]
         if part < ranges:
-            _, inverse, counts = np.unique(toks, return_inverse=True, return_counts=True)
-            df = counts[inverse]
+            counts = np.diff(np.r_[np.flatnonzero(np.r_[len(toks) > 0, toks[1:] != toks[:-1]]), len(toks)])
+            df = np.repeat(counts, counts)
             toks, sigs, df = toks[df >= 2], sigs[df >= 2], df[df >= 2]
         else:
             df = hot_df[np.searchsorted(hot_toks, toks)] if len(toks) else np.zeros(0, np.int64)
@@ -173,6 +174,43 @@ def _shared(bits: int, hot: np.ndarray, hot_df: np.ndarray):
     return run
 
 
+#: Tokens that are put in order at once (one set's at least).
+ORDER_TOKENS = 1 << 20
+
+
+def _prefixes(percent: int):
+    """Per set (sig, n, toks, dfs): its tokens and its prefix under each order; sets that can match nothing are left out."""
+
+    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, lists = batch.column("n").to_numpy().astype(np.int64), batch.column("toks")
+        lens = lists.value_lengths().to_numpy()
+        single = n - lens
+        room = n - np.ceil(percent * n / 100.0).astype(np.int64) + 1 - single
+        toks, dfs = lists.flatten().to_numpy(), batch.column("dfs").flatten().to_numpy()
+        row, starts = np.repeat(np.arange(len(n)), lens), np.cumsum(lens) - lens
+        first = np.arange(len(toks)) - starts[row] < room[row]
+        values, rooms = toks.view(np.uint64), np.clip(room, 0, lens)
+        offsets = pa.array(np.r_[0, np.cumsum(rooms)].astype(np.int32))
+
+        def prefix(*keys: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(offsets, pa.array(toks[np.lexsort((*keys, row))[first]]))
+
+        cols = {"order1": prefix(toks, dfs), "order2": prefix(mix(values ^ U(2))), "order3": prefix(mix(values ^ U(3 << 32)))}
+        out = pa.record_batch({"sig": batch.column("sig"), "n": batch.column("n"), "single": pa.array(single.astype(np.int32)), "toks": lists, **cols})
+        return out.filter(pa.array(room > 0))
+
+    def run(batches):
+        for batch in batches:
+            total = np.r_[0, np.cumsum(batch.column("toks").value_lengths().to_numpy())]
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(total, total[at] + ORDER_TOKENS, "right")) - 1)
+                yield some(batch.slice(at, end - at))
+                at = end
+
+    return run
+
+
 def _least_overlap(na: Column, nb: Column, percent: int) -> Column:
     """Least intersection with 100 * shared >= percent * union."""
     return F.ceil(F.lit(percent) * (na + nb) / F.lit(100.0 + percent) - F.lit(1e-9)).cast("long")
@@ -243,21 +281,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = rows.select("text").mapInArrow(_packed(size, bits, hot), "part int, sigs binary, counts binary, toks binary").groupBy("part").applyInArrow(_shared(bits, hot, hot_df), "sig long, toks array<long>, dfs array<long>")
     of_sets = of_rows.filter(F.col("n") > 0).groupBy("sig").agg(F.min("id").alias("least_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
     tokens = shared.groupBy("sig").agg(F.flatten(F.collect_list("toks")).alias("toks"), F.flatten(F.collect_list("dfs")).alias("dfs"))
-    prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100.0)) + 1
-    in_order = lambda key: F.slice(F.transform(F.array_sort(F.transform("toks", lambda t: F.struct(key(t).alias("k"), t.alias("t")))), lambda s: s["t"]), F.lit(1), F.col("room"))
-    sets = (
-        tokens.join(of_sets.select("sig", "n"), "sig")
-        .withColumn("single", F.col("n") - F.size("toks"))
-        .withColumn("room", (prefix - F.col("single")).cast("int"))
-        .filter(F.col("room") > 0)
-        .withColumn("order1", F.slice(F.array_sort(F.zip_with("dfs", "toks", lambda d, t: F.struct(d.alias("df"), t.alias("tok")))), F.lit(1), F.col("room")))
-        .withColumn("order2", in_order(lambda t: F.xxhash64(t, F.lit(2))))
-        .withColumn("order3", in_order(lambda t: F.xxhash64(t, F.lit(3))))
-        .select("sig", "n", "single", "toks", "order1", "order2", "order3")
-    )
+    of_tokens = tokens.join(of_sets.select("sig", "n"), "sig").select("sig", "n", "toks", "dfs")
+    sets = of_tokens.mapInArrow(_prefixes(percent), "sig long, n int, single int, toks array<long>, order1 array<long>, order2 array<long>, order3 array<long>")
     sets = materialise(sets, "shingle-sets")
     entries = materialise(
-        sets.select("sig", "n", (F.size("toks") / F.col("n")).alias("share"), "single", F.posexplode("order1").alias("j", "e")).select("sig", "n", "share", F.col("e.tok").alias("tok"), (F.col("single") + F.col("j")).alias("pos")),
+        sets.select("sig", "n", (F.size("toks") / F.col("n")).alias("share"), "single", F.posexplode("order1").alias("j", "tok")).select("sig", "n", "share", "tok", (F.col("single") + F.col("j")).alias("pos")),
         "shingle-prefixes",
     )
 

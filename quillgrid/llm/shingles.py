@@ -14,16 +14,22 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: A value of 64 bits for each byte.
+_WORD = ~_SPACE
+#: A value of 64 bits for each byte; the same for both cases of a letter.
 _BYTE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
+_FOLDED = _BYTE[_LOWER]
 CHUNK_BYTES = 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
-    x = (x ^ (x >> U(30))) * _MIX1
-    x = (x ^ (x >> U(27))) * _MIX2
-    return x ^ (x >> U(31))
+    half = x >> U(30)
+    x = x ^ half
+    x *= _MIX1
+    x ^= np.right_shift(x, U(27), out=half)
+    x *= _MIX2
+    x ^= np.right_shift(x, U(31), out=half)
+    return x
 
 
 class _Powers:
@@ -84,19 +90,28 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     n = len(data)
     if not n:
         return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets) - 1, dtype=np.int64)
-    word = ~_SPACE[data]
+    word = _WORD[data]
     first = np.zeros(n + 1, dtype=bool)
     first[offsets] = True
     starts = np.flatnonzero(word & (first[:n] | np.r_[True, ~word[:-1]]))
     ends = np.flatnonzero(word & (first[1:] | np.r_[~word[1:], True])) + 1
     up, down = _POWERS.upto(n)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * up[:n], out=total[1:])
+    weighted = _FOLDED[data]
+    weighted *= up[:n]
+    np.cumsum(weighted, out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _GOLD)
     per_row = np.diff(np.searchsorted(starts, offsets))
     return hashes, per_row
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values, of one at least; ``np.unique`` goes by a hash table, which is slower here."""
+    values = np.sort(values)
+    new = values[1:] != values[:-1]
+    return values if new.all() else values[np.r_[True, new]]
+
+
 def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[tuple[int, list[np.ndarray]]]:
     """For each chunk the first row's index and each row's sorted distinct shingle hashes.
 
@@ -108,13 +123,15 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[tuple[int, list[np.
         m = max(0, len(words) - size + 1)
         rolled = np.zeros(m, dtype=np.uint64)
         for k in range(size):
-            rolled = (rolled ^ (rolled >> U(29))) * _MIX1 + words[k : k + m]
+            rolled ^= rolled >> U(29)
+            rolled *= _MIX1
+            rolled += words[k : k + m]
         rolled = mix(rolled)
         sets = []
         for row in range(end - at):
             n, last = int(per_row[row]), int(stop[row])
             if n >= size:
-                sets.append(np.unique(rolled[last - n : last - size + 1]))
+                sets.append(distinct(rolled[last - n : last - size + 1]))
             elif n:
                 short = U(n)
                 with np.errstate(over="ignore"):
@@ -126,9 +143,14 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[tuple[int, list[np.
         yield at, sets
 
 
-def signature(shingles: np.ndarray) -> int:
-    """One 64-bit value of a whole set, as a signed integer."""
-    with np.errstate(over="ignore"):
-        both = np.array([mix(shingles).sum(dtype=np.uint64) + U(len(shingles)) * _GOLD, np.bitwise_xor.reduce(shingles * _MIX2)], dtype=np.uint64)
-        both = mix(both)
-        return int((both[0] * _MIX1 + both[1]).view(np.int64))
+def signatures(sets: list[np.ndarray]) -> list[int | None]:
+    """One 64-bit value of each whole set, as a signed integer; None for a set without values."""
+    lens = np.array([len(s) for s in sets], dtype=np.int64)
+    some = lens > 0
+    if not some.any():
+        return [None] * len(sets)
+    values, starts = np.concatenate(sets), np.r_[0, np.cumsum(lens[some])[:-1]]
+    added = mix(np.add.reduceat(mix(values), starts) + lens[some].astype(np.uint64) * _GOLD)
+    values *= _MIX2
+    found = iter((added * _MIX1 + mix(np.bitwise_xor.reduceat(values, starts))).view(np.int64).tolist())
+    return [next(found) if x else None for x in some]

@@ -6,11 +6,13 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.llm import ann, chat, components, jaccard, mixing, registry, urls
 from quillgrid.llm.common import table
+from quillgrid.llm.shingles import signatures
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
@@ -144,6 +146,34 @@ def brute_components(rows):
     return sorted(out, key=repr)
 
 
+def test_prefixes_and_signatures_are_made_for_many_sets_at_once(monkeypatch):
+    """One pass of a batch orders all of its sets; sets without room for a shared token are left out."""
+    rng = random.Random(4)
+    lists = [rng.sample(range(-(10**6), 10**6), rng.randint(1, 30)) for _ in range(200)]
+    dfs = [[rng.randint(2, 5) for _ in s] for s in lists]
+    n = [len(s) + rng.randint(0, 12) for s in lists]
+    batch = pa.record_batch({"sig": pa.array(range(200), pa.int64()), "n": pa.array(n, pa.int32()), "toks": pa.array(lists, pa.list_(pa.int64())), "dfs": pa.array(dfs, pa.list_(pa.int64()))})
+    room = [m - -(-75 * m // 100) + 1 - (m - len(s)) for m, s in zip(n, lists, strict=True)]
+    for tokens in (1, 50, 1 << 20):
+        monkeypatch.setattr(jaccard, "ORDER_TOKENS", tokens)
+        got = pa.Table.from_batches(jaccard._prefixes(75)([batch.slice(0, 90), batch.slice(90)])).to_pylist()
+        assert [r["sig"] for r in got] == [i for i in range(200) if room[i] > 0] and 0 < len(got) < 200
+        for r in got:
+            i = r["sig"]
+            assert r["order1"] == [t for _, t in sorted(zip(dfs[i], lists[i], strict=True))][: room[i]]
+            assert r["toks"] == lists[i] and r["single"] == n[i] - len(lists[i])
+            assert len(r["order2"]) == len(r["order3"]) == len(r["order1"]) and {*r["order2"], *r["order3"]} <= {*lists[i]}
+    # one order for all sets: the least token of a union is the least of one of its parts
+    pair = pa.record_batch({"sig": pa.array([1, 2, 3], pa.int64()), "n": pa.array([8, 8, 16], pa.int32()), "toks": pa.array([[*range(8)], [*range(8, 16)], [*range(16)]], pa.list_(pa.int64())), "dfs": pa.array([[2] * 8, [2] * 8, [2] * 16], pa.list_(pa.int64()))})
+    one, two, both = pa.Table.from_batches(jaccard._prefixes(75)([pair])).to_pylist()
+    for order in ("order2", "order3"):
+        assert both[order][0] in (one[order][0], two[order][0])
+    sets = [np.array(s, dtype=np.uint64) for s in ([], [1, 2], [5], [], [1, 2], [1, 3])]
+    got = signatures(sets)
+    assert got[0] is got[3] is None and got[1] == got[4] and len(set(got)) == 4
+    assert got[1:3] == signatures(sets[1:3]) and signatures(sets[:1]) == [None]
+
+
 @pytest.mark.parametrize("hot,crowd,group_tokens", [((4096, 0.005), 64, 2_000_000), ((3, 0.0), 2, 2_000_000), ((4096, 0.005), 1, 0.01), ((3, 0.0), 64, 0.01)])
 def test_jaccard_components_match_brute_force(spark, monkeypatch, hot, crowd, group_tokens):
     """Also with hot tokens, with crowded ones, and with more ranges than a token's first 16 bits tell apart."""
