@@ -1,8 +1,10 @@
 """Whole sheets through the reader: one for each way that rows find their era."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillgrid.functions.text import FOOTER_WORDS
+from quillgrid.operators import resolve
 from quillgrid.operators.columns import project_fields
 from quillgrid.operators.resolve import era_texts, merge_stub_eras
 from quillgrid.operators.rows import describe_rows
@@ -241,3 +243,15 @@ def test_texts_that_the_scan_has_stripped_are_not_stripped_again(spark):
     got = describe_rows(fields).orderBy("row_idx").collect()
     assert [(r["row_text"] or r["kind"], r["notes"]) for r in got] == [("footer", "a")] * len(FOOTER_WORDS) + [(f"{t} | a | HQ", "a") for t in texts[len(FOOTER_WORDS) :]]
     assert "trim" not in fields.select("filled", "name", "era", "quality")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_fold_reads_values_as_they_are():
+    """Columns of every kind, in pieces and with nulls, as Arrow's own slow reading gives them."""
+    head = pa.struct([("era_name", pa.string()), ("header_keys", pa.list_(pa.string()))])
+    for kind, values in (
+        (pa.string(), ["a", None, "", "é"]), (pa.string(), [None, None]), (pa.int32(), [3, 1]), (pa.int32(), [3, None]), (pa.bool_(), [True, False]), (pa.bool_(), [None, False]),
+        (head, [None, {"era_name": None, "header_keys": None}, {"era_name": "x", "header_keys": ["k", None]}, None]), (head, [None, None]), (pa.list_(pa.string()), [["a"], None, []]),
+    ):
+        column = pa.chunked_array([pa.array(values, kind), pa.array(values[1:], kind)])
+        got = resolve._values(column)
+        assert got == column.to_pylist() and list(map(type, got)) == list(map(type, column.to_pylist()))
